@@ -6,7 +6,20 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .common import table
 from .exact_dedup import duplicate_classes
+from .packing import pack_documents
 from .simhash import near_duplicate_classes
+from .token_shards import token_table
+
+
+def vocabulary(name: str) -> str:
+    """The file of a public tokenizer."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op2_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_table(spark, table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), end_id=0)
 
 
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -17,9 +30,15 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicate_classes(spark, table(spark, sf_dir, "documents"))
 
 
+def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(spark, table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"), end_id=1, capacity=4096)
+
+
 QUERIES = {
+    "op2_token_shards": op2_token_shards,
     "op3_exact_dedup": op3_exact_dedup,
     "op4_simhash": op4_simhash,
+    "op9_packing": op9_packing,
 }
 
 ORACLE_SQL = {
