@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .chat import conversation_digests
 from .common import table
 from .exact_dedup import duplicate_classes
 from .fingerprints import fingerprint_table
 from .packing import pack_documents
+from .secrets import scan
 from .simhash import near_duplicate_classes
 from .token_shards import token_table
 
@@ -35,6 +37,17 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicate_classes(spark, table(spark, sf_dir, "documents"))
 
 
+def op5_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = "</s>[INST] ok [/INST]"
+    extra = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id bigint, turn bigint, role string, text string")
+    given = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    return conversation_digests(spark, given.unionByName(extra))
+
+
+def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan(spark, table(spark, sf_dir, "documents"))
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(spark, table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"), end_id=1, capacity=4096)
 
@@ -44,7 +57,9 @@ QUERIES = {
     "op2_token_shards": op2_token_shards,
     "op3_exact_dedup": op3_exact_dedup,
     "op4_simhash": op4_simhash,
+    "op5_chat": op5_chat,
     "op9_packing": op9_packing,
+    "op10_secrets": op10_secrets,
 }
 
 ORACLE_SQL = {
