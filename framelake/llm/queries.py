@@ -8,7 +8,10 @@ from .chat import conversation_digests
 from .common import table
 from .exact_dedup import duplicate_classes
 from .fingerprints import fingerprint_table
+from .language import languages
+from .mixing import mixed_schedule
 from .packing import pack_documents
+from .quality import quality_scores
 from .secrets import scan
 from .simhash import near_duplicate_classes
 from .token_shards import token_table
@@ -44,6 +47,18 @@ def op5_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversation_digests(spark, given.unionByName(extra))
 
 
+def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return languages(spark, table(spark, sf_dir, "documents"))
+
+
+def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixed_schedule(spark, table(spark, sf_dir, "documents"))
+
+
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_scores(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan(spark, table(spark, sf_dir, "documents"))
 
@@ -58,6 +73,9 @@ QUERIES = {
     "op3_exact_dedup": op3_exact_dedup,
     "op4_simhash": op4_simhash,
     "op5_chat": op5_chat,
+    "op6_language": op6_language,
+    "op7_mixing": op7_mixing,
+    "op8_quality": op8_quality,
     "op9_packing": op9_packing,
     "op10_secrets": op10_secrets,
 }
