@@ -19,26 +19,38 @@ from pyspark.sql import functions as F
 MAX_ROWS = 6000
 
 
-def statistics(text: Column) -> dict[str, Column]:
-    """Named statistics of a text, each a double."""
+def bound(value: Column, use) -> Column:
+    """use(value) with value worked out once, wherever the optimiser moves the expression."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def statistics(text: Column) -> Column:
+    """A struct of a text's statistics, each a double."""
+
+    def of(t: Column, words: Column, lines: Column) -> Column:
+        chars = F.length(t)
+        share = lambda pattern: F.length(F.regexp_replace(t, pattern, "")) / F.greatest(chars, F.lit(1))
+        found = {
+            "chars": F.log1p(chars.cast("double")),
+            "words": F.log1p(F.size(words).cast("double")),
+            "word_length": chars / F.size(words),
+            "distinct_words": F.size(F.array_distinct(words)) / F.size(words),
+            "distinct_lines": F.size(F.array_distinct(lines)) / F.size(lines),
+            "symbols": share(r"[^|*%&#$@~^!_=<>{}\[\]\\/+]+"),
+            "capitals": share(r"\P{Lu}+"),
+            "digits": share(r"\P{Nd}+"),
+            "letters": share(r"\P{L}+"),
+            "stops": share(r"[^.,;:?]+"),
+        }
+        return F.struct(*[c.alias(n) for n, c in found.items()])
+
     t = F.coalesce(text, F.lit(""))
-    chars = F.length(t)
-    share = lambda pattern: F.length(F.regexp_replace(t, pattern, "")) / F.greatest(chars, F.lit(1))
     words = F.split(F.trim(F.regexp_replace(F.lower(t), r"[\x20\x09-\x0D]+", " ")), " ", -1)
-    lines = F.split(t, "\n", -1)
-    return {
-        "chars": F.log1p(chars.cast("double")),
-        "words": F.log1p(F.size(words).cast("double")),
-        "word_length": chars / F.size(words),
-        "distinct_words": F.size(F.array_distinct(words)) / F.size(words),
-        "distinct_lines": F.size(F.array_distinct(lines)) / F.size(lines),
-        "symbols": share(r"[^|*%&#$@~^!_=<>{}\[\]\\/+]+"),
-        "capitals": share(r"\P{Lu}+"),
-        "digits": share(r"\P{Nd}+"),
-        "letters": share(r"\P{L}+"),
-        "stops": share(r"[^.,;:?]+"),
-    }
+    parts = F.struct(t.alias("t"), words.alias("words"), F.split(t, "\n", -1).alias("lines"))
+    return bound(parts, lambda p: of(p["t"], p["words"], p["lines"]))
+
 
+NAMES = ["chars", "words", "word_length", "distinct_words", "distinct_lines", "symbols", "capitals", "digits", "letters", "stops"]
 
 #: A rule is a tuple of (statistic, above?, threshold): all must hold; above means > threshold.
 Rule = tuple[tuple[str, bool, float], ...]
@@ -122,13 +134,13 @@ class RuleEnsemble:
         w, b = _lasso(m, y, penalty)
         return cls([(r, float(v)) for r, v in zip(found, w) if v], b)
 
-    def score(self, columns: dict[str, Column]) -> Column:
-        """The probability of label 1."""
+    def score(self, stats: Column) -> Column:
+        """The probability of label 1, from a struct of statistics."""
         logit = F.lit(self.intercept)
         for rule, weight in self.rules:
             test = F.lit(True)
             for name, above, cut in rule:
-                test = test & (columns[name] > F.lit(cut) if above else columns[name] <= F.lit(cut))
+                test = test & (stats[name] > F.lit(cut) if above else stats[name] <= F.lit(cut))
             logit = logit + F.when(test, F.lit(weight)).otherwise(F.lit(0.0))
         return 1 / (1 + F.exp(-logit))
 
@@ -141,28 +153,23 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> RuleEns
     """Learned from the max_rows labelled documents, held-out ones aside, whose doc_id hashes least."""
     known = labels.filter("doc_id is not null and quality is not null").filter(~held_out(F.col("doc_id")))
     known = known.select(F.col("doc_id").alias("__id"), F.col("quality").alias("__y")).orderBy(F.xxhash64("__id"), "__y").limit(max_rows)
-    stats = statistics(F.col("text"))
-    drawn = docs.select("doc_id", "text").join(F.broadcast(known), docs["doc_id"] == F.col("__id")).select("__id", "__y", *[c.alias(n) for n, c in stats.items()])
-    rows = np.array(drawn.limit(2 * max_rows).collect(), float).reshape(-1, 2 + len(stats))
+    drawn = docs.select("doc_id", "text").join(F.broadcast(known), docs["doc_id"] == F.col("__id")).select("__id", "__y", statistics(F.col("text")).alias("s"))
+    rows = np.array([(r[0], r[1], *r[2]) for r in drawn.limit(2 * max_rows).collect()], float).reshape(-1, 2 + len(NAMES))
     rows = rows[np.lexsort(rows.T[::-1])]
-    return RuleEnsemble.fit(rows[:, 2:], (rows[:, 1] > 0).astype(float), list(stats))
+    return RuleEnsemble.fit(rows[:, 2:], (rows[:, 1] > 0).astype(float), NAMES)
 
 
-def scored(docs: DataFrame, model: RuleEnsemble, name: str = "score") -> DataFrame:
-    """docs with the score in a column of that name."""
-    stats = statistics(F.col("text"))
-    own = {n: f"__stat_{n}" for n in stats}
-    wide = docs.withColumns({own[n]: c for n, c in stats.items()})
-    return wide.withColumn(name, model.score({n: F.col(c) for n, c in own.items()})).drop(*own.values())
+def score_of(text: Column, model: RuleEnsemble) -> Column:
+    return bound(statistics(text), model.score)
 
 
 def quality_scores(spark: SparkSession, docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> DataFrame:
     """Per row: doc_id, held_out, score, predicted."""
     model = fit(docs, labels, max_rows)
-    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-    return scored(rows, model).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), score_of(F.col("text"), model).alias("score"))
+    return rows.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> DataFrame:
     """docs without those that score under 0.5."""
-    return scored(docs, fit(docs, labels, max_rows), "__score").filter("__score >= 0.5").drop("__score")
+    return docs.filter(score_of(F.col("text"), fit(docs, labels, max_rows)) >= 0.5)
