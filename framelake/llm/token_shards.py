@@ -36,15 +36,18 @@ COUNT_BITS = 20
 
 def _frequent(s: np.ndarray, min_count: int, rule_limit: int) -> tuple[np.ndarray, np.ndarray]:
     """The frequent pairs (left << 32 | right), most frequent first, and for each place the pair's rank or -1."""
-    left, right = s[:-1].astype(np.uint64), s[1:].astype(np.uint64)
-    pairs = left << np.uint64(32) | right
+    pairs = s[:-1].astype(np.uint64)
+    pairs <<= np.uint64(32)
+    pairs |= s[1:]
     slot = (pairs * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - COUNT_BITS)).astype(np.int32)
     rough = np.bincount(slot, minlength=1 << COUNT_BITS)
-    # a slot's count is an upper bound of its pairs' counts
-    least = max(min_count, int(np.partition(rough, -2 * rule_limit)[-2 * rule_limit]))
-    place = np.flatnonzero(rough[slot] >= least)
-    order = np.sort(pairs[place])
+    # a slot's count is an upper bound of its pairs' counts; most slots that count less than this one needn't be looked at
+    tail = np.bincount(np.minimum(rough, 4096))[::-1].cumsum()[::-1]
+    least = max(min_count, int(np.searchsorted(-tail, -2 * rule_limit, "right")))
+    place = np.flatnonzero((rough >= least)[slot])
     rank = np.full(len(pairs), -1, np.int32)
+    near = pairs[place]
+    order = np.sort(near)
     if not len(order):
         return order, rank
     first = np.flatnonzero(np.concatenate([[True], order[1:] != order[:-1]]))
@@ -54,27 +57,32 @@ def _frequent(s: np.ndarray, min_count: int, rule_limit: int) -> tuple[np.ndarra
     chosen = order[first[best]]
     if not len(chosen):
         return chosen, rank
-    by_key = np.argsort(chosen)
-    keys = chosen[by_key]
-    at = np.minimum(np.searchsorted(keys, pairs[place]), len(keys) - 1)
-    hit = keys[at] == pairs[place]
-    rank[place[hit]] = by_key[at[hit]]
+    # of pairs that share a slot the most frequent is found; the others wait for a later round
+    table = np.full(1 << COUNT_BITS, -1, np.int32)
+    own = (chosen * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - COUNT_BITS)).astype(np.int32)
+    table[own[::-1]] = np.arange(len(chosen) - 1, -1, -1, dtype=np.int32)
+    at = table[slot[place]]
+    hit = (at >= 0) & (chosen[at] == near)
+    rank[place[hit]] = at[hit]
     return chosen, rank
 
 
 def _places(rank: np.ndarray) -> np.ndarray:
     """Places to replace, none next to each other: every other one of a run of one pair, unless a neighbour ranks before."""
-    worst = np.iinfo(np.int32).max
-    r = np.where(rank < 0, worst, rank)
-    n = len(r)
-    before = np.concatenate([[worst], r[:-1]])
-    after = np.concatenate([r[1:], [worst]])
-    begins = r != before
-    start = np.maximum.accumulate(np.where(begins, np.arange(n), 0))
+    place = np.flatnonzero(rank >= 0)
+    if not len(place):
+        return place
+    r = rank[place]
+    joined = np.diff(place) == 1  # the next frequent place is the next place
+    same = joined & (r[1:] == r[:-1])
+    begins = np.concatenate([[True], ~same])
+    start = np.maximum.accumulate(np.where(begins, np.arange(len(place)), 0))
+    before = np.concatenate([[False], joined & (r[:-1] < r[1:])])
+    after = np.concatenate([joined & (r[1:] < r[:-1]), [False]])
     # a run whose left neighbour ranks before gives its first place up
-    give = (before < r)[start]
-    take = (r != worst) & ((np.arange(n) - start - give) % 2 == 0) & ~(begins & give) & ~(after < r)
-    return np.flatnonzero(take)
+    give = before[start]
+    take = ((np.arange(len(place)) - start - give) % 2 == 0) & ~(begins & give) & ~after
+    return place[take]
 
 
 def compress(ids: np.ndarray, base: int, min_count: int = 16, rule_limit: int = 2048, rounds: int = 6) -> tuple[np.ndarray, np.ndarray]:
