@@ -1,0 +1,21 @@
+"""Where iterative queries write their rounds."""
+
+from __future__ import annotations
+
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame
+
+_LOCAL: dict[str, str] = {}
+
+
+def kept(df: DataFrame) -> DataFrame:
+    """df as a Parquet table under spark.checkpoint.dir, which all executors see; in a folder of its own only where that is unset."""
+    spark = df.sparkSession
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        folder = _LOCAL.setdefault("dir", "file://" + tempfile.mkdtemp(prefix="framelake-"))
+    path = f"{folder.rstrip('/')}/framelake-round-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

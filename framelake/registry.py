@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from framelake.plans import datasets, densities, dynamics, geometry, graphs, intervals, pairings, spectra, statistics  # noqa: F401
 from framelake.plans.catalog import ORACLE_SQL, QUERIES
 
 __all__ = ["ORACLE_SQL", "QUERIES"]
