@@ -108,9 +108,9 @@ def charge_current(rows: DataFrame, velocity: str, charge: Column, group: Column
     """frame, group, current: the sum of charge times velocity. With a tolerance, a frame of net charge raises."""
     out = rows.withColumns({"__q": charge, "grp": group}).groupBy("frame", "grp").agg(F.sum(F.col("__q") * F.col(velocity)).alias("current"), F.sum("__q").alias("__net"))
     if tolerance is not None:
-        net = F.abs(F.sum("__net").over(Window.partitionBy("frame")))
-        out = out.filter(F.when(net > tolerance, F.raise_error(F.lit("net charge")).cast("boolean")).otherwise(F.lit(True)))
-    return out.drop("__net")
+        out = out.withColumn("__sum", F.abs(F.sum("__net").over(Window.partitionBy("frame"))))
+        out = out.filter(F.when(F.col("__sum") > tolerance, F.raise_error(F.lit("net charge")).cast("boolean")).otherwise(F.lit(True)))
+    return out.drop("__net", "__sum")
 
 
 def current_correlation(currents: DataFrame, lags: Sequence[int]) -> DataFrame:

@@ -110,7 +110,7 @@ def balanced_quotas(strata: DataFrame, key: str, size: str, requested: int, seed
     target = F.least(F.lit(requested).cast("bigint"), F.sum(size).over(every))
     # the largest level such that all strata filled to it stay within the target
     s = s.withColumn("__target", target).withColumn("__level", F.expr("(__target - __before) div (__n - __i + 1)"))
-    s = s.withColumn("__fits", F.col("__level") <= F.col(size))
+    s = s.withColumn("__fits", F.col("__level") < F.col(size))
     first = F.min(F.when(F.col("__fits"), F.struct(F.col("__i"), F.col("__level").alias("level")))).over(every)
     level = F.coalesce(first["level"], F.max(size).over(every))
     s = s.withColumn("__level", level).withColumn("__base", F.least(F.col(size), F.col("__level")))
