@@ -26,7 +26,9 @@ from pyspark.sql import functions as F
 
 CORE_LANES, SKETCH_WORDS = 16, 32
 CORE_MASK = 0xFFFFFFFF
-ONE_EACH, KEEP_EACH = 0x0001000100010001, 0x7FFF7FFF7FFF7FFF
+LANE_BITS, LANE_MOD = 15, 1 << 14
+SHIFTS = tuple(LANE_BITS * k for k in range(4))
+ONE_EACH, KEEP_EACH = sum(1 << k for k in SHIFTS), sum((LANE_MOD - 1) << k for k in SHIFTS)
 #: A piece: words up to the end of a sentence, 6 at most.
 PIECE = r"(?:[^\s.!?]++[ \t]++){0,5}\S++"
 FIRST = -(1 << 63)
@@ -48,7 +50,7 @@ def core(text: Column) -> Column:
 
 
 def sketch(text: Column) -> Column:
-    """32 bigints of four 15-bit lanes each over the pieces, then the number of pieces modulo 2^15."""
+    """32 bigints of four lanes each over the pieces, then the number of pieces; all modulo 2^14."""
     digests = F.transform(F.regexp_extract_all(text, F.lit(PIECE), F.lit(0)), lambda p: F.xxhash64(p))
     step = lambda h: lambda a, i: (
         a + F.when(i == SKETCH_WORDS, F.lit(1).cast("bigint")).otherwise(F.xxhash64(h, i).bitwiseAND(F.lit(ONE_EACH)))
@@ -63,20 +65,17 @@ def combine(a: Column, b: Column, mask: int) -> Column:
 
 def remove(a: Column, b: Column, mask: int) -> Column:
     """The lanes of a without b's elements."""
-    spare = F.lit(CORE_MASK + 1 if mask == CORE_MASK else KEEP_EACH)
-    extra = F.lit(0 if mask == CORE_MASK else ONE_EACH)
     # no lane borrows of the next: each gets its modulus first
-    if mask == CORE_MASK:
-        return F.zip_with(a, b, lambda x, y: (x + spare - y).bitwiseAND(F.lit(mask)))
-    return F.zip_with(a, b, lambda x, y: (((spare - y) + extra).bitwiseAND(F.lit(mask)) + x).bitwiseAND(F.lit(mask)))
+    modulus = F.lit(CORE_MASK + 1 if mask == CORE_MASK else KEEP_EACH + ONE_EACH)
+    return F.zip_with(a, b, lambda x, y: (x + (modulus - y)).bitwiseAND(F.lit(mask)))
 
 
 def _signs(s: Column) -> Column:
     """The 128 centred lanes of a sketch."""
     count = F.element_at(s, SKETCH_WORDS + 1)
-    shifts = F.array(*[F.lit(k) for k in (0, 16, 32, 48)])
-    lanes = F.flatten(F.transform(F.slice(s, 1, SKETCH_WORDS), lambda v: F.transform(shifts, lambda k: F.call_function("shiftright", v, k).bitwiseAND(F.lit(0x7FFF)))))
-    return F.transform(lanes, lambda v: (F.pmod(v * 2 - count + 16384, F.lit(32768)) - 16384).cast("double"))
+    shifts = F.array(*[F.lit(k) for k in SHIFTS])
+    lanes = F.flatten(F.transform(F.slice(s, 1, SKETCH_WORDS), lambda v: F.transform(shifts, lambda k: F.call_function("shiftright", v, k).bitwiseAND(F.lit(LANE_MOD - 1)))))
+    return F.transform(lanes, lambda v: (F.pmod(v * 2 - count + LANE_MOD // 2, F.lit(LANE_MOD)) - LANE_MOD // 2).cast("double"))
 
 
 def _dot(a: Column, b: Column) -> Column:
