@@ -99,7 +99,7 @@ def read_thermo(spark: SparkSession, path: str) -> DataFrame:
     whole = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), F.col("value"))
     tables = F.regexp_extract_all("value", F.lit(r"(?m)^\s*(Step\s[^\n]*\n(?:\s*-?\d[^\n]*\n)+)"), F.lit(1))
     each = whole.select("file", F.explode(tables).alias("t")).select("file", F.split(F.rtrim("t"), "\n").alias("l"))
-    rows = each.select("file", _words(F.col("l")[0]).alias("names"), F.explode(F.slice("l", 2, 1 << 30)).alias("line"))
+    rows = each.select("file", _words(F.col("l")[0]).alias("names"), F.explode(F.filter(F.slice("l", 2, 1 << 30), lambda x: F.trim(x) != "")).alias("line"))
     values = F.transform(_words(F.col("line")), lambda x: x.try_cast("double"))
     return rows.select("file", values[0].cast("bigint").alias("step"), F.map_from_arrays("names", values).alias("thermo"))
 
