@@ -182,7 +182,8 @@ def pack_pieces(parts: DataFrame, capacity: int = 4096, problem_size: int = 8192
             after.append(_dump(evolve(own, [*pop[:-1], before[k - 1][0]], capacity, generations, rng)))
         return group.assign(population=after)
 
-    lengths = dealt.select("problem", "length")
+    # a task per problem (4096 tasks at most): little data, but all the work
+    lengths = dealt.select("problem", "length").repartition(min(problems, 4096), "problem")
     state = lengths.groupBy("problem").applyInPandas(found, ISLANDS)
     for _ in range(epochs - 1):
         state = state.groupBy("problem").applyInPandas(migrate, ISLANDS)
