@@ -99,7 +99,7 @@ PLAN = "__source string, __blocks bigint, __plan array<struct<first:bigint,base:
 
 
 def scheduled(
-    docs: DataFrame, weights: dict[str, float] | None = None, power: float = 0.5, block_chars: int = 1 << 16, max_sources: int = 256, range_rows: int = 50_000
+    docs: DataFrame, weights: dict[str, float] | None = None, power: float = 0.5, block_chars: int = 1 << 16, max_sources: int = 256, range_rows: int = 4_000
 ) -> DataFrame:
     """docs with __chars, __start (code points of its source before it), __block, __release, __deadline, __slot.
 
