@@ -35,10 +35,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def attach(rows: DataFrame, groups: DataFrame, key: str, size: str, total: int) -> DataFrame:
     """Inner join of rows with one row per group on key, whatever the group sizes.
 
-    Groups of over total / 10,000 rows (10,000 at least) number under 10,000, so they are
+    Groups of over total / 10,000 rows (64 at least) number under 10,000, so they are
     broadcast and their rows stay where they are; the other groups are small, and shuffle.
     """
-    floor = max(10_000, total // 10_000)
+    floor = max(64, total // 10_000)
     values = [c for c in groups.columns if c not in (key, size)]
     hot = groups.filter(F.col(size) > floor).drop(size).withColumn("__hot", F.lit(True))
     marked = rows.join(F.broadcast(hot), key, "left")
