@@ -102,8 +102,8 @@ class Tree:
         return (*at, self._grow(points[d <= at[1] + self.radius], scale, capacity, rng), self._grow(points[d > at[1]], scale, capacity, rng))
 
     def route(self, fps: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-        """(shard, its members) for all shards that get some of fps."""
-        stack = [(self.root, fps)]
+        """(shard, indices of its members) for all shards that get some of fps."""
+        stack = [(self.root, np.arange(len(fps)))]
         while stack:
             node, own = stack.pop()
             if not len(own):
@@ -111,7 +111,7 @@ class Tree:
             if isinstance(node, int):
                 yield node, own
                 continue
-            d = np.bitwise_count(own ^ np.uint64(node[0]))
+            d = np.bitwise_count(fps[own] ^ np.uint64(node[0]))
             stack += [(node[2], own[d <= node[1] + self.radius]), (node[3], own[d > node[1]])]
 
 
@@ -192,8 +192,8 @@ def near_components(spark: SparkSession, fps: DataFrame, radius: int = 3, shard_
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             own = batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
-            for shard, members in tree.route(own) if tree else [(0, own)]:
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(members), shard)), pa.array(members.view(np.int64))], ["shard", "fp"])
+            for shard, at in tree.route(own) if tree else [(0, np.arange(len(own)))]:
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), shard)), pa.array(own[at].view(np.int64))], ["shard", "fp"])
 
     def search(shard: pd.DataFrame) -> pd.DataFrame:
         member, root = local_stars(np.unique(shard["fp"].to_numpy(np.int64).view(np.uint64)), radius)
@@ -239,14 +239,160 @@ def near_duplicate_classes(spark: SparkSession, docs: DataFrame, words: int = 3,
     return attach(fps, parts, "fp", "size", total).select("doc_id", hex16(F.col("fp")).alias("fingerprint"), "component_id")
 
 
-def near_dedup(spark: SparkSession, docs: DataFrame, words: int = 3, radius: int = 3) -> DataFrame:
-    """docs with one row of each component, that with the smallest doc_id; all columns stay.
+# --- near dedup by verified likeness ------------------------------------------------------------------
 
-    Rows with the same doc_id are one document: one of them stays. Rows without a doc_id all stay.
+
+def sketches(docs: DataFrame, tables: int) -> DataFrame:
+    """(doc_id, near, far): `tables` SimHashes of single words under unlike hashes, and one of 3-word shingles.
+
+    Single words move little where few words are edited, so copies fall within the radius in some table: at
+    a likeness of 0.8 over words that hardly repeat, in each with a chance of about a third. The shingles tell texts apart that share their words but not their order. Rows without a doc_id have none.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 512):
+                b = batch.slice(lo, 512)
+                near, far = [], []
+                for t in b.column(1):
+                    found = WORD.findall((t.as_py() or b"").lower())
+                    h = np.fromiter((xxhash.xxh64_intdigest(w, 42) for w in found), np.uint64, len(found))
+                    near.append([_bits(_mixed(h, k)) for k in range(tables)])
+                    far.append(fingerprint(t.as_py()))
+                cols = [pa.array(np.array(near, np.uint64).view(np.int64).tolist(), pa.list_(pa.int64())), pa.array(np.array(far, np.uint64).view(np.int64))]
+                yield pa.RecordBatch.from_arrays([b.column(0), *cols], ["doc_id", "near", "far"])
+
+    own = docs.filter("doc_id is not null").select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("binary").alias("text"))
+    return own.mapInArrow(run, "doc_id bigint, near array<bigint>, far bigint")
+
+
+def _mixed(h: np.ndarray, k: int) -> np.ndarray:
+    """Another 64-bit hash for each k."""
+    x = (h ^ np.uint64(k * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF)) * np.uint64(0xD6E8FEB86659FD93)
+    x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    return x ^ (x >> np.uint64(32))
+
+
+def _bits(h: np.ndarray) -> int:
+    if not len(h):
+        return 0
+    ones = np.zeros(64, np.int64)
+    for lo in range(0, len(h), 1 << 16):
+        ones += np.unpackbits(h[lo : lo + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits(2 * ones > len(h), bitorder="little").view(np.uint64)[0])
+
+
+def _closest(near: np.ndarray, far: np.ndarray, radius: int, far_radius: int, k: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Index pairs of each point and its k closest (by far, ties to the smaller index) among those within both radii."""
+    n = len(near)
+    step = max(1, (1 << 20) // max(n, 1))
+    for lo in range(0, n, step):
+        rows = np.arange(lo, min(n, lo + step))
+        d = np.bitwise_count(far[rows][:, None] ^ far[None, :]).astype(np.int64)
+        fit = (d <= far_radius) & (_near(near[rows], near) <= radius)
+        fit[np.arange(len(rows)), rows] = False
+        some = np.flatnonzero(fit.any(axis=1))
+        if not len(some):
+            continue
+        key = np.where(fit[some], d[some] * n + np.arange(n), np.iinfo(np.int64).max)
+        at = np.argpartition(key, min(k, n - 1), axis=1)[:, :k] if n > k else np.argsort(key, axis=1)
+        own = np.take_along_axis(fit[some], at, axis=1)
+        yield np.repeat(rows[some], own.sum(axis=1)), at[own]
+
+
+def local_links(near: np.ndarray, far: np.ndarray, radius: int, far_radius: int, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The closest pairs of all points of a shard, by a vantage-point tree over near."""
+    rng = np.random.default_rng(13)
+    out: list[tuple[np.ndarray, np.ndarray]] = []
+    stack = [np.arange(len(near))]
+    while stack:
+        own = stack.pop()
+        at = _split(near[own], radius, rng) if len(own) > LEAF else None
+        if at is None:
+            out += [(own[i], own[j]) for i, j in _closest(near[own], far[own], radius, far_radius, k)]
+            continue
+        d = np.bitwise_count(near[own] ^ np.uint64(at[0]))
+        stack += [own[d <= at[1] + radius], own[d > at[1]]]
+    i, j = (np.concatenate(x) if out else np.zeros(0, int) for x in (zip(*out) if out else ((), ())))
+    return i, j
+
+
+def likeness(a: str | None, b: str | None, words: int) -> float:
+    """Jaccard likeness of the sets of word shingles, A-Z lower-cased (fewer words: the whole sequence)."""
+    def shingles(t: str | None) -> set:
+        found = WORD.findall((t or "").encode().lower())
+        return set(zip(*(found[i:] for i in range(words)))) if len(found) > words else {tuple(found)}
+
+    x, y = shingles(a), shingles(b)
+    return len(x & y) / len(x | y)
+
+
+def candidate_pairs(spark: SparkSession, marks: DataFrame, tables: int, radius: int, far_radius: int, k: int, shard_size: int, sample_size: int) -> DataFrame:
+    """(a, b), a < b, distinct: marks' closest pairs in any table."""
+    total = marks.count()
+    trees: list[Tree | None] = [None] * tables
+    if total > shard_size:
+        share = int(min(1.0, sample_size / total) * (1 << 30))
+        drawn = marks.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < F.lit(share)).select("near").limit(2 * sample_size)
+        sample = np.array([r[0] for r in drawn.collect()], np.int64).view(np.uint64).reshape(-1, tables)
+        trees = [Tree(sample[:, t], total, shard_size, radius) for t in range(tables)]
+    shards = [t.shards if t else 1 for t in trees]
+    base = np.cumsum([0, *shards]).tolist()
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, far = (batch.column(c).to_numpy(zero_copy_only=False) for c in (0, 2))
+            near = np.array(batch.column(1).to_pylist(), np.int64).view(np.uint64).reshape(-1, tables)
+            for t, tree in enumerate(trees):
+                own = near[:, t]
+                for shard, at in tree.route(own) if tree else [(0, np.arange(len(own)))]:
+                    cols = [np.full(len(at), base[t] + shard), ids[at], own[at].view(np.int64), far[at]]
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["shard", "doc_id", "near", "far"])
+
+    def search(shard: pd.DataFrame) -> pd.DataFrame:
+        shard = shard.sort_values("doc_id")
+        near, far = (shard[c].to_numpy(np.int64).view(np.uint64) for c in ("near", "far"))
+        i, j = local_links(near, far, radius, far_radius, k)
+        ids = shard["doc_id"].to_numpy(np.int64)
+        pairs = pd.DataFrame({"a": np.minimum(ids[i], ids[j]), "b": np.maximum(ids[i], ids[j])}).drop_duplicates()
+        return pairs[pairs["a"] < pairs["b"]]
+
+    dealt = marks.mapInArrow(deal, "shard bigint, doc_id bigint, near bigint, far bigint").repartition(base[-1], "shard")
+    return dealt.groupBy("shard").applyInPandas(search, "a bigint, b bigint").distinct()
+
+
+def verified(docs: DataFrame, pairs: DataFrame, words: int, similarity: float) -> DataFrame:
+    """The pairs whose texts are alike, by comparing whole texts. Only texts in a pair are moved."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            a, b = batch.column(2).to_pylist(), batch.column(3).to_pylist()
+            good = pa.array([likeness(x, y, words) >= similarity for x, y in zip(a, b)], pa.bool_())
+            yield batch.select(["a", "b"]).filter(good)
+
+    ids = written(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "ids")
+    texts = written(docs.select(F.col("doc_id").cast("bigint").alias("id"), "text").join(ids, "id", "left_semi").dropDuplicates(["id"]), "texts")
+    left = texts.select(F.col("id").alias("a"), F.col("text").alias("ta"))
+    right = texts.select(F.col("id").alias("b"), F.col("text").alias("tb"))
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "ta", "tb").mapInArrow(run, "a bigint, b bigint")
+
+
+def near_dedup(
+    spark: SparkSession, docs: DataFrame, words: int = 5, similarity: float = 0.8, tables: int = 10, radius: int = 3, far_radius: int = 20, closest: int = 8, shard_size: int = 1 << 16, sample_size: int = 20_000
+) -> DataFrame:
+    """docs with one row of each group of near copies, that with the smallest doc_id; all columns stay.
+
+    Candidates are a text's closest ones in any of the tables' vantage-point trees; those whose sets of
+    word shingles have a Jaccard likeness of the similarity or more are links, and what links connect is a
+    group. So nothing goes that isn't like another text, and a text needs a link to any member of its group,
+    not to all. Rows with the same doc_id are one document: one of them stays. Rows without one all stay.
     """
-    marked = written(near_duplicate_classes(spark, docs, words, radius), "classes")
-    losers = marked.filter(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("__id"))
-    repeated = marked.filter("doc_id = component_id").groupBy(F.col("doc_id").alias("__id")).count().filter("count > 1").select("__id")
-    left = docs.join(losers.unionByName(repeated), docs["doc_id"] == F.col("__id"), "left_anti")
-    once = docs.join(repeated, docs["doc_id"] == F.col("__id"), "left_semi").dropDuplicates(["doc_id"])
+    marks = written(sketches(docs, tables), "marks")
+    pairs = written(candidate_pairs(spark, marks, tables, radius, far_radius, closest, shard_size, sample_size), "pairs")
+    links = verified(docs, pairs, words, similarity)
+    stars = written(links.select(F.lit(0).alias("shard"), F.col("a").alias("root"), F.explode(F.array("a", "b")).alias("fp")).distinct(), "links")
+    lost = joined_labels(stars).filter("label <> fp").select(F.col("fp").alias("__id"))
+    repeated = marks.groupBy(F.col("doc_id").alias("__id")).count().filter("count > 1").select("__id")
+    once = docs.join(repeated, docs["doc_id"] == F.col("__id"), "left_semi").dropDuplicates(["doc_id"]).join(lost, docs["doc_id"] == F.col("__id"), "left_anti")
+    left = docs.join(lost.unionByName(repeated), docs["doc_id"] == F.col("__id"), "left_anti")
     return left.unionByName(once)

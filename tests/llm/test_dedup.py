@@ -156,3 +156,35 @@ def test_near_dedup_rows(spark):
     assert len(classes) == len(rows) and {r.component_id for r in classes if r.doc_id in (4, 5)} == {4}
     assert S.near_dedup(spark, docs(spark, [])).count() == 0
     assert S.near_duplicate_classes(spark, docs(spark, [])).count() == 0
+
+
+def test_near_dedup_against_all_pairs(spark):
+    rng = np.random.default_rng(8)
+    vocabulary = [f"w{i}" for i in range(900)]
+    rows = []
+    for k in range(60):
+        words = [vocabulary[i] for i in rng.integers(0, 900, 150)]
+        rows.append((len(rows), " ".join(words)))
+        for edits in rng.integers(1, 12, rng.integers(0, 4)):
+            own = list(words)
+            for at in rng.integers(0, 150, edits):
+                own[at] = vocabulary[rng.integers(0, 900)]
+            rows.append((len(rows), " ".join(own)))
+    n = len(rows)
+    label = list(range(n))
+    like = np.array([[S.likeness(a, b, 5) for _, b in rows] for _, a in rows])
+    while True:
+        low = [min(label[j] for j in range(n) if like[i][j] >= 0.8) for i in range(n)]
+        if low == label:
+            break
+        label = low
+    for options in ({}, {"shard_size": 40, "sample_size": 2000}):
+        got = {r.doc_id for r in S.near_dedup(spark, spark.createDataFrame(rows, DOC), **options).collect()}
+        # nothing goes that all pairs would keep; of what they would drop, a table or other finds nearly all
+        assert set(label) <= got and len(got - set(label)) <= 0.03 * (n - len(set(label)))
+
+
+def test_many_copies_of_one_text_link_up(spark):
+    words = [f"v{i}" for i in range(300)]
+    rows = [(i, " ".join(words[:k] + [f"x{i}"] + words[k + 1 :])) for i, k in enumerate(np.random.default_rng(1).integers(0, 300, 400).tolist())]
+    assert [r.doc_id for r in S.near_dedup(spark, spark.createDataFrame(rows, DOC)).collect()] == [0]
