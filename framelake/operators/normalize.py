@@ -141,3 +141,79 @@ def eligibility(rows: DataFrame, required: Sequence[str], optional: Sequence[str
     """state: ineligible if a required label is null or not a number, degraded if an optional one is, else eligible."""
     bad = lambda cs: sum((F.when(F.col(c).isNull() | F.isnan(F.col(c).cast("double")), 1).otherwise(0) for c in cs), F.lit(0)) > 0
     return rows.withColumn("state", F.when(bad(required), "ineligible").when(bad(optional), "degraded").otherwise("eligible"))
+
+
+def collection_faults(frames: DataFrame, atoms: DataFrame, positions: DataFrame) -> DataFrame:
+    """rule, faults for each invariant of a collection: all zero if it is sound.
+
+    frames: frame, t, cell (9 doubles); atoms: atom, z, mass; positions: frame, atom, x, y, z.
+    """
+    from framelake.functions.columns import determinant
+
+    w = Window.partitionBy(F.lit(0)).orderBy("frame")  # one row a frame
+    ordered = frames.withColumn("__before", F.lag("t").over(w))
+    cell = [F.element_at("cell", k + 1) for k in range(9)]
+    n_atoms = atoms.agg(F.count("*").alias("__n"))
+    count = lambda df, test: df.agg(F.sum(F.when(test, 1).otherwise(0)).cast("bigint").alias("faults"))
+    per = positions.groupBy("frame").agg(F.count("*").alias("n"), F.count_distinct("atom").alias("ids"))
+    rules = {
+        "frame ids are distinct": frames.groupBy("frame").count().agg(F.sum((F.col("count") > 1).cast("bigint")).alias("faults")),
+        "times increase": count(ordered, F.col("t") <= F.col("__before")),
+        "cells have a volume": count(frames, F.abs(determinant(cell)) <= 1e-12),
+        "masses and numbers are positive": count(atoms, (F.col("mass") <= 0) | (F.col("z") <= 0)),
+        "every frame has every atom once": count(per.join(F.broadcast(n_atoms)), (F.col("n") != F.col("__n")) | (F.col("ids") != F.col("__n"))),
+        "coordinates are finite": count(positions, sum((F.when(F.isnan(c) | F.col(c).isNull() | (F.abs(c) == float("inf")), 1).otherwise(0) for c in "xyz"), F.lit(0)) > 0),
+    }
+    out = None
+    for name, df in rules.items():
+        row = df.select(F.lit(name).alias("rule"), F.coalesce("faults", F.lit(0)).cast("bigint").alias("faults"))
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
+def lattice_gauge(frames: DataFrame, tolerance: float = 0.05) -> DataFrame:
+    """frame, kind of the step to each frame: smooth, handedness (the determinant's sign changes) or relabelled.
+
+    relabelled: the new cell is an integer combination of the old one's vectors, of determinant 1, other
+    than the same vectors. frames: frame, cell (9 doubles, rows).
+    """
+    from framelake.functions.columns import determinant
+
+    w = Window.partitionBy(F.lit(0)).orderBy("frame")  # one row a frame
+    own = [F.element_at("cell", k + 1) for k in range(9)]
+    rows = frames.withColumn("__old", F.lag("cell").over(w))
+    old = [F.element_at("__old", k + 1) for k in range(9)]
+    inv = inverse(old)
+    step = [sum((own[3 * i + k] * inv[3 * k + j] for k in range(3)), F.lit(0.0)) for i in range(3) for j in range(3)]
+    rows = rows.filter("__old is not null").withColumn("__m", F.array(*step)).withColumn("__flip", determinant(own) * determinant(old) < 0)
+    m = [F.element_at("__m", k + 1) for k in range(9)]
+    whole = [F.rint(c) for c in m]
+    near = F.greatest(*[F.abs(c - r) for c, r in zip(m, whole)]) <= tolerance
+    same = sum((F.abs(r - (1.0 if k % 4 == 0 else 0.0)) for k, r in enumerate(whole)), F.lit(0.0)) == 0
+    kind = F.when(F.col("__flip"), "handedness").when(near & ~same & (F.abs(determinant(whole)) == 1), "relabelled").otherwise("smooth")
+    return rows.select("frame", kind.alias("kind"))
+
+
+def register_frames(rows: DataFrame, axes: Sequence[str], group: Column, reference: int = 0) -> DataFrame:
+    """r_<axis>: fractions less the group's mean nearest-image displacement from the reference frame.
+
+    The displacement is a row a frame, made by one aggregate and joined back on frame.
+    """
+    base = rows.filter(F.col("frame") == reference).select("atom", *[F.col(a).alias(f"__b_{a}") for a in axes])
+    own = rows.filter(group).join(base, "atom")
+    step = {a: F.col(a) - F.col(f"__b_{a}") for a in axes}
+    shift = own.groupBy("frame").agg(*[F.avg(d - F.rint(d)).alias(f"__s_{a}") for a, d in step.items()])
+    out = rows.join(shift, "frame")
+    return out.withColumns({f"r_{a}": wrap(F.col(a) - F.col(f"__s_{a}")) for a in axes}).drop(*[f"__s_{a}" for a in axes])
+
+
+def displace(rows: DataFrame, axes: Sequence[str], amplitude: float, seed: int) -> DataFrame:
+    """Coordinates moved by up to amplitude along each axis, the same for the same seed, frame and atom."""
+    move = lambda a: (F.pmod(F.xxhash64(F.lit(seed), F.lit(a), "frame", "atom"), F.lit(1 << 20)) / float(1 << 19) - 1) * amplitude
+    return rows.withColumns({a: F.col(a) + move(a) for a in axes})
+
+
+def strain(rows: DataFrame, axes: Sequence[str], tensor: Sequence[float]) -> DataFrame:
+    """Coordinates times (1 + tensor), a row-major 3x3 matrix."""
+    m = [F.lit((1.0 if k % 4 == 0 else 0.0) + e) for k, e in enumerate(tensor)]
+    return rows.withColumns(dict(zip(axes, row_times([F.col(a) for a in axes], m))))

@@ -252,3 +252,133 @@ def required_rework(before: DataFrame, after: DataFrame, key: str, fields: Seque
     for f in fields:
         what = what.when(~F.col(f"a_{f}").eqNullSafe(F.col(f"b_{f}")), f)
     return a.join(b, key, "full_outer").select(key, what.otherwise("none").alias("rework"))
+
+
+def outer_roles(units: DataFrame, condition: str, order: Sequence[str], cycle: int = 10, purge: int = 1) -> DataFrame:
+    """units with position (in their condition) and role: of every cycle one monitor, one calibration and one locked unit.
+
+    They stand apart by a third of the cycle; units within purge of one of them are purged, the rest
+    develops. A condition of under a cycle's units develops as a whole.
+    """
+    placed = with_position(units, order, [condition])
+    size = F.count("*").over(Window.partitionBy(condition))
+    third = cycle // 3
+    at = F.col("position") % cycle
+    marks = {"monitor": third // 2, "calibration": third // 2 + third, "locked": third // 2 + 2 * third}
+    role = None
+    for name, m in marks.items():
+        role = F.when(at == m, name) if role is None else role.when(at == m, name)
+    near = sum((F.when(F.abs(at - m) <= purge, 1).otherwise(0) for m in marks.values()), F.lit(0)) > 0
+    placed = placed.withColumn("__n", size)
+    return placed.withColumn("role", F.when(F.col("__n") < cycle, "development").otherwise(role.when(near, "purged").otherwise("development"))).drop("__n")
+
+
+def family_support(covers: DataFrame) -> DataFrame:
+    """family, witnesses, least, median, most: how many candidates cover a witness."""
+    per = covers.groupBy("family", "witness").agg(F.count_distinct("candidate").alias("d"))
+    return per.groupBy("family").agg(F.count("*").alias("witnesses"), F.min("d").alias("least"), F.percentile("d", 0.5).alias("median"), F.max("d").alias("most"))
+
+
+def representative_utility(covers: DataFrame, weights: DataFrame, chosen: DataFrame) -> DataFrame:
+    """family, utility: the sum over witnesses of weight times the harmonic number of their chosen covers."""
+    n = covers.join(chosen.select("candidate"), "candidate", "left_semi").groupBy("family", "witness").agg(F.count_distinct("candidate").alias("n"))
+    harmonic = F.aggregate(F.sequence(F.lit(1).cast("bigint"), "n"), F.lit(0.0), lambda acc, k: acc + 1 / k)
+    return n.join(weights, ["family", "witness"]).withColumn("u", F.col("w") * harmonic).groupBy("family").agg(F.sum("u").alias("utility"))
+
+
+def removal_loss(covers: DataFrame, weights: DataFrame, chosen: DataFrame) -> DataFrame:
+    """candidate, lost_mass, lost_utility of taking each chosen candidate out: what only it covers, and its share of the harmonic sums."""
+    own = covers.join(chosen.select("candidate"), "candidate", "left_semi").distinct()
+    n = own.groupBy("family", "witness").agg(F.count("*").alias("n")).join(weights, ["family", "witness"])
+    both = own.join(n, ["family", "witness"])
+    return both.groupBy("candidate").agg(F.sum(F.when(F.col("n") == 1, F.col("w")).otherwise(F.lit(0.0))).alias("lost_mass"), F.sum(F.col("w") / F.col("n")).alias("lost_utility"))
+
+
+def lazy_greedy(covers: DataFrame, weights: DataFrame, k: int) -> DataFrame:
+    """rank, candidate, gain of a plain greedy cover by uncovered weight, ties to the smaller id.
+
+    Gains only shrink, so a candidate's last known gain bounds it: most are never worked out again. One
+    task takes the coverage edges.
+    """
+
+    def pick(e: pd.DataFrame) -> pd.DataFrame:
+        import heapq
+
+        cells = {int(c): list(zip(zip(g["family"], g["witness"]), g["w"])) for c, g in e.drop_duplicates(["family", "witness", "candidate"]).groupby("candidate")}
+        heap = [(-sum(w for _, w in own), c) for c, own in cells.items()]
+        heapq.heapify(heap)
+        seen: set = set()
+        out: list[tuple[int, int, float]] = []
+        while heap and len(out) < k:
+            _, c = heapq.heappop(heap)
+            gain = sum(w for x, w in cells[c] if x not in seen)
+            if heap and (-gain, c) > heap[0]:
+                heapq.heappush(heap, (-gain, c))
+                continue
+            out.append((len(out), c, float(gain)))
+            seen.update(x for x, _ in cells[c])
+        return pd.DataFrame(out, columns=["rank", "candidate", "gain"]).astype({"rank": "int32", "candidate": "int64"})
+
+    edges = covers.join(weights, ["family", "witness"])
+    return edges.groupBy(F.lit(0).alias("one")).applyInPandas(pick, "rank int, candidate bigint, gain double")
+
+
+def repair_swaps(covers: DataFrame, weights: DataFrame, ranking: DataFrame, protected: int, rounds: int = 20) -> DataFrame:
+    """rank, candidate after swaps: members of rank >= protected give way to outsiders while the covered weight strictly grows.
+
+    A round takes the swap that gains the most, ties to the smaller ids. One task takes the coverage edges.
+    """
+
+    def run(e: pd.DataFrame) -> pd.DataFrame:
+        e = e.drop_duplicates(["family", "witness", "candidate"])
+        cells = {int(c): dict(zip(zip(g["family"], g["witness"]), g["w"])) for c, g in e.groupby("candidate")}
+        order = [int(c) for c in e.dropna(subset=["rank"]).drop_duplicates("candidate").sort_values("rank")["candidate"]]
+        for _ in range(rounds):
+            hits: dict = {}
+            for c in order:
+                for x in cells[c]:
+                    hits[x] = hits.get(x, 0) + 1
+            best = (1e-12, 0, 0)
+            for i in range(protected, len(order)):
+                mine = cells[order[i]]
+                lost = {x for x in mine if hits[x] == 1}
+                loss = sum(mine[x] for x in lost)
+                for c in sorted(set(cells) - set(order)):
+                    gain = sum(w for x, w in cells[c].items() if x not in hits or x in lost) - loss
+                    if gain > best[0] + 1e-12:
+                        best = (gain, i, c)
+            if best[0] <= 1e-12:
+                break
+            order[best[1]] = best[2]
+        return pd.DataFrame({"rank": pd.Series(range(len(order)), dtype="int32"), "candidate": pd.Series(order, dtype="int64")})
+
+    edges = covers.join(weights, ["family", "witness"]).join(ranking.select("candidate", "rank"), "candidate", "left")
+    return edges.groupBy(F.lit(0).alias("one")).applyInPandas(run, "rank int, candidate bigint")
+
+
+def run_spread_sample(rows: DataFrame, run: str, order: Sequence[str], requested: int, seed: int) -> DataFrame:
+    """About as many rows from each run, evenly spread over its order."""
+    sizes = rows.groupBy(run).agg(F.count("*").alias("__size"))
+    quotas = balanced_quotas(sizes, run, "__size", requested, seed)
+    return systematic_sample(rows, run, order, quotas, "__size", seed)
+
+
+def label_domains(rows: DataFrame, uid: str, core: Sequence[str]) -> DataFrame:
+    """domain (a digest of the core fields), n, first uid: rows that may be learned from together. No pair is compared."""
+    from framelake.functions.columns import canonical_digest
+
+    return rows.groupBy(canonical_digest(*[F.col(c) for c in core]).alias("domain")).agg(F.count("*").alias("n"), F.min(uid).alias("first"))
+
+
+def compare_labels(rows: DataFrame, a: str, b: str, core: Sequence[str], soft: Sequence[str]) -> DataFrame:
+    """rows with outcome of two label structs: identical, compatible (only soft fields differ) or incompatible."""
+    same = lambda names: sum((F.when(F.col(f"{a}.{n}").eqNullSafe(F.col(f"{b}.{n}")), 0).otherwise(1) for n in names), F.lit(0)) == 0
+    return rows.withColumn("outcome", F.when(~same(core), "incompatible").when(same(soft), "identical").otherwise("compatible"))
+
+
+def state_catalog(edges: DataFrame, frame: str, parts: Sequence[str]) -> DataFrame:
+    """frame, state: states are numbered by the first frame that has their set of edges. A frame's set is digested, not carried."""
+    digest = edges.groupBy(frame).agg(F.sha2(F.concat_ws(";", F.array_sort(F.collect_set(F.concat_ws(",", *parts)))), 256).alias("__d"))
+    first = digest.groupBy("__d").agg(F.min(frame).alias("__f"))
+    named = with_position(first, ["__f"]).select("__d", F.col("position").alias("state"))
+    return digest.join(named, "__d").select(frame, "state")

@@ -176,3 +176,52 @@ def adaptive_stop(history: DataFrame, key: str, step: str, metric: str, patience
     better = F.when(best.isNull() | (F.col(metric) < best - threshold), F.col(step))
     out = history.withColumn("__better", better).withColumn("__last", F.last("__better", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)))
     return out.groupBy(key).agg(F.min(F.when(F.col(step) - F.col("__last") >= patience, F.col(step))).alias("stop"))
+
+
+def temperature_quality(rows: DataFrame, key: str, index: str, value: str, target: float, block: int, z: float = 1.96) -> DataFrame:
+    """key, mean, error, slope_low, slope_high, offset_ok, drift_ok, grade from block means: qualified, degraded or unqualified.
+
+    error: the standard error of the block means; the drift passes if its slope's interval holds 0, the
+    offset if the target is within z errors of the mean.
+    """
+    means = block_means(rows, [key], index, value, block)
+    g = means.groupBy(key).agg(
+        F.count("*").alias("blocks"), F.avg("mean").alias("m"), (F.stddev_samp("mean") / F.sqrt(F.count("*"))).alias("error"),
+        F.regr_slope("mean", F.col("block").cast("double")).alias("slope"), F.regr_sxx("mean", F.col("block").cast("double")).alias("sxx"),
+        F.regr_syy("mean", F.col("block").cast("double")).alias("syy"), F.regr_sxy("mean", F.col("block").cast("double")).alias("sxy"),
+    ).filter("blocks >= 3")
+    se = F.sqrt(F.greatest(F.lit(0.0), F.col("syy") - F.col("sxy") * F.col("sxy") / F.col("sxx")) / (F.col("blocks") - 2) / F.col("sxx"))
+    g = g.withColumns({"slope_low": F.col("slope") - z * se, "slope_high": F.col("slope") + z * se})
+    g = g.withColumns({"offset_ok": F.abs(F.col("m") - target) <= z * F.col("error"), "drift_ok": (F.col("slope_low") <= 0) & (F.col("slope_high") >= 0)})
+    grade = F.when(F.col("offset_ok") & F.col("drift_ok"), "qualified").when(F.col("offset_ok") | F.col("drift_ok"), "degraded").otherwise("unqualified")
+    return g.select(key, F.col("m").alias("mean"), "error", "slope_low", "slope_high", "offset_ok", "drift_ok", grade.alias("grade"))
+
+
+#: Stress units in eV per cubic angstrom (fixed values).
+STRESS_UNITS = {"ev_per_a3": 1.0, "gpa": 1 / 160.21766208, "kbar": 1 / 1602.1766208, "bar": 1 / 1602176.6208}
+
+
+def convert_stress(rows: DataFrame, tensor: str, unit: str, sign: int = 1, volume: str | None = None) -> DataFrame:
+    """rows with xx, yy, zz, yz, xz, xy of a row-major tensor, in eV / A^3; a virial is divided by the volume. Shear is symmetrised."""
+    t = lambda i, j: (F.element_at(tensor, 3 * i + j + 1) + F.element_at(tensor, 3 * j + i + 1)) / 2
+    scale = F.lit(STRESS_UNITS[unit] * sign)
+    scale = scale / F.col(volume) if volume else scale
+    named = {"xx": (0, 0), "yy": (1, 1), "zz": (2, 2), "yz": (1, 2), "xz": (0, 2), "xy": (0, 1)}
+    return rows.withColumns({n: t(i, j) * scale for n, (i, j) in named.items()})
+
+
+def von_mises(rows: DataFrame, name: str = "von_mises") -> DataFrame:
+    """The equivalent stress of xx, yy, zz, yz, xz, xy."""
+    c = F.col
+    shear = c("yz") * c("yz") + c("xz") * c("xz") + c("xy") * c("xy")
+    normal = (c("xx") - c("yy")) * (c("xx") - c("yy")) + (c("yy") - c("zz")) * (c("yy") - c("zz")) + (c("zz") - c("xx")) * (c("zz") - c("xx"))
+    return rows.withColumn(name, F.sqrt(normal / 2 + 3 * shear))
+
+
+def energy_channel(rows: DataFrame, key: str, channel: str, value: str, preference: Sequence[str]) -> DataFrame:
+    """key, channel: the first of the preferred channels that is complete (no null among the key's rows), else null."""
+    full = rows.filter(F.col(channel).isin(list(preference))).groupBy(key, channel).agg(F.count("*").alias("n"), F.count(value).alias("v"))
+    size = rows.groupBy(key, channel).agg(F.count("*").alias("n")).groupBy(key).agg(F.max("n").alias("__n"))
+    rank = F.array_position(F.array(*[F.lit(p) for p in preference]), F.col(channel))
+    good = full.join(size, key).filter("v = n and n = __n").groupBy(key).agg(F.min_by(channel, rank).alias("channel"))
+    return size.select(key).join(good, key, "left")
