@@ -342,3 +342,57 @@ def frame_kernel(points: DataFrame, kernel, schema: str) -> DataFrame:
         return kernel(frame.sort_values("atom"))
 
     return points.groupBy("frame").applyInPandas(run, schema)
+
+
+def bridges(pairs: DataFrame) -> DataFrame:
+    """frame, a, b (a < b), bridges: how many atoms two centers share as neighbours. pairs are directed, from centers to bridging atoms."""
+    left = pairs.select("frame", F.col("i").alias("a"), "j")
+    right = pairs.select("frame", F.col("i").alias("b"), "j")
+    return left.join(right, ["frame", "j"]).filter("a < b").groupBy("frame", "a", "b").agg(F.count("*").alias("bridges"))
+
+
+def ring_planes(points: DataFrame, rings: DataFrame, box: Box) -> DataFrame:
+    """frame, ring, cx, cy, cz, nx, ny, nz, flatness: center, unit normal and rms distance from the plane of each ring.
+
+    rings: ring, atom, place (along the ring). Members are unwrapped along the ring, so a ring may cross the
+    box; the normal points such that its first component that isn't 0 is positive.
+    """
+
+    def run(own: pd.DataFrame) -> pd.DataFrame:
+        own = own.sort_values("place")
+        v = own[list(AXES)].to_numpy(float)
+        edge = np.array(box)
+        step = np.diff(v, axis=0)
+        v = v[0] + np.concatenate([[[0.0, 0.0, 0.0]], np.cumsum(step - np.rint(step / edge) * edge, axis=0)])
+        center = v.mean(axis=0)
+        _, s, axes = np.linalg.svd(v - center)
+        normal = axes[2]
+        first = next((x for x in normal if abs(x) > 1e-12), 1.0)
+        normal = normal if first > 0 else -normal
+        flat = float(np.sqrt(np.mean(((v - center) @ normal) ** 2)))
+        return pd.DataFrame([(int(own["frame"].iloc[0]), int(own["ring"].iloc[0]), *center, *normal, flat)], columns=["frame", "ring", "cx", "cy", "cz", "nx", "ny", "nz", "flatness"])
+
+    schema = "frame bigint, ring bigint, cx double, cy double, cz double, nx double, ny double, nz double, flatness double"
+    return points.join(F.broadcast(rings), "atom").groupBy("frame", "ring").applyInPandas(run, schema)
+
+
+def rebuild_frames(points: DataFrame, box: Box, skin: float) -> DataFrame:
+    """frame, rebuilt, drift: when a list kept with a skin must be made anew: twice the largest displacement since the last one reaches the skin.
+
+    Frames depend on each other: a run's positions go to one task, in order. Run by run they are bounded.
+    """
+
+    def run(own: pd.DataFrame) -> pd.DataFrame:
+        edge = np.array(box)
+        held, out = None, []
+        for frame, rows in own.sort_values(["frame", "atom"]).groupby("frame"):
+            v = rows[list(AXES)].to_numpy(float)
+            d = np.zeros_like(v) if held is None else v - held
+            d -= np.rint(d / edge) * edge
+            drift = float(np.sqrt((d * d).sum(axis=1)).max())
+            fresh = held is None or 2 * drift >= skin
+            held = v if fresh else held
+            out.append((int(frame), fresh, drift))
+        return pd.DataFrame(out, columns=["frame", "rebuilt", "drift"])
+
+    return points.groupBy(F.lit(0).alias("run")).applyInPandas(run, "frame bigint, rebuilt boolean, drift double")

@@ -222,3 +222,23 @@ def difficulty_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     domain = _catalog(spark, sf_dir).filter("uid % 5 > 1").select(F.col("uid").alias("doc_id"))
     own = read(spark, sf_dir, "labels").join(domain, "doc_id", "left_semi")
     return own.groupBy("doc_id").agg(rounded(F.avg(F.abs(F.col("quality") - 0.7))).alias("residual"))
+
+
+@query(PAIRS + ", e AS (SELECT frame, i, j FROM p WHERE r < 1.2 AND si % 2 = 0 AND sj % 2 = 1) SELECT a.frame, a.i AS a, b.i AS b, count(*) AS bridges FROM e a JOIN e b ON a.frame = b.frame AND a.j = b.j AND a.i < b.i GROUP BY ALL")
+def framework_bridges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = points(spark, sf_dir)
+    return P.bridges(P.neighbors(p.filter("species % 2 = 0"), p.filter("species % 2 = 1"), CUBE, 1.2))
+
+
+@query()
+def ring_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = points(spark, sf_dir)
+    rings = p.filter("atom < 120").select((F.expr("atom div 24") * 4 + F.col("frame")).alias("ring"), "atom", F.col("atom").alias("place"))
+    return P.ring_planes(p, rings, CUBE)
+
+
+@query()
+def rebuild_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = points(spark, sf_dir).filter("atom < 40").drop("frame")
+    moved = p.crossJoin(F.broadcast(spark.range(12).select(F.col("id").alias("frame"))))
+    return P.rebuild_frames(moved.withColumn("x", F.col("x") + 0.07 * F.col("frame") * (1 + F.col("atom") % 2)), CUBE, 0.5)

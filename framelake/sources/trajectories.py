@@ -266,3 +266,79 @@ def changed_files(recorded: DataFrame, live: DataFrame) -> DataFrame:
     a, b = recorded.select("path", F.col("digest").alias("__a")), live.select("path", F.col("digest").alias("__b"))
     what = F.when(F.col("__a").isNull(), "added").when(F.col("__b").isNull(), "removed").when(F.col("__a") != F.col("__b"), "changed")
     return a.join(b, "path", "full_outer").select("path", what.alias("change")).filter("change is not null")
+
+
+POSCAR = "file string, frame bigint, cell array<double>, species array<string>, fractions array<array<double>>, velocities array<array<double>>"
+
+
+def poscar_frames(text: str) -> Iterator[tuple[list[float], list[str], list[list[float]], list[list[float]] | None]]:
+    """(cell, species, fractions, velocities) of each complete record of a file of concatenated POSCAR / CONTCAR records."""
+    lines = text.split("\n")
+    at = 0
+    while at + 8 <= len(lines):
+        if not any(x.strip() for x in lines[at:]):
+            return
+        try:
+            scale = float(lines[at + 1])
+            cell = [[scale * float(x) for x in lines[at + k].split()[:3]] for k in (2, 3, 4)]
+            names, counts = lines[at + 5].split(), [int(x) for x in lines[at + 6].split()]
+        except (ValueError, IndexError) as e:
+            raise FormatError(f"line {at + 1} doesn't begin a record") from e
+        species = [n for n, c in zip(names, counts) for _ in range(c)]
+        at += 7
+        if lines[at].strip()[:1] in "Ss":
+            at += 1
+        cartesian = lines[at].strip()[:1] in "CcKk"
+        at += 1
+        rows = [x.split()[:3] for x in lines[at : at + len(species)]]
+        if len(rows) < len(species) or any(len(r) < 3 for r in rows):
+            return
+        at += len(species)
+        coords = [[float(x) for x in r] for r in rows]
+        if cartesian:
+            inv = _inverse3(cell)
+            coords = [[sum(scale * v[i] * inv[i][j] for i in range(3)) for j in range(3)] for v in coords]
+        velocities = None
+        if at < len(lines) and not lines[at].strip():
+            after = [x.split()[:3] for x in lines[at + 1 : at + 1 + len(species)]]
+            if len(after) == len(species) and all(len(r) == 3 and _numbers(r) for r in after):
+                velocities = [[float(x) for x in r] for r in after]
+                at += 1 + len(species)
+            while at < len(lines) and not lines[at].strip():
+                at += 1
+        yield [x for v in cell for x in v], species, coords, velocities
+
+
+def _numbers(words: list[str]) -> bool:
+    try:
+        return bool([float(w) for w in words])
+    except ValueError:
+        return False
+
+
+def _inverse3(m: list[list[float]]) -> list[list[float]]:
+    (a, b, c), (d, e, f), (g, h, i) = m
+    det = a * (e * i - f * h) - b * (d * i - f * g) + c * (d * h - e * g)
+    adjugate = [[e * i - f * h, c * h - b * i, b * f - c * e], [f * g - d * i, a * i - c * g, c * d - a * f], [d * h - e * g, b * g - a * h, a * e - b * d]]
+    return [[x / det for x in row] for row in adjugate]
+
+
+def read_poscar(spark: SparkSession, path: str) -> DataFrame:
+    """One row a record: file, frame, cell, species, fractions, velocities (null if there are none). A file a task; single structures are files of one record."""
+    files = spark.read.format("binaryFile").load(path).select("path", "content")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = [pa.string(), pa.int64(), pa.list_(pa.float64()), pa.list_(pa.string()), pa.list_(pa.list_(pa.float64())), pa.list_(pa.list_(pa.float64()))]
+        names = ["file", "frame", "cell", "species", "fractions", "velocities"]
+        for batch in batches:
+            for name, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                rows: list[tuple] = []
+                for k, record in enumerate(poscar_frames(opened(name, data).decode())):
+                    rows.append((name, k, *record))
+                    if len(rows) == 256:
+                        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names)
+                        rows = []
+                if rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names)
+
+    return files.mapInArrow(run, POSCAR)

@@ -115,3 +115,39 @@ def test_table_sink_and_manifest(spark, tmp_path):
     before = spark.createDataFrame([("a", "1"), ("b", "1"), ("c", "1")], "path string, digest string")
     after = spark.createDataFrame([("a", "1"), ("b", "2"), ("d", "1")], "path string, digest string")
     assert {(r.path, r.change) for r in R.changed_files(before, after).collect()} == {("b", "changed"), ("c", "removed"), ("d", "added")}
+
+
+POSCAR = """salt
+2.0
+5 0 0
+0 5 0
+0 0 5
+Na Cl
+1 1
+Direct
+0 0 0
+0.5 0.5 0.5
+
+0.1 0 0
+0 0.1 0
+
+salt again
+1.0
+10 0 0
+0 10 0
+0 0 10
+Na Cl
+1 1
+Cartesian
+1 0 0
+7.5 5 5
+"""
+
+
+def test_concatenated_poscar_records(spark, tmp_path):
+    (tmp_path / "c").write_text(POSCAR + "cut\n1.0\n10 0 0\n0 10 0\n0 0 10\nNa\n2\nDirect\n0 0 0\n")
+    rows = R.read_poscar(spark, str(tmp_path / "c")).orderBy("frame").collect()
+    assert [(r.frame, r.species, r.fractions[1], r.velocities) for r in rows] == [(0, ["Na", "Cl"], [0.5, 0.5, 0.5], [[0.1, 0.0, 0.0], [0.0, 0.1, 0.0]]), (1, ["Na", "Cl"], [0.75, 0.5, 0.5], None)]
+    assert rows[0].cell[0] == 10.0
+    with pytest.raises(R.FormatError):
+        list(R.poscar_frames("a\nb\nc\nd\ne\nf\ng\nh\ni\n"))
