@@ -304,22 +304,43 @@ def feature_neighbors(witnesses: DataFrame, candidates: DataFrame, radius: float
     return both.filter(F.col("distance") <= radius).select("witness", "candidate", "distance")
 
 
-def farthest_points(vectors: DataFrame, k: int) -> DataFrame:
+def farthest_order(ids: np.ndarray, v: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places and distances of the maximin prefix from the smallest id; each step updates the distances to the chosen set."""
+    order = np.argsort(ids, kind="stable")
+    v = v[order]
+    near, at, places, far = np.full(len(v), np.inf), 0, [], []
+    while len(places) < min(k, len(v)):
+        if places and near[at] == 0.0:
+            break
+        places.append(order[at])
+        far.append(near[at])
+        d = v - v[at]
+        near = np.minimum(near, np.sqrt(np.einsum("ij,ij->i", d, d)))
+        at = int(near.argmax())
+    return np.array(places, int), np.array(far)
+
+
+def farthest_points(vectors: DataFrame, k: int, local_rows: int = 200_000) -> DataFrame:
     """rank, id, distance: the maximin prefix from the smallest id, ties to the smaller id.
 
-    Each step is one aggregate over the vectors: their distances to the chosen set are kept in the shared
-    table of vectors by the executors, so the driver sees one row a step.
+    Up to local_rows vectors go to one task. Beyond, each step is one aggregate over the vectors, whose
+    distances to the chosen set the executors keep, and the driver sees one row a step.
     """
     spark = vectors.sparkSession
-    n = F.lit(float("inf"))
-    state = vectors.select("id", "v").withColumn("near", n).persist()
-    first = state.agg(F.min("id")).first()[0]
-    chosen, out = first, []
+    if vectors.limit(local_rows + 1).count() <= local_rows:
+
+        def run(own: pd.DataFrame) -> pd.DataFrame:
+            ids = own["id"].to_numpy(np.int64)
+            at, far = farthest_order(ids, np.stack(own["v"].to_list()).astype(float), k)
+            far = [None if r == 0 else float(x) for r, x in enumerate(far)]
+            return pd.DataFrame({"rank": np.arange(len(at), dtype="int32"), "id": ids[at], "distance": pd.array(far, dtype="Float64")})
+
+        return vectors.select("id", "v").groupBy(F.lit(0).alias("one")).applyInPandas(run, "rank int, id bigint, distance double")
+    state = vectors.select("id", "v").withColumn("near", F.lit(float("inf"))).persist()
+    chosen, out = state.agg(F.min("id")).first()[0], []
     try:
         for rank in range(k):
             row = state.filter(F.col("id") == chosen).first()
-            if row is None:
-                break
             out.append((rank, int(row["id"]), None if rank == 0 else float(row["near"])))
             v = F.array(*[F.lit(float(x)) for x in row["v"]])
             square = F.aggregate(F.zip_with("v", v, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda acc, x: acc + x)

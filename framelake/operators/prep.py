@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -197,6 +198,55 @@ def qualify_prefixes(covers: DataFrame, weights: DataFrame, ranking: DataFrame,
     return out.select(F.col("e.size").alias("size"), "family", (F.col("e.mass") / F.col("total")).alias("share"), (F.col("e.mass") / F.col("total") >= threshold).alias("qualified"))
 
 
+def greedy_order(family: np.ndarray, witness: np.ndarray, candidate: np.ndarray, unit: np.ndarray, w: np.ndarray, k: int, threshold: float) -> np.ndarray:
+    """The picks of greedy_coverage. Gains are kept up to date: a pick touches only who shares its witnesses."""
+    ids, c = np.unique(candidate, return_inverse=True)
+    families, f = np.unique(family.astype(str), return_inverse=True)
+    _, x = np.unique(np.stack([f, np.unique(witness, return_inverse=True)[1]], axis=1), axis=0, return_inverse=True)
+    x = x.ravel()
+    pairs = np.unique(np.stack([c, x], axis=1), axis=0)
+    weight, family_of = np.zeros(x.max() + 1 if len(x) else 0), np.zeros(x.max() + 1 if len(x) else 0, int)
+    weight[x], family_of[x] = w, f
+    unit_of = np.zeros(len(ids), int)
+    unit_of[c] = np.unique(unit.astype(str), return_inverse=True)[1]
+    c, x = pairs[:, 0], pairs[:, 1]
+    by_c = np.searchsorted(c, np.arange(len(ids) + 1))
+    turned = np.argsort(x, kind="stable")
+    by_x = np.searchsorted(x[turned], np.arange(len(weight) + 1))
+    fresh = np.zeros((len(families), len(ids)))
+    np.add.at(fresh, (family_of[x], c), weight[x])
+    spread = np.bincount(c, weight[x], len(ids))
+    total, mass = np.bincount(family_of, weight, len(families)), np.zeros(len(families))
+    hits, used = np.zeros(len(weight), int), np.zeros(unit_of.max() + 1 if len(ids) else 0, int)
+    left, out = np.ones(len(ids), bool), []
+
+    def keep(own: np.ndarray, score: np.ndarray) -> np.ndarray:
+        v = score[own]
+        return own[v >= v.max() - 1e-9]
+
+    while len(out) < k and left.any():
+        own = np.flatnonzero(left)
+        open_ = np.flatnonzero(mass < threshold * total - 1e-12)
+        if len(open_):
+            low = open_[np.argmin(mass[open_] / total[open_])]
+            own = keep(keep(own, fresh[low]), fresh.sum(axis=0))
+            own = keep(keep(own, -used[unit_of]), spread)
+        else:
+            own = keep(keep(own, spread), -used[unit_of])
+        best = int(own[0])
+        for cell in x[by_c[best] : by_c[best + 1]]:
+            others = c[turned[by_x[cell] : by_x[cell + 1]]]
+            if not hits[cell]:
+                mass[family_of[cell]] += weight[cell]
+                fresh[family_of[cell], others] -= weight[cell]
+            hits[cell] += 1
+            spread[others] += weight[cell] / (hits[cell] + 1) - weight[cell] / hits[cell]
+        used[unit_of[best]] += 1
+        left[best] = False
+        out.append(best)
+    return ids[np.array(out, int)]
+
+
 def greedy_coverage(covers: DataFrame, weights: DataFrame, units: DataFrame, k: int, threshold: float = 0.95) -> DataFrame:
     """rank, candidate of up to k picks; covers: family, witness, candidate; weights: family, witness, w; units: candidate, unit.
 
@@ -208,38 +258,9 @@ def greedy_coverage(covers: DataFrame, weights: DataFrame, units: DataFrame, k:
 
     edges = covers.join(weights, ["family", "witness"]).join(units, "candidate", "left").select("family", "witness", "candidate", "unit", "w")
 
-    def pick(all_edges: pd.DataFrame) -> pd.DataFrame:
-        e = all_edges.sort_values(["candidate", "family", "witness"])
-        of = {c: g for c, g in e.groupby("candidate", sort=True)}
-        total = e.drop_duplicates(["family", "witness"]).groupby("family")["w"].sum().to_dict()
-        unit = e.drop_duplicates("candidate").set_index("candidate")["unit"].to_dict()
-        cells = {c: [(f, (f, x), w) for f, x, w in zip(g["family"], g["witness"], g["w"])] for c, g in of.items()}
-        hits: dict = {}
-        mass = dict.fromkeys(total, 0.0)
-        taken: dict = {}
-        out: list[tuple[int, int]] = []
-        left = set(cells)
-        while left and len(out) < k:
-            open_ = [f for f in total if mass[f] < threshold * total[f]]
-            low = min(open_, key=lambda f: (mass[f] / total[f], str(f)), default=None)
-
-            def rank(c):
-                gain = round(sum(w / (hits.get(x, 0) + 1) for _, x, w in cells[c]), 12)
-                used = taken.get(unit[c], 0)
-                if low is None:
-                    return (-gain, used, c)
-                new = [(f, w) for f, x, w in cells[c] if not hits.get(x)]
-                return (-round(sum(w for f, w in new if f == low), 12), -round(sum(w for _, w in new), 12), used, -gain, c)
-
-            best = min(left, key=rank)
-            for f, x, w in cells[best]:
-                if not hits.get(x):
-                    mass[f] += w
-                hits[x] = hits.get(x, 0) + 1
-            taken[unit[best]] = taken.get(unit[best], 0) + 1
-            out.append((len(out), int(best)))
-            left.discard(best)
-        return pd.DataFrame(out, columns=["rank", "candidate"]).astype({"rank": "int32", "candidate": "int64"})
+    def pick(e: pd.DataFrame) -> pd.DataFrame:
+        order = greedy_order(*(e[c].to_numpy() for c in ("family", "witness", "candidate", "unit", "w")), k, threshold)
+        return pd.DataFrame({"rank": np.arange(len(order), dtype="int32"), "candidate": order.astype("int64")})
 
     return edges.groupBy(F.lit(0).alias("one")).applyInPandas(pick, "rank int, candidate bigint")
 
