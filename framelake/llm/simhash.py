@@ -242,8 +242,12 @@ def near_duplicate_classes(spark: SparkSession, docs: DataFrame, words: int = 3,
 # --- near dedup by verified likeness ------------------------------------------------------------------
 
 
-def sketches(docs: DataFrame, tables: int) -> DataFrame:
-    """(doc_id, near, far): `tables` SimHashes of single words under unlike hashes, and one of 3-word shingles.
+BINS = 256
+
+
+def sketches(docs: DataFrame, tables: int, words: int) -> DataFrame:
+    """(doc_id, near, far, bins): `tables` SimHashes of single words under unlike hashes, one of 3-word shingles, and
+    the least hash of the word shingles in each of BINS bins (16 bits, 0: none).
 
     Single words move little where few words are edited, so copies fall within the radius in some table: at
     a likeness of 0.8 over words that hardly repeat, in each with a chance of about a third. The shingles tell texts apart that share their words but not their order. Rows without a doc_id have none.
@@ -253,17 +257,46 @@ def sketches(docs: DataFrame, tables: int) -> DataFrame:
         for batch in batches:
             for lo in range(0, batch.num_rows, 512):
                 b = batch.slice(lo, 512)
-                near, far = [], []
+                near, far, bins = [], [], []
                 for t in b.column(1):
                     found = WORD.findall((t.as_py() or b"").lower())
                     h = np.fromiter((xxhash.xxh64_intdigest(w, 42) for w in found), np.uint64, len(found))
                     near.append([_bits(_mixed(h, k)) for k in range(tables)])
                     far.append(fingerprint(t.as_py()))
-                cols = [pa.array(np.array(near, np.uint64).view(np.int64).tolist(), pa.list_(pa.int64())), pa.array(np.array(far, np.uint64).view(np.int64))]
-                yield pa.RecordBatch.from_arrays([b.column(0), *cols], ["doc_id", "near", "far"])
+                    bins.append(binned(found, words).tobytes())
+                cols = [pa.array(np.array(near, np.uint64).view(np.int64).tolist(), pa.list_(pa.int64())), pa.array(np.array(far, np.uint64).view(np.int64)), pa.array(bins, pa.binary())]
+                yield pa.RecordBatch.from_arrays([b.column(0), *cols], ["doc_id", "near", "far", "bins"])
 
     own = docs.filter("doc_id is not null").select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("binary").alias("text"))
-    return own.mapInArrow(run, "doc_id bigint, near array<bigint>, far bigint")
+    return own.mapInArrow(run, "doc_id bigint, near array<bigint>, far bigint, bins binary")
+
+
+def binned(found: list[bytes], words: int) -> np.ndarray:
+    """For each bin the least hash of the shingles that fall into it, as 16 bits; 0 where none does."""
+    out = np.zeros(BINS, np.uint16)
+    grams = [b" ".join(found)] if len(found) <= words else list(map(b" ".join, zip(*(found[i:] for i in range(words)))))
+    h = np.sort(np.fromiter((xxhash.xxh64_intdigest(g, 42) for g in grams), np.uint64, len(grams)))
+    bin_ = (h >> np.uint64(56)).astype(int)
+    first = np.flatnonzero(np.concatenate([[True], bin_[1:] != bin_[:-1]]))
+    out[bin_[first]] = np.maximum(h[first].astype(np.uint16), 1)
+    return out
+
+
+def perhaps_alike(pairs: DataFrame, marks: DataFrame, similarity: float) -> DataFrame:
+    """The pairs whose bins don't rule the similarity out: the share of equal bins is at most three standard errors below it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint16).reshape(-1, BINS) for c in (2, 3))
+            filled = ((a > 0) | (b > 0)).sum(axis=1)
+            share = ((a == b) & (a > 0)).sum(axis=1) / filled
+            good = share >= similarity - 3 * np.sqrt(similarity * (1 - similarity) / filled)
+            yield batch.select(["a", "b"]).filter(pa.array(good))
+
+    left = marks.select(F.col("doc_id").alias("a"), F.col("bins").alias("ba"))
+    right = marks.select(F.col("doc_id").alias("b"), F.col("bins").alias("bb"))
+    both = pairs.join(left, "a").join(right, "b").select("a", "b", "ba", "bb")
+    return both.mapInArrow(run, "a bigint, b bigint").distinct()
 
 
 def _mixed(h: np.ndarray, k: int) -> np.ndarray:
@@ -317,13 +350,15 @@ def local_links(near: np.ndarray, far: np.ndarray, radius: int, far_radius: int,
     return i, j
 
 
-def likeness(a: str | None, b: str | None, words: int) -> float:
-    """Jaccard likeness of the sets of word shingles, A-Z lower-cased (fewer words: the whole sequence)."""
-    def shingles(t: str | None) -> set:
-        found = WORD.findall((t or "").encode().lower())
-        return set(zip(*(found[i:] for i in range(words)))) if len(found) > words else {tuple(found)}
+def shingles(text: str | None, words: int) -> set:
+    """The set of word shingles, A-Z lower-cased (fewer words: the whole sequence)."""
+    found = WORD.findall((text or "").encode().lower())
+    return set(zip(*(found[i:] for i in range(words)))) if len(found) > words else {tuple(found)}
+
 
-    x, y = shingles(a), shingles(b)
+def likeness(a: str | None, b: str | None, words: int) -> float:
+    """Jaccard likeness of the sets of word shingles."""
+    x, y = shingles(a, words), shingles(b, words)
     return len(x & y) / len(x | y)
 
 
@@ -365,10 +400,15 @@ def verified(docs: DataFrame, pairs: DataFrame, words: int, similarity: float) -
     """The pairs whose texts are alike, by comparing whole texts. Only texts in a pair are moved."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, held = None, set()  # pairs of one b come one after another
         for batch in batches:
-            a, b = batch.column(2).to_pylist(), batch.column(3).to_pylist()
-            good = pa.array([likeness(x, y, words) >= similarity for x, y in zip(a, b)], pa.bool_())
-            yield batch.select(["a", "b"]).filter(good)
+            good = []
+            for b, x, y in zip(*(batch.column(c).to_pylist() for c in (1, 2, 3))):
+                if b != last:
+                    last, held = b, shingles(y, words)
+                own = shingles(x, words)
+                good.append(len(own & held) >= similarity * len(own | held))
+            yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
 
     ids = written(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "ids")
     texts = written(docs.select(F.col("doc_id").cast("bigint").alias("id"), "text").join(ids, "id", "left_semi").dropDuplicates(["id"]), "texts")
@@ -378,18 +418,18 @@ def verified(docs: DataFrame, pairs: DataFrame, words: int, similarity: float) -
 
 
 def near_dedup(
-    spark: SparkSession, docs: DataFrame, words: int = 5, similarity: float = 0.8, tables: int = 10, radius: int = 3, far_radius: int = 20, closest: int = 8, shard_size: int = 1 << 16, sample_size: int = 20_000
+    spark: SparkSession, docs: DataFrame, words: int = 5, similarity: float = 0.8, tables: int = 10, radius: int = 3, far_radius: int = 20, closest: int = 5, shard_size: int = 1 << 16, sample_size: int = 20_000
 ) -> DataFrame:
     """docs with one row of each group of near copies, that with the smallest doc_id; all columns stay.
 
     Candidates are a text's closest ones in any of the tables' vantage-point trees; those whose sets of
     word shingles have a Jaccard likeness of the similarity or more are links, and what links connect is a
-    group. So nothing goes that isn't like another text, and a text needs a link to any member of its group,
+    group. Pairs that a bottom sketch of the shingles rules out aren't compared. So nothing goes that isn't like another text, and a text needs a link to any member of its group,
     not to all. Rows with the same doc_id are one document: one of them stays. Rows without one all stay.
     """
-    marks = written(sketches(docs, tables), "marks")
-    pairs = written(candidate_pairs(spark, marks, tables, radius, far_radius, closest, shard_size, sample_size), "pairs")
-    links = verified(docs, pairs, words, similarity)
+    marks = written(sketches(docs, tables, words), "marks")
+    pairs = written(candidate_pairs(spark, marks.drop("bins"), tables, radius, far_radius, closest, shard_size, sample_size), "pairs")
+    links = verified(docs, written(perhaps_alike(pairs, marks, similarity), "alike"), words, similarity)
     stars = written(links.select(F.lit(0).alias("shard"), F.col("a").alias("root"), F.explode(F.array("a", "b")).alias("fp")).distinct(), "links")
     lost = joined_labels(stars).filter("label <> fp").select(F.col("fp").alias("__id"))
     repeated = marks.groupBy(F.col("doc_id").alias("__id")).count().filter("count > 1").select("__id")
