@@ -82,9 +82,10 @@ def test_places_never_overlap():
     rng = np.random.default_rng(1)
     for _ in range(200):
         s = rng.integers(0, 3, 60).astype(np.uint32)
-        _, rank = T._frequent(s, 2, 4)
-        at = T._places(rank)
-        assert (np.diff(at) > 1).all() and (rank[at] >= 0).all()
+        chosen, place, rank = T._frequent(s, 2, 4)
+        at = place[T._places(place, rank)]
+        assert (np.diff(at) > 1).all() and len(place) >= 2
+        assert all(chosen[r] == int(s[p]) << 32 | int(s[p + 1]) for p, r in zip(place, rank))
 
 
 def check_packing(rows, pieces):
