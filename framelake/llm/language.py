@@ -28,8 +28,12 @@ def _codes(text: str) -> np.ndarray:
     if not _LETTER:
         _LETTER.append(np.array([chr(c).isalpha() for c in range(1 << 16)]))
     c = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32)
-    low = np.minimum(c, 0xFFFF)
-    return np.where(_LETTER[0][low] | (c > 0xFFFF), c, 32).astype(np.uint32)
+    letter = _LETTER[0][np.minimum(c, 0xFFFF)]
+    far = c > 0xFFFF
+    if far.any():
+        letter = letter & ~far
+        letter[far] = [chr(x).isalpha() for x in c[far].tolist()]
+    return np.where(letter, c, 32).astype(np.uint32)
 
 
 def grams(text: str | None) -> np.ndarray | None:

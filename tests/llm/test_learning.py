@@ -51,6 +51,11 @@ def test_elastic_net_zeroes_weights():
     assert (w[3:400] == 0).mean() > 0.2 and L.ftrl(rows, y, 400, 3, l1=0.0)[3:400].astype(bool).all()
 
 
+def test_letters_beyond_the_first_plane():
+    assert L.grams("\U0001f600 12 \ufffe") is None and L.grams(None) is None and L.grams("") is None
+    assert len(L.grams("\U00010400")) == 3 + 2 + 1
+
+
 def test_temperature_fits_the_loss():
     rng = np.random.default_rng(1)
     logits = rng.normal(size=(4000, 3))
