@@ -25,7 +25,7 @@ PLAIN = re.compile("[\t\n\r\x20-\x7e\xa0-\xb1\xb4-\xb8\xba\xbb\xbf-įı-ɏ]*")
 LONGEST = 64
 SEP, LETTER, DIGIT, SPACE, OTHER = range(5)
 QUOTE = 39
-TABLE_BITS = 21
+TABLE_BITS = 22
 
 
 def _classes() -> np.ndarray:
@@ -80,7 +80,7 @@ def piece_starts(codes: np.ndarray, words: bool) -> tuple[np.ndarray, np.ndarray
 class Encoder:
     """ids(texts): for each text its ids as little-endian unsigned 32-bit integers."""
 
-    def __init__(self, path: str, held: int = 800_000) -> None:
+    def __init__(self, path: str, held: int = 3_000_000) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
