@@ -31,48 +31,43 @@ from .common import written
 from .tokens import encoder
 
 MAGIC = b"RPR1"
-COUNT_BITS = 20
+COUNT_BITS = 18
 
 
-def _frequent(s: np.ndarray, min_count: int, rule_limit: int) -> tuple[np.ndarray, np.ndarray]:
-    """The frequent pairs (left << 32 | right), most frequent first, and for each place the pair's rank or -1."""
-    pairs = s[:-1].astype(np.uint64)
-    pairs <<= np.uint64(32)
-    pairs |= s[1:]
-    slot = (pairs * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - COUNT_BITS)).astype(np.int32)
+def _slots(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    return ((left * np.uint32(0x9E3779B1) + right * np.uint32(0x85EBCA6B)) >> np.uint32(32 - COUNT_BITS)).astype(np.intp)
+
+
+def _frequent(s: np.ndarray, min_count: int, rule_limit: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The frequent pairs (left << 32 | right), most frequent first; the places where one stands, and its rank there."""
+    slot = _slots(s[:-1], s[1:])
     rough = np.bincount(slot, minlength=1 << COUNT_BITS)
     # a slot's count is an upper bound of its pairs' counts; most slots that count less than this one needn't be looked at
     tail = np.bincount(np.minimum(rough, 4096))[::-1].cumsum()[::-1]
     least = max(min_count, int(np.searchsorted(-tail, -2 * rule_limit, "right")))
-    place = np.flatnonzero((rough >= least)[slot])
-    rank = np.full(len(pairs), -1, np.int32)
-    near = pairs[place]
+    place = np.flatnonzero((rough >= least).take(slot))
+    near = s[place].astype(np.uint64) << np.uint64(32) | s[place + 1]
     order = np.sort(near)
-    if not len(order):
-        return order, rank
-    first = np.flatnonzero(np.concatenate([[True], order[1:] != order[:-1]]))
+    first = np.flatnonzero(np.concatenate([[True], order[1:] != order[:-1]])) if len(order) else place
     count = np.diff(np.append(first, len(order)))
     enough = np.flatnonzero(count >= min_count)
     best = enough[np.argsort(-count[enough], kind="stable")[:rule_limit]]
     chosen = order[first[best]]
     if not len(chosen):
-        return chosen, rank
+        return chosen, place[:0], place[:0]
     # of pairs that share a slot the most frequent is found; the others wait for a later round
     table = np.full(1 << COUNT_BITS, -1, np.int32)
-    own = (chosen * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - COUNT_BITS)).astype(np.int32)
+    own = _slots((chosen >> np.uint64(32)).astype(np.uint32), chosen.astype(np.uint32))
     table[own[::-1]] = np.arange(len(chosen) - 1, -1, -1, dtype=np.int32)
     at = table[slot[place]]
     hit = (at >= 0) & (chosen[at] == near)
-    rank[place[hit]] = at[hit]
-    return chosen, rank
+    return chosen, place[hit], at[hit]
 
 
-def _places(rank: np.ndarray) -> np.ndarray:
-    """Places to replace, none next to each other: every other one of a run of one pair, unless a neighbour ranks before."""
-    place = np.flatnonzero(rank >= 0)
+def _places(place: np.ndarray, r: np.ndarray) -> np.ndarray:
+    """Which of the places (with their ranks) to replace, none next to each other: every other one of a run of one pair, unless a neighbour ranks before."""
     if not len(place):
-        return place
-    r = rank[place]
+        return np.zeros(0, bool)
     joined = np.diff(place) == 1  # the next frequent place is the next place
     same = joined & (r[1:] == r[:-1])
     begins = np.concatenate([[True], ~same])
@@ -81,8 +76,7 @@ def _places(rank: np.ndarray) -> np.ndarray:
     after = np.concatenate([joined & (r[1:] < r[:-1]), [False]])
     # a run whose left neighbour ranks before gives its first place up
     give = before[start]
-    take = ((np.arange(len(place)) - start - give) % 2 == 0) & ~(begins & give) & ~after
-    return place[take]
+    return ((np.arange(len(place)) - start - give) % 2 == 0) & ~(begins & give) & ~after
 
 
 def compress(ids: np.ndarray, base: int, min_count: int = 16, rule_limit: int = 2048, rounds: int = 6) -> tuple[np.ndarray, np.ndarray]:
@@ -92,13 +86,12 @@ def compress(ids: np.ndarray, base: int, min_count: int = 16, rule_limit: int =
     for _ in range(rounds):
         if len(s) < 2:
             break
-        chosen, rank = _frequent(s, min_count, rule_limit)
-        if not len(chosen):
-            break
-        at = _places(rank)
-        used, name = np.unique(rank[at], return_inverse=True)
-        if not len(used):
+        chosen, place, rank = _frequent(s, min_count, rule_limit)
+        take = _places(place, rank)
+        at = place[take]
+        if not len(at):
             break
+        used, name = np.unique(rank[take], return_inverse=True)
         rules.append(np.stack([chosen[used] >> np.uint64(32), chosen[used] & np.uint64(0xFFFFFFFF)], axis=1).astype(np.uint32))
         s[at] = (base + made + name).astype(np.uint32)
         made += len(used)
