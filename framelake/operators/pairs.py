@@ -288,20 +288,66 @@ def box_overlaps(boxes: DataFrame, width: float) -> DataFrame:
     return left.join(right, ["bx", "by", "bz"]).filter(meet).select(F.col("a_id").alias("a"), F.col("b_id").alias("b")).distinct()
 
 
-def feature_neighbors(witnesses: DataFrame, candidates: DataFrame, radius: float, lead: int = 2) -> DataFrame:
+def _within(a: np.ndarray, b: np.ndarray, radius: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Index pairs and distances of rows within radius: a product sorts out what can't be, differences decide."""
+    found = []
+    bb = np.einsum("ij,ij->i", b, b)
+    for lo in range(0, len(a), 512):
+        part = a[lo : lo + 512]
+        square = np.einsum("ij,ij->i", part, part)[:, None] + bb[None, :] - 2 * part @ b.T
+        i, j = np.nonzero(square <= radius * radius + 1e-6 * (1 + radius * radius))
+        d = part[i] - b[j]
+        d = np.sqrt(np.einsum("ij,ij->i", d, d))
+        near = d <= radius
+        found.append((i[near] + lo, j[near], d[near]))
+    i, j, d = zip(*found)
+    return np.concatenate(i), np.concatenate(j), np.concatenate(d)
+
+
+def feature_neighbors(witnesses: DataFrame, candidates: DataFrame, radius: float, lead: int = 2, block: int = 4096) -> DataFrame:
     """witness, candidate, distance: vectors (id, v: array<double>) within radius, the bound included.
 
     Candidates are found through a grid on the first lead components (no two vectors within radius are
-    more than a cell apart along any of them), then compared exactly.
+    more than a cell apart along any of them), then compared exactly. Cells of over block vectors are cut
+    into blocks on both sides, whose pairs are dealt out; small cells share a group. Blocks are the only
+    thing that grows a group, so its memory is bounded.
     """
-    cell = lambda k: F.floor(F.element_at("v", k + 1) / radius)
-    c = candidates.select(F.col("id").alias("candidate"), F.col("v").alias("vc"), *[cell(k).alias(f"b{k}") for k in range(lead)])
+    spark = witnesses.sparkSession
+    cell = [F.floor(F.element_at("v", k + 1) / radius) for k in range(lead)]
     around = F.array(*[F.struct(*[F.lit(o).alias(f"o{k}") for k, o in enumerate(at)]) for at in itertools.product((-1, 0, 1), repeat=lead)])
-    w = witnesses.select(F.col("id").alias("witness"), "v", *[cell(k).alias(f"c{k}") for k in range(lead)], F.explode(around).alias("o"))
-    w = w.select("witness", "v", *[(F.col(f"c{k}") + F.col(f"o.o{k}")).alias(f"b{k}") for k in range(lead)])
-    square = F.aggregate(F.zip_with("v", "vc", lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda acc, x: acc + x)
-    both = w.join(c, [f"b{k}" for k in range(lead)]).withColumn("distance", F.sqrt(square))
-    return both.filter(F.col("distance") <= radius).select("witness", "candidate", "distance")
+    names = [f"b{k}" for k in range(lead)]
+    right = candidates.select("id", "v", *[c.alias(n) for c, n in zip(cell, names)])
+    left = witnesses.select("id", "v", *[c.alias(f"c{k}") for k, c in enumerate(cell)], F.explode(around).alias("o"))
+    left = left.select("id", "v", *[(F.col(f"c{k}") + F.col(f"o.o{k}")).alias(n) for k, n in enumerate(names)])
+    groups = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+    def blocks(df: DataFrame, name: str) -> DataFrame:
+        """Cells that need more than one block: under one in block of all rows."""
+        return df.groupBy(*names).agg(F.ceil(F.count("*") / block).cast("int").alias(name)).filter(F.col(name) > 1)
+
+    of_left, of_right = blocks(left, "na"), blocks(right, "nb")
+
+    def dealt(df: DataFrame, own: str, other: str) -> DataFrame:
+        one = lambda n: F.coalesce(n, F.lit(1))
+        out = df.join(F.broadcast(of_left), names, "left").join(F.broadcast(of_right), names, "left")
+        mine = F.pmod(F.xxhash64("id"), one(f"n{own}")).cast("int")
+        out = out.withColumn(own, mine).withColumn(other, F.explode(F.sequence(F.lit(0), one(f"n{other}") - 1)))
+        return out.select(F.col("id").alias(f"id_{own}"), F.col("v").alias(f"v_{own}"), *names, "a", "b", F.pmod(F.xxhash64(*names), F.lit(groups)).alias("g"))
+
+    def compare(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
+        out = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
+        there = dict(list(y.groupby(names)))
+        for key, p in x.groupby(names):
+            q = there.get(key)
+            if q is not None:
+                i, j, d = _within(np.stack(p["v_a"].to_list()).astype(float), np.stack(q["v_b"].to_list()).astype(float), radius)
+                out.append((p["id_a"].to_numpy(np.int64)[i], q["id_b"].to_numpy(np.int64)[j], d))
+        w, c, d = (np.concatenate(z) for z in zip(*out))
+        return pd.DataFrame({"witness": w, "candidate": c, "distance": d})
+
+    keys = ["g", "a", "b"]
+    both = dealt(left, "a", "b").groupBy(*keys).cogroup(dealt(right, "b", "a").groupBy(*keys))
+    return both.applyInPandas(compare, "witness bigint, candidate bigint, distance double")
 
 
 def farthest_order(ids: np.ndarray, v: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
