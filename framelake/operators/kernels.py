@@ -1,13 +1,56 @@
-"""Sequential numerical kernels on one bounded series each, run by applyInPandas per key."""
+"""Sequential numerical kernels on one bounded series each.
+
+per_series() deals keys to partitions, sorted, and runs a kernel on one key's values after another as they
+stream by: a task holds a batch and one series, and short series cost no call of their own.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator, Sequence
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def per_series(rows: DataFrame, key: str, order: str, columns: Sequence[str], kernel: Callable[[np.ndarray], list], fields: str) -> DataFrame:
+    """key and fields: kernel(values) of each key's values (rows in order, a column each) gives a list of equally long columns. Null keys are left out."""
+    kind = dict(rows.dtypes)[key]
+    own = rows.filter(F.col(key).isNotNull()).select(key, order, *columns).repartition(F.col(key)).sortWithinPartitions(key, order)
+    names = [key, *[f.strip().split(" ")[0] for f in fields.split(",")]]
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        last, held = None, []
+
+        def frame(series: list[tuple]) -> pd.DataFrame:
+            done = [(k, kernel(v)) for k, v in series]
+            cols = [np.concatenate([np.asarray(c[i]) for _, c in done]) for i in range(len(names) - 1)]
+            keys = [k for k, c in done for _ in range(len(c[0]))]
+            return pd.DataFrame({key: pd.Series(keys, dtype=keys_type), **dict(zip(names[1:], cols))})
+
+        keys_type = None
+        for f in frames:
+            if not len(f):
+                continue
+            keys_type = f[key].dtype
+            keys, values = f[key].to_numpy(), f[list(columns)].to_numpy(float)
+            cuts = [0, *(np.flatnonzero(keys[1:] != keys[:-1]) + 1).tolist(), len(keys)]
+            series = []
+            for a, b in zip(cuts, cuts[1:]):
+                if held and keys[a] != last:
+                    series.append((last, np.concatenate(held)))
+                    held = []
+                last = keys[a]
+                held.append(values[a:b])
+            if series:
+                yield frame(series)
+        if held:
+            yield frame([(last, np.concatenate(held))])
+
+    return own.mapInPandas(run, f"`{key}` {kind}, {fields}")
+
+
 def correlation_time(y: np.ndarray) -> tuple[float, float, str]:
     """tau (a half plus the initial positive pairs of the unbiased autocorrelation), the effective size, and a status."""
     n = len(y)
@@ -35,12 +78,11 @@ def correlation_time(y: np.ndarray) -> tuple[float, float, str]:
 def autocorrelation(rows: DataFrame, key: str, order: str, value: str) -> DataFrame:
     """key, n, tau, n_eff, status for each series."""
 
-    def run(own: pd.DataFrame) -> pd.DataFrame:
-        tau, eff, status = correlation_time(own.sort_values(order)[value].to_numpy(float))
-        return pd.DataFrame({key: own[key].iloc[:1], "n": [len(own)], "tau": [tau], "n_eff": [eff], "status": [status]})
+    def run(v: np.ndarray) -> list:
+        tau, eff, status = correlation_time(v[:, 0])
+        return [[len(v)], [tau], [eff], np.array([status], object)]
 
-    kind = dict(rows.dtypes)[key]
-    return rows.select(key, order, value).groupBy(key).applyInPandas(run, f"`{key}` {kind}, n bigint, tau double, n_eff double, status string")
+    return per_series(rows, key, order, [value], run, "n bigint, tau double, n_eff double, status string")
 
 
 def autocorrelation_native(rows: DataFrame, key: str, order: str, value: str, lags: int) -> DataFrame:
@@ -90,12 +132,10 @@ def segments(y: np.ndarray, penalty: float) -> list[int]:
 def change_points(rows: DataFrame, key: str, order: str, value: str, penalty: float) -> DataFrame:
     """key, segment, start, stop, mean of each series of block means (bounded by the number of blocks)."""
 
-    def run(own: pd.DataFrame) -> pd.DataFrame:
-        y = own.sort_values(order)[value].to_numpy(float)
+    def run(v: np.ndarray) -> list:
+        y = v[:, 0]
         starts = segments(y, penalty)
         stops = [*starts[1:], len(y)]
-        out = [(own[key].iloc[0], k, a, b, float(y[a:b].mean())) for k, (a, b) in enumerate(zip(starts, stops))]
-        return pd.DataFrame(out, columns=[key, "segment", "start", "stop", "mean"])
+        return [np.arange(len(starts), dtype="int32"), np.array(starts, "int32"), np.array(stops, "int32"), [float(y[a:b].mean()) for a, b in zip(starts, stops)]]
 
-    kind = dict(rows.dtypes)[key]
-    return rows.select(key, order, value).groupBy(key).applyInPandas(run, f"`{key}` {kind}, segment int, start int, stop int, mean double")
+    return per_series(rows, key, order, [value], run, "segment int, start int, stop int, mean double")

@@ -6,10 +6,11 @@ import math
 from collections.abc import Sequence
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from framelake.operators.kernels import per_series
+
 
 def taper(kind: str, lag: Column, n: int, alpha: float = 0.5) -> Column:
     """The window's value at a lag of 0 .. n - 1: none, half_hann or half_tukey (Hann over the last alpha)."""
@@ -71,16 +72,15 @@ def frequency_axes(spectrum: DataFrame) -> DataFrame:
 def welch(rows: DataFrame, key: str, order: str, value: str, segment: int, overlap: float = 0.5, rate: float = 1.0, detrend: bool = True) -> DataFrame:
     """k, frequency, power: the one-sided power density, meaned over all segments of all keys; periodic Hann, no partial tail.
 
-    A key's rows go to one task in batches; its segments are transformed and only the sums leave it.
+    A key's rows stream through one task; its segments are transformed and only the sums leave it.
     """
     step = max(1, segment - int(math.floor(overlap * segment)))
 
-    def run(key_rows: pd.DataFrame) -> pd.DataFrame:
-        y = key_rows.sort_values(order)[value].to_numpy(float)
-        total, n = welch_sums(y, segment, step, detrend)
-        return pd.DataFrame({"k": np.arange(len(total), dtype="int64"), "s": total, "n": np.int64(n)})
+    def run(v: np.ndarray) -> list:
+        total, n = welch_sums(v[:, 0], segment, step, detrend)
+        return [np.arange(len(total)), total, np.full(len(total), n)]
 
-    sums = rows.select(key, order, value).groupBy(key).applyInPandas(run, "k bigint, s double, n bigint")
+    sums = per_series(rows, key, order, [value], run, "k bigint, s double, n bigint")
     w2 = float((periodic_hann(segment) ** 2).sum())
     out = sums.groupBy("k").agg(F.sum("s").alias("s"), F.sum("n").alias("n")).filter("n > 0")
     double = F.when((F.col("k") == 0) | ((F.lit(segment % 2) == 0) & (F.col("k") == segment // 2)), 1.0).otherwise(2.0)
@@ -106,34 +106,32 @@ def welch_sums(y: np.ndarray, segment: int, step: int, detrend: bool) -> tuple[n
 def fft_correlation(rows: DataFrame, key: str, order: str, columns: Sequence[str], lags: int) -> DataFrame:
     """lag, total, pairs: the sum over keys and origins of a(0) a(lag), by padded FFT per key; for many lags."""
 
-    def run(own: pd.DataFrame) -> pd.DataFrame:
-        a = own.sort_values(order)[list(columns)].to_numpy(float)
+    def run(a: np.ndarray) -> list:
         n = len(a)
         size = 1 << (2 * n - 1).bit_length()
         f = np.fft.rfft(a, size, axis=0)
         c = np.fft.irfft((f * f.conj()).sum(axis=1), size)[: min(lags, n)]
-        lag = np.arange(len(c), dtype="int64")
-        return pd.DataFrame({"lag": lag, "s": c, "n": n - lag})
+        lag = np.arange(len(c))
+        return [lag, c, n - lag]
 
-    out = rows.select(key, order, *columns).groupBy(key).applyInPandas(run, "lag bigint, s double, n bigint")
+    out = per_series(rows, key, order, columns, run, "lag bigint, s double, n bigint")
     return out.groupBy("lag").agg(F.sum("s").alias("total"), F.sum("n").alias("pairs"))
 
 
 def fft_msd(rows: DataFrame, key: str, order: str, columns: Sequence[str], lags: int) -> DataFrame:
     """lag, msd: the time-averaged displacement by the sums of squares less twice the FFT correlation; for many lags."""
 
-    def run(own: pd.DataFrame) -> pd.DataFrame:
-        a = own.sort_values(order)[list(columns)].to_numpy(float)
+    def run(a: np.ndarray) -> list:
         n = len(a)
         size = 1 << (2 * n - 1).bit_length()
         f = np.fft.rfft(a, size, axis=0)
         c = np.fft.irfft((f * f.conj()).sum(axis=1), size)[:n]
         sq = (a * a).sum(axis=1)
         ahead, behind = np.cumsum(sq)[::-1], np.cumsum(sq[::-1])[::-1]
-        lag = np.arange(min(lags, n), dtype="int64")
+        lag = np.arange(min(lags, n))
         s = np.maximum(0.0, ahead[lag] + behind[lag] - 2 * c[lag])
         s[:1] = 0.0
-        return pd.DataFrame({"lag": lag, "s": s, "n": n - lag})
+        return [lag, s, n - lag]
 
-    out = rows.select(key, order, *columns).groupBy(key).applyInPandas(run, "lag bigint, s double, n bigint")
+    out = per_series(rows, key, order, columns, run, "lag bigint, s double, n bigint")
     return out.groupBy("lag").agg((F.sum("s") / F.sum("n")).alias("msd"))
