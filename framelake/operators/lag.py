@@ -1,14 +1,15 @@
 """Time-lag statistics: displacement, correlation and transport, on long trajectories.
 
-All lags of an atom are read in one pass: one shuffle by atom and one sort, with lead() for each lag,
-then a partial aggregation by lag, so what is shuffled next is a row per lag and task. Beyond
+All lags of an atom are read in one pass: one shuffle by atom and one sort, with lead() for each lag.
+Means over pairs are sums side by side in one aggregate, so no pair becomes a row; what needs the pairs
+themselves explodes them and aggregates partially by lag. Beyond
 LEAD_LIMIT lags the pairs come from an equi-join on (atom, frame + lag).
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -35,25 +36,50 @@ def lag_pairs(rows: DataFrame, columns: Sequence[str], lags: Sequence[int], orig
     return grid.join(later, [*keys, "__at"]).drop("__at")
 
 
+def lag_means(rows: DataFrame, columns: Sequence[str], lags: Sequence[int], origin_stride: int, means: dict[str, Callable[[list[str], list[str]], str]]) -> DataFrame:
+    """lag, pairs, and the mean of each SQL expression of (names at the origin, names lags later), over atoms and origins.
+
+    Up to LEAD_LIMIT lags no pair becomes a row: one aggregate holds all lags' sums side by side.
+    """
+    lags = sorted(set(lags))
+    if len(lags) > LEAD_LIMIT:
+        pairs = lag_pairs(rows, columns, lags, origin_stride)
+        first, later = ([f"`{c}{k}`" for c in columns] for k in (0, 1))
+        return pairs.groupBy("lag").agg(F.count("*").alias("pairs"), *[F.expr(f"avg({f(first, later)})").alias(n) for n, f in means.items()])
+    first = [f"`{c}`" for c in columns]
+    over = "OVER (PARTITION BY atom ORDER BY frame)"
+    wide = rows.selectExpr("frame", *first, *[f"lead({c}, {k}) {over} AS __{i}_{k}" for k in lags if k for i, c in enumerate(first)], *[f"lead(frame, {k}) {over} AS __at_{k}" for k in lags if k])
+    wide = wide.filter(F.col("frame") % origin_stride == 0)
+    sums = []
+    for k in lags:
+        there, later = (f"__at_{k} = frame + {k}", [f"__{i}_{k}" for i in range(len(first))]) if k else ("true", first)
+        own = [f"count(CASE WHEN {there} THEN 1 END) AS pairs", *[f"avg(CASE WHEN {there} THEN {f(first, later)} END) AS {n}" for n, f in means.items()]]
+        sums.append(f"named_struct('lag', {k}L, " + ", ".join(f"'{x.rsplit(' AS ', 1)[1]}', {x.rsplit(' AS ', 1)[0]}" for x in own) + ")")
+    one = wide.agg(F.expr(f"array({', '.join(sums)})").alias("all"))
+    return one.select(F.explode("all").alias("l")).select("l.*").filter("pairs > 0")
+
+
 def displacement(columns: Sequence[str]) -> list[Column]:
     return [F.col(f"{c}1") - F.col(f"{c}0") for c in columns]
 
 
+def _squared(a: Sequence[str], b: Sequence[str]) -> str:
+    return "(" + " + ".join(f"({y} - {x}) * ({y} - {x})" for x, y in zip(a, b)) + ")"
+
+
 def square(d: Sequence[Column]) -> Column:
     return sum((x * x for x in d[1:]), d[0] * d[0])
 
 
 def msd(rows: DataFrame, columns: Sequence[str], lags: Sequence[int], origin_stride: int = 1) -> DataFrame:
     """lag, msd, pairs: the mean over atoms and origins."""
-    pairs = lag_pairs(rows, columns, lags, origin_stride)
-    return pairs.groupBy("lag").agg(F.avg(square(displacement(columns))).alias("msd"), F.count("*").alias("pairs"))
+    return lag_means(rows, columns, lags, origin_stride, {"msd": _squared}).select("lag", "msd", "pairs")
 
 
 def msd_tensor(rows: DataFrame, columns: Sequence[str], lags: Sequence[int]) -> DataFrame:
     """lag, and the mean of each product of two components."""
-    pairs = lag_pairs(rows, columns, lags)
-    d = dict(zip(columns, displacement(columns)))
-    return pairs.groupBy("lag").agg(*[F.avg(d[a] * d[b]).alias(f"{a}{b}") for a in columns for b in columns])
+    means = {f"{x}{y}": (lambda a, b, i=i, j=j: f"({b[i]} - {a[i]}) * ({b[j]} - {a[j]})") for i, x in enumerate(columns) for j, y in enumerate(columns)}
+    return lag_means(rows, columns, lags, 1, means).drop("pairs")
 
 
 def msd_fixed_origin(rows: DataFrame, columns: Sequence[str], origin: int = 0) -> DataFrame:
@@ -86,15 +112,14 @@ def van_hove(rows: DataFrame, columns: Sequence[str], lags: Sequence[int], width
 def non_gaussian(rows: DataFrame, columns: Sequence[str], lags: Sequence[int]) -> DataFrame:
     """lag, alpha2 = d / (d + 2) <r4> / <r2>^2 - 1."""
     d = len(columns)
-    r2 = square(displacement(columns))
-    out = lag_pairs(rows, columns, [k for k in lags if k]).groupBy("lag").agg(F.avg(r2).alias("m2"), F.avg(r2 * r2).alias("m4"))
+    out = lag_means(rows, columns, [k for k in lags if k], 1, {"m2": _squared, "m4": lambda a, b: f"{_squared(a, b)} * {_squared(a, b)}"})
     return out.select("lag", (F.lit(d / (d + 2)) * F.col("m4") / (F.col("m2") * F.col("m2")) - 1).alias("alpha2"))
 
 
 def scattering(rows: DataFrame, columns: Sequence[str], lags: Sequence[int], wave: Sequence[float]) -> DataFrame:
     """lag, re, im of the mean of exp(i q . d)."""
-    phase = sum((F.lit(q) * x for q, x in zip(wave, displacement(columns))), F.lit(0.0))
-    return lag_pairs(rows, columns, lags).groupBy("lag").agg(F.avg(F.cos(phase)).alias("re"), F.avg(F.sin(phase)).alias("im"))
+    phase = lambda a, b: " + ".join(f"{q!r}D * ({y} - {x})" for q, x, y in zip(map(float, wave), a, b))
+    return lag_means(rows, columns, lags, 1, {"re": lambda a, b: f"cos({phase(a, b)})", "im": lambda a, b: f"sin({phase(a, b)})"}).drop("pairs")
 
 
 def scattering_isotropic(rows: DataFrame, columns: Sequence[str], lags: Sequence[int], q: float) -> DataFrame:
