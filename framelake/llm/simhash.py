@@ -242,112 +242,54 @@ def near_duplicate_classes(spark: SparkSession, docs: DataFrame, words: int = 3,
 # --- near dedup by verified likeness ------------------------------------------------------------------
 
 
-BINS = 256
+#: Pairs of a bucket of up to so many documents are listed; larger buckets are compared block by block.
+FEW = 16
 
 
-def sketches(docs: DataFrame, tables: int, words: int) -> DataFrame:
-    """(doc_id, near, far, bins): `tables` SimHashes of single words under unlike hashes, one of 3-word shingles, and
-    the least hash of the word shingles in each of BINS bins (16 bits, 0: none).
+def hashes(text: str | bytes | None, words: int) -> np.ndarray:
+    """The set of word shingles as sorted 64-bit hashes."""
+    found = WORD.findall((text.encode() if isinstance(text, str) else text or b"").lower())
+    grams = [b" ".join(found)] if len(found) <= words else list(map(b" ".join, zip(*(found[i:] for i in range(words)))))
+    return np.unique(np.fromiter((xxhash.xxh64_intdigest(g, 42) for g in grams), np.uint64, len(grams)))
+
+
+def band_keys(h: np.ndarray, bands: int, rows: int) -> np.ndarray:
+    """One key a band: a hash of the least values of the set under `rows` random hash functions."""
+    rng = np.random.default_rng(17)
+    odd = rng.integers(0, 1 << 63, bands * rows, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+    low = np.full(bands * rows, np.iinfo(np.uint64).max)
+    step = max(1, (1 << 19) // len(odd))
+    for lo in range(0, len(h), step):
+        low = np.minimum(low, ((odd[:, None] * h[None, lo : lo + step]) >> np.uint64(32)).min(axis=1))
+    return np.array([xxhash.xxh64_intdigest(r.tobytes(), k) for k, r in enumerate(low.reshape(bands, rows))], np.uint64)
 
-    Single words move little where few words are edited, so copies fall within the radius in some table: at
-    a likeness of 0.8 over words that hardly repeat, in each with a chance of about a third. The shingles tell texts apart that share their words but not their order. Rows without a doc_id have none.
-    """
+
+def signatures(docs: DataFrame, words: int, bands: int, rows: int) -> DataFrame:
+    """(doc_id, same, keys): equal same for equal shingle sets; a key a band. Rows without a doc_id have none."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo in range(0, batch.num_rows, 512):
                 b = batch.slice(lo, 512)
-                near, far, bins = [], [], []
-                for t in b.column(1):
-                    found = WORD.findall((t.as_py() or b"").lower())
-                    h = np.fromiter((xxhash.xxh64_intdigest(w, 42) for w in found), np.uint64, len(found))
-                    near.append([_bits(_mixed(h, k)) for k in range(tables)])
-                    far.append(fingerprint(t.as_py()))
-                    bins.append(binned(found, words).tobytes())
-                cols = [pa.array(np.array(near, np.uint64).view(np.int64).tolist(), pa.list_(pa.int64())), pa.array(np.array(far, np.uint64).view(np.int64)), pa.array(bins, pa.binary())]
-                yield pa.RecordBatch.from_arrays([b.column(0), *cols], ["doc_id", "near", "far", "bins"])
+                sets = [hashes(t.as_py(), words) for t in b.column(1)]
+                same = pa.array([xxhash.xxh3_128_hexdigest(h.tobytes()) for h in sets], pa.string())
+                keys = pa.array([band_keys(h, bands, rows).view(np.int64) for h in sets], pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_arrays([b.column(0), same, keys], ["doc_id", "same", "keys"])
 
     own = docs.filter("doc_id is not null").select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("binary").alias("text"))
-    return own.mapInArrow(run, "doc_id bigint, near array<bigint>, far bigint, bins binary")
+    return own.mapInArrow(run, "doc_id bigint, same string, keys array<bigint>")
 
 
-def binned(found: list[bytes], words: int) -> np.ndarray:
-    """For each bin the least hash of the shingles that fall into it, as 16 bits; 0 where none does."""
-    out = np.zeros(BINS, np.uint16)
-    grams = [b" ".join(found)] if len(found) <= words else list(map(b" ".join, zip(*(found[i:] for i in range(words)))))
-    h = np.sort(np.fromiter((xxhash.xxh64_intdigest(g, 42) for g in grams), np.uint64, len(grams)))
-    bin_ = (h >> np.uint64(56)).astype(int)
-    first = np.flatnonzero(np.concatenate([[True], bin_[1:] != bin_[:-1]]))
-    out[bin_[first]] = np.maximum(h[first].astype(np.uint16), 1)
-    return out
-
-
-def perhaps_alike(pairs: DataFrame, marks: DataFrame, similarity: float) -> DataFrame:
-    """The pairs whose bins don't rule the similarity out: the share of equal bins is at most three standard errors below it."""
+def hashed_sets(docs: DataFrame, words: int) -> DataFrame:
+    """(id, hashes): hashes() of every text as bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint16).reshape(-1, BINS) for c in (2, 3))
-            filled = ((a > 0) | (b > 0)).sum(axis=1)
-            share = ((a == b) & (a > 0)).sum(axis=1) / filled
-            good = share >= similarity - 3 * np.sqrt(similarity * (1 - similarity) / filled)
-            yield batch.select(["a", "b"]).filter(pa.array(good))
-
-    left = marks.select(F.col("doc_id").alias("a"), F.col("bins").alias("ba"))
-    right = marks.select(F.col("doc_id").alias("b"), F.col("bins").alias("bb"))
-    both = pairs.join(left, "a").join(right, "b").select("a", "b", "ba", "bb")
-    return both.mapInArrow(run, "a bigint, b bigint").distinct()
-
-
-def _mixed(h: np.ndarray, k: int) -> np.ndarray:
-    """Another 64-bit hash for each k."""
-    x = (h ^ np.uint64(k * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF)) * np.uint64(0xD6E8FEB86659FD93)
-    x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
-    return x ^ (x >> np.uint64(32))
-
-
-def _bits(h: np.ndarray) -> int:
-    if not len(h):
-        return 0
-    ones = np.zeros(64, np.int64)
-    for lo in range(0, len(h), 1 << 16):
-        ones += np.unpackbits(h[lo : lo + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * ones > len(h), bitorder="little").view(np.uint64)[0])
-
-
-def _closest(near: np.ndarray, far: np.ndarray, radius: int, far_radius: int, k: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Index pairs of each point and its k closest (by far, ties to the smaller index) among those within both radii."""
-    n = len(near)
-    step = max(1, (1 << 20) // max(n, 1))
-    for lo in range(0, n, step):
-        rows = np.arange(lo, min(n, lo + step))
-        d = np.bitwise_count(far[rows][:, None] ^ far[None, :]).astype(np.int64)
-        fit = (d <= far_radius) & (_near(near[rows], near) <= radius)
-        fit[np.arange(len(rows)), rows] = False
-        some = np.flatnonzero(fit.any(axis=1))
-        if not len(some):
-            continue
-        key = np.where(fit[some], d[some] * n + np.arange(n), np.iinfo(np.int64).max)
-        at = np.argpartition(key, min(k, n - 1), axis=1)[:, :k] if n > k else np.argsort(key, axis=1)
-        own = np.take_along_axis(fit[some], at, axis=1)
-        yield np.repeat(rows[some], own.sum(axis=1)), at[own]
-
+            for lo in range(0, batch.num_rows, 512):
+                b = batch.slice(lo, 512)
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array([hashes(t.as_py(), words).tobytes() for t in b.column(1)], pa.binary())], ["id", "hashes"])
 
-def local_links(near: np.ndarray, far: np.ndarray, radius: int, far_radius: int, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """The closest pairs of all points of a shard, by a vantage-point tree over near."""
-    rng = np.random.default_rng(13)
-    out: list[tuple[np.ndarray, np.ndarray]] = []
-    stack = [np.arange(len(near))]
-    while stack:
-        own = stack.pop()
-        at = _split(near[own], radius, rng) if len(own) > LEAF else None
-        if at is None:
-            out += [(own[i], own[j]) for i, j in _closest(near[own], far[own], radius, far_radius, k)]
-            continue
-        d = np.bitwise_count(near[own] ^ np.uint64(at[0]))
-        stack += [own[d <= at[1] + radius], own[d > at[1]]]
-    i, j = (np.concatenate(x) if out else np.zeros(0, int) for x in (zip(*out) if out else ((), ())))
-    return i, j
+    return docs.select("id", F.col("text").cast("binary").alias("text")).mapInArrow(run, "id bigint, hashes binary")
 
 
 def shingles(text: str | None, words: int) -> set:
@@ -362,77 +304,134 @@ def likeness(a: str | None, b: str | None, words: int) -> float:
     return len(x & y) / len(x | y)
 
 
-def candidate_pairs(spark: SparkSession, marks: DataFrame, tables: int, radius: int, far_radius: int, k: int, shard_size: int, sample_size: int) -> DataFrame:
-    """(a, b), a < b, distinct: marks' closest pairs in any table."""
-    total = marks.count()
-    trees: list[Tree | None] = [None] * tables
-    if total > shard_size:
-        share = int(min(1.0, sample_size / total) * (1 << 30))
-        drawn = marks.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < F.lit(share)).select("near").limit(2 * sample_size)
-        sample = np.array([r[0] for r in drawn.collect()], np.int64).view(np.uint64).reshape(-1, tables)
-        trees = [Tree(sample[:, t], total, shard_size, radius) for t in range(tables)]
-    shards = [t.shards if t else 1 for t in trees]
-    base = np.cumsum([0, *shards]).tolist()
-
-    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids, far = (batch.column(c).to_numpy(zero_copy_only=False) for c in (0, 2))
-            near = np.array(batch.column(1).to_pylist(), np.int64).view(np.uint64).reshape(-1, tables)
-            for t, tree in enumerate(trees):
-                own = near[:, t]
-                for shard, at in tree.route(own) if tree else [(0, np.arange(len(own)))]:
-                    cols = [np.full(len(at), base[t] + shard), ids[at], own[at].view(np.int64), far[at]]
-                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["shard", "doc_id", "near", "far"])
+def buckets(reps: DataFrame, total: int) -> DataFrame:
+    """(key, doc_id, head, members) of every key of two documents and more; head is the smallest doc_id."""
+    every = reps.select("doc_id", F.explode("keys").alias("key"))
+    heads = every.groupBy("key").agg(F.min("doc_id").alias("head"), F.count("*").alias("n")).filter("n > 1").withColumn("members", F.col("n"))
+    return attach(every, written(heads, "heads"), "key", "n", total)
 
-    def search(shard: pd.DataFrame) -> pd.DataFrame:
-        shard = shard.sort_values("doc_id")
-        near, far = (shard[c].to_numpy(np.int64).view(np.uint64) for c in ("near", "far"))
-        i, j = local_links(near, far, radius, far_radius, k)
-        ids = shard["doc_id"].to_numpy(np.int64)
-        pairs = pd.DataFrame({"a": np.minimum(ids[i], ids[j]), "b": np.maximum(ids[i], ids[j])}).drop_duplicates()
-        return pairs[pairs["a"] < pairs["b"]]
 
-    dealt = marks.mapInArrow(deal, "shard bigint, doc_id bigint, near bigint, far bigint").repartition(base[-1], "shard")
-    return dealt.groupBy("shard").applyInPandas(search, "a bigint, b bigint").distinct()
+def first_pairs(shared: DataFrame) -> DataFrame:
+    """(a, b), a < b, distinct: all pairs of small buckets, and of large ones each document with the head."""
+    lists = shared.filter(F.col("members") <= FEW).groupBy("key").agg(F.sort_array(F.collect_set("doc_id")).alias("ids")).select("ids").distinct()
+    pairs = F.expr(f"flatten(transform(ids, (a, i) -> transform(slice(ids, i + 2, {FEW}), b -> struct(a as a, b as b))))")
+    small = lists.select(F.explode(pairs).alias("p")).select("p.a", "p.b")
+    large = shared.filter((F.col("members") > FEW) & (F.col("doc_id") != F.col("head"))).select(F.col("head").alias("a"), F.col("doc_id").alias("b"))
+    return small.unionByName(large).distinct()
 
 
-def verified(docs: DataFrame, pairs: DataFrame, words: int, similarity: float) -> DataFrame:
-    """The pairs whose texts are alike, by comparing whole texts. Only texts in a pair are moved."""
+def alike(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The pairs whose whole sets are alike."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, held = None, set()  # pairs of one b come one after another
         for batch in batches:
             good = []
-            for b, x, y in zip(*(batch.column(c).to_pylist() for c in (1, 2, 3))):
-                if b != last:
-                    last, held = b, shingles(y, words)
-                own = shingles(x, words)
-                good.append(len(own & held) >= similarity * len(own | held))
+            for x, y in zip(batch.column(2), batch.column(3)):
+                x, y = (np.frombuffer(v.as_py(), np.uint64) for v in (x, y))
+                both = len(np.intersect1d(x, y, assume_unique=True)) if min(len(x), len(y)) >= similarity * max(len(x), len(y)) else 0
+                good.append(both >= similarity * (len(x) + len(y) - both))
             yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
 
-    ids = written(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "ids")
-    texts = written(docs.select(F.col("doc_id").cast("bigint").alias("id"), "text").join(ids, "id", "left_semi").dropDuplicates(["id"]), "texts")
-    left = texts.select(F.col("id").alias("a"), F.col("text").alias("ta"))
-    right = texts.select(F.col("id").alias("b"), F.col("text").alias("tb"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "ta", "tb").mapInArrow(run, "a bigint, b bigint")
+    left = sets.select(F.col("id").alias("a"), F.col("hashes").alias("ha"))
+    right = sets.select(F.col("id").alias("b"), F.col("hashes").alias("hb"))
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "ha", "hb").mapInArrow(run, "a bigint, b bigint")
+
+
+def common_counts(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
+    """How many elements each set of a has in common with each of b; the sets are sorted arrays."""
+    out = np.zeros((len(a), len(b)), np.int64)
+    values = np.concatenate([*a, *b])
+    owner = np.repeat(np.arange(len(a) + len(b)), [len(x) for x in (*a, *b)])
+    names, code = np.unique(values, return_inverse=True)
+    inside = [np.bincount(code[own], minlength=len(names)) > 0 for own in (owner < len(a), owner >= len(a))]
+    both = inside[0] & inside[1]
+    place = np.cumsum(both) - 1
+    owner, code = owner[both[code]], place[code[both[code]]]
+    order = np.argsort(code, kind="stable")
+    owner, code = owner[order], code[order]
+    for lo in range(0, int(both.sum()), 4096):
+        part = slice(*np.searchsorted(code, (lo, lo + 4096)))
+        cells = np.zeros((len(a) + len(b), 4096), np.float32)
+        cells[owner[part], code[part] - lo] = 1
+        out += (cells[: len(a)] @ cells[len(a) :].T).astype(np.int64)
+    return out
+
+
+def block_links(labels: list[np.ndarray], ids: list[np.ndarray], sets: list[list[np.ndarray]], similarity: float) -> list[tuple[int, int]]:
+    """Pairs of a document of the one and a document of the other block that are alike, as many as connect their labels."""
+    sizes = [np.array([len(x) for x in s]) for s in sets]
+    both = common_counts(*sets)
+    hit = (both >= similarity * (sizes[0][:, None] + sizes[1][None, :] - both)) & (labels[0][:, None] != labels[1][None, :])
+    parent: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while parent.setdefault(x, x) != x:
+            x = parent[x]
+        return x
+
+    out = []
+    for i, j in zip(*np.nonzero(hit)):
+        x, y = find(int(labels[0][i])), find(int(labels[1][j]))
+        if x != y:
+            parent[x] = y
+            out.append((int(ids[0][i]), int(ids[1][j])))
+    return out
+
+
+def rest_links(shared: DataFrame, labels: DataFrame, sets: DataFrame, similarity: float, block: int) -> DataFrame:
+    """(a, b): links between the documents of large buckets that have unlike labels as yet; every such pair is compared.
+
+    A bucket's documents are dealt into blocks, and every two blocks meet in a group of their own.
+    """
+    named = shared.filter(F.col("members") > FEW).join(labels.withColumnRenamed("fp", "doc_id"), "doc_id", "left").withColumn("label", F.coalesce("label", "doc_id"))
+    named = written(named.select("key", "doc_id", "label", "members"), "named")
+    unlike = named.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.max("members").alias("n")).filter("low <> high").select("key", "n", F.lit(True).alias("open"))
+    rows = attach(named, written(unlike, "open"), "key", "n", named.count())
+    blocks = F.ceil(F.col("members") / block).cast("bigint")
+    rows = rows.withColumn("own", F.pmod(F.xxhash64("doc_id"), blocks)).withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), blocks - 1)))
+    rows = rows.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "doc_id", "label")
+
+    def compare(group: pd.DataFrame) -> pd.DataFrame:
+        sides = [group[group["own"] == group[c].iloc[0]].sort_values("doc_id") for c in ("i", "j")]
+        found = []
+        if all(map(len, sides)):
+            sets = [[np.frombuffer(x, np.uint64) for x in s["hashes"]] for s in sides]
+            found = block_links([s["label"].to_numpy(np.int64) for s in sides], [s["doc_id"].to_numpy(np.int64) for s in sides], sets, similarity)
+        return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
+
+    return rows.join(sets.withColumnRenamed("id", "doc_id"), "doc_id").groupBy("key", "i", "j").applyInPandas(compare, "a bigint, b bigint").distinct()
 
 
 def near_dedup(
-    spark: SparkSession, docs: DataFrame, words: int = 5, similarity: float = 0.8, tables: int = 10, radius: int = 3, far_radius: int = 20, closest: int = 5, shard_size: int = 1 << 16, sample_size: int = 20_000
+    spark: SparkSession, docs: DataFrame, words: int = 5, similarity: float = 0.8, bands: int = 10, rows: int = 6, shard_size: int = 256, sample_size: int | None = None
 ) -> DataFrame:
     """docs with one row of each group of near copies, that with the smallest doc_id; all columns stay.
 
-    Candidates are a text's closest ones in any of the tables' vantage-point trees; those whose sets of
-    word shingles have a Jaccard likeness of the similarity or more are links, and what links connect is a
-    group. Pairs that a bottom sketch of the shingles rules out aren't compared. So nothing goes that isn't like another text, and a text needs a link to any member of its group,
-    not to all. Rows with the same doc_id are one document: one of them stays. Rows without one all stay.
+    Documents whose sets of word shingles have a Jaccard likeness of the similarity or more are links, and
+    what links connect is a group. Equal sets are collapsed first. Candidates share the least hashes of
+    their sets in a band; the pairs of each such bucket are compared by their whole sets, all but
+    those that links connect already. So a text needs a link to any member of its group, not to all.
+    Rows with the same doc_id are one document: one of them stays. Rows without one all stay.
+
+    shard_size: documents a block of a large bucket is meant to hold; it doesn't change the result.
+    sample_size is not used any more.
     """
-    marks = written(sketches(docs, tables, words), "marks")
-    pairs = written(candidate_pairs(spark, marks.drop("bins"), tables, radius, far_radius, closest, shard_size, sample_size), "pairs")
-    links = verified(docs, written(perhaps_alike(pairs, marks, similarity), "alike"), words, similarity)
-    stars = written(links.select(F.lit(0).alias("shard"), F.col("a").alias("root"), F.explode(F.array("a", "b")).alias("fp")).distinct(), "links")
-    lost = joined_labels(stars).filter("label <> fp").select(F.col("fp").alias("__id"))
-    repeated = marks.groupBy(F.col("doc_id").alias("__id")).count().filter("count > 1").select("__id")
-    once = docs.join(repeated, docs["doc_id"] == F.col("__id"), "left_semi").dropDuplicates(["doc_id"]).join(lost, docs["doc_id"] == F.col("__id"), "left_anti")
-    left = docs.join(lost.unionByName(repeated), docs["doc_id"] == F.col("__id"), "left_anti")
-    return left.unionByName(once)
+    repeated = written(docs.filter("doc_id is not null").groupBy(F.col("doc_id").alias("__id")).count().filter("count > 1").select("__id"), "repeated")
+    once = written(docs.join(repeated, docs["doc_id"] == F.col("__id"), "left_semi").dropDuplicates(["doc_id"]), "once")
+    docs = docs.join(repeated, docs["doc_id"] == F.col("__id"), "left_anti").unionByName(once)
+
+    marks = written(signatures(docs, words, bands, rows), "marks")
+    total = marks.count()
+    groups = marks.groupBy("same").agg(F.min("doc_id").alias("a"), F.count("*").alias("n")).filter("n > 1")
+    copies = written(attach(marks.select("doc_id", "same"), groups, "same", "n", total).filter("a <> doc_id").select("a", F.col("doc_id").alias("b")), "copies")
+    shared = written(buckets(marks.join(copies.select(F.col("b").alias("doc_id")), "doc_id", "left_anti"), total * bands), "shared")
+    own = docs.select(F.col("doc_id").cast("bigint").alias("id"), "text").join(shared.select(F.col("doc_id").alias("id")).distinct(), "id", "left_semi")
+    sets = written(hashed_sets(own, words), "sets")
+    stars = lambda links: links.select(F.lit(0).alias("shard"), F.col("a").alias("root"), F.explode(F.array("a", "b")).alias("fp")).distinct()
+    links = written(stars(copies.unionByName(alike(written(first_pairs(shared), "pairs"), sets, similarity))), "links")
+    labels = joined_labels(links)
+    rest = written(stars(rest_links(shared, labels, sets, similarity, shard_size)), "rest")
+    if not rest.isEmpty():
+        labels = joined_labels(links.unionByName(rest))
+    lost = labels.filter("label <> fp").select(F.col("fp").alias("__id"))
+    return docs.join(lost, docs["doc_id"] == F.col("__id"), "left_anti")

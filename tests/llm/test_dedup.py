@@ -188,3 +188,25 @@ def test_many_copies_of_one_text_link_up(spark):
     words = [f"v{i}" for i in range(300)]
     rows = [(i, " ".join(words[:k] + [f"x{i}"] + words[k + 1 :])) for i, k in enumerate(np.random.default_rng(1).integers(0, 300, 400).tolist())]
     assert [r.doc_id for r in S.near_dedup(spark, spark.createDataFrame(rows, DOC)).collect()] == [0]
+
+
+def test_clusters_of_case_variants_link_across(spark):
+    rng = np.random.default_rng(4)
+    base = [f"v{i}" for i in rng.integers(0, 5000, 400)]
+    other = [*base[:200], "x1", "x2", "x3", *base[203:]]
+    assert 0.8 <= S.likeness(" ".join(base), " ".join(other), 5) < 1
+    spelled = lambda words, n: [" ".join(w.upper() if k == i else w for i, w in enumerate(words)) for k in range(n)]
+    rows = list(enumerate(spelled(base, 7) + spelled(other, 7)))
+    assert [r.doc_id for r in S.near_dedup(spark, spark.createDataFrame(rows, DOC)).collect()] == [0]
+
+
+def test_pairs_of_a_large_bucket_beyond_its_head(spark):
+    # all share most shingles; the head is alike to none, the others in pairs
+    common = [f"c{i}" for i in range(300)]
+    rows = [(0, " ".join([*common, *(f"h{i}" for i in range(200))]))]
+    for k in range(40):
+        own = [f"k{k}x{i}" for i in range(120)]
+        rows += [(2 * k + 1, " ".join([*common, *own])), (2 * k + 2, " ".join([*common, *own, "end"]))]
+    for options in ({}, {"shard_size": 7}):
+        got = sorted(r.doc_id for r in S.near_dedup(spark, spark.createDataFrame(rows, DOC), **options).collect())
+        assert got == [0, *range(1, 81, 2)]
