@@ -17,6 +17,7 @@ component's id unless all are null. Equal rows each give a row. An empty table g
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 
@@ -253,6 +254,11 @@ def hashes(text: str | bytes | None, words: int) -> np.ndarray:
     return np.unique(np.fromiter((xxhash.xxh64_intdigest(g, 42) for g in grams), np.uint64, len(grams)))
 
 
+def bands_for(similarity: float, rows: int, miss: float) -> int:
+    """So many bands that a pair right at the similarity shares none with a chance of at most miss, wherever the edits are."""
+    return max(1, math.ceil(math.log(miss) / math.log1p(-(similarity**rows)))) if similarity < 1 else 1
+
+
 def band_keys(h: np.ndarray, bands: int, rows: int) -> np.ndarray:
     """One key a band: a hash of the least values of the set under `rows` random hash functions."""
     rng = np.random.default_rng(17)
@@ -403,7 +409,7 @@ def rest_links(shared: DataFrame, labels: DataFrame, sets: DataFrame, similarity
 
 
 def near_dedup(
-    spark: SparkSession, docs: DataFrame, words: int = 5, similarity: float = 0.8, bands: int = 10, rows: int = 6, shard_size: int = 256, sample_size: int | None = None
+    spark: SparkSession, docs: DataFrame, words: int = 5, similarity: float = 0.8, rows: int = 6, miss: float = 1e-6, shard_size: int = 256, sample_size: int | None = None
 ) -> DataFrame:
     """docs with one row of each group of near copies, that with the smallest doc_id; all columns stay.
 
@@ -413,6 +419,7 @@ def near_dedup(
     those that links connect already. So a text needs a link to any member of its group, not to all.
     Rows with the same doc_id are one document: one of them stays. Rows without one all stay.
 
+    miss: the chance that a pair right at the similarity is no candidate; it falls fast above it.
     shard_size: documents a block of a large bucket is meant to hold; it doesn't change the result.
     sample_size is not used any more.
     """
@@ -420,6 +427,7 @@ def near_dedup(
     once = written(docs.join(repeated, docs["doc_id"] == F.col("__id"), "left_semi").dropDuplicates(["doc_id"]), "once")
     docs = docs.join(repeated, docs["doc_id"] == F.col("__id"), "left_anti").unionByName(once)
 
+    bands = bands_for(similarity, rows, miss)
     marks = written(signatures(docs, words, bands, rows), "marks")
     total = marks.count()
     groups = marks.groupBy("same").agg(F.min("doc_id").alias("a"), F.count("*").alias("n")).filter("n > 1")

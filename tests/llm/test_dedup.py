@@ -210,3 +210,18 @@ def test_pairs_of_a_large_bucket_beyond_its_head(spark):
     for options in ({}, {"shard_size": 7}):
         got = sorted(r.doc_id for r in S.near_dedup(spark, spark.createDataFrame(rows, DOC), **options).collect())
         assert got == [0, *range(1, 81, 2)]
+
+
+def test_added_replaced_and_repeated_paragraphs_against_all_pairs(spark):
+    rng = np.random.default_rng(6)
+    words = lambda n: [f"w{i}" for i in rng.integers(0, 2000, n)]
+    rows = []
+    for k in range(40):
+        base, n = words(300), int(rng.integers(5, 28))
+        edited = [[*base, *words(2 * n)], [*base[:100], *words(n), *base[100 + n :]], [*base, *base[40:60] * 60]]
+        rows += [(len(rows) + i, " ".join(t)) for i, t in enumerate([base, edited[k % 3]])]
+    n = len(rows)
+    sets = [S.shingles(t, 5) for _, t in rows]
+    lost = {j for j in range(n) for i in range(j) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])}
+    assert len(lost) >= 35 and S.bands_for(0.8, 6, 1e-6) == 46
+    assert {r.doc_id for r in S.near_dedup(spark, spark.createDataFrame(rows, DOC)).collect()} == set(range(n)) - lost
