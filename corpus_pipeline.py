@@ -39,8 +39,8 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Packs the documents' ids into sequences of at most 4096."""
-    return pack_documents(spark, docs, vocabulary("word_bpe_49k.json"), end_id=1, capacity=4096)
+    """Packs the documents' ids into sequences of at most 4096, window by window of the mixed order, and numbers them by it."""
+    return pack_documents(spark, docs, vocabulary("word_bpe_49k.json"), end_id=1, capacity=4096, scheduled=True)
 
 
 STAGES = [("quality", quality), ("exact_dedup", exact), ("near_dedup", near), ("mixing", mixing), ("packing", packing)]

@@ -3,7 +3,8 @@
 A chromosome is a whole packing, its genes are the bins. Crossover injects the well-filled bins of one
 parent, whole, into the other, drops the bins that then hold a document twice, and best-fits the displaced
 documents; mutation empties the worst-filled bins. Pieces are dealt by a hash of their identity into
-problems of about problem_size pieces; each problem evolves on islands, which are rows of a table. After
+problems of about problem_size pieces, or, for documents in the order of a schedule, by windows of that
+order, by which sequences are numbered then; each problem evolves on islands, which are rows of a table. After
 each epoch every island sends its elite to the next one on the ring. Only lengths travel, never texts or ids.
 
 A packing is evolved until it has as many bins as its total length needs at least, or the epochs end.
@@ -31,8 +32,20 @@ from .tokens import encoder
 PIECES = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint"
 
 
+def placed(docs: DataFrame) -> DataFrame:
+    """doc_id, text and position: the place, from 0, of each row in the files of docs (read from written files), in the files' order."""
+    rows = docs.select("doc_id", "text", F.col("_metadata.file_name").alias("__file"), F.col("_metadata.row_index").alias("__row"))
+    starts, at = [], 0
+    for name, n in sorted(tuple(r) for r in rows.groupBy("__file").count().collect()):
+        starts.append((name, at))
+        at += n
+    firsts = docs.sparkSession.createDataFrame(starts, "__file string, __first bigint")
+    return rows.join(F.broadcast(firsts), "__file").select("doc_id", "text", (F.col("__first") + F.col("__row")).alias("position"))
+
+
 def pieces(docs: DataFrame, tokenizer: str, end_id: int = 1, capacity: int = 4096) -> DataFrame:
-    """One row per piece of each document's ids, with the end id: doc_id, piece, start, length, ids_crc32."""
+    """One row per piece of each document's ids, with the end id: doc_id, piece, start, length, ids_crc32; position, if docs has it."""
+    carried = ["position"] if "position" in docs.columns else []
     end = struct.pack("<I", end_id)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -41,16 +54,17 @@ def pieces(docs: DataFrame, tokenizer: str, end_id: int = 1, capacity: int = 409
             for lo in range(0, batch.num_rows, 128):
                 b = batch.slice(lo, 128)
                 rows = []
-                for name, ids in zip(b.column(0).to_pylist(), enc.ids([t or "" for t in b.column(1).to_pylist()])):
+                places = [b.column(2 + k).to_pylist() for k in range(len(carried))]
+                for row, (name, ids) in enumerate(zip(b.column(0).to_pylist(), enc.ids([t or "" for t in b.column(1).to_pylist()]))):
                     ids += end
                     for k, at in enumerate(range(0, len(ids), 4 * capacity)):
                         part = ids[at : at + 4 * capacity]
-                        rows.append((name, k, at // 4, len(part) // 4, zlib.crc32(part)))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()))], ["doc_id", "piece", "start", "length", "ids_crc32"]
-                )
+                        rows.append((name, k, at // 4, len(part) // 4, zlib.crc32(part), *(p[row] for p in places)))
+                types = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], ["doc_id", "piece", "start", "length", "ids_crc32", *carried])
 
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(run, PIECES)
+    schema = PIECES + (", position bigint" if carried else "")
+    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", *carried).mapInArrow(run, schema)
 
 
 def best_fit(items: list[int], lengths: list[int], bins: list[list[int]], room: list[int], capacity: int) -> None:
@@ -154,7 +168,13 @@ def pack_pieces(parts: DataFrame, capacity: int = 4096, problem_size: int = 8192
     """parts (a written table of pieces) with sequence_id and offset, gapless from 0 in each sequence."""
     total = parts.count()
     problems = max(1, -(-total // problem_size))
-    dealt = parts.withColumn("problem", F.pmod(F.xxhash64(F.lit(17), "doc_id", "piece", "ids_crc32"), F.lit(problems)))
+    scheduled = "position" in parts.columns
+    if scheduled:
+        documents = (parts.agg(F.max("position")).first()[0] or 0) + 1
+        problem = F.expr(f"position * {problems} div {documents}")
+    else:
+        problem = F.pmod(F.xxhash64(F.lit(17), "doc_id", "piece", "ids_crc32"), F.lit(problems))
+    dealt = parts.withColumn("problem", problem)
     order = ["doc_id", "piece", "start", "ids_crc32", "length"]
 
     def found(group: pd.DataFrame) -> pd.DataFrame:
@@ -199,17 +219,27 @@ def pack_pieces(parts: DataFrame, capacity: int = 4096, problem_size: int = 8192
         own = left.sort_values(["length", *order[:-1]], ascending=[False, True, True, True, True], kind="stable").reset_index(drop=True)
         genes = np.frombuffer(zlib.decompress(right["genes"].iloc[0]), "<i4")
         n = own["length"].to_numpy(np.int64)
+        if scheduled and len(genes):
+            # sequences are numbered in the order of their pieces' mean places
+            names, genes = np.unique(genes, return_inverse=True)
+            mean = np.bincount(genes, own["position"].to_numpy(float)) / np.bincount(genes)
+            rank = np.empty(len(names), np.int64)
+            rank[np.argsort(mean, kind="stable")] = np.arange(len(names))
+            genes = rank[genes]
         by_bin = np.argsort(genes, kind="stable")
         run = np.cumsum(n[by_bin]) - n[by_bin]
         head = np.concatenate([[True], np.diff(genes[by_bin]) != 0]) if len(genes) else np.zeros(0, bool)
         offset = np.empty(len(n), np.int64)
         offset[by_bin] = run - np.maximum.accumulate(np.where(head, run, 0))
-        return own.drop(columns="problem").assign(sequence_id=(int(key[0]) << 24) + genes.astype(np.int64), offset=offset)
+        return own.drop(columns=["problem", *(["position"] if scheduled else [])]).assign(sequence_id=(int(key[0]) << 24) + genes.astype(np.int64), offset=offset)
 
     schema = PIECES + ", sequence_id bigint, offset bigint"
     return dealt.groupBy("problem").cogroup(best.groupBy("problem")).applyInPandas(place, schema)
 
 
-def pack_documents(spark: SparkSession, docs: DataFrame, tokenizer: str, end_id: int = 1, capacity: int = 4096) -> DataFrame:
-    """Per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset."""
-    return pack_pieces(written(pieces(docs, tokenizer, end_id, capacity), "pieces"), capacity)
+def pack_documents(spark: SparkSession, docs: DataFrame, tokenizer: str, end_id: int = 1, capacity: int = 4096, scheduled: bool = False) -> DataFrame:
+    """Per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset.
+
+    scheduled: the files of docs stand in an order that the sequences are to follow.
+    """
+    return pack_pieces(written(pieces(placed(docs) if scheduled else docs, tokenizer, end_id, capacity), "pieces"), capacity)

@@ -205,3 +205,22 @@ def test_pipeline_on_empty_documents(spark, sf, tmp_path):
     spark.read.parquet(f"{sf}/documents.parquet").limit(0).write.parquet(str(tmp_path / "documents.parquet"))
     spark.read.parquet(f"{sf}/labels.parquet").write.parquet(str(tmp_path / "labels.parquet"))
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_weights_of_the_mixing_reach_the_sequences(spark):
+    from framelake.llm.common import written
+
+    rng = random.Random(2)
+    rows = [(i, " ".join(f"w{rng.randint(0, 900)}" for _ in range(rng.randint(50, 900))), "en", "ab"[i % 2], 0) for i in range(300)]
+    docs = spark.createDataFrame(rows, DOC)
+    packed = {}
+    for heavy in "ab":
+        mixed = written(M.mixed(spark, docs, weights={"a": 0.1, "b": 0.1} | {heavy: 0.9}, block_chars=2000), "mixed")
+        packed[heavy] = corpus_pipeline.packing(spark, mixed, "").collect()
+    assert len(packed["a"]) == len(packed["b"])
+    for heavy, own in packed.items():
+        ids = sorted({r.sequence_id for r in own})
+        early = [r for r in own if r.sequence_id in ids[: len(ids) // 3]]
+        assert sum("ab"[r.doc_id % 2] == heavy for r in early) > 0.65 * len(early)
+    where = lambda own: sorted((r.doc_id, r.piece, r.sequence_id) for r in own)
+    assert where(packed["a"]) != where(packed["b"])
