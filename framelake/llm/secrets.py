@@ -4,7 +4,7 @@ Base spans come from three patterns (assignments, access ids, hex runs). Beyond
 characters is a candidate: it is decoded (base64, base64url, hex) and reported only if what comes out has
 a structure that text doesn't have by chance:
 
-- jwt: three dotted parts, the first a JSON object with a string "alg", the second a JSON object;
+- jwt: three dotted parts anywhere in the run (the third may be empty), the first a JSON object with a string "alg", the second a JSON object;
 - der: an ASN.1 SEQUENCE whose nested lengths all add up, with at least two elements;
 - ssh: length-prefixed strings that fill the blob, the first a known key name; or an OpenSSH key header;
 - pem: a BEGIN/END pair with the same label around base64 that decodes to either of these.
@@ -34,6 +34,10 @@ ACCESS = re.compile("AKIA[A-Z0-9]{14,}")
 HEX = re.compile("[0-9a-f]{16,}")
 CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_=.-])[A-Za-z0-9+/_=.-]{24,}")
 PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]{1,40})-----([A-Za-z0-9+/=\s]{16,}?)-----END \1-----")
+#: In a dotted run: where a token's header may start, a whole part, and the third part's beginning.
+HEAD = re.compile(r"ey(?=[A-Za-z0-9+/_-]+={0,2}\Z)")
+WHOLE = re.compile(r"[A-Za-z0-9+/_-]+={0,2}")
+SIGNATURE = re.compile(r"[A-Za-z0-9+/_-]*")
 PARTS = re.compile(r"[A-Za-z0-9+/_-]{24,}={0,2}")
 #: Names of SSH key types (fixed values).
 SSH_NAMES = (b"ssh-rsa", b"ssh-dss", b"ssh-ed25519", b"ecdsa-sha2-nistp256", b"ecdsa-sha2-nistp384", b"ecdsa-sha2-nistp521")
@@ -113,6 +117,25 @@ def is_jwt(word: str) -> bool:
     return isinstance(head, dict) and isinstance(head.get("alg"), str) and isinstance(body, dict)
 
 
+def signed_tokens(word: str) -> list[tuple[int, int]]:
+    """The spans in a run of token characters that are signed tokens; the run may have more around them."""
+    found, parts, at = [], word.split("."), 0
+    starts = [0]
+    for p in parts:
+        starts.append(starts[-1] + len(p) + 1)
+    while at + 2 < len(parts):
+        head, body = parts[at : at + 2]
+        if "ey" in head and WHOLE.fullmatch(body) and (decoded(body) or b"").lstrip().startswith(b"{"):
+            last = SIGNATURE.match(parts[at + 2])[0]
+            for m in HEAD.finditer(head):
+                if is_jwt(f"{m[0]}{head[m.end():]}.{body}.{last}"):
+                    found.append((starts[at] + m.start(), starts[at + 2] + len(last)))
+                    at += 2
+                    break
+        at += 1
+    return found
+
+
 def _structure(data: bytes | None) -> int | None:
     if data is None:
         return None
@@ -128,11 +151,11 @@ def confirmed_spans(text: str) -> list[tuple[int, int, int]]:
                 found.append((m.start(), 3, m.end()))
     for m in CANDIDATE.finditer(text):
         word = m[0]
-        if word.count(".") == 2 and is_jwt(stripped := word.strip("=.")):
-            at = m.start() + word.index(stripped)
-            found.append((at, 4, at + len(stripped)))
-            continue
+        tokens = signed_tokens(word) if word.count(".") >= 2 else []
+        found += [(m.start() + a, 4, m.start() + b) for a, b in tokens]
         for p in PARTS.finditer(word):
+            if any(a < p.end() and p.start() < b for a, b in tokens):
+                continue
             kind = _structure(decoded(p[0]))
             if kind is None and len(p[0]) % 2 == 0 and re.fullmatch("[0-9A-Fa-f]+", p[0]):
                 kind = _structure(bytes.fromhex(p[0]))

@@ -221,3 +221,13 @@ def test_scan_over_a_table(spark):
     assert three.spans == f"assign:0:20,jwt:21:{21 + len(JWT)}" and three.base_sha256 == hashlib.sha256(b"assign:0:20").hexdigest()
     assert S.scan(spark, spark.createDataFrame([], DOC)).count() == 0
     assert S.redacted(f"a token = abcdefghijkl b {JWT}") == "a [SECRET] b [SECRET]"
+
+
+def test_tokens_inside_longer_runs():
+    bare = JWT.rsplit(".", 1)[0] + "."
+    assert kinds(f"it was {JWT}. Next") == [("jwt", JWT)] and kinds(f"{JWT}...") == [("jwt", JWT)]
+    for before in ("jwt=", "/a/", "key-", "x.", "monkey/", "=."):
+        assert kinds(f"{before}{JWT}") == [("jwt", JWT)], before
+        assert kinds(f"see {before}{bare} so") == [("jwt", bare)], before
+    assert kinds(f"{JWT}.{JWT}") == [("jwt", JWT)] * 2
+    assert kinds("ey" * 5000 + "." + "ey" * 5000 + ".") == []
