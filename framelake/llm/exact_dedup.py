@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import attach, written
+from .common import attach, unused, written
 
 SLOTS = 4
 SEGMENT_BITS = 1 << 19
@@ -123,14 +123,10 @@ def duplicate_classes(spark: SparkSession, docs: DataFrame, max_bits: int = 1 <<
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, max_bits: int = 1 << 28) -> DataFrame:
     """docs without later copies: of equal texts the row with the smallest doc_id stays, with all its columns."""
-    keys = written(docs.select(F.col("doc_id").alias("__id"), text_key(F.col("text")).alias("text_sha256")), "keys")
-    maybe = mark_repeats(spark, keys, keys.count(), max_bits)
-    with_key = docs.withColumn("__key", text_key(F.col("text")))
-    with_key = with_key.withColumn("__maybe", maybe(F.xxhash64("__key")))
-    alone = with_key.filter(~F.col("__maybe"))
-    flagged = keys.filter(maybe(F.xxhash64("text_sha256")))
-    first = flagged.groupBy("text_sha256").agg(F.min("__id").alias("__first")).select(F.col("text_sha256").alias("__key"), "__first")
-    again = with_key.filter("__maybe").alias("d").join(
-        first.alias("f"), (F.col("d.__key") == F.col("f.__key")) & F.col("d.doc_id").eqNullSafe(F.col("f.__first"))
-    ).select("d.*").dropDuplicates(["__key"])
-    return alone.unionByName(again).drop("__key", "__maybe")
+    key, maybe, low, low_key = unused(docs.columns, "key", "maybe", "low", "low_key")
+    keys = written(docs.select(docs["doc_id"].alias("doc_id"), text_key(docs["text"]).alias("text_sha256")), "keys")
+    test = mark_repeats(spark, keys, keys.count(), max_bits)
+    rows = docs.withColumn(key, text_key(docs["text"])).withColumn(maybe, test(F.xxhash64(key)))
+    first = keys.filter(test(F.xxhash64("text_sha256"))).groupBy("text_sha256").agg(F.min("doc_id").alias(low)).withColumnRenamed("text_sha256", low_key)
+    again = rows.filter(maybe).join(first, (F.col(key) == F.col(low_key)) & F.col("doc_id").eqNullSafe(F.col(low))).drop(low, low_key).dropDuplicates([key])
+    return rows.filter(~F.col(maybe)).unionByName(again).drop(key, maybe)

@@ -17,7 +17,6 @@ component's id unless all are null. Equal rows each give a row. An empty table g
 
 from __future__ import annotations
 
-import math
 import re
 from collections.abc import Iterator
 
@@ -212,17 +211,19 @@ def near_components(spark: SparkSession, fps: DataFrame, radius: int = 3, shard_
 
 
 def joined_labels(stars: DataFrame) -> DataFrame:
-    """(fp, label): label is the same for all fps that stars connect."""
+    """(fp, label): label, an fp, is the same for all fps that the stars (shard, root, fp) connect. fps are of any one type that has an order."""
+    stars = written(stars.select(F.struct("shard", "root").alias("hub"), "root", "fp"), "hubs")
+    total = stars.count()
     labels = stars.groupBy("fp").agg(F.min("root").alias("label"))
     sums = None
     while True:
         labels = written(labels, "labels")
-        now = labels.agg(F.count("*"), F.sum(F.col("label").cast("decimal(38,0)"))).first()
+        now = labels.agg(F.count("*"), F.sum(F.xxhash64("fp", "label").cast("decimal(38,0)"))).first()
         if now == sums:
             return labels
         sums = now
-        hub = stars.join(labels, "fp").groupBy("shard", "root").agg(F.min("label").alias("low"))
-        low = stars.join(hub, ["shard", "root"]).groupBy("fp").agg(F.min("low").alias("label"))
+        hubs = stars.join(labels, "fp").groupBy("hub").agg(F.min("label").alias("low"), F.count("*").alias("n"))
+        low = attach(stars, written(hubs, "lows"), "hub", "n", total).groupBy("fp").agg(F.min("low").alias("label"))
         # a label is itself a fingerprint: take over the label that it has by now
         up = labels.select(F.col("fp").alias("label"), F.col("label").alias("next"))
         labels = low.join(up, "label", "left").select("fp", F.least("label", F.coalesce("next", "label")).alias("label"))
@@ -238,208 +239,3 @@ def near_duplicate_classes(spark: SparkSession, docs: DataFrame, words: int = 3,
     total = fps.count()
     parts = near_components(spark, fps, radius, shard_size).select("fp", "size", "component_id")
     return attach(fps, parts, "fp", "size", total).select("doc_id", hex16(F.col("fp")).alias("fingerprint"), "component_id")
-
-
-# --- near dedup by verified likeness ------------------------------------------------------------------
-
-
-#: Pairs of a bucket of up to so many documents are listed; larger buckets are compared block by block.
-FEW = 16
-
-
-def hashes(text: str | bytes | None, words: int) -> np.ndarray:
-    """The set of word shingles as sorted 64-bit hashes."""
-    found = WORD.findall((text.encode() if isinstance(text, str) else text or b"").lower())
-    grams = [b" ".join(found)] if len(found) <= words else list(map(b" ".join, zip(*(found[i:] for i in range(words)))))
-    return np.unique(np.fromiter((xxhash.xxh64_intdigest(g, 42) for g in grams), np.uint64, len(grams)))
-
-
-def bands_for(similarity: float, rows: int, miss: float) -> int:
-    """So many bands that a pair right at the similarity shares none with a chance of at most miss, wherever the edits are."""
-    return max(1, math.ceil(math.log(miss) / math.log1p(-(similarity**rows)))) if similarity < 1 else 1
-
-
-def band_keys(h: np.ndarray, bands: int, rows: int) -> np.ndarray:
-    """One key a band: a hash of the least values of the set under `rows` random hash functions."""
-    rng = np.random.default_rng(17)
-    odd = rng.integers(0, 1 << 63, bands * rows, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-    low = np.full(bands * rows, np.iinfo(np.uint64).max)
-    step = max(1, (1 << 19) // len(odd))
-    for lo in range(0, len(h), step):
-        low = np.minimum(low, ((odd[:, None] * h[None, lo : lo + step]) >> np.uint64(32)).min(axis=1))
-    return np.array([xxhash.xxh64_intdigest(r.tobytes(), k) for k, r in enumerate(low.reshape(bands, rows))], np.uint64)
-
-
-def signatures(docs: DataFrame, words: int, bands: int, rows: int) -> DataFrame:
-    """(doc_id, same, keys): equal same for equal shingle sets; a key a band. Rows without a doc_id have none."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for lo in range(0, batch.num_rows, 512):
-                b = batch.slice(lo, 512)
-                sets = [hashes(t.as_py(), words) for t in b.column(1)]
-                same = pa.array([xxhash.xxh3_128_hexdigest(h.tobytes()) for h in sets], pa.string())
-                keys = pa.array([band_keys(h, bands, rows).view(np.int64) for h in sets], pa.list_(pa.int64()))
-                yield pa.RecordBatch.from_arrays([b.column(0), same, keys], ["doc_id", "same", "keys"])
-
-    own = docs.filter("doc_id is not null").select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("binary").alias("text"))
-    return own.mapInArrow(run, "doc_id bigint, same string, keys array<bigint>")
-
-
-def hashed_sets(docs: DataFrame, words: int) -> DataFrame:
-    """(id, hashes): hashes() of every text as bytes."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for lo in range(0, batch.num_rows, 512):
-                b = batch.slice(lo, 512)
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array([hashes(t.as_py(), words).tobytes() for t in b.column(1)], pa.binary())], ["id", "hashes"])
-
-    return docs.select("id", F.col("text").cast("binary").alias("text")).mapInArrow(run, "id bigint, hashes binary")
-
-
-def shingles(text: str | None, words: int) -> set:
-    """The set of word shingles, A-Z lower-cased (fewer words: the whole sequence)."""
-    found = WORD.findall((text or "").encode().lower())
-    return set(zip(*(found[i:] for i in range(words)))) if len(found) > words else {tuple(found)}
-
-
-def likeness(a: str | None, b: str | None, words: int) -> float:
-    """Jaccard likeness of the sets of word shingles."""
-    x, y = shingles(a, words), shingles(b, words)
-    return len(x & y) / len(x | y)
-
-
-def buckets(reps: DataFrame, total: int) -> DataFrame:
-    """(key, doc_id, head, members) of every key of two documents and more; head is the smallest doc_id."""
-    every = reps.select("doc_id", F.explode("keys").alias("key"))
-    heads = every.groupBy("key").agg(F.min("doc_id").alias("head"), F.count("*").alias("n")).filter("n > 1").withColumn("members", F.col("n"))
-    return attach(every, written(heads, "heads"), "key", "n", total)
-
-
-def first_pairs(shared: DataFrame) -> DataFrame:
-    """(a, b), a < b, distinct: all pairs of small buckets, and of large ones each document with the head."""
-    lists = shared.filter(F.col("members") <= FEW).groupBy("key").agg(F.sort_array(F.collect_set("doc_id")).alias("ids")).select("ids").distinct()
-    pairs = F.expr(f"flatten(transform(ids, (a, i) -> transform(slice(ids, i + 2, {FEW}), b -> struct(a as a, b as b))))")
-    small = lists.select(F.explode(pairs).alias("p")).select("p.a", "p.b")
-    large = shared.filter((F.col("members") > FEW) & (F.col("doc_id") != F.col("head"))).select(F.col("head").alias("a"), F.col("doc_id").alias("b"))
-    return small.unionByName(large).distinct()
-
-
-def alike(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """The pairs whose whole sets are alike."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            good = []
-            for x, y in zip(batch.column(2), batch.column(3)):
-                x, y = (np.frombuffer(v.as_py(), np.uint64) for v in (x, y))
-                both = len(np.intersect1d(x, y, assume_unique=True)) if min(len(x), len(y)) >= similarity * max(len(x), len(y)) else 0
-                good.append(both >= similarity * (len(x) + len(y) - both))
-            yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
-
-    left = sets.select(F.col("id").alias("a"), F.col("hashes").alias("ha"))
-    right = sets.select(F.col("id").alias("b"), F.col("hashes").alias("hb"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "ha", "hb").mapInArrow(run, "a bigint, b bigint")
-
-
-def common_counts(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
-    """How many elements each set of a has in common with each of b; the sets are sorted arrays."""
-    out = np.zeros((len(a), len(b)), np.int64)
-    values = np.concatenate([*a, *b])
-    owner = np.repeat(np.arange(len(a) + len(b)), [len(x) for x in (*a, *b)])
-    names, code = np.unique(values, return_inverse=True)
-    inside = [np.bincount(code[own], minlength=len(names)) > 0 for own in (owner < len(a), owner >= len(a))]
-    both = inside[0] & inside[1]
-    place = np.cumsum(both) - 1
-    owner, code = owner[both[code]], place[code[both[code]]]
-    order = np.argsort(code, kind="stable")
-    owner, code = owner[order], code[order]
-    for lo in range(0, int(both.sum()), 4096):
-        part = slice(*np.searchsorted(code, (lo, lo + 4096)))
-        cells = np.zeros((len(a) + len(b), 4096), np.float32)
-        cells[owner[part], code[part] - lo] = 1
-        out += (cells[: len(a)] @ cells[len(a) :].T).astype(np.int64)
-    return out
-
-
-def block_links(labels: list[np.ndarray], ids: list[np.ndarray], sets: list[list[np.ndarray]], similarity: float) -> list[tuple[int, int]]:
-    """Pairs of a document of the one and a document of the other block that are alike, as many as connect their labels."""
-    sizes = [np.array([len(x) for x in s]) for s in sets]
-    both = common_counts(*sets)
-    hit = (both >= similarity * (sizes[0][:, None] + sizes[1][None, :] - both)) & (labels[0][:, None] != labels[1][None, :])
-    parent: dict[int, int] = {}
-
-    def find(x: int) -> int:
-        while parent.setdefault(x, x) != x:
-            x = parent[x]
-        return x
-
-    out = []
-    for i, j in zip(*np.nonzero(hit)):
-        x, y = find(int(labels[0][i])), find(int(labels[1][j]))
-        if x != y:
-            parent[x] = y
-            out.append((int(ids[0][i]), int(ids[1][j])))
-    return out
-
-
-def rest_links(shared: DataFrame, labels: DataFrame, sets: DataFrame, similarity: float, block: int) -> DataFrame:
-    """(a, b): links between the documents of large buckets that have unlike labels as yet; every such pair is compared.
-
-    A bucket's documents are dealt into blocks, and every two blocks meet in a group of their own.
-    """
-    named = shared.filter(F.col("members") > FEW).join(labels.withColumnRenamed("fp", "doc_id"), "doc_id", "left").withColumn("label", F.coalesce("label", "doc_id"))
-    named = written(named.select("key", "doc_id", "label", "members"), "named")
-    unlike = named.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.max("members").alias("n")).filter("low <> high").select("key", "n", F.lit(True).alias("open"))
-    rows = attach(named, written(unlike, "open"), "key", "n", named.count())
-    blocks = F.ceil(F.col("members") / block).cast("bigint")
-    rows = rows.withColumn("own", F.pmod(F.xxhash64("doc_id"), blocks)).withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), blocks - 1)))
-    rows = rows.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "doc_id", "label")
-
-    def compare(group: pd.DataFrame) -> pd.DataFrame:
-        sides = [group[group["own"] == group[c].iloc[0]].sort_values("doc_id") for c in ("i", "j")]
-        found = []
-        if all(map(len, sides)):
-            sets = [[np.frombuffer(x, np.uint64) for x in s["hashes"]] for s in sides]
-            found = block_links([s["label"].to_numpy(np.int64) for s in sides], [s["doc_id"].to_numpy(np.int64) for s in sides], sets, similarity)
-        return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
-
-    return rows.join(sets.withColumnRenamed("id", "doc_id"), "doc_id").groupBy("key", "i", "j").applyInPandas(compare, "a bigint, b bigint").distinct()
-
-
-def near_dedup(
-    spark: SparkSession, docs: DataFrame, words: int = 5, similarity: float = 0.8, rows: int = 6, miss: float = 1e-6, shard_size: int = 256, sample_size: int | None = None
-) -> DataFrame:
-    """docs with one row of each group of near copies, that with the smallest doc_id; all columns stay.
-
-    Documents whose sets of word shingles have a Jaccard likeness of the similarity or more are links, and
-    what links connect is a group. Equal sets are collapsed first. Candidates share the least hashes of
-    their sets in a band; the pairs of each such bucket are compared by their whole sets, all but
-    those that links connect already. So a text needs a link to any member of its group, not to all.
-    Rows with the same doc_id are one document: one of them stays. Rows without one all stay.
-
-    miss: the chance that a pair right at the similarity is no candidate; it falls fast above it.
-    shard_size: documents a block of a large bucket is meant to hold; it doesn't change the result.
-    sample_size is not used any more.
-    """
-    repeated = written(docs.filter("doc_id is not null").groupBy(F.col("doc_id").alias("__id")).count().filter("count > 1").select("__id"), "repeated")
-    once = written(docs.join(repeated, docs["doc_id"] == F.col("__id"), "left_semi").dropDuplicates(["doc_id"]), "once")
-    docs = docs.join(repeated, docs["doc_id"] == F.col("__id"), "left_anti").unionByName(once)
-
-    bands = bands_for(similarity, rows, miss)
-    marks = written(signatures(docs, words, bands, rows), "marks")
-    total = marks.count()
-    groups = marks.groupBy("same").agg(F.min("doc_id").alias("a"), F.count("*").alias("n")).filter("n > 1")
-    copies = written(attach(marks.select("doc_id", "same"), groups, "same", "n", total).filter("a <> doc_id").select("a", F.col("doc_id").alias("b")), "copies")
-    shared = written(buckets(marks.join(copies.select(F.col("b").alias("doc_id")), "doc_id", "left_anti"), total * bands), "shared")
-    own = docs.select(F.col("doc_id").cast("bigint").alias("id"), "text").join(shared.select(F.col("doc_id").alias("id")).distinct(), "id", "left_semi")
-    sets = written(hashed_sets(own, words), "sets")
-    stars = lambda links: links.select(F.lit(0).alias("shard"), F.col("a").alias("root"), F.explode(F.array("a", "b")).alias("fp")).distinct()
-    links = written(stars(copies.unionByName(alike(written(first_pairs(shared), "pairs"), sets, similarity))), "links")
-    labels = joined_labels(links)
-    rest = written(stars(rest_links(shared, labels, sets, similarity, shard_size)), "rest")
-    if not rest.isEmpty():
-        labels = joined_labels(links.unionByName(rest))
-    lost = labels.filter("label <> fp").select(F.col("fp").alias("__id"))
-    return docs.join(lost, docs["doc_id"] == F.col("__id"), "left_anti")

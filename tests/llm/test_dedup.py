@@ -9,6 +9,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from framelake.llm import exact_dedup as E
+from framelake.llm import near_dedup as N
 from framelake.llm import simhash as S
 from framelake.llm.common import attach
 
@@ -149,12 +150,12 @@ def test_local_search_equals_all_pairs():
 def test_near_dedup_rows(spark):
     text = " ".join(f"w{i}" for i in range(400))
     rows = [(10, text), (11, text.replace("w7 ", "w8 ")), (11, text.replace("w7 ", "w8 ")), (3, "else entirely here"), (4, None), (5, ""), (None, "else entirely here"), (20, text.upper()), (21, "q " * 40_000)]
-    out = S.near_dedup(spark, docs(spark, rows))
+    out = N.near_dedup(spark, docs(spark, rows))
     assert out.columns[:2] == ["doc_id", "text"]
-    assert sorted(str(r.doc_id) for r in out.collect()) == ["10", "21", "3", "4", "None"]
+    assert sorted(str(r.doc_id) for r in out.collect()) == ["10", "21", "3", "4"]
     classes = S.near_duplicate_classes(spark, docs(spark, rows)).collect()
     assert len(classes) == len(rows) and {r.component_id for r in classes if r.doc_id in (4, 5)} == {4}
-    assert S.near_dedup(spark, docs(spark, [])).count() == 0
+    assert N.near_dedup(spark, docs(spark, [])).count() == 0
     assert S.near_duplicate_classes(spark, docs(spark, [])).count() == 0
 
 
@@ -172,14 +173,14 @@ def test_near_dedup_against_all_pairs(spark):
             rows.append((len(rows), " ".join(own)))
     n = len(rows)
     label = list(range(n))
-    like = np.array([[S.likeness(a, b, 5) for _, b in rows] for _, a in rows])
+    like = np.array([[N.likeness(a, b, 5) for _, b in rows] for _, a in rows])
     while True:
         low = [min(label[j] for j in range(n) if like[i][j] >= 0.8) for i in range(n)]
         if low == label:
             break
         label = low
-    for options in ({}, {"shard_size": 40, "sample_size": 2000}):
-        got = {r.doc_id for r in S.near_dedup(spark, spark.createDataFrame(rows, DOC), **options).collect()}
+    for options in ({}, {"block": 40}):
+        got = {r.doc_id for r in N.near_dedup(spark, spark.createDataFrame(rows, DOC), **options).collect()}
         # nothing goes that all pairs would keep; of what they would drop, a table or other finds nearly all
         assert set(label) <= got and len(got - set(label)) <= 0.03 * (n - len(set(label)))
 
@@ -187,17 +188,17 @@ def test_near_dedup_against_all_pairs(spark):
 def test_many_copies_of_one_text_link_up(spark):
     words = [f"v{i}" for i in range(300)]
     rows = [(i, " ".join(words[:k] + [f"x{i}"] + words[k + 1 :])) for i, k in enumerate(np.random.default_rng(1).integers(0, 300, 400).tolist())]
-    assert [r.doc_id for r in S.near_dedup(spark, spark.createDataFrame(rows, DOC)).collect()] == [0]
+    assert [r.doc_id for r in N.near_dedup(spark, spark.createDataFrame(rows, DOC)).collect()] == [0]
 
 
 def test_clusters_of_case_variants_link_across(spark):
     rng = np.random.default_rng(4)
     base = [f"v{i}" for i in rng.integers(0, 5000, 400)]
     other = [*base[:200], "x1", "x2", "x3", *base[203:]]
-    assert 0.8 <= S.likeness(" ".join(base), " ".join(other), 5) < 1
+    assert 0.8 <= N.likeness(" ".join(base), " ".join(other), 5) < 1
     spelled = lambda words, n: [" ".join(w.upper() if k == i else w for i, w in enumerate(words)) for k in range(n)]
     rows = list(enumerate(spelled(base, 7) + spelled(other, 7)))
-    assert [r.doc_id for r in S.near_dedup(spark, spark.createDataFrame(rows, DOC)).collect()] == [0]
+    assert [r.doc_id for r in N.near_dedup(spark, spark.createDataFrame(rows, DOC)).collect()] == [0]
 
 
 def test_pairs_of_a_large_bucket_beyond_its_head(spark):
@@ -207,8 +208,8 @@ def test_pairs_of_a_large_bucket_beyond_its_head(spark):
     for k in range(40):
         own = [f"k{k}x{i}" for i in range(120)]
         rows += [(2 * k + 1, " ".join([*common, *own])), (2 * k + 2, " ".join([*common, *own, "end"]))]
-    for options in ({}, {"shard_size": 7}):
-        got = sorted(r.doc_id for r in S.near_dedup(spark, spark.createDataFrame(rows, DOC), **options).collect())
+    for options in ({}, {"block": 7}):
+        got = sorted(r.doc_id for r in N.near_dedup(spark, spark.createDataFrame(rows, DOC), **options).collect())
         assert got == [0, *range(1, 81, 2)]
 
 
@@ -221,7 +222,66 @@ def test_added_replaced_and_repeated_paragraphs_against_all_pairs(spark):
         edited = [[*base, *words(2 * n)], [*base[:100], *words(n), *base[100 + n :]], [*base, *base[40:60] * 60]]
         rows += [(len(rows) + i, " ".join(t)) for i, t in enumerate([base, edited[k % 3]])]
     n = len(rows)
-    sets = [S.shingles(t, 5) for _, t in rows]
+    sets = [N.shingles(t, 5) for _, t in rows]
     lost = {j for j in range(n) for i in range(j) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])}
-    assert len(lost) >= 35 and S.bands_for(0.8, 6, 1e-6) == 46
-    assert {r.doc_id for r in S.near_dedup(spark, spark.createDataFrame(rows, DOC)).collect()} == set(range(n)) - lost
+    assert len(lost) >= 35 and N.bands_for(0.8, 6, 1e-6) == 46
+    assert {r.doc_id for r in N.near_dedup(spark, spark.createDataFrame(rows, DOC)).collect()} == set(range(n)) - lost
+
+
+CLASH = ["__id", "__key", "__maybe", "__slot", "__chars", "__start", "id", "digest", "go", "row_id", "row_digest", "same", "label", "key", "first", "bits", "Phase"]
+
+
+def clashing(spark, rows):
+    """Rows with columns named like those that operators use inside; each has the row's own values."""
+    named = spark.createDataFrame([(d, t, f"s{i % 3}", i) for i, (d, t) in enumerate(rows)], "doc_id bigint, text string, source string, n bigint")
+    return named.select("doc_id", "text", "source", *(F.concat(F.lit(c), F.col("n")).alias(c) for c in CLASH))
+
+
+@pytest.mark.parametrize("operator", [E.exact_dedup, N.near_dedup])
+def test_clashing_columns_come_back_as_they_were(spark, operator):
+    long = " ".join(f"w{i}" for i in range(300))
+    rows = [(1, long), (2, long), (2, long), (3, long + " end"), (4, "other words"), (None, "other words"), (5, None)]
+    given = clashing(spark, rows)
+    out = operator(spark, given)
+    assert out.columns == given.columns
+    got, all_rows = [tuple(r) for r in out.collect()], {tuple(r) for r in given.collect()}
+    assert set(got) <= all_rows and sorted(r[0] for r in got) == ([1, 3, 4, 5] if operator is E.exact_dedup else [1, 4, 5])
+
+
+def test_unlike_rows_with_one_doc_id_both_stay(spark):
+    a, b = (" ".join(f"{p}{i}" for i in range(200)) for p in "ab")
+    rows = [(5, a), (5, b), (5, b), (7, a + " end"), (None, b + " end"), (None, "alone"), (None, "alone")]
+    got = sorted((str(r.doc_id), r.text) for r in N.near_dedup(spark, spark.createDataFrame(rows, DOC)).collect())
+    assert got == sorted([("5", a), ("5", b), ("None", "alone")])
+
+
+def test_near_dedup_equals_all_pairs_on_the_documents(spark, sf):
+    """Recall and precision of the links at 0.8 over the test table's own documents."""
+    rows = [tuple(r) for r in E.exact_dedup(spark, spark.read.parquet(f"{sf}/documents.parquet")).select("doc_id", "text").collect()]
+    sets = [N.hashes(t, 5) for _, t in rows]
+    where = {}
+    for i, h in enumerate(sets):
+        for v in h.tolist():
+            where.setdefault(v, []).append(i)
+    pairs = {(i, j) for at in where.values() for i in at for j in at if i < j}
+    label = list(range(len(rows)))
+
+    def find(x):
+        while label[x] != x:
+            x = label[x]
+        return x
+
+    for i, j in pairs:
+        if N.alike(sets[i], sets[j], 0.8):
+            label[max(find(i), find(j))] = min(find(i), find(j))
+    groups = {}
+    for i, (d, _) in enumerate(rows):
+        groups.setdefault(find(i), []).append(d)
+    got = {r.doc_id for r in N.near_dedup(spark, spark.createDataFrame(rows, DOC)).collect()}
+    assert got == {min(g) for g in groups.values()}
+
+
+def test_components_of_any_ordered_type(spark):
+    stars = [(0, b"a", b"a"), (0, b"a", b"d"), (0, b"c", b"c"), (0, b"c", b"d"), (1, b"c", b"c"), (1, b"c", b"f"), (0, b"x", b"x"), (0, b"x", b"y")]
+    out = S.joined_labels(spark.createDataFrame(stars, "shard int, root binary, fp binary")).collect()
+    assert {(bytes(r.fp), bytes(r.label)) for r in out} == {(b"a", b"a"), (b"d", b"a"), (b"c", b"a"), (b"f", b"a"), (b"x", b"x"), (b"y", b"x")}
