@@ -12,10 +12,10 @@ from pyspark.sql import DataFrame, SparkSession
 from framelake.llm.common import table, written
 from framelake.llm.exact_dedup import exact_dedup
 from framelake.llm.mixing import mixed
+from framelake.llm.near_dedup import near_dedup
 from framelake.llm.packing import pack_documents
 from framelake.llm.quality import keep_good
 from framelake.llm.queries import vocabulary
-from framelake.llm.simhash import near_dedup
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -29,7 +29,7 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents that near fingerprints connect keeps that with the smallest doc_id."""
+    """Of documents whose sets of five-word shingles are alike to 0.8 or more keeps, group by group, that with the smallest doc_id."""
     return near_dedup(spark, docs)
 
 
