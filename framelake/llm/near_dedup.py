@@ -123,11 +123,12 @@ def tree_pairs(nodes: DataFrame, total: int, radius: int) -> DataFrame:
     return attach(nodes.select("same", "fp"), parts, "fp", "size", total).filter("a <> same").select("a", F.col("same").alias("b"))
 
 
-def buckets(nodes: DataFrame, total: int) -> DataFrame:
+def buckets(nodes: DataFrame) -> DataFrame:
     """(key, same, head, members) of every key of two nodes and more; head is the least of them."""
     every = nodes.select("same", F.explode("keys").alias("key"))
-    heads = every.groupBy("key").agg(F.min("same").alias("head"), F.count("*").alias("n")).filter("n > 1").withColumn("members", F.col("n"))
-    return attach(every, written(heads, "heads"), "key", "n", total)
+    heads = every.groupBy("key").agg(F.min("same").alias("head"), F.count("*").alias("members")).filter("members > 1")
+    # the rows of a large bucket are dealt over tasks by the adaptive skew join
+    return every.join(written(heads, "heads"), "key")
 
 
 def bucket_pairs(shared: DataFrame) -> DataFrame:
@@ -267,7 +268,7 @@ def near_dedup(
     marks = written(marks_of(slim, words, bands, rows), "marks")
     total = marks.count()
     nodes = written(marks.dropDuplicates(["same"]), "nodes")
-    shared = written(buckets(nodes, total * bands), "shared")
+    shared = written(buckets(nodes), "shared")
     near = tree_pairs(nodes, total, radius).unionByName(bucket_pairs(shared)).distinct()
     near = written(agreeing(near, nodes, floor), "near")
 
