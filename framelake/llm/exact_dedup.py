@@ -4,8 +4,11 @@ Pass 1 puts a hash of every text into a two-bit Bloom filter: each of its four s
 "seen" and "seen again". Tasks fill filters of their own, which merge by or / and, so a hash that
 occurs twice has all its slots "seen again", whichever tasks read it. Pass 2 tests every row: a row
 whose slots aren't all "seen again" is unique for sure and passes straight through; only the rest
-shuffle, and are compared by SHA-256. A false positive costs a shuffled row, never a wrong result,
-so above max_bits the filter just lets more rows shuffle.
+shuffle, and are compared by SHA-256. A false positive costs a shuffled row, never a wrong result.
+
+A filter has 16 bits a row and max_bits at most. Where the rows need more, hashes are cut into so many
+ranges, and the two passes run range by range over the column of hashes; so a task holds 2 x max_bits / 8
+bytes while it fills and max_bits / 8 while it tests (64 MB and 32 MB by default), at any number of rows.
 
 Nulls: a null text is an empty one; a null doc_id counts as larger than any other. Repeated rows
 (equal doc_id and equal text): one stays. An empty table gives an empty table.
@@ -15,6 +18,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -42,9 +46,11 @@ def slots(h: np.ndarray, bits: int) -> np.ndarray:
     return (at * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(20)) & np.uint64(bits - 1)
 
 
-def filter_bits(rows: int, max_bits: int) -> int:
-    """16 bits a row, as a power of two from 2^13 to max_bits."""
-    return int(min(max_bits, max(1 << 13, 1 << int(16 * max(rows, 1) - 1).bit_length())))
+def filter_shape(rows: int, max_bits: int) -> tuple[int, int]:
+    """(bits of a filter, number of hash ranges): 16 bits a row, both powers of two, filters from 2^13 to max_bits."""
+    need = max(1 << 13, 1 << int(16 * max(rows, 1) - 1).bit_length())
+    bits = min(need, max_bits)
+    return bits, need // bits
 
 
 def repeated_filter(hashes: DataFrame, bits: int, tasks: int) -> bytes:
@@ -52,24 +58,23 @@ def repeated_filter(hashes: DataFrame, bits: int, tasks: int) -> bytes:
     segment = min(SEGMENT_BITS, bits)
 
     def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen, again = np.zeros(bits, bool), np.zeros(bits, bool)
+        seen, again = np.zeros(bits // 8, np.uint8), np.zeros(bits // 8, np.uint8)
         for batch in batches:
             h = batch.column(0).to_numpy(zero_copy_only=False)
             for lo in range(0, len(h), 1 << 16):
-                at = slots(h[lo : lo + (1 << 16)], bits)
                 # a slot that this very hash takes twice isn't thereby a repeat, but may count as one
-                flat, n = np.unique(at.ravel(), return_counts=True)
-                again[flat[(n > 1) | seen[flat]]] = True
-                seen[flat] = True
-        for k in range(0, bits, segment):
-            s = seen[k : k + segment]
-            if s.any():
-                pack = [zlib.compress(np.packbits(x[k : k + segment]).tobytes(), 1) for x in (seen, again)]
-                yield pa.RecordBatch.from_arrays([pa.array([k // segment]), pa.array([pack[0]], pa.binary()), pa.array([pack[1]], pa.binary())], ["segment", "seen", "again"])
+                flat, n = np.unique(slots(h[lo : lo + (1 << 16)], bits).ravel(), return_counts=True)
+                place, bit = flat >> np.uint64(3), np.uint8(128) >> (flat & np.uint64(7)).astype(np.uint8)
+                twice = (n > 1) | (seen[place] & bit > 0)
+                np.bitwise_or.at(again, place[twice], bit[twice])
+                np.bitwise_or.at(seen, place, bit)
+        for k in range(0, bits // 8, segment // 8):
+            own = [x[k : k + segment // 8] for x in (seen, again)]
+            if own[0].any():
+                yield pa.RecordBatch.from_arrays([pa.array([8 * k // segment]), *(pa.array([zlib.compress(x.tobytes(), 1)], pa.binary()) for x in own)], ["segment", "seen", "again"])
 
     def merge(parts: pd.DataFrame) -> pd.DataFrame:
-        seen = np.zeros(segment // 8, np.uint8)
-        again = np.zeros(segment // 8, np.uint8)
+        seen, again = np.zeros(segment // 8, np.uint8), np.zeros(segment // 8, np.uint8)
         for s, a in zip(parts["seen"], parts["again"]):
             s, a = (np.frombuffer(zlib.decompress(x), np.uint8) for x in (s, a))
             again |= a | (seen & s)
@@ -96,25 +101,30 @@ def maybe_repeated(spark: SparkSession, again: bytes):
     return test
 
 
-def mark_repeats(spark: SparkSession, keys: DataFrame, rows: int, max_bits: int):
-    hashes = keys.select(F.xxhash64("text_sha256"))
-    bits = filter_bits(rows, max_bits)
-    return maybe_repeated(spark, repeated_filter(hashes, bits, spark.sparkContext.defaultParallelism))
+def tested_keys(keys: DataFrame, max_bits: int) -> list[DataFrame]:
+    """The rows of a written table with text_sha256, with maybe (false: the text is unique for sure): a table for each range of hashes."""
+    spark, h = keys.sparkSession, F.xxhash64("text_sha256")
+    bits, ranges = filter_shape(keys.count(), max_bits)
+    out = []
+    for k in range(ranges):
+        # the range comes from bits that slots() doesn't start from
+        own = keys if ranges == 1 else keys.filter(F.pmod(F.xxhash64(h), F.lit(ranges)) == k)
+        test = maybe_repeated(spark, repeated_filter(own.select(h), bits, spark.sparkContext.defaultParallelism))
+        out.append(written(own.withColumn("maybe", test(h)), "tested"))
+    return out
 
 
 def duplicate_classes(spark: SparkSession, docs: DataFrame, max_bits: int = 1 << 28) -> DataFrame:
     """One row per row of docs: doc_id, keep_id, group_size, kept, text_sha256."""
     keys = written(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text_key(F.col("text")).alias("text_sha256")), "keys")
-    total = keys.count()
-    maybe = mark_repeats(spark, keys, total, max_bits)
-    tested = written(keys.withColumn("maybe", maybe(F.xxhash64("text_sha256"))), "tested")
+    tested = reduce(DataFrame.unionByName, tested_keys(keys, max_bits))
     alone = tested.filter(~F.col("maybe")).select(
         "doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("bigint").alias("group_size"), F.lit(True).alias("kept"), "text_sha256"
     )
     # equal rows are counted, not carried
     rows = tested.filter("maybe").groupBy("text_sha256", "doc_id").agg(F.count("*").alias("copies"))
     groups = rows.groupBy("text_sha256").agg(F.min("doc_id").alias("keep_id"), F.sum("copies").alias("group_size"), F.count("*").alias("ids"))
-    joined = attach(rows, groups, "text_sha256", "ids", total)
+    joined = attach(rows, groups, "text_sha256", "ids", tested.count())
     again = joined.select(
         "doc_id", "keep_id", "group_size", F.explode(F.sequence(F.lit(1).cast("bigint"), "copies")).alias("copy"), "text_sha256"
     ).select("doc_id", "keep_id", "group_size", (F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("copy") == 1)).alias("kept"), "text_sha256")
@@ -122,11 +132,25 @@ def duplicate_classes(spark: SparkSession, docs: DataFrame, max_bits: int = 1 <<
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, max_bits: int = 1 << 28) -> DataFrame:
-    """docs without later copies: of equal texts the row with the smallest doc_id stays, with all its columns."""
-    key, maybe, low, low_key = unused(docs.columns, "key", "maybe", "low", "low_key")
+    """docs without later copies: of equal texts the row with the smallest doc_id stays, with all its columns.
+
+    Rows are tested once more by a filter of the hashes that do repeat, of max_bits at most: those it clears pass
+    straight through, the others shuffle.
+    """
+    key, maybe, low, low_key, hot, hot_key = unused(docs.columns, "key", "maybe", "low", "low_key", "hot", "hot_key")
     keys = written(docs.select(docs["doc_id"].alias("doc_id"), text_key(docs["text"]).alias("text_sha256")), "keys")
-    test = mark_repeats(spark, keys, keys.count(), max_bits)
+    tested = reduce(DataFrame.unionByName, tested_keys(keys, max_bits))
+    groups = tested.filter("maybe").groupBy("text_sha256").agg(F.min("doc_id").alias("keep"), F.count("*").alias("n")).filter("n > 1")
+    groups = written(groups, "groups")
+    # the rows' filter holds the hashes that do repeat, each put in twice
+    h = groups.select(F.xxhash64("text_sha256"))
+    bits, _ = filter_shape(groups.count(), max_bits)
+    test = maybe_repeated(spark, repeated_filter(h.unionAll(h), bits, spark.sparkContext.defaultParallelism))
+    # of groups of over a ten-thousandth of all rows, which are under 10,000, only the row that stays goes on
+    large = groups.filter(F.col("n") > max(64, tested.count() // 10_000)).select(F.col("text_sha256").alias(hot_key), F.col("keep").alias(hot))
     rows = docs.withColumn(key, text_key(docs["text"])).withColumn(maybe, test(F.xxhash64(key)))
-    first = keys.filter(test(F.xxhash64("text_sha256"))).groupBy("text_sha256").agg(F.min("doc_id").alias(low)).withColumnRenamed("text_sha256", low_key)
-    again = rows.filter(maybe).join(first, (F.col(key) == F.col(low_key)) & F.col("doc_id").eqNullSafe(F.col(low))).drop(low, low_key).dropDuplicates([key])
+    rows = rows.join(F.broadcast(large), F.col(key) == F.col(hot_key), "left").filter(F.col(hot_key).isNull() | F.col("doc_id").eqNullSafe(F.col(hot))).drop(hot, hot_key)
+    first = groups.select(F.col("text_sha256").alias(low_key), F.col("keep").alias(low))
+    again = rows.filter(maybe).join(first, F.col(key) == F.col(low_key), "left")
+    again = again.filter(F.col(low_key).isNull() | F.col("doc_id").eqNullSafe(F.col(low))).drop(low, low_key).dropDuplicates([key])
     return rows.filter(~F.col(maybe)).unionByName(again).drop(key, maybe)
