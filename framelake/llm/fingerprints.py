@@ -5,9 +5,10 @@ A text's fingerprint is the sum of wide vectors, one per element, modulo powers
 - core: each paragraph (between line feeds, byte for byte) adds 16 lanes hashed from its SHA-256, modulo
   2^32. Equal multisets of paragraphs have equal cores, in whatever order they come.
 - sketch: each piece of a paragraph (up to 6 words, ending early where a sentence ends) adds a bit in
-  each of 128 lanes, modulo 2^15; four lanes share a bigint, with a guard bit each. Twice a lane's sum
+  each of 128 lanes, modulo 2^30; two lanes share a bigint, with a guard bit each. Twice a lane's sum
   less the number of pieces is a sum of random signs, so the cosine of two sketches estimates how much
-  of the two multisets of pieces is the same (standard error about 0.09).
+  of the two multisets of pieces is the same (standard error about 0.09). No text that fits in a column
+  has 2^29 pieces, so no lane wraps. Runs of up to 2^14 pieces are summed four lanes a bigint first.
 
 Sums make both incremental: combine() adds the fingerprint of inserted paragraphs, remove() takes off that
 of deleted ones. Nothing is exploded or grouped; a document's vector is summed within its row.
@@ -24,11 +25,13 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-CORE_LANES, SKETCH_WORDS = 16, 32
+CORE_LANES, SKETCH_WORDS = 16, 64
 CORE_MASK = 0xFFFFFFFF
-LANE_BITS, LANE_MOD = 15, 1 << 14
-SHIFTS = tuple(LANE_BITS * k for k in range(4))
-ONE_EACH, KEEP_EACH = sum(1 << k for k in SHIFTS), sum((LANE_MOD - 1) << k for k in SHIFTS)
+LANE_BITS, LANE_MOD = 31, 1 << 30
+KEEP_EACH = (LANE_MOD - 1) | (LANE_MOD - 1) << LANE_BITS
+#: Sums of up to RUN pieces: four lanes of RUN_BITS bits a bigint.
+RUN, RUN_BITS = 1 << 14, 15
+ONE_EACH = sum(1 << RUN_BITS * k for k in range(4))
 #: A piece: words up to the end of a sentence, 6 at most.
 PIECE = r"(?:[^\s.!?]++[ \t]++){0,5}\S++"
 FIRST = -(1 << 63)
@@ -49,13 +52,30 @@ def core(text: Column) -> Column:
     return F.aggregate(digests, _zeros(CORE_LANES), lambda acc, s: F.zip_with(acc, _longs(CORE_LANES), lane(s)))
 
 
+def _let(value: Column, body) -> Column:
+    """body(value), with value worked out once."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def _lane(v: Column, shift: int) -> Column:
+    return F.call_function("shiftright", v, F.lit(shift)).bitwiseAND(F.lit((1 << RUN_BITS) - 1))
+
+
+def _run_sums(digests: Column) -> Column:
+    """The lanes of at most RUN pieces, two a bigint, then the number of pieces."""
+    step = lambda h: lambda a, i: a + F.xxhash64(h, i).bitwiseAND(F.lit(ONE_EACH))
+    sums = F.aggregate(digests, _zeros(SKETCH_WORDS // 2), lambda acc, h: F.zip_with(acc, _longs(SKETCH_WORDS // 2), step(h)))
+    pair = lambda v, k: _lane(v, k) + F.call_function("shiftleft", _lane(v, k + RUN_BITS), F.lit(LANE_BITS))
+    wide = F.flatten(F.transform(sums, lambda v: F.array(pair(v, 0), pair(v, 2 * RUN_BITS))))
+    return F.concat(wide, F.array(F.size(digests).cast("bigint")))
+
+
 def sketch(text: Column) -> Column:
-    """32 bigints of four lanes each over the pieces, then the number of pieces; all modulo 2^14."""
+    """64 bigints of two lanes each over the pieces, modulo 2^30, then the number of pieces."""
     digests = F.transform(F.regexp_extract_all(text, F.lit(PIECE), F.lit(0)), lambda p: F.xxhash64(p))
-    step = lambda h: lambda a, i: (
-        a + F.when(i == SKETCH_WORDS, F.lit(1).cast("bigint")).otherwise(F.xxhash64(h, i).bitwiseAND(F.lit(ONE_EACH)))
-    ).bitwiseAND(F.lit(KEEP_EACH))
-    return F.aggregate(digests, _zeros(SKETCH_WORDS + 1), lambda acc, h: F.zip_with(acc, _longs(SKETCH_WORDS + 1), step(h)))
+    last = lambda d: F.floor(F.greatest(F.size(d) - 1, F.lit(0)) / RUN).cast("int")
+    runs = lambda d: F.transform(F.sequence(F.lit(0), last(d)), lambda k: F.slice(d, k * RUN + 1, F.lit(RUN)))
+    return F.aggregate(_let(digests, runs), _zeros(SKETCH_WORDS + 1), lambda acc, d: combine(acc, _run_sums(d), KEEP_EACH))
 
 
 def combine(a: Column, b: Column, mask: int) -> Column:
@@ -66,16 +86,15 @@ def combine(a: Column, b: Column, mask: int) -> Column:
 def remove(a: Column, b: Column, mask: int) -> Column:
     """The lanes of a without b's elements."""
     # no lane borrows of the next: each gets its modulus first
-    modulus = F.lit(CORE_MASK + 1 if mask == CORE_MASK else KEEP_EACH + ONE_EACH)
+    modulus = F.lit(CORE_MASK + 1 if mask == CORE_MASK else KEEP_EACH + 1 + (1 << LANE_BITS))
     return F.zip_with(a, b, lambda x, y: (x + (modulus - y)).bitwiseAND(F.lit(mask)))
 
 
 def _signs(s: Column) -> Column:
     """The 128 centred lanes of a sketch."""
-    count = F.element_at(s, SKETCH_WORDS + 1)
-    shifts = F.array(*[F.lit(k) for k in SHIFTS])
-    lanes = F.flatten(F.transform(F.slice(s, 1, SKETCH_WORDS), lambda v: F.transform(shifts, lambda k: F.call_function("shiftright", v, k).bitwiseAND(F.lit(LANE_MOD - 1)))))
-    return F.transform(lanes, lambda v: (F.pmod(v * 2 - count + LANE_MOD // 2, F.lit(LANE_MOD)) - LANE_MOD // 2).cast("double"))
+    count, low = F.element_at(s, SKETCH_WORDS + 1), F.lit(LANE_MOD - 1)
+    lanes = F.flatten(F.transform(F.slice(s, 1, SKETCH_WORDS), lambda v: F.array(v.bitwiseAND(low), F.call_function("shiftright", v, F.lit(LANE_BITS)).bitwiseAND(low))))
+    return F.transform(lanes, lambda v: (v * 2 - count).cast("double"))
 
 
 def _dot(a: Column, b: Column) -> Column:
