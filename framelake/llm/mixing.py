@@ -1,18 +1,20 @@
 """Mixing sources to target weights by Pfair scheduling, in DataFrame functions only.
 
-The documents of a source stand in hashed order and are cut into blocks of block_chars code points (a
-document belongs to the block it starts in). Source s with share k of q slots has its block j released
-at slot floor(j q / k) and due before slot ceil((j + 1) q / k). Each slot goes to the released block with
-the earliest deadline; as the shares fill the q slots, every block gets a slot within its window, so at
-no slot has a source had a block more or less than its target. A schedule repeats after q slots: the
-driver works out one period from the sources' totals, and a block's slot is arithmetic on its number.
-
-When a source runs out, the others go on with their weights in proportion, as a new phase; nothing is
-dropped or repeated. The driver sees one total per source; the sources beyond the max_sources largest
-are scheduled as one, with their weights together.
+The documents of a source stand in hashed order and are cut into blocks; a document belongs to the block it
+starts in. In the ideal, fluid mix every source that has blocks left gets on at a speed in proportion to its
+weight; when a source runs out, the others go on with theirs. Block j of a source is released at the slot in
+which the fluid mix starts on it, and due before the slot by which the fluid mix is done with it, both by
+exact fractions of the weights. Each slot goes to the released block with the earliest deadline. As the fluid
+mix itself is a schedule within these windows that fills every slot, so is this one: at no slot has a source
+had a block more or less than its target. Sources of weight 0 follow all others, in proportion to their sizes.
+
+The driver sees one total per source and plans the slots of all blocks. A block has block_chars code points,
+or, where that would make more than max_blocks, the max_blocks-th part of the total; so the plan has
+max_blocks slots at most, and one more per source (24 bytes each, broadcast).
 
 A source of any size is ranked in pieces: its documents are dealt into hash ranges of about range_rows
-rows, summed up within each, and the ranges' totals are summed up before.
+rows, summed up within each, and the ranges' totals are summed up before. A document counts as many code
+points as its text has and one more, so empty documents take up room as well.
 
 Nulls: rows without a source are a source of their own; a null text is an empty one; a null doc_id is
 hashed as null. Equal rows stay, each with its place. Empty tables give empty tables.
@@ -21,148 +23,130 @@ hashed as null. Equal rows stay, each with its place. Empty tables give empty ta
 from __future__ import annotations
 
 import heapq
+from collections.abc import Iterator
+from fractions import Fraction
+from math import lcm
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-NO_SOURCE, OTHERS = "\x00none", "\x00others"
-SLOTS = 4096
-
-
-def shares(weights: list[float], slots: int) -> list[int]:
-    """Slots of each weight, at least one, in all slots; the largest remainders round up."""
-    total = sum(weights)
-    exact = [w / total * slots if total > 0 else slots / len(weights) for w in weights]
-    out = [max(1, int(x)) for x in exact]
-    by_rest = sorted(range(len(out)), key=lambda i: (out[i] - exact[i], i))
-    for i in by_rest[: max(0, slots - sum(out))]:
-        out[i] += 1
-    while sum(out) > slots:
-        i = max(range(len(out)), key=lambda i: (out[i] - exact[i] if out[i] > 1 else -slots, -i))
-        out[i] -= 1
-    return out
+#: Blocks of a source in a row of the plan.
+RUN = 1024
 
 
-def release(j: int, k: int, q: int) -> int:
-    return j * q // k
+def whole(weights: list[float]) -> list[int]:
+    """The weights as whole numbers in the very same proportions."""
+    exact = [Fraction(w) for w in weights]
+    scale = lcm(*(x.denominator for x in exact))
+    return [int(x * scale) for x in exact]
 
 
-def deadline(j: int, k: int, q: int) -> int:
-    return -(-(j + 1) * q // k)
+def windows(blocks: list[int], weights: list[int], base: int = 0) -> list[Iterator[tuple[int, int]]]:
+    """For each source the (release, deadline) of its blocks in order. Weights are over 0; base is the first slot."""
+    order = sorted(range(len(blocks)), key=lambda i: (Fraction(blocks[i], weights[i]), i))
 
+    def of(own: int) -> Iterator[tuple[int, int]]:
+        w, at, done, speed = weights[own], 0, 0, sum(weights)
+        for j in range(blocks[own] + 1):
+            # the sources that run out before the fluid mix comes to block j have had all their blocks
+            while at < len(order) and blocks[order[at]] * w <= j * weights[order[at]]:
+                done, speed, at = done + blocks[order[at]], speed - weights[order[at]], at + 1
+            top = done * w + j * speed
+            if j:
+                yield base + start, base - (-top // w)
+            start = top // w
 
-def period(ks: list[int]) -> list[list[int]]:
-    """For each source the slots of its blocks in one period, by earliest deadline first."""
-    q = sum(ks)
-    waiting = [(0, i) for i in range(len(ks))]
-    heapq.heapify(waiting)
-    ready: list[tuple[int, int]] = []
-    out: list[list[int]] = [[] for _ in ks]
-    for t in range(q):
-        while waiting and waiting[0][0] <= t:
-            _, i = heapq.heappop(waiting)
-            heapq.heappush(ready, (deadline(len(out[i]), ks[i], q), i))
-        _, i = heapq.heappop(ready)
-        out[i].append(t)
-        if len(out[i]) < ks[i]:
-            heapq.heappush(waiting, (release(len(out[i]), ks[i], q), i))
-    return out
+    return [of(i) for i in range(len(blocks))]
+
+
+def earliest_deadline_first(spans: list[Iterator[tuple[int, int]]], base: int = 0) -> Iterator[tuple[int, int, int, int]]:
+    """(source, release, deadline, slot) of every block, slot by slot."""
+    waiting, ready = [], []
 
+    def follow(i: int) -> None:
+        span = next(spans[i], None)
+        if span:
+            heapq.heappush(waiting, (span[0], i, span[1]))
 
-def phases(blocks: dict[str, int], weights: dict[str, float], slots: int = SLOTS) -> dict[str, list[tuple]]:
-    """For each source its phases: (first block, first slot of the phase, k, q, slots of one period)."""
-    left = {s: n for s, n in blocks.items() if n > 0}
-    done = dict.fromkeys(left, 0)
-    out: dict[str, list[tuple]] = {s: [] for s in left}
+    for i in range(len(spans)):
+        follow(i)
+    slot = base
+    while waiting or ready:
+        while waiting and waiting[0][0] <= slot:
+            released, i, due = heapq.heappop(waiting)
+            heapq.heappush(ready, (due, i, released))
+        due, i, released = heapq.heappop(ready)
+        yield i, released, due, slot
+        follow(i)
+        slot += 1
+
+
+def plan_of(blocks: list[int], weights: list[float]) -> list[list[tuple[int, int, int]]]:
+    """(release, deadline, slot) of every block of every source."""
+    out: list[list[tuple[int, int, int]]] = [[] for _ in blocks]
     base = 0
-    while left:
-        names = sorted(left)
-        q = max(slots, 4 * len(names)) if len(names) > 1 else 1
-        ks = dict(zip(names, shares([weights[s] for s in names], q)))
-        pattern = dict(zip(names, period([ks[s] for s in names])))
-        whole = min(left[s] // ks[s] for s in names)
-        # the period after the whole ones ends where the first source runs out
-        rest = {s: left[s] - whole * ks[s] for s in names}
-        cut = min([pattern[s][rest[s] - 1] + 1 if rest[s] else 0 for s in names if rest[s] < ks[s]], default=0)
-        for s in names:
-            used = whole * ks[s] + sum(x < cut for x in pattern[s])
-            if used:
-                out[s].append((done[s], base, ks[s], q, pattern[s]))
-            done[s] += used
-            left[s] -= used
-        base += whole * q + cut
-        left = {s: n for s, n in left.items() if n > 0}
+    for late in (False, True):
+        own = [i for i, w in enumerate(weights) if (w <= 0) == late]
+        if own:
+            parts = [blocks[i] for i in own]
+            spans = windows(parts, parts if late else whole([weights[i] for i in own]), base)
+            for k, *span in earliest_deadline_first(spans, base):
+                out[own[k]].append(tuple(span))
+            base += sum(parts)
     return out
 
 
-PLAN = "__source string, __blocks bigint, __plan array<struct<first:bigint,base:bigint,k:bigint,q:bigint,slots:array<bigint>>>"
+PLAN = "source string, run bigint, slots array<struct<release:bigint,deadline:bigint,slot:bigint>>"
 
 
 def scheduled(
-    docs: DataFrame, weights: dict[str, float] | None = None, power: float = 0.5, block_chars: int = 1 << 16, max_sources: int = 256, range_rows: int = 4_000
+    docs: DataFrame, weights: dict[str, float] | None = None, power: float = 0.5, block_chars: int = 1 << 16, max_blocks: int = 1 << 20, range_rows: int = 4_000
 ) -> DataFrame:
-    """docs with __chars, __start (code points of its source before it), __block, __release, __deadline, __slot.
+    """row (a row of docs as a struct), chars, start (code points of its source before it), block, release, deadline, slot.
 
-    weights: target weight per source; without them a source's total to the given power.
+    weights: target weight per source, 0 for those not named; without them a source's total to the given power.
     """
     spark = docs.sparkSession
-    rows = docs.withColumns(
-        {
-            "__of": F.coalesce("source", F.lit(NO_SOURCE)),
-            "__chars": F.length(F.coalesce("text", F.lit(""))).cast("bigint"),
-            "__hash": F.xxhash64(F.lit(41), "doc_id", "text"),
-        }
+    name = lambda s: "none" if s is None else f"={s}"
+    rows = docs.select(
+        F.struct("*").alias("row"),
+        F.coalesce(F.concat(F.lit("="), docs["source"]), F.lit("none")).alias("source"),
+        (F.length(F.coalesce(docs["text"], F.lit(""))) + 1).cast("bigint").alias("chars"),
+        F.xxhash64(F.lit(41), docs["doc_id"], docs["text"]).alias("hash"),
     )
-    totals = rows.groupBy("__of").agg(F.sum("__chars").alias("chars"), F.count("*").alias("n"))
-    large = [tuple(r) for r in totals.orderBy(F.desc("chars"), "__of").limit(max_sources).collect()]
-    known = {s for s, _, _ in large}
-    if len(known) == max_sources:
-        r = totals.filter(~F.col("__of").isin(sorted(known))).agg(F.sum("chars"), F.sum("n")).first()
-        if r[0] is not None:
-            large.append((OTHERS, r[0], r[1]))
-    blocks = {s: max(1, -(-c // block_chars)) for s, c, _ in large}
-    goal = {s: float((weights or {}).get(s, 0.0)) if weights else float(max(c, 1)) ** power for s, c, _ in large}
-    if weights and OTHERS in goal:
-        goal[OTHERS] = sum(w for s, w in weights.items() if s not in known)
-    plan = spark.createDataFrame([(s, blocks[s], p) for s, p in phases(blocks, goal).items()], PLAN)
+    totals = sorted(tuple(r) for r in rows.groupBy("source").agg(F.sum("chars").alias("chars"), F.count("*").alias("n")).collect())
+    block_chars = max(block_chars, -(-sum(c for _, c, _ in totals) // max_blocks))
+    blocks = [-(-c // block_chars) for _, c, _ in totals]
+    named = {name(s): float(w) for s, w in (weights or {}).items()}
+    goal = [named.get(s, 0.0) if weights else c**power for s, c, _ in totals]
+    plan = [(s, lo // RUN, slots[lo : lo + RUN]) for (s, _, _), slots in zip(totals, plan_of(blocks, goal)) for lo in range(0, len(slots), RUN)]
+    plan = F.broadcast(spark.createDataFrame(plan, PLAN))
     # hash ranges: 2^bits of them for a source of n rows
-    bits = spark.createDataFrame([(s, max(0, (n // range_rows).bit_length())) for s, _, n in large], "__source string, __bits int")
-
-    named = F.when(F.col("__of").isin(sorted(known)), F.col("__of")).otherwise(F.lit(OTHERS)) if len(known) == max_sources else F.col("__of")
-    rows = rows.withColumn("__source", named).drop("__of").join(F.broadcast(bits), "__source")
-    rows = rows.withColumn("__range", F.when(F.col("__bits") == 0, F.lit(0).cast("bigint")).otherwise(F.expr("shiftrightunsigned(__hash, 64 - __bits)"))).drop("__bits")
-    within = Window.partitionBy("__source", "__range").orderBy("__hash", "doc_id", "__chars").rowsBetween(Window.unboundedPreceding, -1)
-    before = Window.partitionBy("__source").orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
-    ranges = rows.groupBy("__source", "__range").agg(F.sum("__chars").alias("__sum"))
-    ranges = ranges.select("__source", "__range", F.coalesce(F.sum("__sum").over(before), F.lit(0)).alias("__before"))
-    rows = rows.withColumn("__within", F.coalesce(F.sum("__chars").over(within), F.lit(0)))
-    rows = rows.join(ranges, ["__source", "__range"]).withColumn("__start", F.col("__before") + F.col("__within"))
-    # an empty document behind the last full block starts where the next would: it goes with the last
-    rows = rows.join(F.broadcast(plan), "__source").withColumn("__block", F.expr(f"least(__start div {block_chars}, __blocks - 1)")).drop("__blocks")
-    at = F.col("__block")
-    rows = rows.withColumn("__phase", F.element_at("__plan", F.size(F.filter("__plan", lambda p: p["first"] <= at)))).drop("__plan")
-    j, k, q = F.col("__block") - F.col("__phase.first"), F.col("__phase.k"), F.col("__phase.q")
-    rows = rows.withColumns({"__j": j, "__k": k, "__q": q, "__base": F.col("__phase.base")})
-    whole = "__base + (__j div __k) * __q"
-    rows = rows.withColumns(
-        {
-            "__release": F.expr("__base + (__j * __q) div __k"),
-            "__deadline": F.expr("__base + ((__j + 1) * __q + __k - 1) div __k"),
-            "__slot": F.expr(f"{whole} + element_at(__phase.slots, cast(__j % __k as int) + 1)"),
-        }
-    )
-    return rows.drop("__hash", "__range", "__before", "__within", "__phase", "__j", "__k", "__q", "__base")
+    bits = F.broadcast(spark.createDataFrame([(s, max(0, (n // range_rows).bit_length())) for s, _, n in totals], "source string, bits int"))
+
+    rows = rows.join(bits, "source")
+    rows = rows.withColumn("range", F.when(F.col("bits") == 0, F.lit(0).cast("bigint")).otherwise(F.expr("shiftrightunsigned(hash, 64 - bits)"))).drop("bits")
+    within = Window.partitionBy("source", "range").orderBy("hash", "row.doc_id", "chars").rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.partitionBy("source").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    ranges = rows.groupBy("source", "range").agg(F.sum("chars").alias("sum"))
+    ranges = ranges.select("source", "range", F.coalesce(F.sum("sum").over(before), F.lit(0)).alias("before"))
+    rows = rows.withColumn("within", F.coalesce(F.sum("chars").over(within), F.lit(0)))
+    rows = rows.join(ranges, ["source", "range"]).withColumn("start", F.col("before") + F.col("within"))
+    rows = rows.withColumn("block", F.expr(f"start div {block_chars}")).withColumn("run", F.expr(f"block div {RUN}"))
+    rows = rows.join(plan, ["source", "run"]).withColumn("at", F.expr(f"element_at(slots, cast(block % {RUN} as int) + 1)"))
+    return rows.select("row", "chars", "start", "block", "at.release", "at.deadline", "at.slot")
 
 
 def mixed_schedule(spark: SparkSession, docs: DataFrame, **options) -> DataFrame:
     """Per row: doc_id, source, chars, block, release, deadline, slot, start (place in its source)."""
-    own = [F.col(c).alias(c[2:]) for c in ("__chars", "__block", "__release", "__deadline", "__slot", "__start")]
-    return scheduled(docs.select("doc_id", "source", "text"), **options).select("doc_id", "source", *own)
+    return scheduled(docs.select("doc_id", "source", "text"), **options).select("row.doc_id", "row.source", "chars", "block", "release", "deadline", "slot", "start")
 
 
 def mixed(spark: SparkSession, docs: DataFrame, **options) -> DataFrame:
     """docs in the order of the schedule, with their own columns; written files keep that order."""
     rows = scheduled(docs, **options)
+    total = rows.agg(F.max("slot")).first()[0]
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ordered = rows.repartitionByRange(n, "__slot", "__start").sortWithinPartitions("__slot", "__start")
-    return ordered.select(*docs.columns)
+    # slots are alike in size, so that equal ranges of them need no sample of the texts
+    ordered = rows.repartitionById(n, F.expr(f"cast(slot * {n} div {(total or 0) + 1} as int)")).sortWithinPartitions("slot", "start")
+    return ordered.select("row.*")
