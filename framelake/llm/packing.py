@@ -2,12 +2,14 @@
 
 A chromosome is a whole packing, its genes are the bins. Crossover injects the well-filled bins of one
 parent, whole, into the other, drops the bins that then hold a document twice, and best-fits the displaced
-documents; mutation empties the worst-filled bins. Pieces are dealt by a hash of their identity into
-problems of about problem_size pieces, or, for documents in the order of a schedule, by windows of that
-order, by which sequences are numbered then; each problem evolves on islands, which are rows of a table. After
-each epoch every island sends its elite to the next one on the ring. Only lengths travel, never texts or ids.
+documents; mutation empties the worst-filled bins. Pieces are dealt by their places in the table of pieces
+(equal rows too) into problems of about problem_size pieces, or, for documents in the order of a schedule, by
+windows of that order, by which sequences are numbered then. Each problem evolves on islands, each a row and a
+task of its own; after each epoch every island sends its elite to the next one on the ring, through a join of
+the table of islands. Only lengths travel, never texts or ids.
 
-A packing is evolved until it has as many bins as its total length needs at least, or the epochs end.
+Fewer bins are better, then fuller ones. A packing is evolved until the epochs end or none can be better: it
+has as many bins as its total length needs at least, all but one of them full.
 
 Nulls: a null text is an empty one (the end id alone); a null doc_id keeps its place as null. Equal rows
 are packed each. An empty table gives an empty table. Documents longer than the capacity are cut.
@@ -139,18 +141,27 @@ def crossover(a: np.ndarray, b: np.ndarray, lengths: np.ndarray, capacity: int,
     return child.astype(np.int32)
 
 
-def evolve(lengths: np.ndarray, population: list[np.ndarray], capacity: int, generations: int, rng: np.random.Generator) -> list[np.ndarray]:
-    """The population after some generations, best first; ends early at the least possible number of bins."""
+def best_possible(lengths: np.ndarray, capacity: int) -> tuple[int, float]:
+    """The fitness of as few bins as the total length needs at least, all but one full."""
     least = -(-int(lengths.sum()) // capacity)
+    rest = int(lengths.sum()) - (least - 1) * capacity
+    return -least, ((least - 1) + (rest / capacity) ** 2) / least - 1e-12 if least else 0.0
+
+
+def evolve(lengths: np.ndarray, population: list[np.ndarray], capacity: int, generations: int, rng: np.random.Generator) -> tuple[list[np.ndarray], int]:
+    """(the population after some generations, best first; crossovers made); ends early at the best possible packing."""
     score = lambda g: fitness(g, lengths, capacity)
-    population = sorted(population, key=score, reverse=True)
+    aim = best_possible(lengths, capacity)
+    ranked = sorted(((score(g), k, g) for k, g in enumerate(population)), key=lambda x: (x[0], -x[1]), reverse=True)
+    made = 0
     for _ in range(generations):
-        if not len(lengths) or -score(population[0])[0] <= least:
+        if len(ranked) < 2 or ranked[0][0] >= aim:
             break
-        i, j = rng.choice(len(population), 2, replace=False) if len(population) > 1 else (0, 0)
-        child = crossover(population[min(i, j)], population[max(i, j)], lengths, capacity, rng)
-        population = sorted([*population, child], key=score, reverse=True)[: max(len(population), 2)]
-    return population
+        i, j = rng.choice(len(ranked), 2, replace=False)
+        child = crossover(ranked[min(i, j)][2], ranked[max(i, j)][2], lengths, capacity, rng)
+        made += 1
+        ranked = sorted([*ranked, (score(child), len(population) + made, child)], key=lambda x: (x[0], -x[1]), reverse=True)[: len(population)]
+    return [g for _, _, g in ranked], made
 
 
 def _dump(population: list[np.ndarray]) -> bytes:
@@ -161,63 +172,83 @@ def _load(blob: bytes, n: int) -> list[np.ndarray]:
     return list(np.frombuffer(zlib.decompress(blob), "<i4").reshape(-1, max(n, 1))[:, :n])
 
 
-ISLANDS = "problem bigint, island int, lengths binary, population binary"
+#: first: the bins of best fit in falling order of lengths; crossovers: made so far; elite: the best packing, of so many bins and mean square fill.
+ISLANDS = "problem bigint, island int, lengths binary, population binary, elite binary, bins bigint, fill double, first bigint, crossovers bigint"
 
 
-def pack_pieces(parts: DataFrame, capacity: int = 4096, problem_size: int = 8192, islands: int = 2, epochs: int = 2, generations: int = 12, population: int = 4) -> DataFrame:
-    """parts (a written table of pieces) with sequence_id and offset, gapless from 0 in each sequence."""
-    total = parts.count()
-    problems = max(1, -(-total // problem_size))
-    scheduled = "position" in parts.columns
-    if scheduled:
+def dealt_pieces(parts: DataFrame, problem_size: int) -> tuple[DataFrame, int]:
+    """(a written table of pieces with problem, number of problems)."""
+    problems = max(1, -(-parts.count() // problem_size))
+    if "position" in parts.columns:
         documents = (parts.agg(F.max("position")).first()[0] or 0) + 1
-        problem = F.expr(f"position * {problems} div {documents}")
-    else:
-        problem = F.pmod(F.xxhash64(F.lit(17), "doc_id", "piece", "ids_crc32"), F.lit(problems))
-    dealt = parts.withColumn("problem", problem)
-    order = ["doc_id", "piece", "start", "ids_crc32", "length"]
-
-    def found(group: pd.DataFrame) -> pd.DataFrame:
-        """The islands' first populations; the pieces stand in one order in all steps."""
-        own = group["length"].to_numpy(np.int64)
-        own = np.sort(own)[::-1]
-        rows = []
-        for k in range(islands):
-            rng = np.random.default_rng((int(group["problem"].iloc[0]), k))
-            first = []
-            for m in range(population):
-                noise = rng.normal(0, 0.02 * m + 0.01 * k, len(own))
-                first.append(packed(np.argsort(-own * (1 + noise), kind="stable"), own.tolist(), capacity))
-            rows.append((int(group["problem"].iloc[0]), k, own.astype("<i4").tobytes(), _dump(evolve(own, first, capacity, generations, rng))))
-        return pd.DataFrame(rows, columns=["problem", "island", "lengths", "population"])
-
-    def migrate(group: pd.DataFrame) -> pd.DataFrame:
-        """Every island takes over the elite of the one before on the ring, in place of its worst, and evolves on."""
-        group = group.sort_values("island").reset_index(drop=True)
-        own = np.frombuffer(group["lengths"].iloc[0], "<i4").astype(np.int64)
-        before = [_load(p, len(own)) for p in group["population"]]
-        after = []
-        for k, pop in enumerate(before):
-            rng = np.random.default_rng((int(group["problem"].iloc[0]), k, 1))
-            after.append(_dump(evolve(own, [*pop[:-1], before[k - 1][0]], capacity, generations, rng)))
-        return group.assign(population=after)
-
-    # a task per problem (4096 tasks at most): little data, but all the work
-    lengths = dealt.select("problem", "length").repartition(min(problems, 4096), "problem")
-    state = lengths.groupBy("problem").applyInPandas(found, ISLANDS)
-    for _ in range(epochs - 1):
-        state = state.groupBy("problem").applyInPandas(migrate, ISLANDS)
-
-    def elite(group: pd.DataFrame) -> pd.DataFrame:
-        own = np.frombuffer(group["lengths"].iloc[0], "<i4").astype(np.int64)
-        best = max((_load(p, len(own))[0] for p in group["population"]), key=lambda g: fitness(g, own, capacity))
-        return pd.DataFrame({"problem": group["problem"].iloc[:1], "genes": [zlib.compress(best.astype("<i4").tobytes(), 1)]})
-
-    best = state.groupBy("problem").applyInPandas(elite, "problem bigint, genes binary")
+        return parts.withColumn("problem", F.expr(f"position * {problems} div {documents}")), problems
+    file = F.regexp_extract(F.col("_metadata.file_name"), r"part-(\d+)", 1)
+    return parts.withColumn("problem", F.pmod(F.xxhash64(F.lit(17), file, F.col("_metadata.row_index")), F.lit(problems))), problems
+
+
+def evolved(dealt: DataFrame, problems: int, capacity: int = 4096, islands: int = 2, epochs: int = 2, generations: int = 32, population: int = 4) -> DataFrame:
+    """ISLANDS after all epochs, for the pieces (problem, length) of each problem."""
+
+    def gathered(group: pd.DataFrame) -> pd.DataFrame:
+        own = np.sort(group["length"].to_numpy(np.int64))[::-1]
+        return pd.DataFrame({"problem": group["problem"].iloc[:1], "lengths": [own.astype("<i4").tobytes()]})
+
+    def row(problem: int, island: int, blob: bytes, before: list[np.ndarray], first: int, done: int, epoch: int) -> tuple:
+        own = np.frombuffer(blob, "<i4").astype(np.int64)
+        after, made = evolve(own, before, capacity, generations, np.random.default_rng((problem, island, epoch)))
+        bins, fill = fitness(after[0], own, capacity)
+        return problem, island, blob, _dump(after), _dump(after[:1]), -bins, fill, first, done + made
+
+    def frame(rows: list[tuple]) -> pd.DataFrame:
+        return pd.DataFrame(rows, columns=[c.split()[0] for c in ISLANDS.split(", ")])
+
+    def begin(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for problem, blob, k in zip(batch["problem"], batch["lengths"], batch["island"]):
+                own, rng = np.frombuffer(blob, "<i4").astype(np.int64), np.random.default_rng((problem, k))
+                packings = []
+                for m in range(population):
+                    noise = rng.normal(0, 0.02 * m + 0.01 * k * (m > 0), len(own))
+                    packings.append(packed(np.argsort(-own * (1 + noise), kind="stable"), own.tolist(), capacity))
+                    if fitness(packings[0], own, capacity) >= best_possible(own, capacity):
+                        break
+                first = len(np.unique(packings[0]))
+                yield frame([row(problem, k, blob, packings, first, 0, 0)])
+
+    def go_on(epoch: int):
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for batch in batches:
+                for r in batch.itertuples():
+                    n = len(r.lengths) // 4
+                    # the elite of the island before takes the place of the worst
+                    before = [*_load(r.population, n)[:-1], _load(r.guest, n)[0]]
+                    yield frame([row(r.problem, r.island, r.lengths, before, r.first, r.crossovers, epoch)])
+
+        return run
+
+    # a task per problem, then per island (4096 tasks at most): little data, but all the work
+    lengths = dealt.select("problem", "length").repartition(min(problems, 4096), "problem").groupBy("problem").applyInPandas(gathered, "problem bigint, lengths binary")
+    tasks = min(problems * islands, 4096)
+    at = lambda df: df.repartition(tasks, "problem", "island")
+    each = written(lengths, "problems").withColumn("island", F.explode(F.sequence(F.lit(0), F.lit(islands - 1))))
+    state = written(at(each).mapInPandas(begin, ISLANDS), "islands")
+    for epoch in range(1, epochs):
+        guests = state.select("problem", F.pmod(F.col("island") + 1, F.lit(islands)).alias("island"), F.col("elite").alias("guest"))
+        state = written(at(state.join(guests, ["problem", "island"])).mapInPandas(go_on(epoch), ISLANDS), "islands")
+    return state
+
+
+def pack_pieces(parts: DataFrame, capacity: int = 4096, problem_size: int = 8192, **options) -> DataFrame:
+    """parts (a written table of pieces) with sequence_id and offset, gapless from 0 in each sequence. options: those of evolved()."""
+    scheduled = "position" in parts.columns
+    dealt, problems = dealt_pieces(parts, problem_size)
+    state = evolved(dealt, problems, capacity, **options)
+    best = state.groupBy("problem").agg(F.max_by("elite", F.struct(-F.col("bins"), "fill", -F.col("island"))).alias("genes"))
+    order = ["doc_id", "piece", "start", "ids_crc32"]
 
     def place(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        own = left.sort_values(["length", *order[:-1]], ascending=[False, True, True, True, True], kind="stable").reset_index(drop=True)
-        genes = np.frombuffer(zlib.decompress(right["genes"].iloc[0]), "<i4")
+        own = left.sort_values(["length", *order], ascending=[False, True, True, True, True], kind="stable").reset_index(drop=True)
+        genes = _load(right["genes"].iloc[0], len(own))[0]
         n = own["length"].to_numpy(np.int64)
         if scheduled and len(genes):
             # sequences are numbered in the order of their pieces' mean places
@@ -231,7 +262,7 @@ def pack_pieces(parts: DataFrame, capacity: int = 4096, problem_size: int = 8192
         head = np.concatenate([[True], np.diff(genes[by_bin]) != 0]) if len(genes) else np.zeros(0, bool)
         offset = np.empty(len(n), np.int64)
         offset[by_bin] = run - np.maximum.accumulate(np.where(head, run, 0))
-        return own.drop(columns=["problem", *(["position"] if scheduled else [])]).assign(sequence_id=(int(key[0]) << 24) + genes.astype(np.int64), offset=offset)
+        return own.drop(columns=["problem", *(["position"] if scheduled else [])]).assign(sequence_id=(int(key[0]) << 32) + genes.astype(np.int64), offset=offset)
 
     schema = PIECES + ", sequence_id bigint, offset bigint"
     return dealt.groupBy("problem").cogroup(best.groupBy("problem")).applyInPandas(place, schema)
