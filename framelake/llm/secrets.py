@@ -6,8 +6,10 @@ a structure that text doesn't have by chance:
 
 - jwt: three dotted parts anywhere in the run (the third may be empty), the first a JSON object with a string "alg", the second a JSON object;
 - der: an ASN.1 SEQUENCE whose nested lengths all add up, with at least two elements;
-- ssh: length-prefixed strings that fill the blob, the first a known key name; or an OpenSSH key header;
-- pem: a BEGIN/END pair with the same label around base64 that decodes to either of these.
+- ssh: length-prefixed strings that fill the blob, the first a known key name; or an OpenSSH key file, whose
+  cipher, options, public keys and private part fill it likewise;
+- pem: a BEGIN/END pair with the same label around base64 that decodes to either of these; or, where headers
+  name a cipher and its start value, to whole blocks of it.
 
 Spans are kind:start:end in code points, end exclusive. Nulls: a null text is an empty one; a null doc_id
 stays null. Equal rows each give a row. An empty table gives an empty table.
@@ -33,7 +35,8 @@ ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x2
 ACCESS = re.compile("AKIA[A-Z0-9]{14,}")
 HEX = re.compile("[0-9a-f]{16,}")
 CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_=.-])[A-Za-z0-9+/_=.-]{24,}")
-PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]{1,40})-----([A-Za-z0-9+/=\s]{16,}?)-----END \1-----")
+PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]{1,40})-----((?:\s*[A-Za-z][A-Za-z0-9-]{0,40}:[^\n]{0,1000}\n)*)([A-Za-z0-9+/=\s]{16,}?)-----END \1-----")
+DEK = re.compile(r"^\s*DEK-Info:[ \t]*[A-Z0-9-]+,([0-9A-Fa-f]+)\s*$", re.M)
 #: In a dotted run: where a token's header may start, a whole part, and the third part's beginning.
 HEAD = re.compile(r"ey(?=[A-Za-z0-9+/_-]+={0,2}\Z)")
 WHOLE = re.compile(r"[A-Za-z0-9+/_-]+={0,2}")
@@ -93,17 +96,35 @@ def is_der(data: bytes) -> bool:
     return _elements(data, 0, len(data), 0) == 1 and _elements(data, head, len(data), 0) >= 2
 
 
-def is_ssh(data: bytes) -> bool:
-    if data.startswith(SSH_HEADER):
-        return len(data) > len(SSH_HEADER) + 8
-    at, first = 0, None
-    while at + 4 <= len(data):
+def _strings(data: bytes, at: int, count: int | None = None) -> tuple[list[bytes], int] | None:
+    """(length-prefixed strings from a place on, where they end): so many of them, or as many as fill the rest; None if they don't fit."""
+    out = []
+    while len(out) < count if count is not None else at < len(data):
         size = int.from_bytes(data[at : at + 4], "big")
-        first = data[4 : 4 + size] if first is None else first
-        if first not in SSH_NAMES or at + 4 + size > len(data):
-            return False
+        if at + 4 + size > len(data):
+            return None
+        out.append(data[at + 4 : at + 4 + size])
         at += 4 + size
-    return first is not None and at == len(data)
+    return out, at
+
+
+def _is_key_file(data: bytes) -> bool:
+    """An OpenSSH key file: cipher, key derivation and its options, a number of public keys, the private part."""
+    head = _strings(data, len(SSH_HEADER), 3)
+    if head is None or not head[0][0] or not head[0][1]:
+        return False
+    at = head[1]
+    n = int.from_bytes(data[at : at + 4], "big")
+    rest = _strings(data, at + 4)
+    return rest is not None and n >= 1 and len(rest[0]) == n + 1 and all(map(is_ssh, rest[0][:-1])) and len(rest[0][-1]) % 8 == 0
+
+
+def is_ssh(data: bytes) -> bool:
+    if data.startswith(SSH_HEADER):
+        return _is_key_file(data)
+    if data[4 : 4 + int.from_bytes(data[:4], "big")] not in SSH_NAMES:
+        return False
+    return _strings(data, 0) is not None
 
 
 def is_jwt(word: str) -> bool:
@@ -147,7 +168,9 @@ def confirmed_spans(text: str) -> list[tuple[int, int, int]]:
     found: list[tuple[int, int, int]] = []
     if "-----BEGIN " in text:
         for m in PEM.finditer(text):
-            if _structure(decoded(re.sub(r"\s+", "", m[2]))) is not None:
+            data, start = decoded(re.sub(r"\s+", "", m[3])), DEK.search(m[2])
+            enciphered = start and data and len(start[1]) in (16, 32) and len(data) % (len(start[1]) // 2) == 0
+            if enciphered or _structure(data) is not None:
                 found.append((m.start(), 3, m.end()))
     for m in CANDIDATE.finditer(text):
         word = m[0]
