@@ -1,8 +1,8 @@
 """Token ids in Re-Pair compressed shards.
 
 Documents are sorted by doc_id over range partitions, encoded, and cut into shards of about shard_ids
-ids. In each shard the frequent id pairs are replaced by nonterminals, round after round: a round counts
-all pairs, takes those of min_count and more (rule_limit of them at most, the most frequent first), and
+ids. In each shard the frequent id pairs are replaced by nonterminals, round after round, until no pair is
+left that occurs min_count times: a round counts all pairs, takes the rule_limit most frequent of those, and
 replaces their occurrences, the more frequent pair first where two overlap. Shards are rows of a Parquet
 table in the shared folder; a lost task is simply run again.
 
@@ -12,7 +12,7 @@ per rule its left and right symbol (uint32 each) and its expansion length (uint3
 Expansion lengths give every symbol's place, so a range of ids is decoded without what stands before.
 
 Nulls: a null text is an empty one, and has the end id alone; a null doc_id sorts first. Equal doc_ids
-stay, in the order of their texts. An empty table gives no shard.
+stay, in the order of a hash of their texts, by which they are dealt out too. An empty table gives no shard.
 """
 
 from __future__ import annotations
@@ -79,13 +79,11 @@ def _places(place: np.ndarray, r: np.ndarray) -> np.ndarray:
     return ((np.arange(len(place)) - start - give) % 2 == 0) & ~(begins & give) & ~after
 
 
-def compress(ids: np.ndarray, base: int, min_count: int = 16, rule_limit: int = 2048, rounds: int = 6) -> tuple[np.ndarray, np.ndarray]:
+def compress(ids: np.ndarray, base: int, min_count: int = 16, rule_limit: int = 2048) -> tuple[np.ndarray, np.ndarray]:
     """(rules, symbols): rule k makes nonterminal base + k of two symbols."""
     s, rules = ids.astype(np.uint32), []
     made = 0
-    for _ in range(rounds):
-        if len(s) < 2:
-            break
+    while len(s) > 1:
         chosen, place, rank = _frequent(s, min_count, rule_limit)
         take = _places(place, rank)
         at = place[take]
@@ -196,7 +194,8 @@ def write_shards(docs: DataFrame, tokenizer: str, end_id: int = 0, shard_ids: in
             yield shard()
 
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    by_id = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text")
+    by_id = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", F.xxhash64("text").alias("tie"))
+    by_id = by_id.repartitionByRange(n, "doc_id", "tie").sortWithinPartitions("doc_id", "tie").drop("tie")
     return written(by_id.mapInArrow(encode, "part int, seq int, n_ids bigint, shard binary"), "shards")
 
 
