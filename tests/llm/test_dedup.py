@@ -42,11 +42,22 @@ def test_exact_classes(spark):
     assert sorted((str(r.doc_id), str(r.keep_id), r.group_size, r.kept, r.text_sha256) for r in got) == brute_classes(ODD)
 
 
-@pytest.mark.parametrize("max_bits", [1 << 13, 1 << 20])
-def test_exact_with_a_full_filter_and_a_hot_group(spark, max_bits):
+@pytest.mark.parametrize("max_bits", [1 << 14, 1 << 20])
+def test_exact_with_filters_by_range_and_a_hot_group(spark, max_bits):
     rows = [(i, "hot" if i % 3 == 0 else f"t{i % 2500}") for i in range(6000)]
-    got = E.duplicate_classes(spark, spark.createDataFrame(rows, DOC), max_bits).collect()
+    df = spark.createDataFrame(rows, DOC)
+    got = E.duplicate_classes(spark, df, max_bits).collect()
     assert sorted((str(r.doc_id), str(r.keep_id), r.group_size, r.kept, r.text_sha256) for r in got) == brute_classes(rows)
+    kept = {int(d) for d, _, _, first, _ in brute_classes(rows) if first}
+    assert sorted(r.doc_id for r in E.exact_dedup(spark, df, max_bits).collect()) == sorted(kept)
+
+
+def test_only_what_may_repeat_is_shuffled(spark):
+    keys = E.written(spark.range(20_000).select(F.sha2(F.col("id").cast("string"), 256).alias("text_sha256")), "keys")
+    for max_bits, ranges in ((1 << 28, 1), (1 << 16, 8)):
+        tables = E.tested_keys(keys, max_bits)
+        assert len(tables) == ranges and sum(t.count() for t in tables) == 20_000
+        assert sum(t.filter("maybe").count() for t in tables) < 400
 
 
 def test_exact_dedup_keeps_whole_rows(spark):
@@ -62,8 +73,8 @@ def test_filter_never_misses_a_repeat(spark):
     h = rng.integers(-(1 << 63), 1 << 63, 3000)
     h[:500] = h[500:1000]
     df = spark.createDataFrame([(int(x),) for x in h], "h bigint").repartition(7)
-    bits = E.filter_bits(3000, 1 << 28)
-    assert bits == 1 << 16
+    bits, ranges = E.filter_shape(3000, 1 << 28)
+    assert (bits, ranges) == (1 << 16, 1) and E.filter_shape(3000, 1 << 13) == (1 << 13, 8)
     maybe = E.maybe_repeated(spark, E.repeated_filter(df, bits, 3))
     found = {r.h for r in df.filter(maybe("h")).collect()}
     twice = set(h[:500].tolist())

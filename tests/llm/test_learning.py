@@ -2,6 +2,7 @@
 
 import random
 import zlib
+from fractions import Fraction
 
 import numpy as np
 import pytest
@@ -109,63 +110,89 @@ def test_quality_odd_rows(spark):
 # --- mixing ---
 
 
-@pytest.mark.parametrize("weights", [[1.0], [0.5, 0.3, 0.2], [1, 1, 1, 1, 1, 1, 1], [1000, 1, 1], [0.7, 0.1999, 0.1001]])
-def test_period_keeps_every_block_in_its_window(weights):
-    q = 256 if len(weights) > 1 else 1
-    ks = M.shares(weights, q)
-    assert sum(ks) == q and min(ks) >= 1
-    slots = M.period(ks)
-    assert sorted(t for own in slots for t in own) == list(range(q))
-    for k, own in zip(ks, slots):
-        done = 0
-        for j, t in enumerate(own):
-            assert M.release(j, k, q) <= t < M.deadline(j, k, q)
-        for t in range(q + 1):
-            while done < k and own[done] < t:
-                done += 1
-            assert abs(done - k * t / q) < 1
-
-
-def test_phases_place_all_blocks_once():
-    rng = random.Random(0)
-    for _ in range(30):
-        blocks = {f"s{i}": rng.randint(1, 400) for i in range(rng.randint(1, 6))}
-        plan = M.phases(blocks, {s: rng.random() + 0.05 for s in blocks}, 64)
-        used = []
-        for s, n in blocks.items():
-            for j in range(n):
-                first, base, k, q, slots = [p for p in plan[s] if p[0] <= j][-1]
-                used.append(base + (j - first) // k * q + slots[(j - first) % k])
-        assert sorted(used) == list(range(sum(blocks.values())))
+def fluid(blocks, weights, slot):
+    """What the ideal mix has given each source by the slot, in exact fractions, worked out phase by phase."""
+    had, left = [Fraction(0)] * len(blocks), Fraction(slot)
+    while left:
+        own = [i for i in range(len(blocks)) if had[i] < blocks[i]]
+        total = sum(weights[i] for i in own)
+        step = min([left] + [(blocks[i] - had[i]) * total / weights[i] for i in own])
+        for i in own:
+            had[i] += step * weights[i] / total
+        left -= step
+    return had
+
+
+MIXES = [
+    ([40], [1.0]), ([100, 60, 40], [0.5, 0.3, 0.2]), ([9] * 7, [1.0] * 7), ([300, 5, 1], [0.999999, 1e-6, 3e-9]),
+    ([90, 30, 200], [2**0.5, 3**0.5, 3.14159265358979]), ([1, 1, 1, 500], [1e-300, 7.0, 0.1, 1.0]), ([50, 3] + [1] * 50, [0.5, 0.03] + [0.01] * 50),
+]
+
+
+@pytest.mark.parametrize("blocks, weights", MIXES)
+def test_no_source_is_a_block_off_its_target(blocks, weights):
+    plan = M.plan_of(blocks, weights)
+    assert [len(p) for p in plan] == blocks
+    assert sorted(t for own in plan for _, _, t in own) == list(range(sum(blocks)))
+    assert all(r <= t < d for own in plan for r, d, t in own)
+    exact = [Fraction(w) for w in weights]
+    for slot in range(0, sum(blocks) + 1, 1 + sum(blocks) // 60):
+        for own, ideal in zip(plan, fluid(blocks, exact, slot)):
+            assert abs(sum(t < slot for _, _, t in own) - ideal) < 1
+
+
+def test_a_hundred_thousand_slots_of_a_thousand_sources():
+    rng = np.random.default_rng(3)
+    weights = (rng.pareto(0.8, 1000) + 1e-3).tolist()
+    blocks = np.maximum(1, rng.multinomial(100_000, rng.dirichlet(np.full(1000, 0.3)))).tolist()
+    plan = M.plan_of(blocks, weights)
+    flat = np.array([(i, *p) for i, own in enumerate(plan) for p in own])
+    assert np.array_equal(np.sort(flat[:, 3]), np.arange(sum(blocks)))
+    assert (flat[:, 1] <= flat[:, 3]).all() and (flat[:, 3] < flat[:, 2]).all()
+    exact = [Fraction(w) for w in weights]
+    for slot in (17, 20_011, 90_001):
+        had = np.bincount(flat[flat[:, 3] < slot, 0], minlength=1000)
+        assert all(abs(int(h) - x) < 1 for h, x in zip(had, fluid(blocks, exact, slot)))
+
+
+def test_earliest_deadline_goes_first():
+    """Slot by slot against a search of all blocks."""
+    for blocks, weights in MIXES[1:3] + MIXES[4:]:
+        plan = M.plan_of(blocks, weights)
+        open_blocks = {(i, j): plan[i][j] for i, n in enumerate(blocks) for j in range(n)}
+        for slot in range(sum(blocks)):
+            due, i, j = min((d, i, j) for (i, j), (r, d, _) in open_blocks.items() if r <= slot)
+            assert open_blocks.pop((i, j))[2] == slot and due > slot
+
+
+def test_weight_zero_comes_last():
+    plan = M.plan_of([3, 4, 2], [0.0, 1.0, 0.0])
+    assert [t for _, _, t in plan[1]] == [0, 1, 2, 3] and sorted(t for p in (plan[0], plan[2]) for _, _, t in p) == [4, 5, 6, 7, 8]
 
 
 def mixed_rows(spark):
     rng = random.Random(6)
     rows = [(i, "x" * rng.randint(0, 90), "en", rng.choice(["a", "a", "a", "b", "c", None]), 0) for i in range(1500)]
     rows += [(1, "twice", "en", "b", 0), (1, "twice", "en", "b", 0), (None, None, None, "lonely", None), (77, "y" * 40_000, "en", "c", None)]
-    return spark.createDataFrame(rows, DOC).withColumns({"slot": F.lit(1), "chars": F.lit(2), "phase": F.lit(0), "n": F.lit(0)}), rows
+    return spark.createDataFrame(rows, DOC).withColumns({c: F.lit(c) for c in ("slot", "__slot", "chars", "start", "row", "hash", "range", "n")}), rows
 
 
-@pytest.mark.parametrize("options", [{}, {"weights": {"a": 0.5, "b": 0.3, "c": 0.2}}, {"max_sources": 2}])
+@pytest.mark.parametrize("options", [{}, {"weights": {"a": 0.5, "b": 0.3, "c": 0.2}}, {"weights": {None: 1.0, "c": 0.25}, "block_chars": 50}, {"max_blocks": 9}])
 def test_schedule_of_a_table(spark, options):
     docs, rows = mixed_rows(spark)
-    got = M.mixed_schedule(spark, docs, block_chars=300, range_rows=50, **options).collect()
+    size = options.get("block_chars", 300)
+    got = M.mixed_schedule(spark, docs, **{"block_chars": size, "range_rows": 50} | options).collect()
     assert len(got) == len(rows)
-    by = {}
-    for r in got:
-        assert r.release <= r.slot < r.deadline and r.block == min(r.start // 300, r.block)
-        by.setdefault((r.source if not options.get("max_sources") else r.slot, r.block), set()).add(r.slot)
-    assert all(len(v) == 1 for v in by.values())
-    if not options.get("max_sources"):
-        for s in {r.source for r in got}:
-            own = sorted((r.start, r.chars) for r in got if r.source == s)
-            at = 0
-            for start, n in own:
-                assert start == at
-                at += n
-        owner = {}
-        for r in got:
-            assert owner.setdefault(r.slot, r.source) == r.source
+    total = sum(len(r[1] or "") + 1 for r in rows)
+    size = max(size, -(-total // options.get("max_blocks", 1 << 20)))
+    owner, sources = {}, sorted({r.source for r in got}, key=str)
+    for s in sources:
+        at = 0
+        for r in sorted((r for r in got if r.source == s), key=lambda r: r.start):
+            assert r.start == at and r.block == at // size and r.release <= r.slot < r.deadline
+            assert owner.setdefault(r.slot, (s, r.block)) == (s, r.block)
+            at += r.chars
+    assert len(set(owner.values())) == len(owner) and max(owner) < total / size + len(sources)
 
 
 def test_mixed_keeps_rows_and_columns(spark):

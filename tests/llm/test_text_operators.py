@@ -6,8 +6,10 @@ import json
 import random
 import re
 import struct
+from collections import Counter
 
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from framelake.llm import chat as C
@@ -71,6 +73,57 @@ def test_sums_are_homomorphic_and_ignore_order(spark):
     assert c is not None
 
 
+def plain_lanes(text):
+    """core lanes, sketch lanes and number of pieces, by hand."""
+    one = lambda x, seed: xxhash.xxh64_intdigest(struct.pack("<q", x - (1 << 64) if x >> 63 else x), seed)
+    core, sketch = [0] * 16, [0] * 128
+    for p in text.split("\n"):
+        h = xxhash.xxh64_intdigest(hashlib.sha256(p.encode()).hexdigest().encode(), 42)
+        core = [(c + (one(i, h) >> 32)) % (1 << 32) for i, c in enumerate(core)]
+    pieces = re.findall(r"(?:[^\s.!?]++[ \t]++){0,5}\S++", text, re.ASCII)
+    for piece, n in Counter(pieces).items():
+        seed = one(xxhash.xxh64_intdigest(piece.encode(), 42), 42)
+        for i in range(32):
+            x = one(i, seed)
+            for k in range(4):
+                sketch[4 * i + k] += n * (x >> 15 * k & 1)
+    return core, sketch, len(pieces)
+
+
+def plain_text(core, sketch, n):
+    words = [a | b << 31 for a, b in zip(sketch[::2], sketch[1::2])] + [n]
+    return "".join(f"{c:08x}" for c in core) + "".join(f"{w:016x}" for w in words)
+
+
+def plain_likeness(a, b):
+    if a == b:
+        return 1.0
+    x, y = ([2 * v - n for v in lanes] for _, lanes, n in (a, b))
+    norm = (sum(v * v for v in x) * sum(v * v for v in y)) ** 0.5
+    return max(0.0, min(1.0, sum(v * w for v, w in zip(x, y)) / norm)) if norm else 0.0
+
+
+def test_fingerprints_and_likeness_by_hand(spark):
+    rng = random.Random(4)
+    words = ["alpha", "béta", "gamma.", "delta\n", "漢字", "\n", "no! ", "𝄞 "]
+    texts = ["", "x", "a b c.\n\nd", "one two three. four\n" * 40] + [" ".join(rng.choice(words) for _ in range(rng.randint(0, 200))) for _ in range(20)]
+    texts += ["alpha beta gamma delta. " * 20_000, "ab " * 100_000]
+    got = {r.doc_id: r for r in finger(spark, list(enumerate(texts)))}
+    lanes = [plain_lanes(t) for t in texts]
+    for i, t in enumerate(texts):
+        after = texts[(i + 1) % len(texts)]
+        edited = plain_lanes(t[: len(t) - len(t) // 4] + after[: len(t) // 4])
+        assert got[i].fingerprint == plain_text(*lanes[i]) and got[i].edited_fingerprint == plain_text(*edited)
+        assert abs(got[i].near_edited - plain_likeness(lanes[i], edited)) < 1e-9
+        assert abs(got[i].near_next - plain_likeness(lanes[i], lanes[(i + 1) % len(texts)])) < 1e-9
+
+
+def test_repeats_of_any_number_stay_alike(spark):
+    for n in (2000, 9000, 12_000, 20_000, 100_000):
+        rows = [(1, "alpha beta gamma delta. " * n), (2, "something else. " * n)]
+        assert min(r.near_edited for r in finger(spark, rows)) > 0.8
+
+
 def test_likeness_tells_copies_from_others(spark):
     rng = random.Random(2)
     words = [f"w{i}" for i in range(3000)]
@@ -231,3 +284,26 @@ def test_tokens_inside_longer_runs():
         assert kinds(f"see {before}{bare} so") == [("jwt", bare)], before
     assert kinds(f"{JWT}.{JWT}") == [("jwt", JWT)] * 2
     assert kinds("ey" * 5000 + "." + "ey" * 5000 + ".") == []
+
+
+def ssh_strings(*parts):
+    return b"".join(struct.pack(">I", len(x)) + x for x in parts)
+
+
+def test_key_files_must_hold_what_they_say():
+    whole = S.SSH_HEADER + ssh_strings(b"none", b"none", b"") + struct.pack(">I", 1) + ssh_strings(WIRE, RNG.randbytes(160))
+    assert S.is_ssh(whole)
+    body = "\n".join(b64(whole)[i : i + 70] for i in range(0, len(b64(whole)), 70))
+    pem = f"-----BEGIN OPENSSH PRIVATE KEY-----\n{body}\n-----END OPENSSH PRIVATE KEY-----"
+    assert ("pem", pem) in kinds(f"see\n{pem}\n")
+    for broken in (whole[:-1], whole + b"\0", S.SSH_HEADER + RNG.randbytes(200), S.SSH_HEADER, S.SSH_HEADER + ssh_strings(b"none", b"none", b"")):
+        assert not S.is_ssh(broken)
+
+
+def test_enciphered_pem():
+    cipher = b64(RNG.randbytes(96))
+    pem = f"-----BEGIN RSA PRIVATE KEY-----\nProc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,{'0A' * 16}\n\n{cipher}\n-----END RSA PRIVATE KEY-----"
+    assert kinds(f"a {pem} b") == [("pem", pem)]
+    assert kinds(pem.replace(cipher, b64(RNG.randbytes(95)))) == [] and kinds(pem.replace("0A" * 16, "0A" * 5)) == []
+    plain = f"-----BEGIN RSA PRIVATE KEY-----\nComment: mine\n{b64(KEY)}\n-----END RSA PRIVATE KEY-----"
+    assert ("pem", plain) in kinds(plain)

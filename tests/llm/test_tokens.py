@@ -6,6 +6,7 @@ import zlib
 
 import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
@@ -47,7 +48,8 @@ def test_small_hash_table_falls_back(monkeypatch):
 
 def expected(rows, name, end):
     one = library(name)
-    rows = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1] is not None, r[1] or ""))
+    tie = lambda t: 42 if t is None else struct.unpack("<q", struct.pack("<Q", xxhash.xxh64_intdigest(t.encode(), 42)))[0]
+    rows = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, tie(r[1])))
     return [(d, one(t) + [end]) for d, t in rows]
 
 
@@ -73,11 +75,21 @@ def test_compression_and_random_access():
     assert len(shard.symbols) < len(ids) / 3 and len(shard.rules) > 50
     for a, b in [(0, 1), (5, 5), (999, 1003), (len(ids) - 1, len(ids)), (100, 20_000)]:
         assert np.array_equal(shard.ids(a, b), ids[a:b])
+    pairs = np.unique(np.stack([shard.symbols[:-1], shard.symbols[1:]]), axis=1, return_counts=True)[1]
+    assert pairs.max() < 32  # none occurs 16 times without overlaps
     for few in ([], [3], [3, 3, 3]):
         few = np.array(few, np.uint32)
         assert np.array_equal(T.Shard(T.pack([0], [len(few)], few)).ids(), few)
 
 
+def test_one_doc_id_is_dealt_over_partitions(spark):
+    docs = spark.createDataFrame([(None if i % 3 == 0 else i, f"text {i}") for i in range(900)], DOC)
+    shards = T.write_shards(docs, vocabulary(FILES[0]), 0, partitions=6)
+    assert max(r[0] for r in shards.groupBy("part").agg(F.sum("n_ids")).select("sum(n_ids)").collect()) < 900 * 4 / 3
+    got = sorted(T.read_shards(shards).collect(), key=lambda r: r.start)
+    assert [r.doc_id for r in got[:300]] == [None] * 300 and [r.doc_id for r in got[300:]] == [i for i in range(900) if i % 3]
+
+
 def test_places_never_overlap():
     rng = np.random.default_rng(1)
     for _ in range(200):
@@ -132,7 +144,45 @@ def test_genetic_search_beats_a_bad_start():
     own = np.sort(np.array(own))[::-1]
     start = [G.packed(np.random.default_rng(k).permutation(len(own)), own.tolist(), 100) for k in range(6)]
     before = max(G.fitness(g, own, 100) for g in start)
-    best = G.evolve(own, start, 100, 150, rng)[0]
+    ranked, made = G.evolve(own, start, 100, 150, rng)
+    best = ranked[0]
+    assert 0 < made <= 150
     after = G.fitness(best, own, 100)
     assert after > before and after[0] >= -64
     assert np.bincount(best, own).max() <= 100 and len(best) == len(own)
+
+
+PIECE_ROWS = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint"
+
+
+def test_islands_save_bins_on_hard_triples(spark):
+    """Triples that fill a bin exactly: best fit in falling order needs more bins, crossovers over the islands get some back."""
+    rng = np.random.default_rng(9)
+    lengths = []
+    for _ in range(240):
+        a, b = rng.integers(800, 1700, 2)
+        lengths += [int(a), int(b), 4096 - int(a) - int(b)]
+    parts = G.written(spark.createDataFrame([(i, 0, 0, n, i) for i, n in enumerate(lengths)], PIECE_ROWS).repartition(3), "pieces")
+    dealt, problems = G.dealt_pieces(parts, 180)
+    state = G.evolved(dealt, problems, islands=3, epochs=4, generations=60, population=8).collect()
+    assert len(state) == 3 * problems and len({(r.problem, r.island) for r in state}) == len(state)
+    by = {}
+    for r in state:
+        by.setdefault(r.problem, []).append(r)
+        own, genes = np.frombuffer(r.lengths, "<i4"), G._load(r.elite, len(r.lengths) // 4)[0]
+        fill = np.bincount(genes, own)
+        assert fill.max() <= 4096 and (fill > 0).sum() == r.bins <= r["first"] and r.crossovers > 0
+    assert sum(min(r.bins for r in rows) for rows in by.values()) < sum(rows[0]["first"] for rows in by.values())
+    packed = G.pack_pieces(parts, problem_size=180, islands=3, epochs=4, generations=60, population=8).collect()
+    assert len({r.sequence_id for r in packed}) == sum(min(r.bins for r in rows) for rows in by.values())
+
+
+def test_equal_rows_are_dealt_to_all_problems(spark):
+    rows = spark.range(60_000).select(F.lit(1).cast("bigint").alias("doc_id"), F.lit(0).alias("piece"), F.lit(0).cast("bigint").alias("start"), (F.lit(700) + F.col("id") % 2).alias("length"), F.lit(5).cast("bigint").alias("ids_crc32"))
+    parts = G.written(rows, "pieces")
+    dealt, problems = G.dealt_pieces(parts, 4000)
+    counts = [r["count"] for r in dealt.groupBy("problem").count().collect()]
+    assert len(counts) == problems == 15 and max(counts) < 1.2 * 4000
+    out = G.pack_pieces(parts, problem_size=4000, generations=1, epochs=1, population=2).groupBy("sequence_id").agg(F.sum("length").alias("n"), F.count("*").alias("rows"))
+    r = out.agg(F.max("n").alias("most"), F.sum("rows").alias("rows"), F.count("*").alias("bins")).first()
+    assert r.most <= 4096 and r.rows == 60_000 and r.bins <= 60_000 / 5 + 15
