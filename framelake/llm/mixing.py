@@ -100,19 +100,21 @@ PLAN = "source string, run bigint, slots array<struct<release:bigint,deadline:bi
 
 
 def scheduled(
-    docs: DataFrame, weights: dict[str, float] | None = None, power: float = 0.5, block_chars: int = 1 << 16, max_blocks: int = 1 << 20, range_rows: int = 4_000
+    docs: DataFrame, weights: dict[str, float] | None = None, power: float = 0.5, block_chars: int = 1 << 16, max_blocks: int = 1 << 20, range_rows: int = 4_000, carried: tuple[str, ...] = ("*",)
 ) -> DataFrame:
-    """row (a row of docs as a struct), chars, start (code points of its source before it), block, release, deadline, slot.
+    """row (a struct of the carried columns of docs, by default all), chars, start (code points of its source before it), block, release, deadline, slot.
 
     weights: target weight per source, 0 for those not named; without them a source's total to the given power.
+    carried: what moves along with each row.
     """
     spark = docs.sparkSession
     name = lambda s: "none" if s is None else f"={s}"
     rows = docs.select(
-        F.struct("*").alias("row"),
+        F.struct(*carried).alias("row"),
         F.coalesce(F.concat(F.lit("="), docs["source"]), F.lit("none")).alias("source"),
         (F.length(F.coalesce(docs["text"], F.lit(""))) + 1).cast("bigint").alias("chars"),
         F.xxhash64(F.lit(41), docs["doc_id"], docs["text"]).alias("hash"),
+        docs["doc_id"].alias("id"),
     )
     totals = sorted(tuple(r) for r in rows.groupBy("source").agg(F.sum("chars").alias("chars"), F.count("*").alias("n")).collect())
     block_chars = max(block_chars, -(-sum(c for _, c, _ in totals) // max_blocks))
@@ -126,7 +128,7 @@ def scheduled(
 
     rows = rows.join(bits, "source")
     rows = rows.withColumn("range", F.when(F.col("bits") == 0, F.lit(0).cast("bigint")).otherwise(F.expr("shiftrightunsigned(hash, 64 - bits)"))).drop("bits")
-    within = Window.partitionBy("source", "range").orderBy("hash", "row.doc_id", "chars").rowsBetween(Window.unboundedPreceding, -1)
+    within = Window.partitionBy("source", "range").orderBy("hash", "id", "chars").rowsBetween(Window.unboundedPreceding, -1)
     before = Window.partitionBy("source").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
     ranges = rows.groupBy("source", "range").agg(F.sum("chars").alias("sum"))
     ranges = ranges.select("source", "range", F.coalesce(F.sum("sum").over(before), F.lit(0)).alias("before"))
@@ -139,7 +141,7 @@ def scheduled(
 
 def mixed_schedule(spark: SparkSession, docs: DataFrame, **options) -> DataFrame:
     """Per row: doc_id, source, chars, block, release, deadline, slot, start (place in its source)."""
-    return scheduled(docs.select("doc_id", "source", "text"), **options).select("row.doc_id", "row.source", "chars", "block", "release", "deadline", "slot", "start")
+    return scheduled(docs, carried=("doc_id", "source"), **options).select("row.doc_id", "row.source", "chars", "block", "release", "deadline", "slot", "start")
 
 
 def mixed(spark: SparkSession, docs: DataFrame, **options) -> DataFrame:
