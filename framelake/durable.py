@@ -1,21 +1,44 @@
-"""Where iterative queries write their rounds."""
+"""Where iterative operators write their rounds: tables that outlive lost executors."""
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 _LOCAL: dict[str, str] = {}
 
 
-def kept(df: DataFrame) -> DataFrame:
-    """df as a Parquet table under spark.checkpoint.dir, which all executors see; in a folder of its own only where that is unset."""
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all executors see, from spark.checkpoint.dir; where that is unset, a temporary one, but only if driver and executors are one process."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return named.rstrip("/")
+    master = spark.conf.get("spark.master", "")
+    if master != "local" and not master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors see")
+    if "dir" not in _LOCAL:
+        _LOCAL["dir"] = tempfile.mkdtemp(prefix="framelake-")
+        atexit.register(shutil.rmtree, _LOCAL["dir"], ignore_errors=True)
+    return "file://" + _LOCAL["dir"]
+
+
+def kept(df: DataFrame, tag: str = "round") -> DataFrame:
+    """df as a Parquet table in the shared folder."""
     spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = _LOCAL.setdefault("dir", "file://" + tempfile.mkdtemp(prefix="framelake-"))
-    path = f"{folder.rstrip('/')}/framelake-round-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/framelake-{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.kept_at = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes tables that kept() wrote and that nothing reads any more."""
+    for table in tables:
+        spark = table.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(table.kept_at)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

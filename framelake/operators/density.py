@@ -10,6 +10,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from framelake.durable import discard, kept
 from framelake.functions.columns import wrap
 
 AXES = ("x", "y", "z")
@@ -110,15 +111,16 @@ def voxel_id(shape: Shape):
     return (F.col("ix").cast("bigint") * shape[1] + F.col("iy")) * shape[2] + F.col("iz")
 
 
-def basins(voxels: DataFrame, shape: Shape, keep=None) -> DataFrame:
+def basins(voxels: DataFrame, shape: Shape) -> DataFrame:
     """id, basin, mass: the mode that steepest ascent ends at, by pointer jumping (each round doubles the path)."""
-    keep = keep or (lambda df: df.checkpoint())
-    now = keep(ascent_pointers(voxels, shape))
+    held = kept(ascent_pointers(voxels, shape))
+    now = held.select("id", "up", "mass")
     while True:
         up = now.select(F.col("id").alias("up"), F.col("up").alias("next"))
-        fresh = keep(now.join(up, "up").select("id", F.col("next").alias("up"), F.col("up").alias("old"), "mass"))
+        fresh = kept(now.join(up, "up").select("id", F.col("next").alias("up"), F.col("up").alias("old"), "mass"))
         moved = fresh.filter("up <> old").limit(1).count()
-        now = fresh.select("id", "up", "mass")
+        discard(held)
+        held, now = fresh, fresh.select("id", "up", "mass")
         if not moved:
             return now.select("id", F.col("up").alias("basin"), "mass")
 

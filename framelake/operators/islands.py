@@ -5,6 +5,7 @@ All are gaps-and-islands over windows keyed by entity or run: one shuffle by the
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -109,28 +110,54 @@ def round_robin(rows: DataFrame, order: Sequence[str], labels: int) -> DataFrame
     return with_position(rows, order).withColumn("label", F.pmod(F.col("position"), F.lit(labels)))
 
 
-def with_position(rows: DataFrame, order: Sequence[str], keys: Sequence[str] = ()) -> DataFrame:
-    """position: 0, 1, ... in the order, within keys or over all rows.
+def _tie(rows: DataFrame) -> Column:
+    """A hash of all columns that have one (maps don't)."""
+    return F.xxhash64(*[c for c, kind in rows.dtypes if "map<" not in kind])
 
-    Over all rows, range partitions are counted first; the counts (a row a partition) are summed up and
-    added to the rank within the partition.
+
+def _range_of(key: Column, bounds: list) -> Column:
+    """How many of the ordered bounds (foldable columns) are at or before the key; two levels, so 2 sqrt(n) comparisons."""
+    if not bounds:
+        return F.lit(0)
+    fan = math.isqrt(len(bounds) - 1) + 1
+    rows = [bounds[k : k + fan] for k in range(0, len(bounds), fan)]
+    upto = lambda a: F.size(F.filter(a, lambda x: x <= key))
+    heads = upto(F.array(*[r[0] for r in rows]))
+    inside = upto(F.element_at(F.array(*[F.array(*r) for r in rows]), heads))
+    return F.when(heads == 0, F.lit(0)).otherwise((heads - 1) * fan + inside)
+
+
+def with_position(rows: DataFrame, order: Sequence[str], keys: Sequence[str] = (), ranges: int | None = None) -> DataFrame:
+    """position: 0, 1, ... in the order, within keys or over all rows; rows that tie follow a hash of all their columns.
+
+    Over all rows, they are dealt into ranges (as many as shuffle partitions, 4096 at most) between bounds
+    from a sample of about 64 rows a range; the ranges' counts, a row each, are summed up and added to the
+    rank within the range. Ties of the order are parted by the hash, so that no range grows with a key.
     """
     if keys:
-        w = Window.partitionBy(*keys).orderBy(*order)
+        w = Window.partitionBy(*keys).orderBy(*order, _tie(rows))
         return rows.withColumn("position", (F.row_number().over(w) - 1).cast("bigint"))
-    first = order[0]
-    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    cuts = rows.select(F.xxhash64(*order).alias("h"), *order).filter(F.pmod("h", F.lit(1 << 20)) < F.lit(max(1, (1 << 20) // 64))).select(first)
-    bounds = [r[0] for r in cuts.dropna().distinct().orderBy(first).limit(20_000).collect()]
-    bounds = bounds[:: max(1, len(bounds) // n)]
-    part = F.size(F.filter(F.array(*[F.lit(b) for b in bounds]), lambda b: b <= F.col(first))) if bounds else F.lit(0)
-    placed = rows.withColumn("__part", part)
+    n = min(ranges or int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), 4096)
+    tied = rows.withColumn("__tie", _tie(rows))
+    full = [*order, "__tie"]
+    total = rows.count()
+    drawn = sorted_keys(tied.sample(fraction=min(1.0, 64 * n / max(total, 1)), seed=5).select(*full))
+    kinds = [tied.schema[c].dataType for c in full]
+    cuts = dict.fromkeys(drawn[len(drawn) * k // n] for k in range(1, n)) if drawn else {}
+    bounds = [F.struct(*[F.lit(v).cast(t).alias(c) for v, t, c in zip(row, kinds, full)]) for row in cuts]
+    placed = tied.withColumn("__part", _range_of(F.struct(*full), bounds))
     counts = placed.groupBy("__part").agg(F.count("*").alias("__n"))
     before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
     counts = counts.select("__part", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
-    w = Window.partitionBy("__part").orderBy(*order)
+    w = Window.partitionBy("__part").orderBy(*full)
     ranked = placed.withColumn("__rank", F.row_number().over(w) - 1)
-    return ranked.join(F.broadcast(counts), "__part").withColumn("position", (F.col("__before") + F.col("__rank")).cast("bigint")).drop("__part", "__rank", "__before")
+    out = ranked.join(F.broadcast(counts), "__part").withColumn("position", (F.col("__before") + F.col("__rank")).cast("bigint"))
+    return out.drop("__part", "__rank", "__before", "__tie")
+
+
+def sorted_keys(sample: DataFrame) -> list[tuple]:
+    """The rows of a bounded sample in Spark's own order."""
+    return [tuple(r) for r in sample.orderBy(*sample.columns).collect()]
 
 
 def purged_kfold(items: DataFrame, folds: int, radius: int) -> DataFrame:

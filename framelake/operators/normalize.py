@@ -208,9 +208,27 @@ def register_frames(rows: DataFrame, axes: Sequence[str], group: Column, referen
 
 
 def displace(rows: DataFrame, axes: Sequence[str], amplitude: float, seed: int) -> DataFrame:
-    """Coordinates moved by up to amplitude along each axis, the same for the same seed, frame and atom."""
-    move = lambda a: (F.pmod(F.xxhash64(F.lit(seed), F.lit(a), "frame", "atom"), F.lit(1 << 20)) / float(1 << 19) - 1) * amplitude
-    return rows.withColumns({a: F.col(a) + move(a) for a in axes})
+    """Coordinates moved by up to amplitude along each axis, the same for the same seed, frame and atom (a fraction of SHA-256)."""
+    from framelake.operators.prep import hash_fraction
+
+    named = lambda a: F.concat(F.lit(f"{a}:"), F.col("frame").cast("string"), F.lit(":"), F.col("atom").cast("string"))
+    return rows.withColumns({a: F.col(a) + (hash_fraction(seed, named(a)) * 2 - 1) * amplitude for a in axes})
+
+
+def normalized(rows: DataFrame, axes: Sequence[str], frames: tuple[int, int | None, int] = (0, None, 1), drift: Column | None = None, weight: Column | None = None) -> DataFrame:
+    """atom, frame, t, and for each axis u_ (unwrapped), d_ (less the drift of the group) and v_ (velocity) of fractions: the usual steps in their order.
+
+    rows: source_id, frame, t and the axes. Atoms get their places by source id; a frame that holds other
+    atoms than the first raises.
+    """
+    own = select_frames(rows, *frames)
+    bad = population_faults(own).agg(F.count("*").alias("__bad"))
+    good = F.when(F.col("__bad") > 0, F.raise_error(F.lit("frames hold different atoms")).cast("boolean")).otherwise(F.lit(True))
+    own = canonical_order(own).join(F.broadcast(bad)).filter(good).drop("__bad")
+    moved = unwrap(own, axes)
+    still = remove_drift(moved.withColumns({f"w_{a}": F.col(f"u_{a}") for a in axes}), [f"w_{a}" for a in axes], weight, drift)
+    still = still.withColumnsRenamed({f"d_w_{a}": f"d_{a}" for a in axes}).drop(*[f"w_{a}" for a in axes])
+    return velocities(still, [f"d_{a}" for a in axes]).withColumnsRenamed({f"v_d_{a}": f"v_{a}" for a in axes})
 
 
 def strain(rows: DataFrame, axes: Sequence[str], tensor: Sequence[float]) -> DataFrame:

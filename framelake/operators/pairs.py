@@ -11,13 +11,14 @@ from __future__ import annotations
 
 import itertools
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from framelake.durable import discard, kept
 from framelake.functions.columns import angle_degrees, image_shift, legendre, nearest_image
 
 AXES = ("x", "y", "z")
@@ -81,26 +82,39 @@ def reduced_cell(cell: np.ndarray) -> np.ndarray:
 
 
 def triclinic_neighbors(points: DataFrame, cell: Sequence[float], cutoff: float) -> DataFrame:
-    """frame, i, j, r for r < cutoff, i < j, in a skewed cell: the least over the 27 images of the reduced cell.
+    """frame, i, j, r for r < cutoff, i < j, in a skewed cell, by the nearest image of the reduced cell.
 
-    The displacement is first wrapped by the reduced cell, so that the nearest image is among them.
+    The cutoff is at most half the shortest lattice vector, so only one image can be below it: the
+    certificate that it is the nearest. Where the reduced cell is three cutoffs high along every axis, points
+    are dealt to bins of its fractions and looked for from the 27 around, and the displacement wrapped by
+    its fractions is that image; in flatter cells the join is on the frame, over 27 images.
     """
     m = reduced_cell(np.array(cell, float))
     inv = np.linalg.inv(m)
     if cutoff > min(float(np.linalg.norm(np.array(c) @ m)) for c in itertools.product((-1, 0, 1), repeat=3) if any(c)) / 2:
         raise ValueError("the cutoff is beyond half the shortest lattice vector")
+    # the distance between the planes that bound the cell along each axis, in cutoffs
+    bins = [math.floor(1 / float(np.linalg.norm(inv[:, c])) / cutoff) for c in range(3)]
+    fraction = lambda side, c: sum((F.col(f"{a}{side}") * F.lit(float(inv[k, c])) for k, a in enumerate(AXES)), F.lit(0.0))
     left = points.select("frame", F.col("atom").alias("i"), *[F.col(a).alias(f"{a}i") for a in AXES])
     right = points.select("frame", F.col("atom").alias("j"), *[F.col(a).alias(f"{a}j") for a in AXES])
-    pairs = left.join(right, "frame").filter("i < j")
-    d = [F.col(f"{a}j") - F.col(f"{a}i") for a in AXES]
-    f = [sum((d[k] * F.lit(float(inv[k, c])) for k in range(3)), F.lit(0.0)) for c in range(3)]
-    pairs = pairs.withColumns({f"f{c}": f[c] - F.rint(f[c]) for c in range(3)})
+    keys, images = ["frame"], list(itertools.product((-1, 0, 1), repeat=3))
+    if min(bins) >= 3:
+        bin_of = lambda side, c: F.pmod(F.floor(fraction(side, c) * bins[c]), F.lit(bins[c])).cast("int")
+        around = F.array(*[F.struct(*[F.lit(o).alias(a) for o, a in zip(at, AXES)]) for at in images])
+        left = left.withColumn("__o", F.explode(around))
+        left = left.withColumns({f"b{a}": F.pmod(bin_of("i", c) + F.col(f"__o.{a}"), F.lit(bins[c])) for c, a in enumerate(AXES)}).drop("__o")
+        right = right.withColumns({f"b{a}": bin_of("j", c) for c, a in enumerate(AXES)})
+        keys, images = ["frame", "bx", "by", "bz"], [(0, 0, 0)]
+    pairs = left.join(right, keys).filter("i < j")
+    step = [fraction("j", c) - fraction("i", c) for c in range(3)]
+    pairs = pairs.withColumns({f"f{c}": step[c] - F.rint(step[c]) for c in range(3)})
     squares = []
-    for at in itertools.product((-1, 0, 1), repeat=3):
+    for at in images:
         g = [F.col(f"f{c}") + F.lit(float(at[c])) for c in range(3)]
         v = [sum((g[c] * F.lit(float(m[c, k])) for c in range(3)), F.lit(0.0)) for k in range(3)]
         squares.append(v[0] * v[0] + v[1] * v[1] + v[2] * v[2])
-    pairs = pairs.withColumn("r", F.sqrt(F.least(*squares)))
+    pairs = pairs.withColumn("r", F.sqrt(F.least(*squares) if len(squares) > 1 else squares[0]))
     return pairs.filter(F.col("r") < cutoff).select("frame", "i", "j", "r")
 
 
@@ -249,6 +263,31 @@ def local_structure(points: DataFrame, pairs: DataFrame, radii: float = 2.0, deg
     return out.drop("__wr", "__wrr", "__ww", *[f"__p{d}" for d in degrees])
 
 
+def smoothed_curve(curve: DataFrame, value: str, sigma: float = 1.0) -> DataFrame:
+    """bin, smooth: a curve over bins 0, 1, ... (a bounded table) under a Gaussian of sigma bins, cut at 4 sigma; its ends go on as they are."""
+    reach = max(1, int(4 * sigma))
+    kernel = [math.exp(-0.5 * (k / sigma) ** 2) for k in range(-reach, reach + 1)]
+    total = sum(kernel)
+    last = curve.agg(F.max("bin").alias("last"))
+    taps = F.array(*[F.struct(F.lit(k).cast("bigint").alias("k"), F.lit(w / total).alias("w")) for k, w in zip(range(-reach, reach + 1), kernel)])
+    want = curve.select("bin").join(F.broadcast(last)).select("bin", "last", F.explode(taps).alias("t"))
+    want = want.select("bin", F.greatest(F.lit(0).cast("bigint"), F.least(F.col("last"), F.col("bin") + F.col("t.k"))).alias("from"), F.col("t.w").alias("w"))
+    own = curve.select(F.col("bin").alias("from"), F.col(value).alias("v"))
+    return want.join(own, "from").groupBy("bin").agg(F.sum(F.col("w") * F.col("v")).alias("smooth"))
+
+
+def first_extrema(curve: DataFrame, prominence: float = 0.1, places: int = 9) -> DataFrame:
+    """One row: peak (the first top that stands prominence above all before it, and above 0) and minimum (the lowest bin from it to the next top, or the end). curve: bin, smooth."""
+    w = Window.partitionBy(F.lit(0)).orderBy("bin")  # one row a bin
+    s = F.round("smooth", places)
+    c = curve.select("bin", s.alias("s")).withColumns({"before": F.lag("s").over(w), "after": F.lead("s").over(w), "low": F.min("s").over(w.rowsBetween(Window.unboundedPreceding, -1))})
+    c = c.withColumn("top", (F.col("s") > F.col("before")) & (F.col("s") >= F.col("after")))
+    peak = c.filter(F.col("top") & (F.col("s") - F.greatest(F.col("low"), F.lit(0.0)) >= prominence)).agg(F.min("bin").alias("peak"))
+    c = c.join(F.broadcast(peak)).filter("bin >= peak")
+    stop = c.agg(F.coalesce(F.min(F.when(F.col("top") & (F.col("bin") > F.col("peak")), F.col("bin"))), F.max("bin")).alias("stop"))
+    return c.join(F.broadcast(stop)).filter("bin <= stop").groupBy("peak").agg(F.min(F.struct("s", "bin")).alias("m")).select("peak", F.col("m.bin").alias("minimum"))
+
+
 def radial_features(points: DataFrame, pairs: DataFrame, centers: Sequence[float], width: float) -> DataFrame:
     """frame, atom, and for each center the sum of Gaussians of the distances."""
     z = lambda c: (F.col("r") - c) / width
@@ -266,13 +305,21 @@ def displacement_metrics(reference: DataFrame, candidate: DataFrame, box: Box) -
 
 
 def nearest_site(points: DataFrame, sites: DataFrame, box: Box, radius: float) -> DataFrame:
-    """frame, atom, site, r: the nearest of the sites (site, x, y, z; a bounded table) within radius, else null. Ties: the smaller site."""
+    """frame, atom, site, r: the nearest of the sites (site, x, y, z) within radius, else null. Ties: the smaller site.
+
+    Sites are put into the bins around their own, points are looked up in theirs: an equi-join on bins.
+    """
+    bins = [max(1, math.floor(edge / radius)) for edge in box]
+    bin_of = lambda a, edge, n: F.pmod(F.floor(F.col(a) / edge * n), F.lit(n)).cast("int")
     s = sites.select("site", *[F.col(a).alias(f"{a}s") for a in AXES])
+    for a, edge, n in zip(AXES, box, bins):
+        near = F.array(*[F.pmod(bin_of(f"{a}s", edge, n) + o, F.lit(n)) for o in ((-1, 0, 1) if n >= 3 else range(n))])
+        s = s.withColumn(f"b{a}", F.explode(near))
+    own = points.select("frame", "atom", *AXES, *[bin_of(a, edge, n).alias(f"b{a}") for a, edge, n in zip(AXES, box, bins)])
     d = [nearest_image(F.col(f"{a}s") - F.col(a), edge) for a, edge in zip(AXES, box)]
-    near = points.join(F.broadcast(s)).withColumn("r", F.sqrt(d[0] * d[0] + d[1] * d[1] + d[2] * d[2]))
-    best = near.groupBy("frame", "atom").agg(F.min(F.struct("r", "site")).alias("m"))
-    inside = F.col("m.r") < radius
-    return best.select("frame", "atom", F.when(inside, F.col("m.site")).alias("site"), F.when(inside, F.col("m.r")).alias("r"))
+    met = own.join(s, ["bx", "by", "bz"], "left").withColumn("r", F.sqrt(d[0] * d[0] + d[1] * d[1] + d[2] * d[2]))
+    best = met.groupBy("frame", "atom").agg(F.min(F.when(F.col("r") < radius, F.struct("r", "site"))).alias("m"))
+    return best.select("frame", "atom", F.col("m.site").alias("site"), F.col("m.r").alias("r"))
 
 
 def box_overlaps(boxes: DataFrame, width: float) -> DataFrame:
@@ -350,58 +397,59 @@ def feature_neighbors(witnesses: DataFrame, candidates: DataFrame, radius: float
     return both.applyInPandas(compare, "witness bigint, candidate bigint, distance double")
 
 
-def farthest_order(ids: np.ndarray, v: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Places and distances of the maximin prefix from the smallest id; each step updates the distances to the chosen set."""
-    order = np.argsort(ids, kind="stable")
-    v = v[order]
-    near, at, places, far = np.full(len(v), np.inf), 0, [], []
-    while len(places) < min(k, len(v)):
-        if places and near[at] == 0.0:
-            break
-        places.append(order[at])
-        far.append(near[at])
-        d = v - v[at]
-        near = np.minimum(near, np.sqrt(np.einsum("ij,ij->i", d, d)))
-        at = int(near.argmax())
-    return np.array(places, int), np.array(far)
-
-
-def farthest_points(vectors: DataFrame, k: int, local_rows: int = 200_000) -> DataFrame:
-    """rank, id, distance: the maximin prefix from the smallest id, ties to the smaller id.
+def farthest_points(vectors: DataFrame, k: int, pool: int = 20_000) -> DataFrame:
+    """rank, id, distance: the maximin prefix from the smallest id, ties to the smaller id; it ends where only copies are left.
 
-    Up to local_rows vectors go to one task. Beyond, each step is one aggregate over the vectors, whose
-    distances to the chosen set the executors keep, and the driver sees one row a step.
+    Distances to the chosen set only fall. So a round brings the pool of vectors that are farthest by now to
+    the driver, which picks as long as its farthest is beyond what all others were at most; then all vectors'
+    distances follow the new picks, as a durable table. Up to pool vectors take two rounds.
     """
     spark = vectors.sparkSession
-    if vectors.limit(local_rows + 1).count() <= local_rows:
-
-        def run(own: pd.DataFrame) -> pd.DataFrame:
-            ids = own["id"].to_numpy(np.int64)
-            at, far = farthest_order(ids, np.stack(own["v"].to_list()).astype(float), k)
-            far = [None if r == 0 else float(x) for r, x in enumerate(far)]
-            return pd.DataFrame({"rank": np.arange(len(at), dtype="int32"), "id": ids[at], "distance": pd.array(far, dtype="Float64")})
-
-        return vectors.select("id", "v").groupBy(F.lit(0).alias("one")).applyInPandas(run, "rank int, id bigint, distance double")
-    state = vectors.select("id", "v").withColumn("near", F.lit(float("inf"))).persist()
-    chosen, out = state.agg(F.min("id")).first()[0], []
-    try:
-        for rank in range(k):
-            row = state.filter(F.col("id") == chosen).first()
-            out.append((rank, int(row["id"]), None if rank == 0 else float(row["near"])))
-            v = F.array(*[F.lit(float(x)) for x in row["v"]])
-            square = F.aggregate(F.zip_with("v", v, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda acc, x: acc + x)
-            fresh = state.withColumn("near", F.least("near", F.sqrt(square))).persist()
-            best = fresh.agg(F.max(F.struct("near", (-F.col("id")).alias("id")))).first()[0]
-            state.unpersist()
-            state = fresh
-            if best["near"] == 0.0:
+    state = kept(vectors.select("id", F.col("v").cast("array<double>").alias("v"), F.lit(float("inf")).alias("near")))
+    out: list[tuple[int, int, float | None]] = []
+    while len(out) < k:
+        top = state.orderBy(F.desc("near"), "id").limit(pool + 1).toPandas()
+        if not len(top):
+            break
+        bound = (float(top["near"].iloc[pool]), -int(top["id"].iloc[pool])) if len(top) > pool else None
+        own = top.iloc[:pool].sort_values("id")
+        ids, v, near = own["id"].to_numpy(np.int64), np.stack(own["v"].to_list()), own["near"].to_numpy(float).copy()
+        fresh, ended = [], False
+        while len(out) < k:
+            at = int(near.argmax())
+            if bound is not None and (float(near[at]), -int(ids[at])) < bound:
+                break
+            if out and near[at] == 0.0:
+                ended = True
                 break
-            chosen = -best["id"]
-    finally:
-        state.unpersist()
+            out.append((len(out), int(ids[at]), float(near[at]) if out else None))
+            fresh.append(v[at])
+            d = v - v[at]
+            near = np.minimum(near, np.sqrt(np.einsum("ij,ij->i", d, d)))
+        if ended or not fresh or len(out) >= k or (bound is None and len(out) > len(ids)):
+            break
+        state = _nearer(state, np.stack(fresh))
     return spark.createDataFrame(out, "rank int, id bigint, distance double")
 
 
+def _nearer(state: DataFrame, picks: np.ndarray) -> DataFrame:
+    """id, v, near with the distances to more picks, as a durable table that replaces the one before."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for lo in range(0, len(batch), 1024):
+                part = batch.iloc[lo : lo + 1024]
+                v, near = np.stack(part["v"].to_list()), part["near"].to_numpy(float).copy()
+                for p in picks:
+                    d = v - p
+                    near = np.minimum(near, np.sqrt(np.einsum("ij,ij->i", d, d)))
+                yield part.assign(near=near)
+
+    out = kept(state.mapInPandas(run, "id bigint, v array<double>, near double"))
+    discard(state)
+    return out
+
+
 def frame_kernel(points: DataFrame, kernel, schema: str) -> DataFrame:
     """kernel(positions) per frame, for what no expression can say; a frame's population is fixed and bounded."""
 
@@ -440,13 +488,13 @@ def ring_planes(points: DataFrame, rings: DataFrame, box: Box) -> DataFrame:
         return pd.DataFrame([(int(own["frame"].iloc[0]), int(own["ring"].iloc[0]), *center, *normal, flat)], columns=["frame", "ring", "cx", "cy", "cz", "nx", "ny", "nz", "flatness"])
 
     schema = "frame bigint, ring bigint, cx double, cy double, cz double, nx double, ny double, nz double, flatness double"
-    return points.join(F.broadcast(rings), "atom").groupBy("frame", "ring").applyInPandas(run, schema)
+    return points.join(rings, "atom").groupBy("frame", "ring").applyInPandas(run, schema)
 
 
 def rebuild_frames(points: DataFrame, box: Box, skin: float) -> DataFrame:
-    """frame, rebuilt, drift: when a list kept with a skin must be made anew: twice the largest displacement since the last one reaches the skin.
+    """run, frame, rebuilt, drift: when a list kept with a skin must be made anew: twice the largest displacement since the last one reaches the skin.
 
-    Frames depend on each other: a run's positions go to one task, in order. Run by run they are bounded.
+    A run's frames depend on each other: its positions (run, frame, atom, x, y, z) go to one task, in order.
     """
 
     def run(own: pd.DataFrame) -> pd.DataFrame:
@@ -459,7 +507,7 @@ def rebuild_frames(points: DataFrame, box: Box, skin: float) -> DataFrame:
             drift = float(np.sqrt((d * d).sum(axis=1)).max())
             fresh = held is None or 2 * drift >= skin
             held = v if fresh else held
-            out.append((int(frame), fresh, drift))
-        return pd.DataFrame(out, columns=["frame", "rebuilt", "drift"])
+            out.append((int(own["run"].iloc[0]), int(frame), fresh, drift))
+        return pd.DataFrame(out, columns=["run", "frame", "rebuilt", "drift"])
 
-    return points.groupBy(F.lit(0).alias("run")).applyInPandas(run, "frame bigint, rebuilt boolean, drift double")
+    return points.groupBy("run").applyInPandas(run, "run bigint, frame bigint, rebuilt boolean, drift double")

@@ -4,11 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from framelake.durable import discard, kept
 from framelake.operators.islands import with_position
 
 
@@ -44,24 +43,26 @@ def staged_file_groups(files: DataFrame, size: str, digest: Column, path: str) -
     return out.groupBy(size, "digest").agg(F.count("*").alias("n"), F.min(path).alias("first")).filter("n > 1")
 
 
-def connected_components(nodes: DataFrame, edges: DataFrame, node: str, a: str, b: str, keep=None) -> DataFrame:
+def connected_components(nodes: DataFrame, edges: DataFrame, node: str, a: str, b: str) -> DataFrame:
     """node, component (its smallest node): min-label rounds over edges in both directions, with pointer jumps.
 
-    keep(df) writes a round's labels to a durable table and reads them back; by default checkpoint(). The
-    number of rounds grows with the logarithm of a chain's length. Labels and edges stay distributed.
+    Each round's labels are a durable table, and replace the round's before. The number of rounds grows with
+    the logarithm of a chain's length. Labels and edges stay distributed.
     """
-    keep = keep or (lambda df: df.checkpoint())
     both = edges.select(F.col(a).alias("u"), F.col(b).alias("v"))
-    both = keep(both.unionByName(edges.select(F.col(b).alias("u"), F.col(a).alias("v"))).filter("u <> v").distinct())
-    labels = keep(nodes.select(F.col(node).alias("u"), F.col(node).alias("label")))
+    both = kept(both.unionByName(edges.select(F.col(b).alias("u"), F.col(a).alias("v"))).filter("u <> v").distinct())
+    held = kept(nodes.select(F.col(node).alias("u"), F.col(node).alias("label")))
+    labels = held.select("u", "label")
     while True:
         low = both.join(labels.withColumnRenamed("u", "v"), "v").groupBy("u").agg(F.min("label").alias("low"))
         step = labels.join(low, "u", "left").select("u", F.col("label").alias("old"), F.least("label", F.coalesce("low", "label")).alias("label"))
         jump = labels.select(F.col("u").alias("label"), F.col("label").alias("up"))
-        fresh = keep(step.join(jump, "label", "left").select("u", "old", F.least("label", F.coalesce("up", "label")).alias("label")))
+        fresh = kept(step.join(jump, "label", "left").select("u", "old", F.least("label", F.coalesce("up", "label")).alias("label")))
         moved = fresh.filter("label <> old").limit(1).count()
-        labels = fresh.select("u", "label")
+        discard(held)
+        held, labels = fresh, fresh.select("u", "label")
         if not moved:
+            discard(both)
             return labels.select(F.col("u").alias(node), F.col("label").alias("component"))
 
 
@@ -198,73 +199,6 @@ def qualify_prefixes(covers: DataFrame, weights: DataFrame, ranking: DataFrame,
     return out.select(F.col("e.size").alias("size"), "family", (F.col("e.mass") / F.col("total")).alias("share"), (F.col("e.mass") / F.col("total") >= threshold).alias("qualified"))
 
 
-def greedy_order(family: np.ndarray, witness: np.ndarray, candidate: np.ndarray, unit: np.ndarray, w: np.ndarray, k: int, threshold: float) -> np.ndarray:
-    """The picks of greedy_coverage. Gains are kept up to date: a pick touches only who shares its witnesses."""
-    ids, c = np.unique(candidate, return_inverse=True)
-    families, f = np.unique(family.astype(str), return_inverse=True)
-    _, x = np.unique(np.stack([f, np.unique(witness, return_inverse=True)[1]], axis=1), axis=0, return_inverse=True)
-    x = x.ravel()
-    pairs = np.unique(np.stack([c, x], axis=1), axis=0)
-    weight, family_of = np.zeros(x.max() + 1 if len(x) else 0), np.zeros(x.max() + 1 if len(x) else 0, int)
-    weight[x], family_of[x] = w, f
-    unit_of = np.zeros(len(ids), int)
-    unit_of[c] = np.unique(unit.astype(str), return_inverse=True)[1]
-    c, x = pairs[:, 0], pairs[:, 1]
-    by_c = np.searchsorted(c, np.arange(len(ids) + 1))
-    turned = np.argsort(x, kind="stable")
-    by_x = np.searchsorted(x[turned], np.arange(len(weight) + 1))
-    fresh = np.zeros((len(families), len(ids)))
-    np.add.at(fresh, (family_of[x], c), weight[x])
-    spread = np.bincount(c, weight[x], len(ids))
-    total, mass = np.bincount(family_of, weight, len(families)), np.zeros(len(families))
-    hits, used = np.zeros(len(weight), int), np.zeros(unit_of.max() + 1 if len(ids) else 0, int)
-    left, out = np.ones(len(ids), bool), []
-
-    def keep(own: np.ndarray, score: np.ndarray) -> np.ndarray:
-        v = score[own]
-        return own[v >= v.max() - 1e-9]
-
-    while len(out) < k and left.any():
-        own = np.flatnonzero(left)
-        open_ = np.flatnonzero(mass < threshold * total - 1e-12)
-        if len(open_):
-            low = open_[np.argmin(mass[open_] / total[open_])]
-            own = keep(keep(own, fresh[low]), fresh.sum(axis=0))
-            own = keep(keep(own, -used[unit_of]), spread)
-        else:
-            own = keep(keep(own, spread), -used[unit_of])
-        best = int(own[0])
-        for cell in x[by_c[best] : by_c[best + 1]]:
-            others = c[turned[by_x[cell] : by_x[cell + 1]]]
-            if not hits[cell]:
-                mass[family_of[cell]] += weight[cell]
-                fresh[family_of[cell], others] -= weight[cell]
-            hits[cell] += 1
-            spread[others] += weight[cell] / (hits[cell] + 1) - weight[cell] / hits[cell]
-        used[unit_of[best]] += 1
-        left[best] = False
-        out.append(best)
-    return ids[np.array(out, int)]
-
-
-def greedy_coverage(covers: DataFrame, weights: DataFrame, units: DataFrame, k: int, threshold: float = 0.95) -> DataFrame:
-    """rank, candidate of up to k picks; covers: family, witness, candidate; weights: family, witness, w; units: candidate, unit.
-
-    While a family is under the threshold, a pick has the largest uncovered weight in the family with the
-    smallest share, then over all families, then the unit picked least, then the largest sum of w / (n + 1)
-    over its witnesses, then the smallest id. Beyond it the last three decide, in the order gain, unit, id.
-    Picks depend on each other: one task takes the problem, of coverage edges only, never of vectors.
-    """
-
-    edges = covers.join(weights, ["family", "witness"]).join(units, "candidate", "left").select("family", "witness", "candidate", "unit", "w")
-
-    def pick(e: pd.DataFrame) -> pd.DataFrame:
-        order = greedy_order(*(e[c].to_numpy() for c in ("family", "witness", "candidate", "unit", "w")), k, threshold)
-        return pd.DataFrame({"rank": np.arange(len(order), dtype="int32"), "candidate": order.astype("int64")})
-
-    return edges.groupBy(F.lit(0).alias("one")).applyInPandas(pick, "rank int, candidate bigint")
-
-
 def required_rework(before: DataFrame, after: DataFrame, key: str, fields: Sequence[str]) -> DataFrame:
     """key, rework: new, removed, the first field (in order of depth) that differs, or none."""
     a = before.select(key, *[F.col(f).alias(f"a_{f}") for f in fields], F.lit(1).alias("__a"))
@@ -315,66 +249,15 @@ def removal_loss(covers: DataFrame, weights: DataFrame, chosen: DataFrame) -> Da
     return both.groupBy("candidate").agg(F.sum(F.when(F.col("n") == 1, F.col("w")).otherwise(F.lit(0.0))).alias("lost_mass"), F.sum(F.col("w") / F.col("n")).alias("lost_utility"))
 
 
-def lazy_greedy(covers: DataFrame, weights: DataFrame, k: int) -> DataFrame:
-    """rank, candidate, gain of a plain greedy cover by uncovered weight, ties to the smaller id.
-
-    Gains only shrink, so a candidate's last known gain bounds it: most are never worked out again. One
-    task takes the coverage edges.
-    """
-
-    def pick(e: pd.DataFrame) -> pd.DataFrame:
-        import heapq
-
-        cells = {int(c): list(zip(zip(g["family"], g["witness"]), g["w"])) for c, g in e.drop_duplicates(["family", "witness", "candidate"]).groupby("candidate")}
-        heap = [(-sum(w for _, w in own), c) for c, own in cells.items()]
-        heapq.heapify(heap)
-        seen: set = set()
-        out: list[tuple[int, int, float]] = []
-        while heap and len(out) < k:
-            _, c = heapq.heappop(heap)
-            gain = sum(w for x, w in cells[c] if x not in seen)
-            if heap and (-gain, c) > heap[0]:
-                heapq.heappush(heap, (-gain, c))
-                continue
-            out.append((len(out), c, float(gain)))
-            seen.update(x for x, _ in cells[c])
-        return pd.DataFrame(out, columns=["rank", "candidate", "gain"]).astype({"rank": "int32", "candidate": "int64"})
-
-    edges = covers.join(weights, ["family", "witness"])
-    return edges.groupBy(F.lit(0).alias("one")).applyInPandas(pick, "rank int, candidate bigint, gain double")
+def top_of_each(rows: DataFrame, keys: Sequence[str], order: Sequence[Column], k: int) -> DataFrame:
+    """rows with rank from 1: the first k of each key's rows in the order. Spark keeps k rows a key and task before it shuffles."""
+    ranked = rows.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
+    return ranked.filter(F.col("rank") <= k)
 
 
-def repair_swaps(covers: DataFrame, weights: DataFrame, ranking: DataFrame, protected: int, rounds: int = 20) -> DataFrame:
-    """rank, candidate after swaps: members of rank >= protected give way to outsiders while the covered weight strictly grows.
-
-    A round takes the swap that gains the most, ties to the smaller ids. One task takes the coverage edges.
-    """
-
-    def run(e: pd.DataFrame) -> pd.DataFrame:
-        e = e.drop_duplicates(["family", "witness", "candidate"])
-        cells = {int(c): dict(zip(zip(g["family"], g["witness"]), g["w"])) for c, g in e.groupby("candidate")}
-        order = [int(c) for c in e.dropna(subset=["rank"]).drop_duplicates("candidate").sort_values("rank")["candidate"]]
-        for _ in range(rounds):
-            hits: dict = {}
-            for c in order:
-                for x in cells[c]:
-                    hits[x] = hits.get(x, 0) + 1
-            best = (1e-12, 0, 0)
-            for i in range(protected, len(order)):
-                mine = cells[order[i]]
-                lost = {x for x in mine if hits[x] == 1}
-                loss = sum(mine[x] for x in lost)
-                for c in sorted(set(cells) - set(order)):
-                    gain = sum(w for x, w in cells[c].items() if x not in hits or x in lost) - loss
-                    if gain > best[0] + 1e-12:
-                        best = (gain, i, c)
-            if best[0] <= 1e-12:
-                break
-            order[best[1]] = best[2]
-        return pd.DataFrame({"rank": pd.Series(range(len(order)), dtype="int32"), "candidate": pd.Series(order, dtype="int64")})
-
-    edges = covers.join(weights, ["family", "witness"]).join(ranking.select("candidate", "rank"), "candidate", "left")
-    return edges.groupBy(F.lit(0).alias("one")).applyInPandas(run, "rank int, candidate bigint")
+def first_rows(rows: DataFrame, order: Sequence[Column], k: int) -> DataFrame:
+    """The first k rows in the order: each task's first k, then those of all."""
+    return rows.orderBy(*order).limit(k)
 
 
 def run_spread_sample(rows: DataFrame, run: str, order: Sequence[str], requested: int, seed: int) -> DataFrame:

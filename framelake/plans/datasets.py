@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 from framelake.functions.columns import canonical_digest, rounded
 from framelake.operators import islands as I
 from framelake.operators import prep as P
+from framelake.operators import selection as S
+from framelake.plans import stepwise
 from framelake.plans.catalog import query
-from framelake.plans.durable import kept
 from framelake.sources.tables import BOX, POINTS, points, read
 
 NORM = "sha256(trim(regexp_replace(lower(coalesce(text, '')), '[ \\t\\r\\n]+', ' ', 'g')))"
@@ -58,16 +59,15 @@ def staged_file_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-    WITH RECURSIVE n AS (SELECT DISTINCT l_suppkey AS u FROM lineitem WHERE l_quantity >= 49), e AS (SELECT DISTINCT a.l_suppkey AS a, b.l_suppkey AS b FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND a.l_suppkey < b.l_suppkey
-      WHERE a.l_quantity >= 50 AND b.l_quantity >= 50), s AS (SELECT a, b FROM e UNION SELECT b, a FROM e), w AS (SELECT u, u AS r FROM n UNION SELECT s.a, w.r FROM w JOIN s ON s.b = w.u JOIN n ON n.u = s.a)
-    SELECT u AS supplier, min(r) AS component FROM w GROUP BY u
+    WITH RECURSIVE e AS (SELECT min(doc_id) OVER (PARTITION BY n_chars) AS a, doc_id AS b FROM documents UNION SELECT min(doc_id) OVER (PARTITION BY sha256(text)), doc_id FROM documents),
+    s AS (SELECT a, b FROM e UNION SELECT b, a FROM e), w AS (SELECT doc_id AS u, doc_id AS r FROM documents UNION SELECT s.a, w.r FROM w JOIN s ON s.b = w.u)
+    SELECT u AS doc_id, min(r) AS component FROM w GROUP BY u
 """)
 def connected_components(spark: SparkSession, sf_dir: str) -> DataFrame:
-    li = read(spark, sf_dir, "lineitem")
-    nodes = li.filter("l_quantity >= 49").select(F.col("l_suppkey").alias("supplier")).distinct()
-    top = li.filter("l_quantity >= 50").select("l_orderkey", "l_suppkey")
-    edges = top.withColumnRenamed("l_suppkey", "a").join(top.withColumnRenamed("l_suppkey", "b"), "l_orderkey").filter("a < b").select("a", "b")
-    return P.connected_components(nodes, edges, "supplier", "a", "b", kept)
+    """Documents that share their length or their text, each group tied to its first."""
+    d = read(spark, sf_dir, "documents").select("doc_id", "n_chars", F.sha2("text", 256).alias("digest"))
+    star = lambda key: d.join(d.groupBy(key).agg(F.min("doc_id").alias("a")), key).select("a", F.col("doc_id").alias("b"))
+    return P.connected_components(d.select("doc_id"), star("n_chars").unionByName(star("digest")), "doc_id", "a", "b")
 
 
 ROLES = "CASE doc_id % 6 WHEN 0 THEN 'monitor' WHEN 1 THEN 'calibration' WHEN 2 THEN 'purged' ELSE 'development' END"
@@ -106,31 +106,42 @@ def hash_fraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "documents").select("doc_id", P.hash_fraction(7, F.col("doc_id").cast("string")).alias("u"))
 
 
-QUOTAS = """
-    WITH s AS (SELECT source, count(*) AS size FROM documents WHERE doc_id % 7 < 2 + CAST(substr(source, 4) AS BIGINT) % 5 GROUP BY 1),
-    p AS (SELECT source, size, unnest(range(size)) AS pass FROM s), o AS (SELECT *, row_number() OVER (ORDER BY pass, sha256('3' || chr(0) || 'quota' || chr(0) || source), source) AS place FROM p),
-    q AS (SELECT source, size, count(*) FILTER (place <= 137) AS quota FROM o GROUP BY ALL)
+STRATA = "strata AS (SELECT doc_id, source || '/' || coalesce(lang, '') AS stratum FROM documents)"
+QUOTAS = f"""
+    WITH {STRATA}, s AS (SELECT stratum, count(*) AS size FROM strata GROUP BY 1),
+    p AS (SELECT stratum, size, unnest(range(size)) AS pass FROM s), o AS (SELECT *, row_number() OVER (ORDER BY pass, sha256('3' || chr(0) || 'quota' || chr(0) || stratum), stratum) AS place FROM p),
+    q AS (SELECT stratum, size, count(*) FILTER (place <= 137) AS quota FROM o GROUP BY ALL)
 """
 
 
 def _strata(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read(spark, sf_dir, "documents").select("doc_id", "source").filter(F.expr("doc_id % 7 < 2 + cast(substr(source, 4) as bigint) % 5"))
+    return read(spark, sf_dir, "documents").select("doc_id", F.concat("source", F.lit("/"), F.coalesce("lang", F.lit(""))).alias("stratum"))
 
 
 def _quotas(rows: DataFrame) -> DataFrame:
-    return P.balanced_quotas(rows.groupBy("source").agg(F.count("*").alias("size")), "source", "size", 137, 3)
+    return P.balanced_quotas(rows.groupBy("stratum").agg(F.count("*").alias("size")), "stratum", "size", 137, 3)
 
 
-@query(QUOTAS + "SELECT source, size, quota FROM q")
+@query(QUOTAS + "SELECT stratum, size, quota FROM q")
 def balanced_quotas(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _quotas(_strata(spark, sf_dir))
 
 
-@query(QUOTAS + ", r AS (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS position FROM documents WHERE doc_id % 7 < 2 + CAST(substr(source, 4) AS BIGINT) % 5), i AS (SELECT source, size, quota, CASE WHEN quota = size THEN 0 ELSE "
-       + HASH.format(x="'3' || chr(0) || 'target:' || source") + " END AS u, unnest(range(quota)) AS i FROM q) SELECT r.doc_id, r.source FROM r JOIN i ON r.source = i.source AND r.position = least(i.size - 1, floor((i.i + i.u) * i.size / i.quota))")
+@query(QUOTAS + ", r AS (SELECT doc_id, stratum, row_number() OVER (PARTITION BY stratum ORDER BY doc_id) - 1 AS position FROM strata), i AS (SELECT stratum, size, quota, CASE WHEN quota = size THEN 0 ELSE "
+       + HASH.format(x="'3' || chr(0) || 'target:' || stratum") + " END AS u, unnest(range(quota)) AS i FROM q) SELECT r.doc_id, r.stratum FROM r JOIN i ON r.stratum = i.stratum AND r.position = least(i.size - 1, floor((i.i + i.u) * i.size / i.quota))")
 def balanced_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _strata(spark, sf_dir)
-    return P.systematic_sample(rows, "source", ["doc_id"], _quotas(rows), "size", 3).select("doc_id", "source")
+    return P.systematic_sample(rows, "stratum", ["doc_id"], _quotas(rows), "size", 3).select("doc_id", "stratum")
+
+
+@query("SELECT source, doc_id, rank FROM (SELECT source, doc_id, CAST(row_number() OVER (PARTITION BY source ORDER BY n_chars DESC, doc_id) AS INTEGER) AS rank FROM documents) WHERE rank <= 3")
+def top_of_each(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return P.top_of_each(read(spark, sf_dir, "documents"), ["source"], [F.desc("n_chars"), F.asc("doc_id")], 3).select("source", "doc_id", "rank")
+
+
+@query("SELECT doc_id, n_chars FROM documents ORDER BY n_chars DESC, doc_id LIMIT 25")
+def first_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return P.first_rows(read(spark, sf_dir, "documents").select("doc_id", "n_chars"), [F.desc("n_chars"), F.asc("doc_id")], 25)
 
 
 WEIGHTS = """
@@ -150,9 +161,9 @@ def configuration_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _weights(spark, sf_dir).select("doc_id", F.round("weight", 9).alias("weight"))
 
 
-@query()
+@query(WEIGHTS + ", " + stepwise.clipped(0.3, 1.6, 32))
 def clipped_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return P.clipped_weights(_weights(spark, sf_dir), 0.3, 1.6)
+    return P.clipped_weights(_weights(spark, sf_dir), 0.3, 1.6).select("doc_id", F.round("weight", 9).alias("weight"))
 
 
 @query("""
@@ -196,11 +207,68 @@ def qualify_prefixes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.qualify_prefixes(covers, weights, ranking, [5, 20, 60], 0.9).withColumn("share", F.round("share", 9))
 
 
-@query()
+DUTIES = ", units AS (SELECT DISTINCT candidate, candidate % 10 AS unit FROM covers), duties AS (SELECT n_regionkey AS obligation, s_suppkey AS candidate, 1 + n_regionkey % 3 AS minimum FROM supplier JOIN nation ON s_nationkey = n_nationkey)"
+
+
+def _duties(spark: SparkSession, sf_dir: str) -> DataFrame:
+    of = read(spark, sf_dir, "supplier").join(F.broadcast(read(spark, sf_dir, "nation")), F.col("s_nationkey") == F.col("n_nationkey"))
+    return of.select(F.col("n_regionkey").alias("obligation"), F.col("s_suppkey").alias("candidate"), (1 + F.col("n_regionkey") % 3).alias("minimum"))
+
+
+def _greedy(spark: SparkSession, sf_dir: str, **options) -> DataFrame:
+    covers, weights = _covers(spark, sf_dir)
+    units = covers.select("candidate").distinct().withColumn("unit", F.col("candidate") % 10)
+    return S.greedy_coverage(covers, weights, units, 30, 0.8, _duties(spark, sf_dir), **options)
+
+
+@query(COVERS + DUTIES + ", " + stepwise.greedy(30, 0.8))
 def greedy_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _greedy(spark, sf_dir)
+
+
+@query(COVERS + DUTIES + ", " + stepwise.greedy(30, 0.8) + " WHERE rank >= 12")
+def greedy_resumed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A selection that stopped after 12 picks goes on from them."""
     covers, weights = _covers(spark, sf_dir)
     units = covers.select("candidate").distinct().withColumn("unit", F.col("candidate") % 10)
-    return P.greedy_coverage(covers, weights, units, 30, 0.8)
+    begun = [r.candidate for r in S.greedy_coverage(covers, weights, units, 12, 0.8, _duties(spark, sf_dir)).orderBy("rank").collect()]
+    return S.greedy_coverage(covers, weights, units, 18, 0.8, _duties(spark, sf_dir), prefix=begun)
+
+
+@query(COVERS + """, chosen AS (SELECT DISTINCT candidate FROM covers WHERE candidate < 15 AND candidate <> 4 UNION SELECT DISTINCT candidate FROM covers WHERE candidate BETWEEN 20 AND 24),
+    n AS (SELECT family, witness, count(*) AS n FROM covers SEMI JOIN chosen USING (candidate) GROUP BY ALL)
+    SELECT family, CAST(sum(CASE WHEN n IS NULL THEN 0 ELSE w END) AS DOUBLE) AS mass, round(sum(CASE WHEN n IS NULL THEN 0 ELSE w END) / sum(w), 9) AS share, round(sum(CASE WHEN n IS NULL THEN 0 ELSE w * list_sum([1.0::DOUBLE / k FOR k IN range(1, n + 1)]) END), 6) AS utility
+    FROM weights LEFT JOIN n USING (family, witness) GROUP BY family""")
+def selection_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The state after some candidates were selected and one of them was deselected."""
+    covers, weights = _covers(spark, sf_dir)
+    every = covers.select("candidate").distinct()
+    chosen = S.deselected(S.selected(every.filter("candidate < 15"), every.filter("candidate between 20 and 24")), every.filter("candidate = 4"))
+    return S.selection_state(covers, weights, chosen).select("family", "mass", F.round("share", 9).alias("share"), rounded(F.col("utility")).alias("utility"))
+
+
+PICKED = ", picked AS (SELECT candidate FROM duties WHERE candidate % 9 = 1)"
+
+
+@query(COVERS + DUTIES + PICKED + "SELECT obligation, max(minimum) AS minimum, count(*) AS capacity, count(p.candidate) AS selected, greatest(max(minimum) - count(p.candidate), 0) AS deficit, count(*) >= max(minimum) AS feasible FROM duties d LEFT JOIN picked p ON p.candidate = d.candidate GROUP BY obligation")
+def obligation_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = _duties(spark, sf_dir)
+    return S.obligation_report(d, d.select("candidate").filter("candidate % 9 = 1"))
+
+
+@query(COVERS + DUTIES + PICKED + ", t AS (SELECT obligation, count(p.candidate) <= max(minimum) AS tight FROM duties d LEFT JOIN picked p ON p.candidate = d.candidate GROUP BY obligation) SELECT p.candidate, NOT bool_or(tight) AS safe FROM picked p JOIN duties d ON d.candidate = p.candidate JOIN t USING (obligation) GROUP BY p.candidate")
+def hard_safe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = _duties(spark, sf_dir)
+    return S.hard_safe(d, d.select("candidate").filter("candidate % 9 = 1"))
+
+
+@query("""
+    WITH m AS (SELECT l_suppkey AS row, list(DISTINCT l_partkey ORDER BY l_partkey) AS columns FROM lineitem GROUP BY 1), w AS (SELECT p_partkey AS place, 1 + p_partkey % 7 AS row FROM part)
+    SELECT place, row, CAST(unnest(range(len(columns))) AS INTEGER) AS k, unnest(columns) AS column FROM w JOIN m USING (row)
+""")
+def csr_gather(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = read(spark, sf_dir, "lineitem").groupBy(F.col("l_suppkey").alias("row")).agg(F.array_sort(F.collect_set("l_partkey")).alias("columns"))
+    return S.csr_gather(rows, read(spark, sf_dir, "part").select(F.col("p_partkey").alias("place"), (1 + F.col("p_partkey") % 7).alias("row")))
 
 
 @query("SELECT candidate, count(*) AS witnesses, sha256(string_agg(CAST(witness AS VARCHAR), ',' ORDER BY witness)) AS digest FROM (SELECT DISTINCT l_suppkey AS candidate, l_partkey AS witness FROM lineitem) GROUP BY candidate")
@@ -225,9 +293,9 @@ def prediction_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "documents").select("doc_id").join(read(spark, sf_dir, "labels"), "doc_id", "left_anti")
 
 
-@query("(SELECT l_partkey AS id FROM lineitem WHERE l_returnflag = 'A' EXCEPT SELECT l_partkey FROM lineitem WHERE l_returnflag = 'R') UNION (SELECT l_partkey FROM lineitem WHERE l_returnflag = 'R' EXCEPT SELECT l_partkey FROM lineitem WHERE l_returnflag = 'A')")
+@query("(SELECT l_orderkey AS id FROM lineitem WHERE l_returnflag = 'A' EXCEPT SELECT l_orderkey FROM lineitem WHERE l_returnflag = 'R') UNION (SELECT l_orderkey FROM lineitem WHERE l_returnflag = 'R' EXCEPT SELECT l_orderkey FROM lineitem WHERE l_returnflag = 'A')")
 def symmetric_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ids = lambda f: read(spark, sf_dir, "lineitem").filter(F.col("l_returnflag") == f).select(F.col("l_partkey").alias("id"))
+    ids = lambda f: read(spark, sf_dir, "lineitem").filter(F.col("l_returnflag") == f).select(F.col("l_orderkey").alias("id"))
     a, r = ids("A"), ids("R")
     return a.subtract(r).unionByName(r.subtract(a))
 

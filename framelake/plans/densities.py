@@ -58,9 +58,7 @@ def ascent_pointers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(POINTERS.replace("WITH", "WITH RECURSIVE", 1) + ", walk AS (SELECT id, up FROM ptr UNION SELECT walk.id, ptr.up FROM walk JOIN ptr ON ptr.id = walk.up) SELECT walk.id, walk.up AS basin FROM walk JOIN ptr ON ptr.id = walk.up AND ptr.up = ptr.id")
 def basins(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from framelake.plans.durable import kept
-
-    return D.basins(_voxels(spark, sf_dir), SHAPE, kept).select("id", "basin")
+    return D.basins(_voxels(spark, sf_dir), SHAPE).select("id", "basin")
 
 
 @query(f"""

@@ -234,7 +234,15 @@ def block_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return K.block_plan(rows, "atom", "frame", K.autocorrelation(rows, "atom", "frame", "x")).select("atom", "block", "start", "stop")
 
 
-@query()
+@query(f"""
+    WITH RECURSIVE {TRAJ}, b AS (SELECT atom, frame // 4 AS block, avg(x) AS m FROM traj GROUP BY ALL HAVING count(*) = 4), l AS (SELECT atom, list(m ORDER BY block) AS y FROM b GROUP BY atom),
+    c AS (SELECT atom, y, len(y) AS n, [coalesce(list_sum(y[1:k]), 0) FOR k IN range(len(y) + 1)] AS s, [coalesce(list_sum([v * v FOR v IN y[1:k]]), 0) FOR k IN range(len(y) + 1)] AS q FROM l),
+    dp AS (SELECT atom, 0 AS j, [-400.0::DOUBLE] AS best, []::BIGINT[] AS back FROM c
+      UNION ALL SELECT atom, j + 1, list_append(best, list_min(cost)), list_append(back, list_position(cost, list_min(cost)) - 1)
+      FROM (SELECT dp.atom, j, best, back, [best[i + 1] + (q[j + 2] - q[i + 1]) - (s[j + 2] - s[i + 1]) * (s[j + 2] - s[i + 1]) / (j + 1 - i) + 400.0 FOR i IN range(j + 1)] AS cost FROM dp JOIN c ON c.atom = dp.atom WHERE j < n)),
+    f AS (SELECT dp.atom, back, n, y FROM dp JOIN c ON c.atom = dp.atom WHERE j = n), cut AS (SELECT atom, back[n] AS start, n AS stop FROM f UNION ALL SELECT f.atom, back[start], start FROM cut JOIN f ON f.atom = cut.atom WHERE start > 0)
+    SELECT cut.atom, CAST(row_number() OVER (PARTITION BY cut.atom ORDER BY start) - 1 AS INTEGER) AS segment, CAST(start AS INTEGER) AS start, CAST(stop AS INTEGER) AS stop, round(list_avg(y[start + 1:stop]), 6) AS mean FROM cut JOIN f ON f.atom = cut.atom
+""")
 def change_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     means = T.block_means(trajectories(spark, sf_dir), ["atom"], "frame", "x", 4)
-    return K.change_points(means, "atom", "block", "mean", 400.0)
+    return K.change_points(means, "atom", "block", "mean", 400.0).withColumn("mean", rounded(F.col("mean")))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from framelake.functions.columns import rounded
 from framelake.operators import pairs as P
+from framelake.plans import stepwise
 from framelake.plans.catalog import query
 from framelake.sources.tables import BOX, POINTS, points, read
 
@@ -43,13 +44,13 @@ def neighbors_unordered(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""
     WITH {POINTS}, o AS (SELECT a, b, c FROM range(-3, 4) t(a), range(-3, 4) u(b), range(-3, 4) v(c)),
-    d AS (SELECT a.frame, a.atom AS i, b.atom AS j, b.x - a.x AS ex, b.y - a.y AS ey, b.z - a.z AS ez FROM pts a JOIN pts b ON a.frame = b.frame AND a.atom < b.atom WHERE a.atom < 120),
+    d AS (SELECT a.frame, a.atom AS i, b.atom AS j, b.x - a.x AS ex, b.y - a.y AS ey, b.z - a.z AS ez FROM pts a JOIN pts b ON a.frame = b.frame AND a.atom < b.atom),
     r AS (SELECT frame, i, j, sqrt(min((ex + a * 10 + b * 7 + c * 1) ** 2 + (ey + b * 9 + c * -1) ** 2 + (ez + c * 8) ** 2)) AS r FROM d, o GROUP BY ALL)
     SELECT frame, i, j, round(r, 6) AS r FROM r WHERE r < 2
 """)
 def neighbors_triclinic(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = P.triclinic_neighbors(points(spark, sf_dir), (10.0, 0.0, 0.0, 7.0, 9.0, 0.0, 1.0, -1.0, 8.0), 2.0)
-    return out.filter("i < 120").select("frame", "i", "j", F.round("r", 6).alias("r"))
+    return out.select("frame", "i", "j", F.round("r", 6).alias("r"))
 
 
 @query(f"WITH {POINTS} SELECT least(min(10.0 + frame), 11.0, 12.0)::DOUBLE / 2 AS cutoff FROM pts")
@@ -107,6 +108,17 @@ def partial_rdf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.partial_rdf(a, b, P.neighbors(a, b, CUBE, 3.0), CUBE, 3.0, 30).select("bin", rounded(F.col("g")).alias("g"))
 
 
+@query(RDF + """, k AS (SELECT k, exp(-0.5 * k * k) / sum(exp(-0.5 * k * k)) OVER () AS w FROM range(-4, 5) t(k)),
+    sm AS (SELECT a.bin, round(sum(w * b.g), 9) AS s FROM a, k JOIN a b ON b.bin = greatest(0, least(29, a.bin + k)) GROUP BY a.bin),
+    tp AS (SELECT *, s > lag(s) OVER w AND s >= lead(s) OVER w AS top, min(s) OVER (ORDER BY bin ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS low FROM sm WINDOW w AS (ORDER BY bin)),
+    pk AS (SELECT min(bin) AS peak FROM tp WHERE top AND s - greatest(low, 0) >= 0.1), en AS (SELECT coalesce(min(CASE WHEN top AND bin > peak THEN bin END), max(bin)) AS stop FROM tp, pk)
+    SELECT CAST(peak AS BIGINT) AS peak, CAST(arg_min(bin, struct_pack(a := s, b := bin)) AS BIGINT) AS minimum FROM tp, pk, en WHERE bin >= peak AND bin <= stop GROUP BY peak""")
+def rdf_extrema(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = points(spark, sf_dir)
+    curve = P.rdf(p, P.neighbors(p, p, CUBE, 3.0, unordered=True), CUBE, 3.0, 30)
+    return P.first_extrema(P.smoothed_curve(curve, "g"))
+
+
 ANGLES = PAIRS + """, e AS (SELECT * FROM p WHERE r < 1.5), t AS (SELECT a.frame, a.i, a.j AS a, b.j AS b, (a.dx * b.dx + a.dy * b.dy + a.dz * b.dz) / (a.r * b.r) AS cosine FROM e a JOIN e b ON a.frame = b.frame AND a.i = b.i AND a.j < b.j)"""
 
 
@@ -220,6 +232,6 @@ def coverage_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.feature_neighbors(v, v, 1.1).select("witness", "candidate", rounded(F.col("distance")).alias("distance"))
 
 
-@query()
+@query("WITH e AS (SELECT vec_id AS id, embedding::DOUBLE[] AS v FROM embeddings), " + stepwise.farthest(12))
 def farthest_points(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return P.farthest_points(_vectors(spark, sf_dir), 12)
+    return P.farthest_points(_vectors(spark, sf_dir), 12).withColumn("distance", F.round("distance", 6))

@@ -124,7 +124,13 @@ def reference_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("element", rounded(F.col("energy"), 5).alias("energy"), "rank", rounded(F.col("rmse"), 5).alias("rmse"))
 
 
-@query()
+@query("""
+    WITH d AS (SELECT l_orderkey, count(*) FILTER (l_returnflag = 'A') AS a, count(*) FILTER (l_returnflag = 'N') AS n, count(*) FILTER (l_returnflag = 'R') AS r FROM lineitem GROUP BY 1),
+    m AS (SELECT sum(a*a)::HUGEINT AS aa, sum(a*n)::HUGEINT AS an, sum(a*r)::HUGEINT AS ar, sum(n*n)::HUGEINT AS nn, sum(n*r)::HUGEINT AS nr, sum(r*r)::HUGEINT AS rr,
+                 sum(a*(a+n))::HUGEINT AS ax, sum(n*(a+n))::HUGEINT AS nx, sum(r*(a+n))::HUGEINT AS rx, sum((a+n)*(a+n))::HUGEINT AS xx FROM d),
+    t AS (SELECT aa*(nn*rr-nr*nr) - an*(an*rr-nr*ar) + ar*(an*nr-nn*ar) AS three, aa*(nn*xx-nx*nx) - an*(an*xx-nx*ax) + ax*(an*nx-nn*ax) AS flat FROM m)
+    SELECT unnest(['n_A', 'n_N', 'n_R', 'n_X']) AS element, unnest([flat <> 0, flat <> 0, three <> 0, flat <> 0]) AS identified FROM t
+""")
 def rank_identifiability(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = _design(spark, sf_dir).withColumn("n_X", F.col("n_A") + F.col("n_N"))
     return T.identifiable(d, ["n_A", "n_N", "n_R", "n_X"])

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from framelake.operators import density as D
 from framelake.operators import islands as I
 from framelake.operators import prep as P
-from framelake.plans.durable import kept
+from framelake.operators import selection as S
 
 
 def quotas_by_hand(sizes, requested, seed):
@@ -58,7 +58,7 @@ def test_positions_over_ranges(spark):
 def test_components_of_a_chain_and_loners(spark):
     nodes = spark.range(60).select(F.col("id").alias("n"))
     edges = spark.createDataFrame([(i, i + 1) for i in range(10, 40)] + [(3, 3)], "a bigint, b bigint")
-    got = {r.n: r.component for r in P.connected_components(nodes, edges, "n", "a", "b", kept).collect()}
+    got = {r.n: r.component for r in P.connected_components(nodes, edges, "n", "a", "b").collect()}
     assert got == {i: 10 if 10 <= i <= 40 else i for i in range(60)}
 
 
@@ -81,7 +81,7 @@ def test_greedy_coverage_order(spark):
     covers = spark.createDataFrame([("f", 1, 10), ("f", 2, 10), ("f", 2, 20), ("f", 3, 30), ("f", 4, 20)], "family string, witness bigint, candidate bigint")
     weights = spark.createDataFrame([("f", k, 1.0) for k in (1, 2, 3, 4)], "family string, witness bigint, w double")
     units = spark.createDataFrame([(10, 0), (20, 0), (30, 1)], "candidate bigint, unit bigint")
-    got = [r.candidate for r in P.greedy_coverage(covers, weights, units, 3, 1.0).orderBy("rank").collect()]
+    got = [r.candidate for r in S.greedy_coverage(covers, weights, units, 3, 1.0).orderBy("rank").collect()]
     assert got == [10, 30, 20]
 
 
