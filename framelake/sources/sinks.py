@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -27,6 +27,41 @@ def write_extxyz(frames: DataFrame, path: str, places: int = 8) -> None:
     frames.repartitionByRange("frame").sortWithinPartitions("frame").select(text.alias("value")).write.mode("error").text(path)
 
 
+def write_xyz_index(spark: SparkSession, path: str) -> DataFrame:
+    """Writes the index of the extended XYZ files of a folder beside it (<folder>-index), and reads it back."""
+    from framelake.sources.trajectories import xyz_index
+
+    where = f"{path.rstrip('/')}-index"
+    xyz_index(spark, path).write.mode("error").parquet(where)
+    return spark.read.parquet(where)
+
+
+class CacheError(ValueError):
+    """A cache isn't what its manifest says."""
+
+
+def run_digests(frames: DataFrame, run: str) -> DataFrame:
+    """run, rows, digest: sums of two 60-bit lanes of the rows' SHA-256, whatever their order."""
+    columns = sorted(frames.columns)
+    row = F.sha2(F.to_json(F.struct(*columns), {"ignoreNullFields": "false"}), 256)
+    lane = lambda k: F.sum(F.conv(F.substring(row, 1 + 15 * k, 15), 16, 10).cast("decimal(38,0)")).cast("string")
+    return frames.groupBy(F.col(run).cast("string").alias(run)).agg(F.count("*").alias("rows"), F.concat_ws(":", lane(0), lane(1)).alias("digest"))
+
+
 def write_cache(frames: DataFrame, path: str, run: str = "run_id") -> None:
-    """Parquet in a folder per run, so that a run is read without the others."""
+    """Parquet in a folder per run, so that a run is read without the others, and a manifest of their rows and digests beside it (<path>-manifest)."""
     frames.write.mode("error").partitionBy(run).parquet(path)
+    run_digests(frames, run).write.mode("error").parquet(f"{path.rstrip('/')}-manifest")
+
+
+def read_cache(spark: SparkSession, path: str, run: str = "run_id", runs: Sequence[str] | None = None, verify: bool = True) -> DataFrame:
+    """The cached rows, of some runs if given; verify compares them with the manifest first."""
+    frames, told = spark.read.parquet(path), spark.read.parquet(f"{path.rstrip('/')}-manifest")
+    if runs is not None:
+        frames, told = (df.filter(F.col(run).cast("string").isin(list(map(str, runs)))) for df in (frames, told))
+    if verify:
+        live = run_digests(frames, run)
+        bad = told.exceptAll(live).unionByName(live.exceptAll(told)).select(run).distinct()
+        if names := [r[0] for r in bad.limit(20).collect()]:
+            raise CacheError(f"cached runs differ from their manifest: {names}")
+    return frames

@@ -1,23 +1,26 @@
 """Readers of trajectory text formats as long tables, through Spark's own readers, so that any store works.
 
-Formats whose frames begin with a fixed line are read with that line as the record separator: files stay
-splittable, a record is a frame, and parsing is column expressions. XML goes through the XML reader with
-a row per calculation. Extended XYZ and concatenated CONTCAR records have no such line; their files are
-read whole, one task each, and parsed frame by frame.
+Formats whose frames begin with a fixed text are read with that text as the record separator, others by
+numbered lines (sources.lines): files stay splittable, a record is a frame, and parsing is column
+expressions. What ends in the middle of a record was interrupted: that record is left out, all before it
+count. A record that is broken in the middle of a file raises.
 """
 
 from __future__ import annotations
 
 import bz2
 import gzip
+import hashlib
 import lzma
-import re
 from collections.abc import Iterator
+from itertools import islice
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from framelake.sources.lines import gathered, line_before, numbered_lines, records
+
 
 class FormatError(ValueError):
     """A file isn't what its format says."""
@@ -27,6 +30,11 @@ def _fail(test: Column, message: str) -> Column:
     return F.when(test, F.raise_error(F.lit(message)).cast("boolean")).otherwise(F.lit(True))
 
 
+def _whole(cut: Column, broken: Column, message: str) -> Column:
+    """False for what was cut at the end, an error for what is broken; one expression, so that the order of the tests holds."""
+    return F.when(cut, F.lit(False)).when(broken, F.raise_error(F.lit(message)).cast("boolean")).otherwise(F.lit(True))
+
+
 def _words(line: Column) -> Column:
     return F.split(F.trim(line), r"\s+")
 
@@ -35,6 +43,14 @@ def _number(c: Column) -> Column:
     return c.try_cast("double")
 
 
+def ordered_records(spark: SparkSession, path: str, separator: str) -> DataFrame:
+    """file, split, at (the order in the file), value and last (whether it is the file's last) of records that a text separates."""
+    raw = spark.read.option("lineSep", separator).text(path)
+    raw = raw.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("split"), F.monotonically_increasing_id().alias("at"), "value")
+    ends = raw.groupBy("file").agg(F.max(F.struct("split", "at")).alias("__end"))
+    return raw.join(ends, "file").withColumn("last", F.struct("split", "at") == F.col("__end")).drop("__end")
+
+
 # --- LAMMPS custom dumps -----------------------------------------------------------------------------
 
 
@@ -45,31 +61,30 @@ def read_dump(spark: SparkSession, path: str, start: int = 0, stop: int | None =
     lengths, xy, xz, yz its tilts. frame counts each file's steps from 0, after which start, stop and stride
     choose. Compressed files are read as they are by Spark (gz, bz2), one task each.
     """
-    raw = spark.read.option("lineSep", "ITEM: TIMESTEP\n").text(path).select(F.input_file_name().alias("file"), F.col("value"))
-    raw = raw.filter(F.trim("value") != "")
+    raw = ordered_records(spark, path, "ITEM: TIMESTEP\n").filter(F.trim("value") != "")
     parts = F.split("value", "ITEM: ")
     block = lambda name: F.try_element_at(F.filter(parts, lambda p: p.startswith(name)), F.lit(1))
     rows = raw.select(
-        "file", _number(F.trim(parts[0])).cast("bigint").alias("step"), block("NUMBER OF ATOMS").alias("n"), block("BOX BOUNDS").alias("box"), block("ATOMS").alias("atoms"), block("TIME").alias("time")
+        "file", "last", _number(F.trim(parts[0])).cast("bigint").alias("step"), block("NUMBER OF ATOMS").alias("n"), block("BOX BOUNDS").alias("box"), block("ATOMS").alias("atoms"), block("TIME").alias("time")
     )
-    rows = rows.filter(_fail(F.col("step").isNull() | F.col("n").isNull() | F.col("box").isNull() | F.col("atoms").isNull(), "a dump frame lacks a part"))
+    lacking = F.col("step").isNull() | F.col("n").isNull() | F.col("box").isNull() | F.col("atoms").isNull()
+    rows = rows.filter(_whole(F.col("last") & lacking, lacking, "a dump frame lacks a part"))
     box, lines = F.split("box", "\n"), F.split(F.rtrim("atoms"), "\n")
     bound = lambda k, i: _number(F.try_element_at(_words(box[k]), F.lit(i + 1)))
     tilt = lambda k: F.coalesce(bound(k, 2), F.lit(0.0))
     names = F.slice(_words(lines[0]), 2, 1000)
     body = F.filter(F.slice(lines, 2, 1 << 30), lambda s: F.trim(s) != "")
     out = rows.select(
-        "file", "step", _number(F.trim(F.split("time", "\n")[1])).alias("time"), _number(F.trim(F.split("n", "\n")[1])).cast("int").alias("n_atoms"),
+        "file", "last", "step", _number(F.trim(F.split("time", "\n")[1])).alias("time"), _number(F.trim(F.split("n", "\n")[1])).cast("int").alias("n_atoms"),
         *[(bound(k, 1) - bound(k, 0)).alias(f"b{a}") for k, a in zip((1, 2, 3), "xyz")], *[bound(k, 0).alias(f"o{a}") for k, a in zip((1, 2, 3), "xyz")],
-        tilt(1).alias("xy"), tilt(2).alias("xz"), tilt(3).alias("yz"), F.transform(body, lambda s: F.map_from_arrays(names, _words(s))).alias("atoms"),
+        tilt(1).alias("xy"), tilt(2).alias("xz"), tilt(3).alias("yz"), F.transform(body, lambda s: F.map_from_arrays(F.slice(names, 1, F.size(_words(s))), F.slice(_words(s), 1, F.size(names)))).alias("atoms"), names.alias("names"),
     )
-    out = out.filter(_fail(F.size("atoms") != F.col("n_atoms"), "a dump frame has another number of atoms"))
+    short = F.col("last") & (F.size("atoms") <= F.col("n_atoms")) & (F.exists("atoms", lambda a: F.size(a) < F.size("names")) | (F.size("atoms") < F.col("n_atoms")))
+    out = out.filter(_whole(short, F.size("atoms") != F.col("n_atoms"), "a dump frame has another number of atoms")).drop("last", "names")
     # bounds of skewed boxes hold the tilts' extents
     spread = F.greatest(F.lit(0.0), F.col("xy"), F.col("xz"), F.col("xy") + F.col("xz")) - F.least(F.lit(0.0), F.col("xy"), F.col("xz"), F.col("xy") + F.col("xz"))
     out = out.withColumns({"lx": F.col("bx") - spread, "ly": F.col("by") - F.abs("yz"), "lz": F.col("bz")}).drop("bx", "by", "bz")
     # only file and step are ranked: the frames' rows aren't moved for it
-    from pyspark.sql import Window
-
     order = out.select("file", "step").distinct().withColumn("frame", (F.row_number().over(Window.partitionBy("file").orderBy("step")) - 1).cast("bigint"))
     chosen = (F.col("frame") >= start) & ((F.col("frame") - start) % stride == 0)
     order = order.filter(chosen & (F.col("frame") < stop) if stop is not None else chosen)
@@ -86,22 +101,17 @@ def dump_atoms(frames: DataFrame) -> DataFrame:
     coords = {f"f{x}": F.coalesce(get(f"{x}su"), get(f"{x}s"), (F.coalesce(get(f"{x}u"), get(x)) - F.col(f"o{x}")) / F.col(f"l{x}")) for x in "xyz"}
     more = {f"v{x}": get(f"v{x}") for x in "xyz"} | {f"force_{x}": get(f"f{x}") for x in "xyz"}
     out = at.select("file", "frame", "step", F.try_element_at("a", F.lit("id")).cast("bigint").alias("id"), F.try_element_at("a", F.lit("type")).cast("int").alias("type"), *[c.alias(n) for n, c in (coords | more).items()])
-    from pyspark.sql import Window
-
     return out.withColumn("atom", (F.row_number().over(Window.partitionBy("file", "frame").orderBy("id")) - 1).cast("bigint"))
 
 
 def read_thermo(spark: SparkSession, path: str) -> DataFrame:
-    """step and the thermo columns (a map to double) of a log: the lines between a Step header and the loop time.
-
-    A log is small next to its dump; its lines are numbered by position, file by file.
-    """
-    whole = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), F.col("value"))
-    tables = F.regexp_extract_all("value", F.lit(r"(?m)^\s*(Step\s[^\n]*\n(?:\s*-?\d[^\n]*\n)+)"), F.lit(1))
-    each = whole.select("file", F.explode(tables).alias("t")).select("file", F.split(F.rtrim("t"), "\n").alias("l"))
-    rows = each.select("file", _words(F.col("l")[0]).alias("names"), F.explode(F.filter(F.slice("l", 2, 1 << 30), lambda x: F.trim(x) != "")).alias("line"))
-    values = F.transform(_words(F.col("line")), lambda x: x.try_cast("double"))
-    return rows.select("file", values[0].cast("bigint").alias("step"), F.map_from_arrays("names", values).alias("thermo"))
+    """file, step and the thermo columns (a map to double) of a log: the rows of numbers between a Step header and what isn't one."""
+    lines = records(numbered_lines(spark, path), F.col("value").rlike(r"^\s*(Step\s|Loop time)"))
+    words = _words(F.col("value"))
+    heads = lines.filter(F.col("value").rlike(r"^\s*Step\s")).select("file", "record", words.alias("names"))
+    rows = lines.filter(F.col("value").rlike(r"^\s*-?\d+(\s+\S+)*\s*$")).select("file", "record", "no", F.transform(words, lambda x: x.try_cast("double")).alias("values"))
+    rows = rows.join(heads, ["file", "record"]).filter((F.size("values") == F.size("names")) & ~F.exists("values", lambda v: v.isNull()))
+    return rows.select("file", F.col("values")[0].cast("bigint").alias("step"), F.map_from_arrays("names", "values").alias("thermo"))
 
 
 # --- VASP --------------------------------------------------------------------------------------------
@@ -109,17 +119,19 @@ def read_thermo(spark: SparkSession, path: str) -> DataFrame:
 
 def read_xdatcar(spark: SparkSession, path: str) -> DataFrame:
     """file, frame, atom, element, fx, fy, fz, cell (9 doubles): frames of one cell per file, counted by their own numbers."""
-    raw = spark.read.option("lineSep", "Direct configuration=").text(path).select(F.input_file_name().alias("file"), F.col("value"))
+    raw = ordered_records(spark, path, "Direct configuration=")
     lines = F.filter(F.split("value", "\n"), lambda s: F.trim(s) != "")
-    raw = raw.select("file", lines.alias("l"))
+    raw = raw.select("file", "last", lines.alias("l"))
     head = raw.filter(F.size("l") >= 7).filter(F.try_element_at("l", F.lit(7)).rlike(r"^[\s\d]+$") & F.try_element_at("l", F.lit(6)).rlike("[A-Za-z]"))
     scale = _number(F.trim(F.col("l")[1]))
     cell = F.flatten(F.transform(F.slice("l", 3, 3), lambda s: F.transform(_words(s), lambda x: x.cast("double") * scale)))
     elements = F.flatten(F.zip_with(_words(F.col("l")[5]), _words(F.col("l")[6]), lambda e, n: F.array_repeat(e, n.cast("int"))))
     # one header a file
     head = head.groupBy("file").agg(F.first(F.struct(cell.alias("cell"), elements.alias("elements"))).alias("h"))
-    frames = raw.filter(F.col("l")[0].rlike(r"^\s*\d+\s*$")).select("file", (F.trim(F.col("l")[0]).cast("bigint") - 1).alias("frame"), F.slice("l", 2, 1 << 30).alias("l"))
-    frames = frames.join(F.broadcast(head), "file").filter(_fail(F.size("l") < F.size("h.elements"), "an XDATCAR frame is cut short"))
+    frames = raw.filter(F.col("l")[0].rlike(r"^\s*\d+\s*$")).select("file", "last", (F.trim(F.col("l")[0]).cast("bigint") - 1).alias("frame"), F.slice("l", 2, 1 << 30).alias("l"))
+    # an interrupted file's last frame may lack lines, or the rest of one
+    cut = F.col("last") & ((F.size("l") < F.size("h.elements")) | F.exists(F.slice("l", F.lit(1), F.size("h.elements")), lambda s: F.size(_words(s)) < 3))
+    frames = frames.join(head, "file").filter(_whole(cut, F.size("l") < F.size("h.elements"), "an XDATCAR frame is cut short"))
     at = frames.select("file", "frame", "h.cell", "h.elements", F.posexplode(F.slice("l", F.lit(1), F.size("h.elements"))).alias("atom", "line"))
     f = _words(F.col("line"))
     return at.select("file", "frame", F.col("atom").cast("bigint").alias("atom"), F.element_at("elements", F.col("atom") + 1).alias("element"), *[_number(f[k]).alias(f"f{a}") for k, a in enumerate("xyz")], "cell")
@@ -127,27 +139,115 @@ def read_xdatcar(spark: SparkSession, path: str) -> DataFrame:
 
 _VARRAY = "array<struct<_name:string,v:array<string>>>"
 _ITEM = "array<struct<_name:string,_VALUE:double>>"
-CALCULATION = f"structure struct<crystal:struct<varray:{_VARRAY}>,varray:{_VARRAY}>, varray {_VARRAY}, energy struct<i:{_ITEM}>"
+CALCULATION = f"structure struct<crystal:struct<varray:{_VARRAY}>,varray:{_VARRAY}>, varray {_VARRAY}, energy struct<i:{_ITEM}>, bad string"
 
 
-def read_vasprun(spark: SparkSession, path: str) -> DataFrame:
-    """file, frame, cell, positions, velocities, forces, stress (arrays of rows), energies (a map): one row a calculation.
+def vasprun_records(spark: SparkSession, path: str) -> DataFrame:
+    """file, frame, state, calculation (parsed), last: a row each calculation element, in the file's order, and one for the head with frame -1.
 
-    An interrupted file gives its complete calculations: the reader drops what isn't closed.
+    state: complete, malformed (closed, but no XML), or truncated (not closed, and the file ends with it); an
+    unclosed one before others is malformed. The head's calculation is null, and its text is in head.
     """
-    raw = spark.read.format("xml").option("rowTag", "calculation").option("mode", "DROPMALFORMED").schema(CALCULATION).load(path)
-    raw = raw.select(F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("__at"), "structure", "varray", "energy")
-    from pyspark.sql import Window
-
+    raw = ordered_records(spark, path, "<calculation>")
+    closed = F.col("value").contains("</calculation>")
+    body = F.concat(F.lit("<calculation>"), F.substring_index("value", "</calculation>", 1), F.lit("</calculation>"))
+    parsed = F.from_xml(F.when(closed, body), CALCULATION, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "bad"})
+    first = raw.groupBy("file").agg(F.min(F.struct("split", "at")).alias("__first"))
+    rows = raw.join(first, "file").withColumn("head", F.when(F.struct("split", "at") == F.col("__first"), F.col("value")))
+    rows = rows.withColumns({"calculation": parsed, "closed": closed})
+    state = F.when(F.col("head").isNotNull(), "head").when(F.col("closed") & F.col("calculation.bad").isNull(), "complete").when(~F.col("closed") & F.col("last"), "truncated").otherwise("malformed")
+    rows = rows.withColumn("state", state)
+    # only places are ranked: the calculations aren't moved for it
+    places = rows.select("file", "split", "at").withColumn("frame", (F.row_number().over(Window.partitionBy("file").orderBy("split", "at")) - 2).cast("bigint"))
+    return rows.join(places, ["file", "split", "at"]).select("file", "frame", "state", "calculation", "last", "head")
+
+
+def source_states(found: DataFrame) -> DataFrame:
+    """file, frames (complete ones), malformed, interruption of each file: none, in_record (its last calculation isn't closed), or in_file (the file isn't closed behind it)."""
+    unclosed = F.max((F.col("state") == "truncated").cast("int")) == 1
+    return found.groupBy("file").agg(
+        F.sum((F.col("state") == "complete").cast("bigint")).alias("frames"), F.sum((F.col("state") == "malformed").cast("bigint")).alias("malformed"), unclosed.alias("cut"), F.bool_or(F.coalesce("ended", F.lit(False))).alias("ended")
+    ).select("file", "frames", "malformed", F.when(F.col("cut"), "in_record").when(~F.col("ended"), "in_file").otherwise("none").alias("interruption"))
+
+
+def vasprun_states(spark: SparkSession, path: str) -> DataFrame:
+    """source_states of vasprun files."""
+    whole = spark.read.option("lineSep", "\n").text(path).select(F.col("_metadata.file_path").alias("file"), F.col("value").contains("</modeling>").alias("ended"))
+    ended = whole.groupBy("file").agg(F.bool_or("ended").alias("ended"))
+    return source_states(vasprun_records(spark, path).select("file", "state").join(ended, "file"))
+
+
+def read_vasprun(spark: SparkSession, path: str, strict: bool = True) -> DataFrame:
+    """file, frame, cell, positions, velocities, forces, stress (arrays of rows), energies (a map): one row a complete calculation.
+
+    An interrupted file gives its complete calculations. A malformed one before the end raises, or, if not
+    strict, leaves its number out.
+    """
+    broken = (F.col("state") == "malformed") & F.lit(strict)
+    raw = vasprun_records(spark, path).filter(_whole(~broken & (F.col("state") != "complete"), broken, "a calculation is malformed")).select("file", "frame", "calculation.*")
     rows = lambda arrays, name: F.transform(F.element_at(F.filter(arrays, lambda a: a["_name"] == name), 1)["v"], lambda s: F.transform(_words(s), lambda x: x.cast("double")))
     safe = lambda arrays, name: F.when(F.exists(arrays, lambda a: a["_name"] == name), rows(arrays, name))
     return raw.select(
-        "file", (F.row_number().over(Window.partitionBy("file").orderBy("__at")) - 1).cast("bigint").alias("frame"),
-        safe(F.col("structure.crystal.varray"), "basis").alias("cell"), safe(F.col("structure.varray"), "positions").alias("positions"), safe(F.col("structure.varray"), "velocities").alias("velocities"),
+        "file", "frame", safe(F.col("structure.crystal.varray"), "basis").alias("cell"), safe(F.col("structure.varray"), "positions").alias("positions"), safe(F.col("structure.varray"), "velocities").alias("velocities"),
         safe(F.col("varray"), "forces").alias("forces"), safe(F.col("varray"), "stress").alias("stress"), F.map_from_entries(F.transform("energy.i", lambda e: F.struct(e["_name"], e["_VALUE"]))).alias("energies"),
     )
 
 
+def vasprun_heads(spark: SparkSession, path: str) -> DataFrame:
+    """file, potim_fs, elements (by atom), masses (by atom): what stands before the first calculation."""
+    head = vasprun_records(spark, path).filter("state = 'head'")
+    table = lambda name: F.regexp_extract("head", rf'(?s)<array name="{name}"[^>]*>(.*?)</array>', 1)
+    atom = r"<rc>\s*<c>\s*([A-Za-z]+)\s*</c>\s*<c>\s*(\d+)\s*</c>"
+    kind = r"<rc>\s*<c>\s*\d+\s*</c>\s*<c>\s*([A-Za-z]+)\s*</c>\s*<c>\s*([-+.\dEe]+)\s*</c>"
+    out = head.select(
+        "file", F.regexp_extract("head", r'<i name="POTIM"[^>]*>\s*([-+.\dEe]+)\s*</i>', 1).try_cast("double").alias("potim_fs"),
+        F.regexp_extract_all(table("atoms"), F.lit(atom), F.lit(1)).alias("elements"), F.regexp_extract_all(table("atoms"), F.lit(atom), F.lit(2)).alias("types"),
+        F.regexp_extract_all(table("atomtypes"), F.lit(kind), F.lit(2)).alias("kinds"),
+    )
+    mass = F.transform("types", lambda t: F.try_element_at("kinds", t.cast("int")).cast("double"))
+    return out.select("file", "potim_fs", "elements", mass.alias("masses"))
+
+
+def vasprun_atoms(spark: SparkSession, path: str, timestep_fs: float | None = None, reconstruct: bool = True, strict: bool = True) -> DataFrame:
+    """file, frame, t (ps), atom, element, mass, fx, fy, fz, vx, vy, vz (fractions a ps), force_x, force_y, force_z: a row each atom and frame.
+
+    t goes by the file's POTIM or the given step. Velocities are the file's own, or, if it has none and
+    reconstruct is set, differences of the unwrapped fractions.
+    """
+    from framelake.operators.normalize import unwrap, velocities
+
+    frames = read_vasprun(spark, path, strict).join(vasprun_heads(spark, path), "file")
+    step = F.lit(timestep_fs) if timestep_fs is not None else F.col("potim_fs")
+    frames = frames.filter(_fail(F.size("elements") != F.size("positions"), "atominfo and positions differ in their number of atoms"))
+    at = frames.select("file", "frame", (F.col("frame") * step / 1000).alias("t"), "elements", "masses", "velocities", "forces", F.posexplode("positions").alias("k", "f"))
+    of = lambda c: F.try_element_at(F.col(c), F.col("k") + 1)
+    axes = list(zip("xyz", range(1, 4)))
+    rows = at.select(
+        "file", "frame", "t", F.col("k").cast("bigint").alias("id"), of("elements").alias("element"), of("masses").alias("mass"), *[F.element_at("f", k).alias(f"f{a}") for a, k in axes],
+        *[F.try_element_at(of("velocities"), F.lit(k)).alias(f"own_{a}") for a, k in axes], *[F.try_element_at(of("forces"), F.lit(k)).alias(f"force_{a}") for a, k in axes],
+    )
+    fractions = ["fx", "fy", "fz"]
+    rows = rows.withColumn("atom", F.struct("file", "id"))
+    if reconstruct:
+        rows = velocities(unwrap(rows, fractions), [f"u_{f}" for f in fractions])
+        rows = rows.withColumns({f"v{a}": F.coalesce(F.col(f"own_{a}"), F.col(f"v_u_f{a}")) for a, _ in axes})
+    else:
+        rows = rows.withColumns({f"v{a}": F.col(f"own_{a}") for a, _ in axes})
+    return rows.select("file", "frame", "t", F.col("id").alias("atom"), "element", "mass", *fractions, "vx", "vy", "vz", "force_x", "force_y", "force_z")
+
+
+def frame_energies(frames: DataFrame) -> DataFrame:
+    """file, frame, name, energy: the named energies of every calculation, as rows."""
+    return frames.select("file", "frame", F.explode("energies").alias("name", "energy"))
+
+
+def source_digests(spark: SparkSession, path: str) -> DataFrame:
+    """file, digest: SHA-256 over the SHA-256 of a file's lines in order, so that no task reads a whole file."""
+    lines = numbered_lines(spark, path).select("file", "split", "no", F.sha2("value", 256).alias("d"))
+    parts = lines.groupBy("file", "split").agg(F.sha2(F.concat_ws("", F.transform(F.array_sort(F.collect_list(F.struct("no", "d"))), lambda s: s["d"])), 256).alias("d"))
+    return parts.groupBy("file").agg(F.sha2(F.concat_ws("", F.transform(F.array_sort(F.collect_list(F.struct("split", "d"))), lambda s: s["d"])), 256).alias("digest"))
+
+
 def read_controls(spark: SparkSession, path: str) -> DataFrame:
     """file, tag, value of KEY = VALUE control files; comments (! or #) and several pairs a line (;) are understood."""
     lines = spark.read.text(path).select(F.input_file_name().alias("file"), F.explode(F.split(F.regexp_replace("value", "[!#].*$", ""), ";")).alias("p"))
@@ -155,25 +255,42 @@ def read_controls(spark: SparkSession, path: str) -> DataFrame:
     return lines.filter(F.col("p").contains("=")).select("file", F.upper(F.trim(pair[0])).alias("tag"), F.trim(pair[1]).alias("value"))
 
 
+#: The tags that the rules read (fixed names).
+RULE_TAGS = ["IBRION", "MDALGO", "ISIF", "SMASS", "NSW", "ANDERSEN_PROB", "LANGEVIN_GAMMA", "LANGEVIN_GAMMA_L", "PMASS", "ML_LMLFF", "ML_MODE"]
+
+
 def certify_controls(tags: DataFrame) -> DataFrame:
-    """file, ensemble, forces: what the tags say about a run. Tags of one file are pivoted, then ruled on."""
-    wide = tags.groupBy("file").pivot("tag", ["IBRION", "MDALGO", "ISIF", "SMASS", "NSW", "ML_LMLFF", "ML_MODE"]).agg(F.last("value"))
-    ibrion, algo, isif = F.col("IBRION").cast("int"), F.coalesce(F.col("MDALGO").cast("int"), F.lit(0)), F.coalesce(F.col("ISIF").cast("int"), F.lit(2))
-    smass = F.coalesce(F.col("SMASS").cast("double"), F.lit(-3.0))
+    """file, dynamics, ensemble, thermostat, barostat, bias, forces: what the tags (file, tag, value) say about a run; unresolved where they don't settle it.
+
+    Tags of one file are pivoted, then ruled on by the program's documented meaning of them.
+    """
+    wide = tags.groupBy("file").pivot("tag", RULE_TAGS).agg(F.last("value"))
+    whole = lambda c: F.trim(F.col(c)).try_cast("int")
+    real = lambda c: F.trim(F.col(c)).try_cast("double")
+    ibrion, algo, isif = whole("IBRION"), F.coalesce(whole("MDALGO"), F.lit(0)), F.coalesce(whole("ISIF"), F.lit(2))
+    smass, moving = F.coalesce(real("SMASS"), F.lit(-3.0)), (ibrion == 0) & (F.coalesce(whole("NSW"), F.lit(0)) > 0)
+    # a friction or collision rate of nothing but zeros is none
+    zero = lambda c: F.coalesce(~F.col(c).rlike(r"[1-9]"), F.lit(False))
+    free = (algo.isin(0, 2, 21) & (smass == -3)) | (algo.isin(1, 11) & zero("ANDERSEN_PROB")) | ((algo == 3) & zero("LANGEVIN_GAMMA"))
+    thermostat = (
+        F.when(free, "none").when(algo.isin(0, 2, 21) & (smass >= 0), "nose_hoover").when((algo == 0) & (smass == -1), "rescaling").when((algo == 0) & (smass == -2), "none")
+        .when(algo.isin(1, 11), "andersen").when(algo == 3, "langevin").when(algo == 4, "nose_hoover_chain").when(algo == 5, "canonical_rescaling").when(algo == 13, "andersen_groups")
+    )
+    barostat = F.when((algo == 3) & (isif == 3), "parrinello_rahman").when(isif >= 3, F.lit(None)).otherwise("none")
     ensemble = (
-        F.when(ibrion != 0, "static").when(F.coalesce(F.col("NSW").cast("int"), F.lit(0)) == 0, "static")
-        .when((algo == 3) & (isif == 3), "npt").when(algo.isin(1, 2, 3, 5), "nvt").when(smass >= 0, "nvt").when(smass == -3, "nve").otherwise("unresolved")
+        F.when((algo == 0) & (smass == -2), "constant_velocity").when(F.col("thermostat").isNull() | F.col("barostat").isNull() | (F.col("thermostat") == "rescaling"), "unresolved")
+        .when((F.col("barostat") != "none") & (F.col("thermostat") == "none"), "nph").when(F.col("barostat") != "none", "npt").when(F.col("thermostat") == "none", "nve").otherwise("nvt")
     )
     learned = F.upper(F.coalesce("ML_LMLFF", F.lit("F"))).rlike("T")
-    forces = F.when(learned & (F.upper(F.coalesce("ML_MODE", F.lit(""))) == "RUN"), "model").when(learned, "mixed").otherwise("first_principles")
-    return wide.select("file", F.when(ibrion.isNull(), "unresolved").otherwise(ensemble).alias("ensemble"), forces.alias("forces"))
+    forces = F.when(learned & (F.upper(F.trim(F.coalesce("ML_MODE", F.lit("")))) == "RUN"), "model").when(learned, "mixed").otherwise("first_principles")
+    out = wide.withColumns({"dynamics": F.when(ibrion.isNull(), "unresolved").when(moving, "molecular_dynamics").otherwise("static"), "thermostat": thermostat, "barostat": barostat})
+    out = out.withColumns({"ensemble": ensemble, "bias": F.when(algo.isin(11, 21), "metadynamics").otherwise("unresolved"), "forces": forces})
+    only = lambda c: F.when(F.col("dynamics") == "molecular_dynamics", F.coalesce(F.col(c), F.lit("unresolved"))).otherwise(F.when(F.col("dynamics") == "static", "static").otherwise("unresolved")).alias(c)
+    return out.select("file", "dynamics", only("ensemble"), only("thermostat"), only("barostat"), "bias", "forces")
 
 
 # --- extended XYZ ------------------------------------------------------------------------------------
 
-_PAIR = re.compile(r"""(\w+)=(?:"([^"]*)"|(\S+))""")
-
-
 def opened(name: str, data: bytes) -> bytes:
     """The bytes of a file, unpacked by what its name ends in."""
     for end, unpack in ((".gz", gzip.decompress), (".bz2", bz2.decompress), (".xz", lzma.decompress)):
@@ -182,77 +299,108 @@ def opened(name: str, data: bytes) -> bytes:
     return data
 
 
-def xyz_frames(text: str) -> Iterator[tuple[int, dict[str, str], list[str]]]:
-    """(byte-like offset, comment pairs, atom lines) of each complete frame; a last one cut short is left out."""
-    at, n = 0, len(text)
-    while at < n:
-        end = text.find("\n", at)
-        head = text[at : end if end >= 0 else n].strip()
-        if not head:
-            at = end + 1 if end >= 0 else n
-            continue
-        if not head.isdigit():
-            raise FormatError(f"expected a number of atoms, found {head[:40]!r}")
-        count, line, cursor = int(head), end + 1, end + 1
-        for _ in range(count + 1):
-            cursor = text.find("\n", cursor) + 1
-            if cursor == 0:
-                break
-        if cursor == 0:
-            cursor = n
-            if text.count("\n", line, n) < count:
-                return
-        lines = text[line:cursor].rstrip("\n").split("\n")
-        yield at, {k: a if a or not b else b for k, a, b in _PAIR.findall(lines[0])}, lines[1 : count + 1]
-        at = cursor
-
-
-XYZ = "file string, frame bigint, offset bigint, n_atoms int, lattice array<double>, info map<string,string>, species array<string>, positions array<array<double>>, forces array<array<double>>"
+def xyz_records(spark: SparkSession, path: str) -> DataFrame:
+    """file, frame, offset, length (bytes), n_atoms, lines, ended, complete: a row a frame. A frame begins with a line that is a number alone, and then a comment.
+
+    The last frame of a file isn't complete if it lacks lines, or words of its last line; another one with
+    too few or too many lines raises.
+    """
+    number = F.col("value").rlike(r"^\s*\d+\s*$")
+    lines = line_before(numbered_lines(spark, path).filter(F.trim("value") != ""), number, "after")
+    found = gathered(records(lines, number & ~F.col("after"))).withColumnRenamed("record", "frame")
+    last = found.groupBy("file").agg(F.max("frame").alias("__last"))
+    found = found.join(last, "file").withColumn("n_atoms", F.trim(F.col("lines")[0]).cast("int"))
+    n = F.size("lines") - 2
+    found = found.filter(_fail((n > F.col("n_atoms")) | ((n < F.col("n_atoms")) & (F.col("frame") < F.col("__last"))), "a frame has another number of atoms than it says"))
+    words = lambda k: F.size(_words(F.element_at("lines", k)))
+    short = (F.col("frame") == F.col("__last")) & (F.col("n_atoms") > 0) & (words(F.size("lines")) < words(F.lit(3)))
+    complete = F.when(n == F.col("n_atoms"), ~short).otherwise(F.lit(False))
+    return found.select("file", "frame", "offset", "length", "n_atoms", "lines", "ended", complete.alias("complete"))
+
+
+def xyz_frames(records: DataFrame) -> DataFrame:
+    """file, frame, offset, n_atoms, lattice, info, species, positions, forces (null if there are none) of complete frames."""
+    pair = r'(\w+)=("[^"]*"|\S+)'
+    comment = F.col("lines")[1]
+    values = F.transform(F.regexp_extract_all(comment, F.lit(pair), F.lit(2)), lambda v: F.trim(v, F.lit('"')))
+    rows = records.withColumn("info", F.map_from_arrays(F.regexp_extract_all(comment, F.lit(pair), F.lit(1)), values))
+    layout = F.split(F.coalesce(F.try_element_at("info", F.lit("Properties")), F.lit("species:S:1:pos:R:3")), ":")
+    rows = rows.withColumns({"names": F.filter(layout, lambda x, i: i % 3 == 0), "widths": F.transform(F.filter(layout, lambda x, i: i % 3 == 2), lambda x: x.cast("int"))})
+    rows = rows.withColumn("words", F.transform(F.slice("lines", 3, 1 << 30), _words))
+    wide = F.aggregate("widths", F.lit(0), lambda a, x: a + x)
+    rows = rows.filter(_whole(~F.col("complete"), F.exists("words", lambda w: F.size(w) != wide), "an atom line doesn't fit Properties"))
+
+    def part(*names: str) -> Column:
+        """The columns of the first of the properties that there is, as doubles."""
+        found = F.coalesce(*[F.when(F.array_contains("names", n), F.array_position("names", n)) for n in names]).cast("int")
+        start = F.aggregate(F.slice("widths", F.lit(1), found - 1), F.lit(0), lambda a, x: a + x)
+        width = F.element_at("widths", found)
+        return F.when(found.isNotNull(), F.transform("words", lambda w: F.transform(F.slice(w, start + 1, width), lambda x: x.cast("double"))))
+
+    place = F.array_position("names", "species").cast("int")
+    kind = F.aggregate(F.slice("widths", F.lit(1), place - 1), F.lit(0), lambda a, x: a + x)
+    lattice = F.transform(_words(F.try_element_at("info", F.lit("Lattice"))), lambda x: x.cast("double"))
+    return rows.select(
+        "file", "frame", "offset", "n_atoms", F.when(F.map_contains_key("info", "Lattice"), lattice).alias("lattice"), "info",
+        F.transform("words", lambda w: F.element_at(w, kind + 1)).alias("species"), part("pos").alias("positions"), part("forces", "REF_forces").alias("forces"),
+    )
 
 
 def read_extxyz(spark: SparkSession, path: str, frames: list[int] | None = None) -> DataFrame:
-    """One row a frame: file, frame, offset, n_atoms, lattice, info, species, positions, forces (null if there are none).
+    """One row a complete frame: file, frame, offset, n_atoms, lattice, info, species, positions, forces. frames, if given, are the only ones whose atoms are parsed."""
+    found = xyz_records(spark, path)
+    return xyz_frames(found if frames is None else found.filter(F.col("frame").isin(frames)))
+
+
+def xyz_text(lines: Column) -> Column:
+    return F.concat(F.array_join(lines, "\n"), F.lit("\n"))
+
+
+def xyz_index(spark: SparkSession, path: str) -> DataFrame:
+    """file, frame, offset, length, n_atoms, sha256 (of the frame's lines): what fetch_frames needs of each complete frame."""
+    found = xyz_records(spark, path).filter("complete")
+    return found.select("file", "frame", "offset", "length", "n_atoms", F.sha2(xyz_text(F.col("lines")), 256).alias("sha256"))
+
+
+def fetch_frames(index: DataFrame, wanted: DataFrame) -> DataFrame:
+    """xyz_frames of the wanted (file, frame) by an index: each task seeks to its frames and reads nothing else. Bytes that differ from the index raise.
 
-    frames, if given, are the only ones whose atoms are parsed.
+    Files are opened by the store's own Arrow file system (local paths, HDFS, object stores).
     """
-    files = spark.read.format("binaryFile").load(path).select("path", "content")
-    wanted = None if frames is None else frozenset(frames)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
+
         for batch in batches:
-            for name, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                rows: list[tuple] = []
-                for k, (at, info, lines) in enumerate(xyz_frames(opened(name, data).decode())):
-                    if wanted is not None and k not in wanted:
-                        continue
-                    rows.append((name, k, at, *_xyz_row(info, lines)))
-                    if len(rows) == 256:
-                        yield _xyz_batch(rows)
-                        rows = []
-                if rows:
-                    yield _xyz_batch(rows)
-
-    return files.mapInArrow(run, XYZ)
-
-
-def _xyz_row(info: dict[str, str], lines: list[str]) -> tuple:
-    layout = info.get("Properties", "species:S:1:pos:R:3").split(":")
-    place, at = {}, 0
-    for name, _, width in zip(layout[::3], layout[1::3], layout[2::3]):
-        place[name] = (at, at + int(width))
-        at += int(width)
-    words = [x.split() for x in lines]
-    if any(len(w) != at for w in words):
-        raise FormatError("an atom line doesn't fit Properties")
-    rows = lambda name: [[float(x) for x in w[slice(*place[name])]] for w in words] if name in place else None
-    lattice = [float(x) for x in info["Lattice"].split()] if "Lattice" in info else None
-    return len(lines), lattice, sorted(info.items()), [w[place["species"][0]] for w in words], rows("pos"), rows("forces") or rows("REF_forces")
-
-
-def _xyz_batch(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = [pa.string(), pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.float64()), pa.map_(pa.string(), pa.string()), pa.list_(pa.string()), pa.list_(pa.list_(pa.float64())), pa.list_(pa.list_(pa.float64()))]
-    names = [c.strip().split(" ")[0] for c in "file, frame, offset, n_atoms, lattice, info, species, positions, forces".split(",")]
-    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names)
+            rows = []
+            for name, frame, offset, length, n, digest in sorted(zip(*(c.to_pylist() for c in batch.columns))):
+                store, path = fs.FileSystem.from_uri(name)
+                with store.open_input_file(path) as f:
+                    f.seek(offset)
+                    lines = [x for x in f.read(length).decode().split("\n") if x.strip()]
+                if hashlib.sha256("".join(x + "\n" for x in lines).encode()).hexdigest() != digest:
+                    raise FormatError(f"frame {frame} of {name} isn't what its index says")
+                rows.append((name, frame, offset, length, n, lines, True))
+            kinds = (pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.string()), pa.bool_())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [()] * 7, kinds)], ["file", "frame", "offset", "length", "n_atoms", "lines", "complete"])
+
+    chosen = index.join(wanted.select("file", "frame").distinct(), ["file", "frame"]).select("file", "frame", "offset", "length", "n_atoms", "sha256")
+    return xyz_frames(chosen.mapInArrow(run, "file string, frame bigint, offset bigint, length bigint, n_atoms int, lines array<string>, complete boolean"))
+
+
+def poll_frames(spark: SparkSession, path: str, seen: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(complete frames that begin beyond what was seen, what is seen now: file, upto). A growing file's last frame is left for the next poll until its last line has ended.
+
+    seen is what the poll before gave; files without a row in it are new.
+    """
+    found = xyz_records(spark, path).filter("complete and ended")
+    now = found.groupBy("file").agg(F.max(F.col("offset") + F.col("length")).alias("upto"))
+    if seen is None:
+        return xyz_frames(found), now
+    old = seen.select("file", F.col("upto").alias("__upto"))
+    fresh = found.join(old, "file", "left").filter(F.col("offset") >= F.coalesce("__upto", F.lit(0))).drop("__upto")
+    now = now.join(old, "file", "full_outer").select("file", F.greatest("upto", "__upto").alias("upto"))
+    return xyz_frames(fresh), now
 
 
 def manifest(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
@@ -324,21 +472,60 @@ def _inverse3(m: list[list[float]]) -> list[list[float]]:
 
 
 def read_poscar(spark: SparkSession, path: str) -> DataFrame:
-    """One row a record: file, frame, cell, species, fractions, velocities (null if there are none). A file a task; single structures are files of one record."""
+    """One row a structure of files of one or a few records: file, frame, cell, species, fractions, velocities (null if there are none). A file a task; gz, bz2 and xz are unpacked."""
     files = spark.read.format("binaryFile").load(path).select("path", "content")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = [pa.string(), pa.int64(), pa.list_(pa.float64()), pa.list_(pa.string()), pa.list_(pa.list_(pa.float64())), pa.list_(pa.list_(pa.float64()))]
-        names = ["file", "frame", "cell", "species", "fractions", "velocities"]
         for batch in batches:
             for name, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                rows: list[tuple] = []
-                for k, record in enumerate(poscar_frames(opened(name, data).decode())):
-                    rows.append((name, k, *record))
-                    if len(rows) == 256:
-                        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names)
-                        rows = []
-                if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names)
+                yield from _poscar_batches((name, k, *record) for k, record in enumerate(poscar_frames(opened(name, data).decode())))
 
     return files.mapInArrow(run, POSCAR)
+
+
+def _poscar_batches(rows: Iterator[tuple]) -> Iterator[pa.RecordBatch]:
+    kinds = [pa.string(), pa.int64(), pa.list_(pa.float64()), pa.list_(pa.string()), pa.list_(pa.list_(pa.float64())), pa.list_(pa.list_(pa.float64()))]
+    names = ["file", "frame", "cell", "species", "fractions", "velocities"]
+    while part := list(islice(rows, 256)):
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*part), kinds)], names)
+
+
+def read_contcar_stream(spark: SparkSession, path: str, velocities: bool = True) -> DataFrame:
+    """The same of concatenated records of any length, splits of a file in different tasks: a record begins seven lines before its Direct or Cartesian line, eight with a Selective line.
+
+    velocities: every record must have its own, or it raises. A cut last record is left out.
+    """
+    lines = numbered_lines(spark, path)
+    mode = F.col("value").rlike(r"(?i)^\s*(direct|cartesian)\s*$")
+    begins = line_before(lines, F.col("value").rlike(r"(?i)^\s*selective"), "selective").filter(mode)
+    begins = begins.select("file", (F.col("no") - 7 - F.col("selective").cast("int")).alias("no"), F.lit(True).alias("__begin"))
+    found = gathered(records(lines.join(begins, ["file", "no"], "left"), F.col("__begin")))
+    last = found.groupBy("file").agg(F.max("record").alias("last"))
+    texts = found.join(last, "file").select("file", "record", F.array_join("lines", "\n").alias("text"), (F.col("record") == F.col("last")).alias("last"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def rows() -> Iterator[tuple]:
+            for batch in batches:
+                for name, record, text, last in zip(*(c.to_pylist() for c in batch.columns)):
+                    parsed = list(poscar_frames(text))
+                    if velocities and parsed and parsed[0][3] is None:
+                        parsed = []
+                    if not parsed and not last:
+                        raise FormatError(f"record {record} of {name} isn't whole")
+                    if parsed:
+                        yield (name, record, *parsed[0])
+
+        yield from _poscar_batches(rows())
+
+    return texts.mapInArrow(run, POSCAR)
+
+
+def contcar_atoms(frames: DataFrame, timestep_fs: float) -> DataFrame:
+    """file, frame, t (ps), atom, element, fx, fy, fz, vx, vy, vz of a stream's records; the step between saved records is given."""
+    at = frames.select("file", "frame", (F.col("frame") * timestep_fs / 1000).alias("t"), "species", "velocities", F.posexplode("fractions").alias("k", "f"))
+    axes = list(zip("xyz", range(1, 4)))
+    own = F.try_element_at(F.col("velocities"), F.col("k") + 1)
+    return at.select(
+        "file", "frame", "t", F.col("k").cast("bigint").alias("atom"), F.element_at("species", F.col("k") + 1).alias("element"),
+        *[F.element_at("f", k).alias(f"f{a}") for a, k in axes], *[F.try_element_at(own, F.lit(k)).alias(f"v{a}") for a, k in axes],
+    )
