@@ -7,7 +7,7 @@ import math
 from collections.abc import Sequence
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from framelake.durable import discard, kept
@@ -48,6 +48,16 @@ def cloud_in_cell(points: DataFrame, box: Sequence[float], shape: Shape, keys: S
     return out.groupBy(*keys, *VOXEL).agg(F.sum("mass").alias("mass"))
 
 
+def registered_density(rows: DataFrame, axes: Sequence[str], group: Column, chosen: Column, shape: Shape, sigma: float | None = None, reference: int = 0) -> DataFrame:
+    """ix, iy, iz, mass of the chosen atoms over all frames, after the group's drift from the reference frame is taken off their fractions; smoothed if sigma (in cell edges) is given."""
+    from framelake.operators.normalize import register_frames
+
+    own = register_frames(rows, axes, group, reference).filter(chosen)
+    own = own.select(*[F.col(f"r_{a}").alias(n) for a, n in zip(axes, AXES)])
+    voxels = cloud_in_cell(own, (1.0, 1.0, 1.0), shape)
+    return voxels if sigma is None else kernel_density(voxels, (1.0, 1.0, 1.0), shape, sigma)
+
+
 def gaussian_stencil(box: Sequence[float], shape: Shape, sigma: float, cutoff: float = 4.0) -> list[tuple[int, int, int, float]]:
     """(dx, dy, dz, weight) within cutoff sigmas, weights summing to one. As large as the cutoff's sphere in voxels."""
     h = [e / n for e, n in zip(box, shape)]

@@ -194,6 +194,69 @@ def triplets(pairs: DataFrame) -> DataFrame:
     return both.select("frame", "i", "a", "b", "sa", "sb", cosine.alias("cosine"), "ra", "rb")
 
 
+def angle_table(angles: DataFrame, species: Sequence[int] | None = None) -> DataFrame:
+    """frame, i, a, b, ra, rb, degrees of the angles at each center, of the given pair of outer species (in either order) or of all."""
+    own = angles
+    if species is not None:
+        x, y = species
+        own = own.filter(((F.col("sa") == x) & (F.col("sb") == y)) | ((F.col("sa") == y) & (F.col("sb") == x)))
+    return own.select("frame", "i", "a", "b", "ra", "rb", angle_degrees(F.col("cosine")).alias("degrees"))
+
+
+def ion_environments(ions: DataFrame, pairs: DataFrame, cutoff: float, nearest: int = 4) -> DataFrame:
+    """frame, atom, species, d1 .. dn (the nearest distances, null where there are fewer), coordination (within the cutoff), mean and std of those distances, spread (the largest less the least).
+
+    pairs run from ions to what surrounds them; an ion has a bounded number of them.
+    """
+    near = pairs.groupBy("frame", F.col("i").alias("atom")).agg(F.array_sort(F.collect_list("r")).alias("d"))
+    out = ions.select("frame", "atom", "species").join(near, ["frame", "atom"], "left")
+    inside = F.filter(F.coalesce("d", F.array().cast("array<double>")), lambda r: r < cutoff)
+    n = F.size(inside)
+    mean = F.aggregate(inside, F.lit(0.0), lambda s, r: s + r) / F.when(n > 0, n)
+    var = F.aggregate(inside, F.lit(0.0), lambda s, r: s + r * r) / F.when(n > 0, n) - mean * mean
+    cols = {f"d{k}": F.try_element_at("d", F.lit(k)) for k in range(1, nearest + 1)}
+    cols |= {"coordination": n, "mean": mean, "std": F.when(n > 0, F.sqrt(F.greatest(F.lit(0.0), var))), "spread": F.array_max(inside) - F.array_min(inside)}
+    return out.select("frame", "atom", "species", *[c.alias(k) for k, c in cols.items()])
+
+
+def frame_environments(environments: DataFrame, species: Sequence[int], features: Sequence[str]) -> DataFrame:
+    """frame, and <feature>_<statistic>_<species> of each species: mean, least and most over its ions; null where a frame has none."""
+    stats = {"mean": F.avg, "least": F.min, "most": F.max}
+    aggs = [f(F.when(F.col("species") == s, F.col(c))).alias(f"{c}_{name}_{s}") for c in features for name, f in stats.items() for s in species]
+    return environments.groupBy("frame").agg(*aggs)
+
+
+def coordination_fingerprints(samples: DataFrame, points: DataFrame, rings: DataFrame, box: Box, most: int = 3) -> DataFrame:
+    """frame, ion, ring, k, amplitude, phase, members: the harmonics of an ion's distances to a ring's members, taken in their order along it.
+
+    samples: frame, ion, ring, x, y, z; rings: ring, atom, place (0, 1, ... along the ring). Harmonic k is the mean of
+    d exp(-2 pi i k place / members), by the nearest images; k = 0 is the mean distance.
+    """
+    spots = rings.join(points.select("frame", "atom", *[F.col(a).alias(f"{a}m") for a in AXES]), "atom").select("frame", "ring", "place", *[f"{a}m" for a in AXES])
+    at = samples.join(spots, ["frame", "ring"])
+    d = [nearest_image(F.col(f"{a}m") - F.col(a), edge) for a, edge in zip(AXES, box)]
+    at = at.withColumn("d", F.sqrt(d[0] * d[0] + d[1] * d[1] + d[2] * d[2]))
+    # a ring's places are all there is to a group
+    one = at.groupBy("frame", "ion", "ring").agg(F.array_sort(F.collect_list(F.struct("place", "d"))).alias("l"))
+    one = one.withColumn("members", F.size("l")).withColumn("k", F.explode(F.sequence(F.lit(0), F.least(F.lit(most), F.expr("cast(members div 2 as int)")))))
+    angle = lambda s: 2 * math.pi * F.col("k") * s["place"] / F.col("members")
+    total = lambda f: F.aggregate("l", F.lit(0.0), lambda acc, s: acc + s["d"] * f(angle(s))) / F.col("members")
+    one = one.withColumns({"re": total(F.cos), "im": -total(F.sin)})
+    return one.select("frame", "ion", "ring", "k", F.sqrt(F.col("re") * F.col("re") + F.col("im") * F.col("im")).alias("amplitude"), F.atan2("im", "re").alias("phase"), "members")
+
+
+def harmonic_locking(fingerprints: DataFrame) -> DataFrame:
+    """ring, k, samples, amplitude (mean), resultant: how well the phases of a ring's samples agree, 0 to 1."""
+    c, s = F.avg(F.cos("phase")), F.avg(F.sin("phase"))
+    return fingerprints.groupBy("ring", "k").agg(F.count("*").alias("samples"), F.avg("amplitude").alias("amplitude"), F.sqrt(c * c + s * s).alias("resultant"))
+
+
+def conditioned_membership(rows: DataFrame, state: str, member: str, covariate: str) -> DataFrame:
+    """state, n, share, slope, r2: how the share of members in a state follows a covariate, by least squares."""
+    y = F.col(member).cast("double")
+    return rows.groupBy(state).agg(F.count("*").alias("n"), F.avg(y).alias("share"), F.regr_slope(y, F.col(covariate)).alias("slope"), F.regr_r2(y, F.col(covariate)).alias("r2"))
+
+
 def angle_histogram(angles: DataFrame, bins: int) -> DataFrame:
     """bin, n, angle_weighted, center_weighted, frame_weighted: densities per degree over [0, 180], the last bin closed.
 

@@ -87,6 +87,55 @@ def welch(rows: DataFrame, key: str, order: str, value: str, segment: int, overl
     return out.select("k", (F.col("k") * rate / segment).alias("frequency"), (double * F.col("s") / F.col("n") / (rate * w2)).alias("power"))
 
 
+def welch_tensor(
+    rows: DataFrame, key: str, order: str, columns: Sequence[str], segment: int, overlap: float = 0.5, rate: float = 1.0, detrend: bool = True, weight: str | None = None, per_key: bool = False
+) -> DataFrame:
+    """[key,] k, frequency, a, b, re, im: one-sided cross densities of the columns (a <= b by their order), meaned over all segments; no products of different keys.
+
+    weight: a column, constant in a key, by which its densities count (as masses do). per_key: a mean for each key.
+    """
+    step, m = max(1, segment - int(math.floor(overlap * segment))), len(columns)
+    pairs = [(i, j) for i in range(m) for j in range(i, m)]
+
+    def run(v: np.ndarray) -> list:
+        n = max(0, (len(v) - segment) // step + 1)
+        total, w = np.zeros((len(pairs), segment // 2 + 1), complex), periodic_hann(segment)
+        for k in range(n):
+            part = v[k * step : k * step + segment, :m]
+            part = part - part.mean(axis=0) if detrend else part
+            f = np.fft.rfft(w[:, None] * part, axis=0)
+            for p, (i, j) in enumerate(pairs):
+                total[p] += f[:, i] * f[:, j].conj()
+        q = float(v[0, m]) if weight else 1.0
+        bins = np.arange(segment // 2 + 1)
+        kinds = np.repeat(np.arange(len(pairs)), len(bins))
+        flat = q * total.ravel()
+        return [np.tile(bins, len(pairs)), kinds, flat.real, flat.imag, np.full(len(flat), n)]
+
+    sums = per_series(rows, key, order, [*columns, *([weight] if weight else [])], run, "k bigint, p bigint, re double, im double, n bigint")
+    keys = [key] if per_key else []
+    out = sums.groupBy(*keys, "k", "p").agg(F.sum("re").alias("re"), F.sum("im").alias("im"), F.sum("n").alias("n")).filter("n > 0")
+    double = F.when((F.col("k") == 0) | ((F.lit(segment % 2) == 0) & (F.col("k") == segment // 2)), 1.0).otherwise(2.0)
+    scale = double / F.col("n") / (rate * float((periodic_hann(segment) ** 2).sum()))
+    name = lambda side: F.element_at(F.array(*[F.lit(columns[p[side]]) for p in pairs]), (F.col("p") + 1).cast("int"))
+    return out.select(*keys, "k", (F.col("k") * rate / segment).alias("frequency"), name(0).alias("a"), name(1).alias("b"), (F.col("re") * scale).alias("re"), (F.col("im") * scale).alias("im"))
+
+
+def ruled_negatives(spectrum: DataFrame, value: str, policy: str = "preserve", tolerance: float = 1e-12) -> DataFrame:
+    """spectrum with its negative values kept (preserve), set to zero within the tolerance of the largest (clip_roundoff), or, beyond it, refused (error)."""
+    if policy == "preserve":
+        return spectrum
+    if policy not in ("clip_roundoff", "error"):
+        raise ValueError(f"no policy {policy}")
+    top = spectrum.agg(F.max(F.abs(value)).alias("__top"))
+    own = spectrum.join(F.broadcast(top))
+    small, v = F.abs(value) <= tolerance * F.col("__top"), F.col(value)
+    fine = F.when((v < 0) & small, F.lit(0.0))
+    if policy == "error":
+        fine = fine.when(v < 0, F.raise_error(F.lit("a density is negative beyond the tolerance")).cast("double"))
+    return own.withColumn(value, fine.otherwise(v)).drop("__top")
+
+
 def periodic_hann(n: int) -> np.ndarray:
     return 0.5 - 0.5 * np.cos(2 * np.pi * np.arange(n) / n)
 
