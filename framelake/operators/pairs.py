@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from framelake.durable import discard, kept
-from framelake.functions.columns import angle_degrees, image_shift, legendre, nearest_image
+from framelake.functions.columns import angle_degrees, image_shift, nearest_image
 
 AXES = ("x", "y", "z")
 Box = tuple[float, float, float]
@@ -151,7 +151,7 @@ def shell_volume(bin_: Column, width: float) -> Column:
 def rdf(points: DataFrame, pairs: DataFrame, box: Box, cutoff: float, bins: int = 300) -> DataFrame:
     """bin, g, cn of one group with itself: the mean over frames of 2 V n / (N (N - 1) dV), and the running count."""
     sizes = points.groupBy("frame").agg(F.count("*").alias("size"))
-    per = radial_counts(points, pairs, cutoff, bins).join(F.broadcast(sizes), "frame")
+    per = radial_counts(points, pairs, cutoff, bins).join(sizes, "frame")
     g = 2 * math.prod(box) * F.col("n") / (F.col("size") * (F.col("size") - 1) * shell_volume(F.col("bin"), cutoff / bins))
     out = per.groupBy("bin").agg(F.avg(g).alias("g"), (2 * F.sum("n") / F.sum("size")).alias("__c"))
     # one row a bin
@@ -162,7 +162,7 @@ def partial_rdf(a: DataFrame, b: DataFrame, pairs: DataFrame, box: Box, cutoff:
     """bin, g of two disjoint groups; pairs run from a to b."""
     na = a.groupBy("frame").agg(F.count("*").alias("na"))
     nb = b.groupBy("frame").agg(F.count("*").alias("nb"))
-    per = radial_counts(a, pairs, cutoff, bins).join(F.broadcast(na), "frame").join(F.broadcast(nb), "frame")
+    per = radial_counts(a, pairs, cutoff, bins).join(na, "frame").join(nb, "frame")
     g = math.prod(box) * F.col("n") / (F.col("na") * F.col("nb") * shell_volume(F.col("bin"), cutoff / bins))
     return per.groupBy("bin").agg(F.avg(g).alias("g"))
 
@@ -186,12 +186,17 @@ def rdf_peak(curve: np.ndarray, sigma: float = 1.0, prominence: float = 0.1) ->
 def triplets(pairs: DataFrame) -> DataFrame:
     """frame, i (center), a, b (a < b), sa, sb, cosine, ra, rb: all pairs of neighbours of a center.
 
-    A center has a bounded number of neighbours, by the cutoff.
+    A center's neighbours, whose number the cutoff bounds, are gathered once, in order, and paired within
+    the row; the pairs themselves are worked out once.
     """
-    side = lambda n: pairs.select("frame", "i", F.col("j").alias(n), F.col("sj").alias(f"s{n}"), *[F.col(f"d{x}").alias(f"{n}{x}") for x in AXES], F.col("r").alias(f"r{n}"))
-    both = side("a").join(side("b"), ["frame", "i"]).filter("a < b")
-    cosine = (F.col("ax") * F.col("bx") + F.col("ay") * F.col("by") + F.col("az") * F.col("bz")) / (F.col("ra") * F.col("rb"))
-    return both.select("frame", "i", "a", "b", "sa", "sb", cosine.alias("cosine"), "ra", "rb")
+    one = F.struct("j", F.col("sj").alias("s"), *[F.col(f"d{x}").alias(x) for x in AXES], "r")
+    own = pairs.groupBy("frame", "i").agg(F.array_sort(F.collect_list(one)).alias("l"))
+    first = own.select("frame", "i", "l", F.posexplode("l").alias("p", "a"))
+    both = first.select("frame", "i", "a", F.explode(F.slice("l", F.col("p") + 2, F.size("l"))).alias("b"))
+    cosine = (F.col("a.x") * F.col("b.x") + F.col("a.y") * F.col("b.y") + F.col("a.z") * F.col("b.z")) / (F.col("a.r") * F.col("b.r"))
+    return both.select(
+        "frame", "i", F.col("a.j").alias("a"), F.col("b.j").alias("b"), F.col("a.s").alias("sa"), F.col("b.s").alias("sb"), cosine.alias("cosine"), F.col("a.r").alias("ra"), F.col("b.r").alias("rb")
+    )
 
 
 def angle_table(angles: DataFrame, species: Sequence[int] | None = None) -> DataFrame:
@@ -260,22 +265,23 @@ def conditioned_membership(rows: DataFrame, state: str, member: str, covariate:
 def angle_histogram(angles: DataFrame, bins: int) -> DataFrame:
     """bin, n, angle_weighted, center_weighted, frame_weighted: densities per degree over [0, 180], the last bin closed.
 
-    The three means are over all angles, over centers of their own densities, and over frames of theirs.
+    The three means are over all angles, over centers of their own densities, and over frames of theirs. The
+    shares of a center, or frame, sum to one, so their sums count the centers and frames: one pass over the angles.
     """
     width = 180.0 / bins
     at = angles.withColumn("bin", F.least(F.floor(angle_degrees(F.col("cosine")) / width), F.lit(bins - 1)).cast("bigint"))
     fine = at.groupBy("frame", "i", "bin").agg(F.count("*").alias("n"))
-    of_center = F.sum("n").over(Window.partitionBy("frame", "i"))
-    fine = fine.withColumn("share", F.col("n") / of_center)
+    fine = fine.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy("frame", "i")))
     by_frame = fine.groupBy("frame", "bin").agg(F.sum("n").alias("n"), F.sum("share").alias("share"))
     by_frame = by_frame.withColumn("frame_share", F.col("n") / F.sum("n").over(Window.partitionBy("frame")))
-    total = angles.agg(F.count("*").alias("angles"), F.count_distinct("frame", "i").alias("centers"), F.count_distinct("frame").alias("frames"))
     out = by_frame.groupBy("bin").agg(F.sum("n").alias("n"), F.sum("share").alias("share"), F.sum("frame_share").alias("frame_share"))
-    grid = total.withColumn("bin", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(bins - 1).cast("bigint"))))
-    zero = lambda c: F.coalesce(c, F.lit(0))
-    return grid.join(out, "bin", "left").select(
-        "bin", zero("n").alias("n"), (zero("n") / F.col("angles") / width).alias("angle_weighted"),
-        (zero("share") / F.col("centers") / width).alias("center_weighted"), (zero("frame_share") / F.col("frames") / width).alias("frame_weighted"),
+    grid = angles.sparkSession.range(bins).select(F.col("id").alias("bin"))
+    own = grid.join(out, "bin", "left").fillna(0).withColumn("n", F.col("n").cast("bigint"))
+    every = Window.partitionBy(F.lit(0))  # one row a bin
+    total = lambda c: F.sum(c).over(every)
+    return own.select(
+        "bin", "n", (F.col("n") / total("n") / width).alias("angle_weighted"), (F.col("share") / F.rint(total("share")) / width).alias("center_weighted"),
+        (F.col("frame_share") / F.rint(total("frame_share")) / width).alias("frame_weighted"),
     )
 
 
@@ -299,31 +305,52 @@ def smooth_weight(r: Column, radii: float, inner: float = 1.15, outer: float = 1
     return F.when(x <= inner, F.lit(1.0)).when(x <= outer, (F.lit(1.0) + F.cos(math.pi * (x - inner) / (outer - inner))) / 2).otherwise(F.lit(0.0))
 
 
+def _moments(degrees: Sequence[int]) -> dict[tuple[int, int, int], None]:
+    """The exponents of all products of the unit vector's components that the Legendre polynomials of these degrees need."""
+    powers = {k for d in degrees for k in range(d, -1, -2)}
+    return dict.fromkeys((i, j, k - i - j) for k in sorted(powers) for i in range(k + 1) for j in range(k + 1 - i))
+
+
 def local_structure(points: DataFrame, pairs: DataFrame, radii: float = 2.0, degrees: Sequence[int] = (4, 6), density_length: float = 4.0) -> DataFrame:
     """frame, atom: nearest, smooth_coordination, hard_neighbors, degree_l2, mean_distance, std_distance, species_entropy, local_density, q_<l>.
 
     pairs are directed, to the range of the switch at least. Weighted values are null where the weights sum to 0.
+    No pair of neighbours is made for q_<l>: the sum over them of w w' (u . u')^k is the sum of the squares of
+    the weighted moments of degree k, each as often as its exponents can be arranged. One pass over the pairs.
     """
-    w = smooth_weight(F.col("r"), radii)
-    near = pairs.withColumn("w", w)
-    kind = near.groupBy("frame", "i", "sj").agg(F.sum("w").alias("ws"))
-    share = F.col("ws") / F.sum("ws").over(Window.partitionBy("frame", "i"))
-    entropy = kind.withColumn("p", share).groupBy("frame", "i").agg(F.sum(F.when(F.col("p") > 0, -F.col("p") * F.log("p"))).alias("species_entropy"))
-    base = near.groupBy("frame", "i").agg(
-        F.min("r").alias("nearest"), F.sum("w").alias("smooth_coordination"), F.sum((F.col("w") > 1e-8).cast("bigint")).alias("hard_neighbors"),
-        F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("degree_l2"), F.sum(F.col("w") * F.col("r")).alias("__wr"), F.sum(F.col("w") * F.col("r") * F.col("r")).alias("__wrr"),
-        (F.sum(F.exp(-(F.col("r") / density_length) * (F.col("r") / density_length))) / (4 * math.pi * density_length**3 / 3)).alias("local_density"),
-        F.sum(F.col("w") * F.col("w")).alias("__ww"),
-    )
-    both = triplets(near).withColumns({"wa": smooth_weight(F.col("ra"), radii), "wb": smooth_weight(F.col("rb"), radii)})
-    turned = both.groupBy("frame", "i").agg(*[F.sum(F.col("wa") * F.col("wb") * legendre(d, F.col("cosine"))).alias(f"__p{d}") for d in degrees])
-    out = base.join(turned, ["frame", "i"], "left").join(entropy, ["frame", "i"], "left").withColumnRenamed("i", "atom")
-    s = F.when(F.col("smooth_coordination") > 0, F.col("smooth_coordination"))
-    mean = F.col("__wr") / s
-    q = {f"q_{d}": F.sqrt(F.greatest(F.lit(0.0), (F.col("__ww") + 2 * F.coalesce(F.col(f"__p{d}"), F.lit(0.0))) / (s * s))) for d in degrees}
-    out = out.withColumns({"mean_distance": mean, "std_distance": F.sqrt(F.greatest(F.lit(0.0), F.col("__wrr") / s - mean * mean)), **q})
-    out = points.select("frame", "atom").join(out, ["frame", "atom"], "left")
-    return out.drop("__wr", "__wrr", "__ww", *[f"__p{d}" for d in degrees])
+    powers = [F.lit(1.0)]
+    near = pairs.withColumn("w", smooth_weight(F.col("r"), radii)).withColumns({f"{a}1": F.col(f"d{a}") / F.col("r") for a in AXES})
+    for k in range(2, max(degrees) + 1):
+        near = near.withColumns({f"{a}{k}": F.col(f"{a}{k - 1}") * F.col(f"{a}1") for a in AXES})
+    moments = _moments(degrees)
+    power = lambda a, k: F.col(f"{a}{k}") if k else powers[0]
+    named = {e: f"__m{e[0]}_{e[1]}_{e[2]}" for e in moments}
+    wr = F.col("w") * F.col("r")
+    sums = {
+        "w": F.col("w"), "wr": wr, "wrr": wr * F.col("r"), "ww": F.col("w") * F.col("w"), "hard": (F.col("w") > 1e-8).cast("bigint"), "dens": F.exp(-(F.col("r") / density_length) * (F.col("r") / density_length)),
+    } | {named[e]: F.col("w") * power("x", e[0]) * power("y", e[1]) * power("z", e[2]) for e in moments}
+    kind = near.groupBy("frame", "i", "sj").agg(F.min("r").alias("nearest"), *[F.sum(c).alias(n) for n, c in sums.items()])
+    plogp = F.sum(F.when(F.col("w") > 0, F.col("w") * F.log("w")).otherwise(F.lit(0.0)))
+    base = kind.groupBy("frame", "i").agg(F.min("nearest").alias("nearest"), plogp.alias("plogp"), *[F.sum(n).alias(f"s_{n}") for n in sums]).withColumnRenamed("i", "atom")
+    s = F.when(F.col("s_w") > 0, F.col("s_w"))
+    mean = F.col("s_wr") / s
+
+    def spread(degree: int) -> Column:
+        """The sum over all pairs of neighbours, each with itself too, of w w' P_degree."""
+        out = F.lit(0.0)
+        for k, c in enumerate(np.polynomial.legendre.leg2poly([0.0] * degree + [1.0])):
+            if c:
+                for e in moments:
+                    if sum(e) == k:
+                        ways = math.factorial(k) // math.prod(map(math.factorial, e))
+                        out = out + F.lit(float(c) * ways) * F.col(f"s_{named[e]}") * F.col(f"s_{named[e]}")
+        return out
+
+    values = {
+        "nearest": F.col("nearest"), "smooth_coordination": F.col("s_w"), "hard_neighbors": F.col("s_hard"), "degree_l2": F.sqrt("s_ww"), "mean_distance": mean,
+        "std_distance": F.when(s.isNotNull(), F.sqrt(F.greatest(F.lit(0.0), F.col("s_wrr") / s - mean * mean))), "species_entropy": F.when(s.isNotNull(), F.log(s) - F.col("plogp") / s), "local_density": F.col("s_dens") / (4 * math.pi * density_length**3 / 3),
+    } | {f"q_{d}": F.when(s.isNotNull(), F.sqrt(F.greatest(F.lit(0.0), spread(d) / (s * s)))) for d in degrees}
+    return points.select("frame", "atom").join(base, ["frame", "atom"], "left").select("frame", "atom", *[c.alias(n) for n, c in values.items()])
 
 
 def smoothed_curve(curve: DataFrame, value: str, sigma: float = 1.0) -> DataFrame:
@@ -439,7 +466,7 @@ def feature_neighbors(witnesses: DataFrame, candidates: DataFrame, radius: float
 
     def dealt(df: DataFrame, own: str, other: str) -> DataFrame:
         one = lambda n: F.coalesce(n, F.lit(1))
-        out = df.join(F.broadcast(of_left), names, "left").join(F.broadcast(of_right), names, "left")
+        out = df.join(of_left, names, "left").join(of_right, names, "left")
         mine = F.pmod(F.xxhash64("id"), one(f"n{own}")).cast("int")
         out = out.withColumn(own, mine).withColumn(other, F.explode(F.sequence(F.lit(0), one(f"n{other}") - 1)))
         return out.select(F.col("id").alias(f"id_{own}"), F.col("v").alias(f"v_{own}"), *names, "a", "b", F.pmod(F.xxhash64(*names), F.lit(groups)).alias("g"))

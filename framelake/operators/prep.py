@@ -137,7 +137,7 @@ def systematic_sample(rows: DataFrame, key: str, order: Sequence[str], quotas: D
 def configuration_weights(rows: DataFrame, condition: str, uid: str, anchor: Column, protected: Column, degraded: Column, anchor_x: float = 2.0, protected_x: float = 1.5, degraded_x: float = 0.5) -> DataFrame:
     """uid, weight: one over the condition's count, times the multipliers, with mean one."""
     counts = rows.groupBy(condition).agg(F.count("*").alias("__n"))
-    raw = rows.join(F.broadcast(counts), condition).withColumn("__w", 1 / F.col("__n"))
+    raw = rows.join(counts, condition).withColumn("__w", 1 / F.col("__n"))
     raw = raw.withColumn("__w", F.col("__w") * F.when(anchor, anchor_x).when(protected, protected_x).otherwise(1.0) * F.when(degraded, degraded_x).otherwise(1.0))
     mean = raw.agg(F.avg("__w").alias("__m"))
     return raw.join(F.broadcast(mean)).select(uid, (F.col("__w") / F.col("__m")).alias("weight"))
