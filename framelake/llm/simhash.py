@@ -4,8 +4,9 @@ Fingerprints are deduplicated first; what follows sees each once. A vantage-poin
 "within mu of the vantage point": a fingerprint farther off than mu, but not beyond mu + radius, goes to
 both sides, as by the triangle bound only it can have a partner inside. So each pair within the radius
 meets in at least one leaf. The upper levels of the tree are built on the driver from a bounded sample of
-fingerprints, and deal them into shards; each shard goes on splitting in memory, compares exactly in its
-leaves, and returns one star per component, never pairs. Stars of different shards that share a
+fingerprints, and deal them into shards; shards that come out over twice the size meant are split again, by
+trees of their own samples, until none is or no split helps. Each shard goes on splitting in memory, compares
+exactly in its leaves, and returns one star per component, never pairs. Stars of different shards that share a
 fingerprint are joined by min-label rounds with pointer jumps, on tables in the shared folder.
 
 Where fingerprints are unlike (distances about 32 +- 4), each level copies about 0.3 of them, so the
@@ -17,6 +18,7 @@ component's id unless all are null. Equal rows each give a row. An empty table g
 
 from __future__ import annotations
 
+import pickle
 import re
 from collections.abc import Iterator
 
@@ -27,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import attach, written
+from .common import attach, discard, written
 
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 LEAF = 1024
@@ -199,31 +201,82 @@ def near_components(spark: SparkSession, fps: DataFrame, radius: int = 3, shard_
         member, root = local_stars(np.unique(shard["fp"].to_numpy(np.int64).view(np.uint64)), radius)
         return pd.DataFrame({"shard": int(shard["shard"].iloc[0]), "root": root.view(np.int64), "fp": member.view(np.int64)})
 
+    dealt = reps.select("fp").mapInArrow(deal, "shard bigint, fp bigint")
+    shards = tree.shards if tree else 1
+    if tree:
+        dealt, shards = split_again(written(dealt, "dealt"), shards, shard_size, radius)
     # a task a shard: a shard's fingerprints are few bytes, but many comparisons
-    dealt = reps.select("fp").mapInArrow(deal, "shard bigint, fp bigint").repartition(tree.shards if tree else 1, "shard")
-    stars = dealt.groupBy("shard").applyInPandas(search, "shard bigint, root bigint, fp bigint")
+    stars = dealt.repartition(shards, "shard").groupBy("shard").applyInPandas(search, "shard bigint, root bigint, fp bigint")
     stars = written(stars, "stars")
-    labels = joined_labels(stars) if tree and tree.shards > 1 else stars.select("fp", F.col("root").alias("label"))
+    labels = joined_labels(stars) if shards > 1 else stars.select("fp", F.col("root").alias("label"))
     known = reps.join(labels, "fp", "left").withColumn("label", F.coalesce("label", "fp"))
     known = written(known, "known")
     least = known.groupBy("label").agg(F.min("doc_id").alias("component_id"), F.count("*").alias("fps"))
     return attach(known, least, "label", "fps", total).drop("label")
 
 
+def split_again(dealt: DataFrame, shards: int, shard_size: int, radius: int, at_once: int = 2000, drawn: int = 4096) -> tuple[DataFrame, int]:
+    """(dealt (a written table of shard and fp) with shards of over twice shard_size split, the number of shards).
+
+    A round takes the at_once largest of them; each gets a tree of its own, grown in a task from about drawn of its
+    fingerprints, and the trees (some kilobytes each) are sent to all tasks. What no split helps stays as it is.
+    """
+    spark, whole = dealt.sparkSession, set()
+
+    def grow(own: pd.DataFrame) -> pd.DataFrame:
+        tree = Tree(own["fp"].to_numpy(np.int64).view(np.uint64), int(own["n"].iloc[0]), shard_size, radius)
+        return pd.DataFrame({"shard": own["shard"].iloc[:1], "tree": [pickle.dumps(tree)], "parts": [tree.shards]})
+
+    while True:
+        sizes = dealt.groupBy("shard").agg(F.count("*").alias("n")).filter(F.col("n") > 2 * shard_size)
+        large = [tuple(r) for r in sizes.orderBy(F.desc("n"), "shard").limit(at_once + len(whole)).collect() if r[0] not in whole][:at_once]
+        if not large:
+            return dealt, shards
+        known = F.broadcast(spark.createDataFrame(large, "shard bigint, n bigint"))
+        draw = F.pmod(F.xxhash64(F.lit(5), "fp"), F.lit(1 << 30)) < F.lit(drawn << 30) / F.col("n")
+        grown = dealt.join(known, "shard").filter(draw).groupBy("shard").applyInPandas(grow, "shard bigint, tree binary, parts int").collect()
+        whole |= {s for s, _ in large} - {r["shard"] for r in grown if r["parts"] > 1}
+        trees = {}
+        for r in grown:
+            if r["parts"] > 1:
+                trees[r["shard"]] = (shards, pickle.loads(r["tree"]))
+                shards += r["parts"]
+        if not trees:
+            continue
+        sent = spark.sparkContext.broadcast(trees)
+
+        def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                of, fps = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(2))
+                for s in np.unique(of).tolist():
+                    own = fps[of == s]
+                    first, tree = sent.value.get(s, (s, None))  # noqa: B023
+                    for part, at in tree.route(own.view(np.uint64)) if tree else [(0, np.arange(len(own)))]:
+                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), first + part)), pa.array(own[at])], ["shard", "fp"])
+
+        fresh = written(dealt.mapInArrow(deal, "shard bigint, fp bigint"), "dealt")
+        discard(dealt)
+        dealt = fresh
+
+
 def joined_labels(stars: DataFrame) -> DataFrame:
     """(fp, label): label, an fp, is the same for all fps that the stars (shard, root, fp) connect. fps are of any one type that has an order."""
     stars = written(stars.select(F.struct("shard", "root").alias("hub"), "root", "fp"), "hubs")
     total = stars.count()
     labels = stars.groupBy("fp").agg(F.min("root").alias("label"))
-    sums = None
+    sums, held = None, None
     while True:
         labels = written(labels, "labels")
+        if held is not None:
+            discard(*held)
         now = labels.agg(F.count("*"), F.sum(F.xxhash64("fp", "label").cast("decimal(38,0)"))).first()
         if now == sums:
+            discard(stars)
             return labels
         sums = now
-        hubs = stars.join(labels, "fp").groupBy("hub").agg(F.min("label").alias("low"), F.count("*").alias("n"))
-        low = attach(stars, written(hubs, "lows"), "hub", "n", total).groupBy("fp").agg(F.min("low").alias("label"))
+        hubs = written(stars.join(labels, "fp").groupBy("hub").agg(F.min("label").alias("low"), F.count("*").alias("n")), "lows")
+        held = (labels, hubs)
+        low = attach(stars, hubs, "hub", "n", total).groupBy("fp").agg(F.min("low").alias("label"))
         # a label is itself a fingerprint: take over the label that it has by now
         up = labels.select(F.col("fp").alias("label"), F.col("label").alias("next"))
         labels = low.join(up, "label", "left").select("fp", F.least("label", F.coalesce("next", "label")).alias("label"))
