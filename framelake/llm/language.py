@@ -4,7 +4,9 @@ Features are hashed 1- to 3-grams of the lower-cased text, everything but letter
 space; tf is log1p(count), idf comes from the training rows, and vectors have length one. The weights are
 learned by follow-the-regularised-leader (FTRL-proximal) with elastic-net penalties, which leave most at
 zero; a temperature is then fitted on training rows that the weights haven't seen. Training takes a
-sample of about max_rows_per_label rows a label and max_rows in all; prediction reads every whole text.
+sample of about max_rows_per_label rows a label and max_rows in all, of the max_rows / 8 most frequent labels
+at most; prediction reads every whole text. The driver sees the sample's document frequencies, a number a
+bucket, and then of each row only the counts of the vocabulary's buckets.
 
 Nulls: a text that is null or has no letter is "und" with score 0, as are all texts if nothing could be
 learned; a null lang isn't learned from. Equal rows each give a row. An empty table gives an empty table.
@@ -19,6 +21,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import discard, written
+
 BUCKETS = 1 << 16
 _LETTER: list[np.ndarray] = []
 
@@ -116,14 +120,20 @@ def temperature(logits: np.ndarray, y: np.ndarray) -> float:
     return float(min(grid, key=loss))
 
 
-def train(samples: list[tuple[str, np.ndarray, np.ndarray]], vocabulary: int = 8192) -> Model:
-    """From (label, distinct buckets, their counts); every fifth row is for the temperature."""
+def vocabulary_of(df: np.ndarray, rows: int, size: int = 8192) -> np.ndarray:
+    """The buckets that most rows have, in order."""
+    chosen = np.argsort(-df, kind="stable")[:size]
+    return np.sort(chosen[df[chosen] >= min(2, rows)])
+
+
+def train(samples: list[tuple[str, np.ndarray, np.ndarray]], df: np.ndarray | None = None) -> Model:
+    """From (label, distinct buckets, their counts) and the number of rows that have each bucket; every fifth row is for the temperature."""
     labels = sorted({s[0] for s in samples})
-    df = np.zeros(BUCKETS, np.int64)
-    for _, b, _ in samples:
-        df[b] += 1
-    chosen = np.argsort(-df, kind="stable")[:vocabulary]
-    chosen = np.sort(chosen[df[chosen] >= min(2, len(samples))])
+    if df is None:
+        df = np.zeros(BUCKETS, np.int64)
+        for _, b, _ in samples:
+            df[b] += 1
+    chosen = vocabulary_of(df, len(samples))
     place = np.zeros(BUCKETS, np.int64)
     place[chosen] = np.arange(1, len(chosen) + 1)
     idf = np.log((1 + len(samples)) / (1 + df[chosen])) + 1
@@ -166,11 +176,35 @@ def fit(docs: DataFrame, max_rows_per_label: int = 1000, max_rows: int = 8000) -
                     count.append(n.astype("<u4").tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(lang, pa.string()), pa.array(bucket, pa.binary()), pa.array(count, pa.binary())], ["lang", "bucket", "count"])
 
-    drawn = known.filter(draw).select("lang", "text").mapInArrow(collect, "lang string, bucket binary, count binary").limit(2 * max_rows)
-    rows = sorted((r[0], bytes(r[1]), bytes(r[2])) for r in drawn.collect())
+    def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        df = np.zeros(BUCKETS, np.int64)
+        for batch in batches:
+            for b in batch.column(1).to_pylist():
+                df[np.frombuffer(b, "<u2")] += 1
+        seen = np.flatnonzero(df)
+        yield pa.RecordBatch.from_arrays([pa.array(seen), pa.array(df[seen])], ["bucket", "n"])
+
+    drawn = written(known.filter(draw).select("lang", "text").mapInArrow(collect, "lang string, bucket binary, count binary").limit(2 * max_rows), "grams")
+    df = np.zeros(BUCKETS, np.int64)
+    for b, n in drawn.mapInArrow(frequencies, "bucket bigint, n bigint").groupBy("bucket").agg(F.sum("n")).collect():
+        df[b] = n
+    inside = np.zeros(BUCKETS, bool)
+    inside[vocabulary_of(df, drawn.count())] = True
+
+    def narrowed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            bucket, count = [], []
+            for b, n in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+                b, n = np.frombuffer(b, "<u2"), np.frombuffer(n, "<u4")
+                bucket.append(b[inside[b]].tobytes())
+                count.append(n[inside[b]].tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(bucket, pa.binary()), pa.array(count, pa.binary())], ["lang", "bucket", "count"])
+
+    rows = sorted((r[0], bytes(r[1]), bytes(r[2])) for r in drawn.mapInArrow(narrowed, "lang string, bucket binary, count binary").collect())
+    discard(drawn)
     rng = np.random.default_rng(1)
     samples = [(rows[k][0], np.frombuffer(rows[k][1], "<u2").astype(np.int64), np.frombuffer(rows[k][2], "<u4")) for k in rng.permutation(len(rows))]
-    return train(samples)
+    return train(samples, df)
 
 
 def predicted(docs: DataFrame, model: Model) -> DataFrame:
