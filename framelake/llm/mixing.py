@@ -99,10 +99,10 @@ def plan_of(blocks: list[int], weights: list[float]) -> list[list[tuple[int, int
 PLAN = "source string, run bigint, slots array<struct<release:bigint,deadline:bigint,slot:bigint>>"
 
 
-def scheduled(
+def planned(
     docs: DataFrame, weights: dict[str, float] | None = None, power: float = 0.5, block_chars: int = 1 << 16, max_blocks: int = 1 << 20, range_rows: int = 4_000, carried: tuple[str, ...] = ("*",)
-) -> DataFrame:
-    """row (a struct of the carried columns of docs, by default all), chars, start (code points of its source before it), block, release, deadline, slot.
+) -> tuple[DataFrame, int]:
+    """(row (a struct of the carried columns of docs, by default all), chars, start (code points of its source before it), block, release, deadline, slot; the number of slots).
 
     weights: target weight per source, 0 for those not named; without them a source's total to the given power.
     carried: what moves along with each row.
@@ -136,19 +136,18 @@ def scheduled(
     rows = rows.join(ranges, ["source", "range"]).withColumn("start", F.col("before") + F.col("within"))
     rows = rows.withColumn("block", F.expr(f"start div {block_chars}")).withColumn("run", F.expr(f"block div {RUN}"))
     rows = rows.join(plan, ["source", "run"]).withColumn("at", F.expr(f"element_at(slots, cast(block % {RUN} as int) + 1)"))
-    return rows.select("row", "chars", "start", "block", "at.release", "at.deadline", "at.slot")
+    return rows.select("row", "chars", "start", "block", "at.release", "at.deadline", "at.slot"), sum(blocks)
 
 
 def mixed_schedule(spark: SparkSession, docs: DataFrame, **options) -> DataFrame:
     """Per row: doc_id, source, chars, block, release, deadline, slot, start (place in its source)."""
-    return scheduled(docs, carried=("doc_id", "source"), **options).select("row.doc_id", "row.source", "chars", "block", "release", "deadline", "slot", "start")
+    return planned(docs, carried=("doc_id", "source"), **options)[0].select("row.doc_id", "row.source", "chars", "block", "release", "deadline", "slot", "start")
 
 
 def mixed(spark: SparkSession, docs: DataFrame, **options) -> DataFrame:
     """docs in the order of the schedule, with their own columns; written files keep that order."""
-    rows = scheduled(docs, **options)
-    total = rows.agg(F.max("slot")).first()[0]
+    rows, slots = planned(docs, **options)
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     # slots are alike in size, so that equal ranges of them need no sample of the texts
-    ordered = rows.repartitionById(n, F.expr(f"cast(slot * {n} div {(total or 0) + 1} as int)")).sortWithinPartitions("slot", "start")
+    ordered = rows.repartitionById(n, F.expr(f"cast(slot * {n} div {max(slots, 1)} as int)")).sortWithinPartitions("slot", "start")
     return ordered.select("row.*")
