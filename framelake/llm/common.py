@@ -1,31 +1,18 @@
-"""What the text operators share: the shared folder, written tables, joins that bear hot keys."""
+"""What the text operators share: written tables, joins that bear hot keys, names that no column has."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_LOCAL: dict[str, str] = {}
-
+from framelake.durable import discard, kept
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors see, from spark.checkpoint.dir; only where that is unset (tests), a temporary one."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    if "dir" not in _LOCAL:
-        _LOCAL["dir"] = "file://" + tempfile.mkdtemp(prefix="framelake-")
-    return _LOCAL["dir"]
+__all__ = ["attach", "discard", "table", "unused", "written"]
 
 
 def written(df: DataFrame, tag: str) -> DataFrame:
     """df as a Parquet table in the shared folder: cuts lineage, and outlives lost executors."""
-    path = f"{shared_folder(df.sparkSession)}/framelake-{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return kept(df, tag)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

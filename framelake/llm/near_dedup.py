@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import attach, unused, written
+from .common import attach, discard, unused, written
 from .simhash import WORD, joined_labels, near_components
 
 #: Pairs of a bucket of up to so many nodes are listed; larger buckets are compared block by block.
@@ -276,7 +276,8 @@ def near_dedup(
     needed = ends.unionByName(shared.filter(F.col("members") > FEW).select("same")).distinct()
     whose = nodes.select("same", "doc_id", "digest", "sketch").join(needed, "same").select("same", "sketch", F.col("doc_id").alias("id"), F.col("digest").alias("of"))
     texts = slim.join(whose, slim["doc_id"].eqNullSafe(whose["id"]) & (slim["digest"] == whose["of"])).select("same", "text").dropDuplicates(["same"])
-    sets = written(hashed_sets(texts, words), "hashes").join(nodes.select("same", "sketch"), "same")
+    hashed = written(hashed_sets(texts, words), "hashes")
+    sets = hashed.join(nodes.select("same", "sketch"), "same")
 
     stars = lambda links: links.select(F.lit(0).alias("shard"), F.col("a").alias("root"), F.explode(F.array("a", "b")).alias("fp")).distinct()
     links = written(stars(verified(near, sets, similarity)), "links")
@@ -285,7 +286,9 @@ def near_dedup(
     if not rest.isEmpty():
         labels = joined_labels(links.unionByName(rest))
 
-    flags = written(kept_of(marks, labels, total), "flags").toDF(row_id, row_digest, go)
+    flags = written(kept_of(marks, labels, total), "flags")
+    discard(marks, nodes, shared, near, hashed, links, rest)
+    flags = flags.toDF(row_id, row_digest, go)
     marked = docs.withColumns(ident).join(flags, F.col(id_).eqNullSafe(F.col(row_id)) & (F.col(digest) == F.col(row_digest)), "left")
     alone = marked.filter(F.col(go).isNull())
     if not flags.filter(~F.col(go)).isEmpty():
