@@ -141,6 +141,25 @@ def test_components_over_one_shard_and_many(spark, shard_size):
     assert {i: parts[int(f)] for i, f in enumerate(fps.view(np.int64))} == want
 
 
+def test_large_shards_are_split_again(spark):
+    rng = np.random.default_rng(6)
+    # the first tree sees nothing of a crowd that then fills one shard
+    base = rng.integers(0, 1 << 63, 600, dtype=np.uint64)
+    crowd = np.unique(base[0] ^ (np.uint64(1) << rng.integers(0, 64, (3000, 9)).astype(np.uint64)).sum(axis=1, dtype=np.uint64))
+    fps = np.unique(np.concatenate([base, crowd, crowd[:200] ^ np.uint64(0b11)]))
+    dealt = S.written(spark.createDataFrame([(0, int(f)) for f in fps.view(np.int64)], "shard bigint, fp bigint"), "dealt")
+    out, shards = S.split_again(dealt, 1, 400, 3)
+    sizes = {r["shard"]: r["count"] for r in out.groupBy("shard").count().collect()}
+    assert len(sizes) == shards - len([k for k in range(shards) if k not in sizes]) > 3 and max(sizes.values()) < len(fps)
+    near = lambda rows: {tuple(sorted((int(a), int(b)))) for own in rows.values() for a in own for b in own if a < b and (int(a) ^ int(b)).bit_count() <= 3}
+    by = {}
+    for r in out.collect():
+        by.setdefault(r.shard, []).append(np.int64(r.fp).view(np.uint64))
+    found = near({k: np.unique(v) for k, v in by.items()})
+    d = np.bitwise_count(fps[:, None] ^ fps[None, :]) <= 3
+    assert found == {(int(fps[i]), int(fps[j])) for i, j in zip(*np.nonzero(d)) if i < j}
+
+
 def test_local_search_equals_all_pairs():
     rng = np.random.default_rng(2)
     fps = rng.integers(0, 1 << 63, 4000, dtype=np.uint64)
