@@ -29,3 +29,13 @@ def test_entry(spark):
     import __spark_entry__
 
     assert __spark_entry__.entry(spark).columns == ["lag", "msd", "pairs"]
+
+
+def test_a_broken_dependency_is_not_hidden(tmp_path):
+    copy = tmp_path / "repo"
+    shutil.copytree(ROOT, copy, ignore=shutil.ignore_patterns(".git", "__pycache__", "spark-warehouse"))
+    (copy / "framelake" / "llm").mkdir(exist_ok=True)
+    (copy / "framelake" / "llm" / "__init__.py").touch()
+    (copy / "framelake" / "llm" / "queries.py").write_text("import no_such_library\n")
+    run = subprocess.run([sys.executable, "-c", SHOW], cwd=copy, capture_output=True, text=True)
+    assert run.returncode and "no_such_library" in run.stderr
