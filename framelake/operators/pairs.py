@@ -305,10 +305,12 @@ def smooth_weight(r: Column, radii: float, inner: float = 1.15, outer: float = 1
     return F.when(x <= inner, F.lit(1.0)).when(x <= outer, (F.lit(1.0) + F.cos(math.pi * (x - inner) / (outer - inner))) / 2).otherwise(F.lit(0.0))
 
 
-def _moments(degrees: Sequence[int]) -> dict[tuple[int, int, int], None]:
-    """The exponents of all products of the unit vector's components that the Legendre polynomials of these degrees need."""
-    powers = {k for d in degrees for k in range(d, -1, -2)}
-    return dict.fromkeys((i, j, k - i - j) for k in sorted(powers) for i in range(k + 1) for j in range(k + 1 - i))
+def _exponents(k: int) -> list[tuple[int, int, int]]:
+    return [(i, j, k - i - j) for i in range(k + 1) for j in range(k + 1 - i)]
+
+
+def _ways(e: Sequence[int]) -> int:
+    return math.factorial(sum(e)) // math.prod(map(math.factorial, e))
 
 
 def local_structure(points: DataFrame, pairs: DataFrame, radii: float = 2.0, degrees: Sequence[int] = (4, 6), density_length: float = 4.0) -> DataFrame:
@@ -316,13 +318,15 @@ def local_structure(points: DataFrame, pairs: DataFrame, radii: float = 2.0, deg
 
     pairs are directed, to the range of the switch at least. Weighted values are null where the weights sum to 0.
     No pair of neighbours is made for q_<l>: the sum over them of w w' (u . u')^k is the sum of the squares of
-    the weighted moments of degree k, each as often as its exponents can be arranged. One pass over the pairs.
+    the weighted moments of degree k, each as often as its exponents can be arranged. As u . u = 1, moments are sums
+    of those two degrees higher, so only the highest even and odd ones are gathered. One pass over the pairs.
     """
     powers = [F.lit(1.0)]
     near = pairs.withColumn("w", smooth_weight(F.col("r"), radii)).withColumns({f"{a}1": F.col(f"d{a}") / F.col("r") for a in AXES})
     for k in range(2, max(degrees) + 1):
         near = near.withColumns({f"{a}{k}": F.col(f"{a}{k - 1}") * F.col(f"{a}1") for a in AXES})
-    moments = _moments(degrees)
+    tops = {d % 2: d for d in sorted(degrees)}
+    moments = [e for top in tops.values() for e in _exponents(top)]
     power = lambda a, k: F.col(f"{a}{k}") if k else powers[0]
     named = {e: f"__m{e[0]}_{e[1]}_{e[2]}" for e in moments}
     wr = F.col("w") * F.col("r")
@@ -335,16 +339,19 @@ def local_structure(points: DataFrame, pairs: DataFrame, radii: float = 2.0, deg
     s = F.when(F.col("s_w") > 0, F.col("s_w"))
     mean = F.col("s_wr") / s
 
+    def moment(e: tuple[int, int, int]) -> Column:
+        up = (tops[sum(e) % 2] - sum(e)) // 2
+        terms = [F.lit(float(_ways(u))) * F.col(f"s_{named[tuple(a + 2 * b for a, b in zip(e, u))]}") for u in _exponents(up)]
+        return sum(terms[1:], terms[0])
+
+    lower = {d: {k: c for k, c in enumerate(np.polynomial.legendre.leg2poly([0.0] * d + [1.0])) if c} for d in degrees}
+    wanted = {e: f"m_{e[0]}_{e[1]}_{e[2]}" for k in sorted({k for d in degrees for k in lower[d]}) for e in _exponents(k)}
+    base = base.withColumns({n: moment(e) for e, n in wanted.items()})
+
     def spread(degree: int) -> Column:
         """The sum over all pairs of neighbours, each with itself too, of w w' P_degree."""
-        out = F.lit(0.0)
-        for k, c in enumerate(np.polynomial.legendre.leg2poly([0.0] * degree + [1.0])):
-            if c:
-                for e in moments:
-                    if sum(e) == k:
-                        ways = math.factorial(k) // math.prod(map(math.factorial, e))
-                        out = out + F.lit(float(c) * ways) * F.col(f"s_{named[e]}") * F.col(f"s_{named[e]}")
-        return out
+        terms = [F.lit(float(c) * _ways(e)) * F.col(wanted[e]) * F.col(wanted[e]) for k, c in lower[degree].items() for e in _exponents(k)]
+        return sum(terms[1:], terms[0])
 
     values = {
         "nearest": F.col("nearest"), "smooth_coordination": F.col("s_w"), "hard_neighbors": F.col("s_hard"), "degree_l2": F.sqrt("s_ww"), "mean_distance": mean,
