@@ -526,6 +526,7 @@ def farthest_points(vectors: DataFrame, k: int, pool: int = 20_000) -> DataFrame
         if ended or not fresh or len(out) >= k or (bound is None and len(out) > len(ids)):
             break
         state = _nearer(state, np.stack(fresh))
+    discard(state)
     return spark.createDataFrame(out, "rank int, id bigint, distance double")
 
 

@@ -300,6 +300,7 @@ def greedy_coverage(
         if not new or all(b is None for b in bounds):
             break
         hits = advanced(new)
+    discard(edges, hits)
     rows = [(r, c, reason) for r, (c, reason) in enumerate(picker.picks) if r >= done]
     return spark.createDataFrame(rows, f"rank int, candidate {kind}, reason string")
 
@@ -357,6 +358,7 @@ def lazy_greedy(covers: DataFrame, weights: DataFrame, k: int, pool_edges: int =
         if left is not edges:
             discard(left)
         left = fresh
+    discard(edges, *([left] if left is not edges else []))
     return spark.createDataFrame(out, f"rank int, candidate {kind}, gain double")
 
 
@@ -394,6 +396,7 @@ def repair_swaps(covers: DataFrame, weights: DataFrame, ranking: DataFrame, prot
         if top and low:
             options.append((round(top["fresh"] - low["loss"], PLACES), -low["rank"], top["c"]))
         if not options or max(options)[0] <= 0:
+            discard(edges)
             return spark.createDataFrame(list(enumerate(order)), f"rank int, candidate {kind}")
         _, r, c = max(options)
         order[-r] = -c
