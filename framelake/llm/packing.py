@@ -51,7 +51,7 @@ def pieces(docs: DataFrame, tokenizer: str, end_id: int = 1, capacity: int = 409
     end = struct.pack("<I", end_id)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(tokenizer)
+        enc = encoder(tokenizer, held=1_000_000)
         for batch in batches:
             for lo in range(0, batch.num_rows, 128):
                 b = batch.slice(lo, 128)

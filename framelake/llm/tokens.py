@@ -101,7 +101,7 @@ class Encoder:
     def _forget(self) -> None:
         """An empty cache. Piece k has key keys[k] and the ids pool[offset[k] : offset[k] + size[k]]; piece 0 is none."""
         self.slots = np.zeros((2, 1 << TABLE_BITS), np.int32)
-        self.keys, self.offset, self.size = np.zeros(1 << 12, np.uint64), np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int64)
+        self.keys, self.offset, self.size = np.zeros(1 << 12, np.uint64), np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int32)
         self.count, self.pool, self.filled = 1, np.zeros(1 << 14, np.uint32), 0
         self.odd: dict[str, int] = {}  # pieces that the table can't hold
 
@@ -203,7 +203,7 @@ class Encoder:
             if p not in self.odd:
                 self.odd[p] = int(self._add(self._encoded([p]))[0])
             at[k] = self.odd[p]
-        size = self.size[at]
+        size = self.size[at].astype(np.int64)
         total = np.cumsum(size)
         ids = self.pool[np.repeat(self.offset[at] - total + size, size) + np.arange(int(total[-1]))].astype("<u4").tobytes()
         ends = total[np.flatnonzero(kind == SEP)].tolist()
@@ -229,11 +229,11 @@ class Encoder:
         return out
 
 
-_ENCODERS: dict[str, Encoder] = {}
+_ENCODERS: dict[tuple[str, int], Encoder] = {}
 
 
-def encoder(path: str) -> Encoder:
-    """The worker's encoder for a tokenizer file."""
-    if path not in _ENCODERS:
-        _ENCODERS[path] = Encoder(path)
-    return _ENCODERS[path]
+def encoder(path: str, held: int = 3_000_000) -> Encoder:
+    """The worker's encoder for a tokenizer file; it keeps about held pieces, of some 50 bytes each."""
+    if (path, held) not in _ENCODERS:
+        _ENCODERS[path, held] = Encoder(path, held)
+    return _ENCODERS[path, held]
