@@ -51,8 +51,8 @@ def per_series(rows: DataFrame, key: str, order: str, columns: Sequence[str], ke
     return own.mapInPandas(run, f"`{key}` {kind}, {fields}")
 
 
-def correlation_time(y: np.ndarray) -> tuple[float, float, str]:
-    """tau (a half plus the initial positive pairs of the unbiased autocorrelation), the effective size, and a status."""
+def correlation_time(y: np.ndarray, lags: int | None = None) -> tuple[float, float, str]:
+    """tau (a half plus the initial positive pairs of the unbiased autocorrelation, up to an even number of lags or to the end), the effective size, and a status."""
     n = len(y)
     if n < 3:
         return 0.5, float(n), "insufficient"
@@ -65,7 +65,7 @@ def correlation_time(y: np.ndarray) -> tuple[float, float, str]:
     rho = c / c[0]
     tau = 0.5
     k = 1
-    while k < n:
+    while k < (n if lags is None else min(n, lags + 1)):
         pair = rho[k] + (rho[k + 1] if k + 1 < n else 0.0)
         if pair <= 0:
             break
@@ -75,11 +75,11 @@ def correlation_time(y: np.ndarray) -> tuple[float, float, str]:
     return tau, min(float(n), n / (2 * tau)), "ok"
 
 
-def autocorrelation(rows: DataFrame, key: str, order: str, value: str) -> DataFrame:
-    """key, n, tau, n_eff, status for each series."""
+def autocorrelation(rows: DataFrame, key: str, order: str, value: str, lags: int | None = None) -> DataFrame:
+    """key, n, tau, n_eff, status for each series; lags: an even number that bounds the positive pairs."""
 
     def run(v: np.ndarray) -> list:
-        tau, eff, status = correlation_time(v[:, 0])
+        tau, eff, status = correlation_time(v[:, 0], lags)
         return [[len(v)], [tau], [eff], np.array([status], object)]
 
     return per_series(rows, key, order, [value], run, "n bigint, tau double, n_eff double, status string")

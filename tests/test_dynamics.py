@@ -89,6 +89,15 @@ def test_welch_power_of_a_tone(spark):
     assert sum(got.values()) / seg == pytest.approx(0.5, rel=1e-6)
 
 
+def test_correlation_time_within_lags():
+    """A slow series' positive pairs go on beyond the bound, which cuts them off."""
+    y = np.sin(np.arange(400) / 60)
+    assert K.correlation_time(y)[0] > 21
+    x = y - y.mean()
+    c = [np.mean(x[: len(x) - k] * x[k:]) for k in range(21)]
+    assert K.correlation_time(y, 20)[0] == pytest.approx(0.5 + sum(c[1:]) / c[0])
+
+
 def test_correlation_time_cases(spark):
     assert K.correlation_time(np.array([1.0, 2.0]))[2] == "insufficient"
     assert K.correlation_time(np.ones(10))[2] == "constant"
