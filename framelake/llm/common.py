@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from framelake.durable import discard, kept
 
-__all__ = ["attach", "discard", "table", "unused", "written"]
+__all__ = ["attach", "discard", "lean", "released", "table", "unused", "written"]
 
 
 def written(df: DataFrame, tag: str) -> DataFrame:
@@ -19,6 +24,28 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def released() -> None:
+    """Gives memory that this process has freed back to the system; allocators keep it otherwise, and idle workers with them."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not glibc
+        pass
+
+
+def lean(run: Callable[..., Iterator]) -> Callable[..., Iterator]:
+    """A Python task that leaves its worker, which Spark keeps for later ones, without the memory that it has freed."""
+
+    @functools.wraps(run)
+    def go(*args) -> Iterator:
+        try:
+            yield from run(*args)
+        finally:
+            released()
+
+    return go
+
+
 def unused(columns: list[str], *names: str) -> list[str]:
     """The names, each with as many underscores behind it as it takes to be none of the columns."""
     taken = {c.lower() for c in columns}

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import attach, unused, written
+from .common import attach, lean, unused, written
 
 SLOTS = 4
 SEGMENT_BITS = 1 << 19
@@ -81,7 +81,7 @@ def repeated_filter(hashes: DataFrame, bits: int, tasks: int) -> bytes:
             seen |= s
         return pd.DataFrame({"segment": parts["segment"].iloc[:1], "again": [zlib.compress(again.tobytes(), 1)]})
 
-    parts = hashes.coalesce(max(1, tasks)).mapInArrow(fill, "segment bigint, seen binary, again binary")
+    parts = hashes.coalesce(max(1, tasks)).mapInArrow(lean(fill), "segment bigint, seen binary, again binary")
     out = bytearray(bits // 8)
     for r in parts.groupBy("segment").applyInPandas(merge, "segment bigint, again binary").toLocalIterator():
         out[r["segment"] * segment // 8 : (r["segment"] + 1) * segment // 8] = zlib.decompress(r["again"])

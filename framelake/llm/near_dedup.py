@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import attach, discard, unused, written
+from .common import attach, discard, lean, unused, written
 from .simhash import WORD, joined_labels, near_components
 
 #: Pairs of a bucket of up to so many nodes are listed; larger buckets are compared block by block.
@@ -114,7 +114,7 @@ def marks_of(docs: DataFrame, words: int, bands: int, rows: int) -> DataFrame:
                 own = [pa.array(same, pa.binary()), pa.array(np.array(fp, np.uint64).view(np.int64)), pa.array(sketch, pa.binary()), pa.array(keys, pa.list_(pa.int64()))]
                 yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *own], ["doc_id", "digest", "same", "fp", "sketch", "keys"])
 
-    return docs.select("doc_id", "digest", F.col("text").cast("binary").alias("text")).mapInArrow(run, MARKS)
+    return docs.select("doc_id", "digest", F.col("text").cast("binary").alias("text")).mapInArrow(lean(run), MARKS)
 
 
 def tree_pairs(nodes: DataFrame, total: int, radius: int) -> DataFrame:
@@ -150,7 +150,7 @@ def agreeing(pairs: DataFrame, nodes: DataFrame, floor: float) -> DataFrame:
                 yield batch.select(["a", "b"]).filter(pa.array((x == y).mean(axis=1) >= floor))
 
     left, right = (nodes.select(F.col("same").alias(c), F.col("sketch").alias(f"s{c}")) for c in ("a", "b"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "sa", "sb").mapInArrow(run, "a binary, b binary")
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "sa", "sb").mapInArrow(lean(run), "a binary, b binary")
 
 
 def hashed_sets(docs: DataFrame, words: int) -> DataFrame:
@@ -162,7 +162,7 @@ def hashed_sets(docs: DataFrame, words: int) -> DataFrame:
                 b = batch.slice(lo, 256)
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array([hashes(t.as_py(), words).view(np.int64) for t in b.column(1)], pa.list_(pa.int64()))], ["same", "hashes"])
 
-    return docs.select("same", F.col("text").cast("binary").alias("text")).mapInArrow(run, "same binary, hashes array<bigint>")
+    return docs.select("same", F.col("text").cast("binary").alias("text")).mapInArrow(lean(run), "same binary, hashes array<bigint>")
 
 
 def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:

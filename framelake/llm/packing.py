@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import lean, written
 from .tokens import encoder
 
 PIECES = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint"
@@ -66,7 +66,7 @@ def pieces(docs: DataFrame, tokenizer: str, end_id: int = 1, capacity: int = 409
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], ["doc_id", "piece", "start", "length", "ids_crc32", *carried])
 
     schema = PIECES + (", position bigint" if carried else "")
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", *carried).mapInArrow(run, schema)
+    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", *carried).mapInArrow(lean(run), schema)
 
 
 def best_fit(items: list[int], lengths: list[int], bins: list[list[int]], room: list[int], capacity: int) -> None:
@@ -231,10 +231,10 @@ def evolved(dealt: DataFrame, problems: int, capacity: int = 4096, islands: int
     tasks = min(problems * islands, 4096)
     at = lambda df: df.repartition(tasks, "problem", "island")
     each = written(lengths, "problems").withColumn("island", F.explode(F.sequence(F.lit(0), F.lit(islands - 1))))
-    state = written(at(each).mapInPandas(begin, ISLANDS), "islands")
+    state = written(at(each).mapInPandas(lean(begin), ISLANDS), "islands")
     for epoch in range(1, epochs):
         guests = state.select("problem", F.pmod(F.col("island") + 1, F.lit(islands)).alias("island"), F.col("elite").alias("guest"))
-        state = written(at(state.join(guests, ["problem", "island"])).mapInPandas(go_on(epoch), ISLANDS), "islands")
+        state = written(at(state.join(guests, ["problem", "island"])).mapInPandas(lean(go_on(epoch)), ISLANDS), "islands")
     return state
 
 

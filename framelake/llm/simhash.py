@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import attach, discard, written
+from .common import attach, discard, lean, written
 
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 LEAF = 1024
@@ -63,7 +63,7 @@ def fingerprints(docs: DataFrame, words: int = 3) -> DataFrame:
                 fp = np.array([fingerprint(t.as_py(), words) for t in b.column(1)], np.uint64).view(np.int64)
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp)], ["doc_id", "fp"])
 
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("binary").alias("text")).mapInArrow(run, "doc_id bigint, fp bigint")
+    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("binary").alias("text")).mapInArrow(lean(run), "doc_id bigint, fp bigint")
 
 
 def _near(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -201,7 +201,7 @@ def near_components(spark: SparkSession, fps: DataFrame, radius: int = 3, shard_
         member, root = local_stars(np.unique(shard["fp"].to_numpy(np.int64).view(np.uint64)), radius)
         return pd.DataFrame({"shard": int(shard["shard"].iloc[0]), "root": root.view(np.int64), "fp": member.view(np.int64)})
 
-    dealt = reps.select("fp").mapInArrow(deal, "shard bigint, fp bigint")
+    dealt = reps.select("fp").mapInArrow(lean(deal), "shard bigint, fp bigint")
     shards = tree.shards if tree else 1
     if tree:
         dealt, shards = split_again(written(dealt, "dealt"), shards, shard_size, radius)
@@ -254,7 +254,7 @@ def split_again(dealt: DataFrame, shards: int, shard_size: int, radius: int, at_
                     for part, at in tree.route(own.view(np.uint64)) if tree else [(0, np.arange(len(own)))]:
                         yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), first + part)), pa.array(own[at])], ["shard", "fp"])
 
-        fresh = written(dealt.mapInArrow(deal, "shard bigint, fp bigint"), "dealt")
+        fresh = written(dealt.mapInArrow(lean(deal), "shard bigint, fp bigint"), "dealt")
         discard(dealt)
         dealt = fresh
 

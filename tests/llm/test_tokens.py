@@ -186,3 +186,25 @@ def test_equal_rows_are_dealt_to_all_problems(spark):
     out = G.pack_pieces(parts, problem_size=4000, generations=1, epochs=1, population=2).groupBy("sequence_id").agg(F.sum("length").alias("n"), F.count("*").alias("rows"))
     r = out.agg(F.max("n").alias("most"), F.sum("rows").alias("rows"), F.count("*").alias("bins")).first()
     assert r.most <= 4096 and r.rows == 60_000 and r.bins <= 60_000 / 5 + 15
+
+
+def test_a_lean_task_gives_back_what_it_freed():
+    """Small pieces that stay keep the allocator from shrinking by itself."""
+    from framelake.llm.common import lean
+
+    def held() -> int:
+        with open("/proc/self/smaps_rollup") as f:
+            return next(int(line.split()[1]) for line in f if line.startswith("Pss_Anon"))
+
+    stays = []
+
+    def run(n):
+        blocks = []
+        for k in range(n):
+            blocks.append(bytearray(60_000))
+            stays.append(bytearray(700))
+        yield held()
+
+    before = held()
+    most = max(lean(run)(3000))
+    assert most - before > 150_000 and held() - before < 50_000
