@@ -16,6 +16,7 @@ from collections.abc import Callable, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -67,23 +68,36 @@ def hard_safe(obligations: DataFrame, chosen: DataFrame) -> DataFrame:
     return picks.join(of, "candidate", "left").select("candidate", (~F.coalesce("tight", F.lit(False))).alias("safe"))
 
 
-def csr_gather(matrix: DataFrame, wanted: DataFrame) -> DataFrame:
-    """place, row, k, column: the columns of the wanted rows (place, row), in order of the row's array. matrix: row, columns (array)."""
-    return wanted.join(matrix, "row").select("place", "row", F.posexplode("columns").alias("k", "column"))
+def csr_gather(matrix: DataFrame, wanted: DataFrame, most: int = 4096) -> DataFrame:
+    """place, row, k, column: the columns of the wanted rows (place, row), in order of the row's array. matrix: row, columns (array).
+
+    A row that over most places want is copied, once for about so many of them, so that its places are dealt over
+    tasks. There are under one in most of the places of such rows; they are broadcast by name and number of copies.
+    """
+    hot = F.broadcast(wanted.groupBy("row").agg(F.ceil(F.count("*") / most).cast("int").alias("__copies")).filter("__copies > 1"))
+    copies = F.coalesce("__copies", F.lit(1))
+    own = wanted.join(hot, "row", "left").withColumn("__copy", F.pmod(F.xxhash64("place"), copies).cast("int"))
+    rows = matrix.join(hot, "row", "left").withColumn("__copy", F.explode(F.sequence(F.lit(0), copies - 1))).drop("__copies")
+    return own.join(rows, ["row", "__copy"]).select("place", "row", F.posexplode("columns").alias("k", "column"))
+
+
+def _codes(column: pa.ChunkedArray) -> np.ndarray:
+    """A number for each of a column's values."""
+    return column.combine_chunks().dictionary_encode().indices.to_numpy(zero_copy_only=False).astype(np.int64)
 
 
 class Pool:
-    """The edges of some candidates, with worths that follow every pick."""
+    """The edges of some candidates, with worths that follow every pick. edges: family (a place among families), witness, candidate, w, n, as columns, never as rows of objects."""
 
-    def __init__(self, edges: pd.DataFrame, ids: np.ndarray, families: list, obligations: pd.DataFrame, units: dict) -> None:
+    def __init__(self, edges: pa.Table, ids: np.ndarray, families: list, obligations: pd.DataFrame, units: dict) -> None:
         self.ids, self.families = ids, families
-        family = edges["family"].astype(str).map({f: k for k, f in enumerate(families)}).to_numpy(np.int64)
+        family = edges["family"].to_numpy().astype(np.int64)
         self.c = np.searchsorted(ids, edges["candidate"].to_numpy())
-        _, self.x = np.unique(np.stack([family, pd.factorize(edges["witness"])[0]], axis=1), axis=0, return_inverse=True)
+        _, self.x = np.unique(_codes(edges["witness"]) * max(len(families), 1) + family, return_inverse=True)
         self.x = self.x.ravel()
         cells = self.x.max() + 1 if len(self.x) else 0
         self.w, self.f, self.hits = np.zeros(cells), np.zeros(cells, int), np.zeros(cells, np.int64)
-        self.w[self.x], self.f[self.x], self.hits[self.x] = edges["w"], family, edges["n"]
+        self.w[self.x], self.f[self.x], self.hits[self.x] = edges["w"].to_numpy(), family, edges["n"].to_numpy()
         by = np.argsort(self.c, kind="stable")
         self.cell_of, self.at_c = self.x[by], np.searchsorted(self.c[by], np.arange(len(ids) + 1))
         by = np.argsort(self.x, kind="stable")
@@ -200,7 +214,7 @@ def _orders(families: list) -> list[list[str]]:
 
 
 def greedy_coverage(
-    covers: DataFrame, weights: DataFrame, units: DataFrame, k: int, threshold: float = 0.95, obligations: DataFrame | None = None, prefix: Sequence[int] = (), pool_edges: int = 4_000_000
+    covers: DataFrame, weights: DataFrame, units: DataFrame, k: int, threshold: float = 0.95, obligations: DataFrame | None = None, prefix: Sequence[int] = (), pool_edges: int = 1_000_000
 ) -> DataFrame:
     """rank, candidate, reason of up to k picks.
 
@@ -228,9 +242,10 @@ def greedy_coverage(
         if ids is not None:
             some = F.broadcast(spark.createDataFrame([(i,) for i in ids], f"candidate {kind}"))
             own, mine, of = (df.join(some, "candidate", "left_semi") for df in (edges, duties, of))
-        rows = own.join(hits, ["family", "witness"], "left").withColumn("n", F.coalesce("n", F.lit(0))).withColumn("family", F.col("family").cast("string")).toPandas()
-        named = np.unique(rows["candidate"].to_numpy(np.int64)) if ids is None else np.array(sorted(ids), np.int64)
-        return Pool(rows, named, families, mine.toPandas(), {int(c): u for c, u in of.collect()})
+        place = (F.array_position(F.array(*[F.lit(f) for f in families]), F.col("family").cast("string")) - 1).cast("int")
+        rows = own.join(hits, ["family", "witness"], "left").select(place.alias("family"), "witness", F.col("candidate").cast("bigint").alias("candidate"), F.col("w").cast("double").alias("w"), F.coalesce("n", F.lit(0)).alias("n")).toArrow()
+        named = np.unique(rows["candidate"].to_numpy()) if ids is None else np.array(sorted(ids), np.int64)
+        return Pool(rows, named, families, mine.toPandas(), dict(zip(*(c.to_pylist() for c in of.toArrow().columns))))
 
     def advanced(new: list[int]) -> DataFrame:
         """hits with the picks' witnesses."""
@@ -305,7 +320,7 @@ def greedy_coverage(
     return spark.createDataFrame(rows, f"rank int, candidate {kind}, reason string")
 
 
-def lazy_greedy(covers: DataFrame, weights: DataFrame, k: int, pool_edges: int = 4_000_000) -> DataFrame:
+def lazy_greedy(covers: DataFrame, weights: DataFrame, k: int, pool_edges: int = 1_000_000) -> DataFrame:
     """rank, candidate, gain of a plain greedy cover by uncovered weight, ties to the smaller id, by the same certified rounds."""
     spark = covers.sparkSession
     edges = kept(covers.select("family", "witness", "candidate").distinct().join(weights, ["family", "witness"]))
@@ -323,13 +338,14 @@ def lazy_greedy(covers: DataFrame, weights: DataFrame, k: int, pool_edges: int =
         if not ids:
             break
         some = F.broadcast(spark.createDataFrame([(c,) for c in ids], f"candidate {kind}"))
-        rows = left.join(some, "candidate", "left_semi").select("candidate", "family", "witness", "w").toPandas()
-        _, x = np.unique(np.stack([pd.factorize(rows["family"])[0], pd.factorize(rows["witness"])[0]], axis=1), axis=0, return_inverse=True)
-        x, w = x.ravel(), rows["w"].to_numpy(float)
+        rows = left.join(some, "candidate", "left_semi").select("candidate", "family", "witness", F.col("w").cast("double").alias("w")).toArrow()
+        _, x = np.unique(_codes(rows["witness"]) * len(rows) + _codes(rows["family"]), return_inverse=True)
+        x, w = x.ravel(), rows["w"].to_numpy()
         names, c = np.unique(rows["candidate"].to_numpy(), return_inverse=True)
         open_, gain = np.ones(x.max() + 1, bool), np.bincount(c, w, len(names))
         by_x = np.argsort(x, kind="stable")
-        at_x, by_c = np.searchsorted(x[by_x], np.arange(len(open_) + 1)), [np.flatnonzero(c == i) for i in range(len(names))]
+        at_x, by_c = np.searchsorted(x[by_x], np.arange(len(open_) + 1)), np.argsort(c, kind="stable")
+        at_c = np.searchsorted(c[by_c], np.arange(len(names) + 1))
         free, ended = np.ones(len(names), bool), bound is None
         while len(out) < k and free.any():
             value = np.where(free, np.round(gain, PLACES), -1.0)
@@ -341,7 +357,7 @@ def lazy_greedy(covers: DataFrame, weights: DataFrame, k: int, pool_edges: int =
                 break
             out.append((len(out), int(names[i]), float(value[i])))
             free[i] = False
-            for e in by_c[i]:
+            for e in by_c[at_c[i] : at_c[i + 1]]:
                 if open_[x[e]]:
                     open_[x[e]] = False
                     same = by_x[at_x[x[e]] : at_x[x[e] + 1]]

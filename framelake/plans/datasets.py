@@ -267,8 +267,9 @@ def hard_safe(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT place, row, CAST(unnest(range(len(columns))) AS INTEGER) AS k, unnest(columns) AS column FROM w JOIN m USING (row)
 """)
 def csr_gather(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = read(spark, sf_dir, "lineitem").groupBy(F.col("l_suppkey").alias("row")).agg(F.array_sort(F.collect_set("l_partkey")).alias("columns"))
-    return S.csr_gather(rows, read(spark, sf_dir, "part").select(F.col("p_partkey").alias("place"), (1 + F.col("p_partkey") % 7).alias("row")))
+    wanted = read(spark, sf_dir, "part").select(F.col("p_partkey").alias("place"), (1 + F.col("p_partkey") % 7).alias("row"))
+    entries = read(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("row"), "l_partkey").join(wanted.select("row").distinct(), "row", "left_semi")
+    return S.csr_gather(entries.groupBy("row").agg(F.array_sort(F.collect_set("l_partkey")).alias("columns")), wanted)
 
 
 @query("SELECT candidate, count(*) AS witnesses, sha256(string_agg(CAST(witness AS VARCHAR), ',' ORDER BY witness)) AS digest FROM (SELECT DISTINCT l_suppkey AS candidate, l_partkey AS witness FROM lineitem) GROUP BY candidate")
