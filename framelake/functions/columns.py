@@ -15,6 +15,13 @@ def rounded(c: Column, places: int = 6) -> Column:
     return F.round(c, places) + F.lit(0.0)
 
 
+def rounded_length(c: Column, places: int) -> Column:
+    """A value that isn't negative, rounded by scaling it, halves up; for many rows: F.round goes through decimal text for each."""
+    scaled = c * F.lit(10.0**places)
+    whole = F.floor(scaled)
+    return (whole + (scaled - whole >= 0.5).cast("int")).cast("double") / F.lit(10.0**places)
+
+
 def wrap(f: Column) -> Column:
     """A fraction in [0, 1)."""
     return f - F.floor(f)
