@@ -7,7 +7,7 @@ import math
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from framelake.functions.columns import rounded
+from framelake.functions.columns import rounded, rounded_length
 from framelake.operators import density as D
 from framelake.operators import evidence as E
 from framelake.operators import graphs as G
@@ -170,24 +170,22 @@ HARMONICS = f"""
 """
 
 
-def _harmonics(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _harmonics(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Samples, points and rings: each ion with all rings of its frame."""
     p = points(spark, sf_dir)
     ring = (F.expr("atom div 24") * 4 + F.col("frame")).alias("ring")
     rings = R.with_position(p.select("atom", "frame", ring), ["atom"], ["ring"]).select("ring", "atom", F.col("position").alias("place"))
-    names = rings.join(p.select("atom", "frame"), "atom").select("frame", "ring").distinct()
-    # each ion with all rings of its frame
-    samples = p.filter("species = 1").join(names, "frame").select("frame", F.col("atom").alias("ion"), "ring", "x", "y", "z")
-    return P.coordination_fingerprints(samples, p, rings, CUBE)
+    return p.filter("species = 1").select("frame", F.col("atom").alias("ion"), "x", "y", "z"), p, rings
 
 
 @query(HARMONICS + " SELECT frame, ion, ring, CAST(k AS INTEGER) AS k, round(sqrt(re * re + im * im), 6) AS amplitude, CAST(members AS INTEGER) AS members FROM h")
 def coordination_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _harmonics(spark, sf_dir).select("frame", "ion", "ring", "k", F.round("amplitude", 6).alias("amplitude"), "members")
+    return P.coordination_fingerprints(*_harmonics(spark, sf_dir), CUBE).select("frame", "ion", "ring", "k", rounded_length(F.col("amplitude"), 6).alias("amplitude"), "members")
 
 
 @query(HARMONICS + " SELECT ring, CAST(k AS INTEGER) AS k, count(*) AS samples, round(avg(sqrt(re * re + im * im)), 6) AS amplitude, round(sqrt(avg(re / sqrt(re * re + im * im)) ** 2 + avg(im / sqrt(re * re + im * im)) ** 2), 5) AS resultant FROM h GROUP BY ring, k")
 def harmonic_locking(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = P.harmonic_locking(_harmonics(spark, sf_dir))
+    out = P.harmonic_locking(*_harmonics(spark, sf_dir), CUBE)
     return out.select("ring", "k", "samples", F.round("amplitude", 6).alias("amplitude"), F.round("resultant", 5).alias("resultant"))
 
 
