@@ -3,14 +3,17 @@
 All lags of an atom are read in one pass: one shuffle by atom and one sort, with lead() for each lag.
 Means over pairs are sums side by side in one aggregate, so no pair becomes a row; what needs the pairs
 themselves explodes them and aggregates partially by lag. Beyond
-LEAD_LIMIT lags the pairs come from an equi-join on (atom, frame + lag).
+LEAD_LIMIT lags the pairs come from an equi-join on (atom, frame + lag), but for the mean square
+displacement, whose sums are made from each atom's sorted rows.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -71,8 +74,50 @@ def square(d: Sequence[Column]) -> Column:
     return sum((x * x for x in d[1:]), d[0] * d[0])
 
 
+def _square_sums(rows: DataFrame, columns: Sequence[str], lags: Sequence[int], origin_stride: int) -> DataFrame:
+    """lag, pairs, known (those without a null), total of the squared displacements, a row a lag and task: atoms are shuffled once, and their sorted rows laid over themselves, each lag behind."""
+    most = max(lags)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pairs, known, total = np.zeros(len(lags), np.int64), np.zeros(len(lags), np.int64), np.zeros(len(lags))
+        kept: list[np.ndarray] | None = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            own = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("atom", "frame")]
+            null = np.zeros(batch.num_rows, bool)
+            for c in columns:
+                null |= batch.column(c).is_null().to_numpy(zero_copy_only=False)
+                own.append(batch.column(c).fill_null(0.0).to_numpy(zero_copy_only=False))
+            own.append(null)
+            before = 0 if kept is None else len(kept[0])
+            atom, frame, *x, null = own if kept is None else [np.concatenate(p) for p in zip(kept, own)]
+            origin = frame % origin_stride == 0
+            for i, k in enumerate(lags):
+                at = max(before, k)
+                if at >= len(atom):
+                    continue
+                to, of = slice(at, None), slice(at - k, len(atom) - k)
+                there = (atom[to] == atom[of]) & (frame[to] == frame[of] + k) & origin[of]
+                pairs[i] += np.count_nonzero(there)
+                there &= ~(null[to] | null[of])
+                known[i] += np.count_nonzero(there)
+                for c in x:
+                    d = (c[to] - c[of])[there]
+                    total[i] += d @ d
+            kept = [a[-most:] if most else a[:0] for a in (atom, frame, *x, null)]
+        yield pa.RecordBatch.from_arrays([pa.array(list(lags), pa.int64()), pa.array(pairs), pa.array(known), pa.array(total)], ["lag", "pairs", "known", "total"])
+
+    own = rows.select("atom", "frame", *[F.col(c).cast("double").alias(c) for c in columns]).repartition("atom").sortWithinPartitions("atom", "frame")
+    return own.mapInArrow(run, "lag bigint, pairs bigint, known bigint, total double")
+
+
 def msd(rows: DataFrame, columns: Sequence[str], lags: Sequence[int], origin_stride: int = 1) -> DataFrame:
-    """lag, msd, pairs: the mean over atoms and origins."""
+    """lag, msd, pairs: the mean over atoms and origins. Beyond LEAD_LIMIT lags the sums are made in Python, in Arrow batches."""
+    lags = sorted(set(lags))
+    if len(lags) > LEAD_LIMIT:
+        sums = _square_sums(rows, columns, lags, origin_stride).groupBy("lag").agg(F.sum("total").alias("t"), F.sum("known").alias("k"), F.sum("pairs").alias("pairs"))
+        return sums.filter("pairs > 0").select("lag", F.when(F.col("k") > 0, F.col("t") / F.col("k")).alias("msd"), "pairs")
     return lag_means(rows, columns, lags, origin_stride, {"msd": _squared}).select("lag", "msd", "pairs")
 
 
