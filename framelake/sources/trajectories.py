@@ -74,13 +74,17 @@ def read_dump(spark: SparkSession, path: str, start: int = 0, stop: int | None =
     tilt = lambda k: F.coalesce(bound(k, 2), F.lit(0.0))
     names = F.slice(_words(lines[0]), 2, 1000)
     body = F.filter(F.slice(lines, 2, 1 << 30), lambda s: F.trim(s) != "")
+    # within a lambda the names would be split off the frame's text once an atom: let() works them out once
+    let = lambda value, use: F.transform(F.array(value), use)[0]
+    maps = let(names, lambda ns: F.transform(body, lambda s: let(_words(s), lambda w: F.map_from_arrays(F.slice(ns, 1, F.size(w)), F.slice(w, 1, F.size(ns))))))
     out = rows.select(
         "file", "last", "step", _number(F.trim(F.split("time", "\n")[1])).alias("time"), _number(F.trim(F.split("n", "\n")[1])).cast("int").alias("n_atoms"),
         *[(bound(k, 1) - bound(k, 0)).alias(f"b{a}") for k, a in zip((1, 2, 3), "xyz")], *[bound(k, 0).alias(f"o{a}") for k, a in zip((1, 2, 3), "xyz")],
-        tilt(1).alias("xy"), tilt(2).alias("xz"), tilt(3).alias("yz"), F.transform(body, lambda s: F.map_from_arrays(F.slice(names, 1, F.size(_words(s))), F.slice(_words(s), 1, F.size(names)))).alias("atoms"), names.alias("names"),
+        tilt(1).alias("xy"), tilt(2).alias("xz"), tilt(3).alias("yz"), maps.alias("atoms"), F.size(names).alias("width"),
     )
-    short = F.col("last") & (F.size("atoms") <= F.col("n_atoms")) & (F.exists("atoms", lambda a: F.size(a) < F.size("names")) | (F.size("atoms") < F.col("n_atoms")))
-    out = out.filter(_whole(short, F.size("atoms") != F.col("n_atoms"), "a dump frame has another number of atoms")).drop("last", "names")
+    least = F.array_min(F.transform("atoms", lambda a: F.size(a)))
+    short = F.col("last") & (F.size("atoms") <= F.col("n_atoms")) & (F.coalesce(least < F.col("width"), F.lit(False)) | (F.size("atoms") < F.col("n_atoms")))
+    out = out.filter(_whole(short, F.size("atoms") != F.col("n_atoms"), "a dump frame has another number of atoms")).drop("last", "width")
     # bounds of skewed boxes hold the tilts' extents
     spread = F.greatest(F.lit(0.0), F.col("xy"), F.col("xz"), F.col("xy") + F.col("xz")) - F.least(F.lit(0.0), F.col("xy"), F.col("xz"), F.col("xy") + F.col("xz"))
     out = out.withColumns({"lx": F.col("bx") - spread, "ly": F.col("by") - F.abs("yz"), "lz": F.col("bz")}).drop("bx", "by", "bz")
