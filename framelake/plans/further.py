@@ -271,7 +271,7 @@ def difficulty_features(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(PAIRS + ", e AS (SELECT frame, i, j FROM p WHERE r < 1.2 AND si % 2 = 0 AND sj % 2 = 1) SELECT a.frame, a.i AS a, b.i AS b, count(*) AS bridges FROM e a JOIN e b ON a.frame = b.frame AND a.j = b.j AND a.i < b.i GROUP BY ALL")
 def framework_bridges(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = points(spark, sf_dir)
-    return P.bridges(P.neighbors(p.filter("species % 2 = 0"), p.filter("species % 2 = 1"), CUBE, 1.2, home=True))
+    return P.bridges_within(p.filter("species % 2 = 0"), p.filter("species % 2 = 1"), CUBE, 1.2)
 
 
 @query(f"""
