@@ -68,16 +68,19 @@ def hard_safe(obligations: DataFrame, chosen: DataFrame) -> DataFrame:
     return picks.join(of, "candidate", "left").select("candidate", (~F.coalesce("tight", F.lit(False))).alias("safe"))
 
 
-def csr_gather(matrix: DataFrame, wanted: DataFrame, most: int = 4096) -> DataFrame:
+def csr_gather(matrix: DataFrame, wanted: DataFrame, most: int = 256) -> DataFrame:
     """place, row, k, column: the columns of the wanted rows (place, row), in order of the row's array. matrix: row, columns (array).
 
     A row that over most places want is copied, once for about so many of them, so that its places are dealt over
     tasks. There are under one in most of the places of such rows; they are broadcast by name and number of copies.
+    Places are dealt by number: they are few bytes beside what is made of them, so that by size they would go to a task or two.
     """
+    tasks = int(wanted.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     hot = F.broadcast(wanted.groupBy("row").agg(F.ceil(F.count("*") / most).cast("int").alias("__copies")).filter("__copies > 1"))
     copies = F.coalesce("__copies", F.lit(1))
     own = wanted.join(hot, "row", "left").withColumn("__copy", F.pmod(F.xxhash64("place"), copies).cast("int"))
     rows = matrix.join(hot, "row", "left").withColumn("__copy", F.explode(F.sequence(F.lit(0), copies - 1))).drop("__copies")
+    own, rows = own.repartition(tasks, "row", "__copy"), rows.repartition(tasks, "row", "__copy")
     return own.join(rows, ["row", "__copy"]).select("place", "row", F.posexplode("columns").alias("k", "column"))
 
 
